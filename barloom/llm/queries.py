@@ -56,5 +56,40 @@ WITH d AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN place <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing}
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.decontaminate import find
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return find(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
+), m AS (
+  SELECT doc_id, k, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op5_decontamination": OP5_SQL}
