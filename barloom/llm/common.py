@@ -64,6 +64,13 @@ def with_group(df: DataFrame, key: str, spread: str, aggs: dict[str, tuple[Colum
     return salted.join(looked, [key, "_salt"]).drop("_salt")
 
 
+def lookup(df: DataFrame, key: str, spread: str, rows: DataFrame) -> DataFrame:
+    """df joined with rows, which hold each key once; a hot key's rows of df are dealt over SALTS parts."""
+    salted = df.withColumn("_salt", salt(F.col(spread)))
+    looked = salted.select(key, "_salt").distinct().join(rows, key)
+    return salted.join(looked, [key, "_salt"]).drop("_salt")
+
+
 # Vectorised scanning of words -------------------------------------------------------------------------------------
 
 SPACE = np.zeros(256, bool)

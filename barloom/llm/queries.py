@@ -91,5 +91,11 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination, "op9_simhash": op9_simhash}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op5_decontamination": OP5_SQL}
