@@ -97,5 +97,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination, "op9_simhash": op9_simhash}
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), usable=~held_out())
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination, "op9_simhash": op9_simhash, "op4_quality": op4_quality}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op5_decontamination": OP5_SQL}
