@@ -109,5 +109,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination, "op9_simhash": op9_simhash, "op4_quality": op4_quality}
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.ctw import score
+
+    away = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, ~away).select("doc_id", away.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination, "op9_simhash": op9_simhash, "op4_quality": op4_quality, "op10_ctw": op10_ctw}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op5_decontamination": OP5_SQL}
