@@ -16,7 +16,8 @@ def water_fill(sources: DataFrame, budget: Column, epochs: float) -> DataFrame:
     """sources (source, weight, size) with target: weight shares of the budget, none above epochs * size.
 
     What a capped source cannot take is shared again by weight until none is above its cap. That fixed point has a
-    closed form: with sources in order of cap/weight, those before the first whose cap is not reached are capped, and
+    closed form: with sources in order of cap/weight, the level over those not yet capped rises up to the first source
+    whose cap is not reached and falls from there; that highest level holds: those before it are capped, and
     the others get weight * level. The table has one row per source; its running sums are windows over it.
     """
     cap = F.lit(float(epochs)) * F.col("size")
@@ -27,7 +28,7 @@ def water_fill(sources: DataFrame, budget: Column, epochs: float) -> DataFrame:
         sources.withColumn("_ratio", cap / F.col("weight"))
         .withColumn("_budget", budget)
         .withColumn("_level", (F.col("_budget") - F.lit(float(epochs)) * F.coalesce(F.sum("size").over(before), F.lit(0))) / F.sum("weight").over(rest))
-        .withColumn("_level", F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(W.partitionBy()))
+        .withColumn("_level", F.max(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(W.partitionBy()))
     )
     target = F.when(F.col("_level").isNull() | (F.col("_ratio") <= F.col("_level")), cap).otherwise(F.col("weight") * F.col("_level"))
     return filled.withColumn("target", target).drop("_ratio", "_budget", "_level")

@@ -43,7 +43,7 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () - 3.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), f AS (
-  SELECT *, min(CASE WHEN ratio >= level THEN level END) OVER () AS lvl FROM l
+  SELECT *, max(CASE WHEN ratio >= level THEN level END) OVER () AS lvl FROM l
 ), t AS (
   SELECT source, source_size, CASE WHEN lvl IS NULL OR ratio <= lvl THEN 3.0::DOUBLE * source_size ELSE weight * lvl END AS target FROM f
 ), r AS (
