@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from barloom.shipping import ship
 
 #: Parts into which each key is split before it is aggregated or joined, so that a hot key is many keys.
 SALTS = 256
@@ -46,6 +49,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow, on executors that may not have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def salt(by: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import LOWER, NOT_SPACE, SLICE_BYTES, Words, cut, slices, texts_of
+from barloom.llm.common import LOWER, NOT_SPACE, SLICE_BYTES, Words, cut, map_in_arrow, slices, texts_of
 
 #: Context bytes. A run of DEPTH + 1 bytes is packed in 64 bits.
 DEPTH = 5
@@ -114,7 +114,7 @@ def count(docs: DataFrame) -> DataFrame:
             yield from s.drain(kind)
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.int32()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], COUNTS.names)
 
-    return docs.mapInArrow(work, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return map_in_arrow(docs, work, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 # Context trees --------------------------------------------------------------------------------------------------
@@ -223,7 +223,7 @@ def code_lengths(run_counts: DataFrame, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], TOP.names)
 
     # At most 256 contexts with 255 nodes each.
-    first = dealt.mapInArrow(tops, TOP).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).orderBy("key").toArrow()
+    first = map_in_arrow(dealt, tops, TOP).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).orderBy("key").toArrow()
     one = Level(first["key"].to_numpy().view(np.uint64), *(first[c].to_numpy() for c in ("zeros", "ones", "below")))
     keys, inverse = np.unique(one.keys & np.uint64(0xFF), return_inverse=True)
     root = Level(keys, *(np.bincount(inverse, x, len(keys)) for x in (one.zeros, one.ones, one.log_weighted)))
@@ -234,7 +234,7 @@ def code_lengths(run_counts: DataFrame, parts: int) -> DataFrame:
         value = log10_run(packed, [*head.value, *levels(packed, n, 2)])
         yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(value)], COST.names)
 
-    return dealt.mapInArrow(costs, COST)
+    return map_in_arrow(dealt, costs, COST)
 
 
 # Scoring --------------------------------------------------------------------------------------------------------
@@ -301,7 +301,7 @@ def add_parts(docs: DataFrame, entries: DataFrame, kind: int, names: list[str])
     for k in range(parts):
         part = entries.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).toArrow()
         held = spark.sparkContext.broadcast(Lookup(part["key"].to_numpy(), part["value"].to_numpy().astype(np.float32)))
-        docs = docs.mapInArrow(_adder(held, kind, names), docs.schema)
+        docs = map_in_arrow(docs, _adder(held, kind, names), docs.schema)
     return docs
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import ALNUM, LOWER, Words, mix, slices, texts_of
+from barloom.llm.common import ALNUM, LOWER, Words, map_in_arrow, mix, slices, texts_of
 
 #: UTF-8 bytes of benchmark text in a block, which is broadcast.
 BLOCK_BYTES = 16 << 20
@@ -180,7 +180,7 @@ def _pass(docs: DataFrame, windows, text: str, clean_only: bool, later: bool) ->
             held = batch.columns[: len(batch.columns) - 3 * later]
             yield pa.RecordBatch.from_arrays([*held, *own], schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return map_in_arrow(docs, work, schema)
 
 
 def items_digest(items: list[str]) -> str:

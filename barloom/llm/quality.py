@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import Words, cut, mix, slices, texts_of
+from barloom.llm.common import Words, cut, map_in_arrow, mix, slices, texts_of
 
 #: Buckets of each kind of n-gram: words, word pairs, runs of three bytes.
 BUCKETS = 1 << 16
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
         some = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(counts[k][some]) for k in (0, 1)), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int32())], SUMS.names)
 
-    sums = cut(joined.mapInArrow(work, SUMS), "sums")
+    sums = cut(map_in_arrow(joined, work, SUMS), "sums")
     total = sums.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("bad"), F.sum("good")).toArrow()
     counts = np.full((2, KINDS * BUCKETS), alpha)
     for k in (0, 1):
@@ -160,4 +160,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         for batch in slices(batches, text, PART_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(*texts_of(batch[text])))], schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return map_in_arrow(docs, work, schema)

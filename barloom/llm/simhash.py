@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import cut, discard, lookup, slices, texts_of
+from barloom.llm.common import cut, discard, lookup, map_in_arrow, slices, texts_of
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             fps = [fingerprint(held[a:b], width, seed) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
+    return map_in_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), work, schema)
 
 
 def block_keys(fp: Column, distance: int) -> Column:
