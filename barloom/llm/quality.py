@@ -20,6 +20,8 @@ from barloom.llm.common import Words, cut, map_in_arrow, mix, slices, texts_of
 #: Buckets of each kind of n-gram: words, word pairs, runs of three bytes.
 BUCKETS = 1 << 16
 KINDS = 3
+#: Labels up to which they are broadcast to the texts (about 40 bytes each).
+SENT_LABELS = 2_000_000
 #: UTF-8 bytes of text in a table of indicators.
 PART_BYTES = 1 << 20
 
@@ -113,7 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     known = labels.where(F.col(label).isin(0, 1) & usable & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("_label"))
     known = cut(known.withColumn("_order", F.xxhash64(doc_id, F.lit(seed))), "labels")
     last = known.orderBy("_order", doc_id).limit(fit_rows).agg(F.max("_order")).first()[0]
-    joined = docs.select(doc_id, F.col(text).alias("_text")).join(known, doc_id).select("_text", "_label", (F.col("_order") <= F.lit(last)).alias("_fit"))
+    # Texts stay where they are unless there are too many labels to send to each task.
+    near = F.broadcast(known) if known.count() <= SENT_LABELS else known
+    joined = docs.select(doc_id, F.col(text).alias("_text")).join(near, doc_id).select("_text", "_label", (F.col("_order") <= F.lit(last)).alias("_fit"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, KINDS * BUCKETS), np.int64)
@@ -135,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     for k in (0, 1):
         counts[k][total[0].to_numpy()] += total[1 + k].to_numpy()
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    sample = sums.where("feature IS NULL").select("features", "label").orderBy("features", "label").toArrow()
+    sample = sums.where("feature IS NULL").select("features", "label").toArrow()
+    sample = sample.take(sorted(range(len(sample)), key=[*zip(*(sample[c].to_pylist() for c in ("features", "label")), strict=True)].__getitem__))
     y = sample["label"].to_numpy()
     if len(set(y.tolist())) < 2:
         return Model(ratio, np.zeros_like(ratio), 0.0, 0.0, 0.0 if not len(y) else 60.0 if y[0] else -60.0)
