@@ -117,5 +117,73 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, ~away).select("doc_id", away.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing, "op5_decontamination": op5_decontamination, "op9_simhash": op9_simhash, "op4_quality": op4_quality, "op10_ctw": op10_ctw}
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL, "op5_decontamination": OP5_SQL}
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.chat import rotate
+
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["length"])), ",")
+    masked = F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["length"])
+    return rotate(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "perspective", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.length("text").cast("long").alias("n_chars"),
+        masked.alias("n_masked"), spans.alias("mask"), F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+OP1_SQL = r"""
+WITH s AS (
+  SELECT DISTINCT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM s WHERE role <> 'system'
+), k AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY floor(turn / 64.0)) - 1 AS part FROM s
+), r AS (
+  SELECT k.*, perspective, role = perspective AS mine,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN role WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
+         text || '<|im_end|>' || chr(10) AS body
+  FROM k JOIN p ON k.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, md5(text)) - length(body) AS place FROM r
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, sum(length(head) + length(body))::BIGINT AS n_chars, sum(CASE WHEN mine THEN length(body) ELSE 0 END)::BIGINT AS n_masked,
+       coalesce(string_agg(CASE WHEN mine THEN place::BIGINT || ':' || length(body) END, ',' ORDER BY turn, role, md5(text)), '') AS mask,
+       sha256(string_agg(head || body, '' ORDER BY turn, role, md5(text))) AS text_sha256
+FROM o GROUP BY conv_id, perspective, part
+"""
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.lines import remove
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove(docs).select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.common import scratch
+    from barloom.llm.warc import Archive
+
+    archive = Archive(spark, scratch(spark, "warc"))
+    archive.write(table(spark, sf_dir, "pages"))
+    return archive.read().select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM q
+"""
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.substring import remove
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove(docs, digest_only=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_chat": op1_chat, "op2_line_dedup": op2_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash, "op10_ctw": op10_ctw,
+}
+ORACLES = {"op1_chat": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
