@@ -109,9 +109,10 @@ def ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str] = ("
         ends[name] = (q, max(1, math.ceil(41.5 / (-block * math.log(q)))) if q else 1)
     last = held.groupBy(*by, "_block").agg(*(F.max_by(f"_in_{n}", "_k").alias(f"_end_{n}") for n in spans))
     over = W.partitionBy(*by).orderBy("_block")
-    carried = last.select(*by, "_block", *(
-        F.aggregate(F.collect_list(f"_end_{n}").over(over.rowsBetween(-m, -1)), F.lit(0.0), lambda s, e, q=q: s * (q**block) + e).alias(f"_to_{n}") for n, (q, m) in ends.items()
-    ))
+    def fold(name: str, q: float, m: int) -> Column:
+        return F.aggregate(F.collect_list(f"_end_{name}").over(over.rowsBetween(-m, -1)), F.lit(0.0), lambda s, e: s * q**block + e).alias(f"_to_{name}")
+
+    carried = last.select(*by, "_block", *(fold(n, q, m) for n, (q, m) in ends.items()))
     out = held.join(carried, [*by, "_block"])
     out = out.withColumns({n: F.col(f"_in_{n}") + F.col(f"_to_{n}") * F.pow(F.lit(q), F.col("_k") + 1) for n, (q, _) in ends.items()})
     return out.select(*df.columns, *spans)

@@ -1,4 +1,377 @@
-from barloom.plans.base import Book
+"""Queries on indicators, rolling statistics, physics and fractional differences."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from barloom.functions.windows import Roll, ema, ratio
+from barloom.operators import indicators as I
+from barloom.operators import joins, physics, rolling
+from barloom.plans.base import BARS, KEY, Book, lag, listed, roll, steps
+from barloom.sources.bars import resample
 
 q = Book()
 QUERIES, ORACLES = q.queries, q.oracles
+E = "1e-10"
+
+RSI = (f"close - {lag('close')} AS d", "coalesce(greatest(d, 0.0), 0) * (d IS NOT NULL)::INT AS g, coalesce(greatest(-d, 0.0), 0) * (d IS NOT NULL)::INT AS l", f"{roll('avg', 'g', 14)} AS ag, {roll('avg', 'l', 14)} AS al", f"100 - 100 / (1 + ag / (al + {E})) AS rsi_14")
+TR = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr"
+
+
+def ema_sql(x: str, n: int, name: str, source: str) -> str:
+    """CTEs of a list of each history so far, folded."""
+    a = 2 / (n + 1)
+    return f"{name}_l AS (SELECT *, list({x}) OVER ({KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {name}_x FROM {source}), {name}_t AS (SELECT * EXCLUDE ({name}_x), list_reduce({name}_x, lambda s, v: s * {1 - a!r}::DOUBLE + v * {a!r}::DOUBLE) AS {name} FROM {name}_l)"
+
+
+@q.on_bars("rsi_14", steps(*RSI, out="rsi_14"))
+def rsi(b):
+    return I.rsi(b)
+
+
+@q.on_bars("log_ret sma_20 rsi_14", steps(*RSI, f"ln(close / {lag('close')}) AS log_ret, {roll('avg', 'close', 20)} AS sma_20", out="log_ret; sma_20; rsi_14"))
+def indicators_core(b):
+    return I.rsi(I.sma(rolling.returns(b)))
+
+
+@q.on_bars(" ".join(f"sma_{n}" for n in (5, 20, 50, 200)), steps(", ".join(f"{roll('avg', 'close', n)} AS sma_{n}" for n in (5, 20, 50, 200)), out="sma_5; sma_20; sma_50; sma_200"))
+def sma(b):
+    return I.sma(b, (5, 20, 50, 200))
+
+
+@q.on_bars("ema_20 ema_100 dist", f"WITH {BARS}, {ema_sql('close', 20, 'e20', 'bars')}, {ema_sql('close', 100, 'e100', 'e20_t')} SELECT asset, ts, round(e20, 6) AS ema_20, round(e100, 6) AS ema_100, round((close - e20) / nullif(e20, 0), 6) AS dist FROM e100_t")
+def ema_(b):
+    return ema(b, {"ema_20": ("close", 20), "ema_100": ("close", 100)}).withColumn("dist", ratio(F.col("close") - F.col("ema_20"), "ema_20"))
+
+
+@q.on_bars("dist_ema_20 dist_sma_20", f"WITH {BARS}, {ema_sql('close', 20, 'e20', 'bars')} SELECT asset, ts, round((close - e20) / nullif(e20, 0), 6) AS dist_ema_20, round((close - sm) / nullif(sm, 0), 6) AS dist_sma_20 FROM (SELECT *, {roll('avg', 'close', 20)} AS sm FROM e20_t)")
+def distances(b):
+    return I.sma(I.dist_ema(b)).withColumn("dist_sma_20", ratio(F.col("close") - F.col("sma_20"), "sma_20"))
+
+
+MACD = f"{ema_sql('close', 12, 'ef', 'bars')}, {ema_sql('close', 26, 'es', 'ef_t')}, m0 AS (SELECT *, ef - es AS macd FROM es_t), {ema_sql('macd', 9, 'sig', 'm0')}"
+
+
+@q.on_bars("macd macd_signal macd_hist", f"WITH {BARS}, {MACD} SELECT asset, ts, round(macd, 6) AS macd, round(sig, 6) AS macd_signal, round(macd - sig, 6) AS macd_hist FROM sig_t")
+def macd(b):
+    return I.macd(b)
+
+
+@q.on_bars("bb_mid bb_upper bb_lower bb_width bb_pct", steps(f"{roll('avg', 'close', 20)} AS m, {roll('stddev_samp', 'close', 20)} AS s", "m + 2 * s AS u, m - 2 * s AS l", out=f"m AS bb_mid; u AS bb_upper; l AS bb_lower; (u - l) / nullif(m, 0) AS bb_width; (close - l) / (u - l + {E}) AS bb_pct"))
+def bbands(b):
+    return I.bbands(b)
+
+
+@q.on_bars("atr_14 natr_14", steps(TR, f"{roll('avg', 'tr', 14)} AS a", out="a AS atr_14; 100 * a / nullif(close, 0) AS natr_14"))
+def atr(b):
+    return I.atr(b)
+
+
+@q.on_bars("roc_10", steps(f"{lag('close', 10)} AS p", out="100 * (close - p) / nullif(p, 0) AS roc_10"))
+def roc(b):
+    return I.roc(b)
+
+
+@q.on_bars("cci_20", steps("(high + low + close) / 3 AS tp", f"{roll('avg', 'tp', 20)} AS m, {listed('tp', 20)} AS a", "list_sum(list_transform(a, lambda x: abs(x - m))) / 20 AS mad", out=f"(tp - m) / (0.015 * mad + {E}) AS cci_20"))
+def cci(b):
+    return I.cci(b)
+
+
+@q.on_bars("willr_14", steps(f"{roll('max', 'high', 14)} AS h, {roll('min', 'low', 14)} AS l", out=f"-100 * (h - close) / (h - l + {E}) AS willr_14"))
+def willr(b):
+    return I.willr(b)
+
+
+ADX = (
+    TR, f"high - {lag('high')} AS up, {lag('low')} - low AS dn", "CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0::DOUBLE END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0::DOUBLE END AS m",
+    f"{roll('avg', 'tr', 14)} AS a, {roll('avg', 'p', 14)} AS pa, {roll('avg', 'm', 14)} AS ma", f"100 * pa / (a + {E}) AS plus_di, 100 * ma / (a + {E}) AS minus_di",
+    f"100 * abs(plus_di - minus_di) / (plus_di + minus_di + {E}) AS dx", f"{roll('avg', 'dx', 14)} AS adx_14",
+)
+
+
+@q.on_bars("plus_di minus_di adx_14", steps(*ADX, out="plus_di; minus_di; adx_14"))
+def adx(b):
+    return I.adx(b)
+
+
+@q.on_bars("obv", steps(f"coalesce(sign(close - {lag('close')}) * volume, 0) AS d", f"sum(d) OVER ({KEY}) AS obv", out="obv"))
+def obv(b):
+    return I.obv(b)
+
+
+@q.on_bars("cmf_20", steps(f"(2 * close - low - high) / (high - low + {E}) * volume AS v", f"{roll('sum', 'v', 20)} AS a, {roll('sum', 'volume', 20)} AS c", out=f"a / (c + {E}) AS cmf_20"))
+def cmf(b):
+    return I.cmf(b)
+
+
+@q.on_bars("mfi_14", steps("(high + low + close) / 3 AS tp", f"{lag('tp')} AS pb", "CASE WHEN tp > pb THEN tp * volume ELSE 0 END AS up, CASE WHEN tp < pb THEN tp * volume ELSE 0 END AS dn", f"{roll('sum', 'up', 14)} AS u, {roll('sum', 'dn', 14)} AS d", out=f"100 - 100 / (1 + u / (d + {E})) AS mfi_14"))
+def mfi(b):
+    return I.mfi(b)
+
+
+@q.on_bars("slope_14", steps(f"row_number() OVER ({KEY})::DOUBLE AS n", f"CASE WHEN count(close) OVER ({KEY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) >= 14 THEN regr_slope(close, n) OVER ({KEY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS s", out="s AS slope_14"))
+def slope(b):
+    return I.slope(b)
+
+
+@q.on_bars("ao", steps("(high + low) / 2 AS m", f"{roll('avg', 'm', 5)} - {roll('avg', 'm', 34)} AS ao", out="ao"))
+def ao(b):
+    return I.ao(b)
+
+
+@q.on_bars("stoch_k stoch_d", steps(f"{roll('max', 'high', 14)} AS h, {roll('min', 'low', 14)} AS l", f"100 * (close - l) / (h - l + {E}) AS raw", f"{roll('avg', 'raw', 3)} AS k", f"{roll('avg', 'k', 3)} AS d", out="k AS stoch_k; d AS stoch_d"))
+def stoch(b):
+    return I.stoch(b)
+
+
+@q.on_bars("dc_low dc_mid dc_high", steps(f"{roll('min', 'low', 20)} AS l, {roll('max', 'high', 20)} AS h", out="l AS dc_low; (l + h) / 2 AS dc_mid; h AS dc_high"))
+def donchian(b):
+    return I.donchian(b)
+
+
+# Rolling statistics ------------------------------------------------------------------------------------------------
+
+RET = f"ln(close / {lag('close')}) AS log_ret"
+
+
+@q.on_bars("log_ret pct_ret diff log_range", steps(f"{lag('close')} AS p", out="ln(close / p) AS log_ret; (close - p) / nullif(p, 0) AS pct_ret; close - p AS diff; ln(high / low) AS log_range"))
+def returns(b):
+    return rolling.returns(b)
+
+
+@q.on_bars("body_ratio upper_shadow lower_shadow", steps("high - low + 1e-9 AS s", out="abs(close - open) / s AS body_ratio; (high - greatest(open, close)) / s AS upper_shadow; (least(open, close) - low) / s AS lower_shadow"))
+def candle_shape(b):
+    return rolling.candle(b)
+
+
+_lags = [(c, k) for c in ("close", "volume") for k in (1, 2, 3, 5, 8, 13)]
+
+
+@q.on_bars(" ".join(f"{c}_lag_{k}" for c, k in _lags), steps(", ".join(f"{lag(c, k)} AS {c}_lag_{k}" for c, k in _lags), out="; ".join(f"{c}_lag_{k}" for c, k in _lags)))
+def lag_fanout(b):
+    return rolling.lags(b, ["close", "volume"])
+
+
+@q.on_bars("log_ret_std log_ret_skew log_ret_kurt", steps(RET, f"{roll('stddev_samp', 'log_ret', 20)} AS sd, {roll('skewness', 'log_ret', 20)} AS sk, {roll('kurtosis', 'log_ret', 20)} AS ku", out="sd AS log_ret_std; sk AS log_ret_skew; ku AS log_ret_kurt", digits=5), digits=5)
+def rolling_moments(b):
+    return rolling.moments(rolling.returns(b))
+
+
+@q.on_bars("z_20 z_50", steps(f"{roll('avg', 'close', 20)} AS m, {roll('stddev_samp', 'close', 20)} AS s, {roll('avg', 'close', 50)} AS m5, {roll('stddev_samp', 'close', 50)} AS s5", out="(close - m) / nullif(s, 0) AS z_20; (close - m5) / nullif(s5, 0) AS z_50"))
+def zscore(b):
+    return rolling.zscore(rolling.zscore(b), n=50)
+
+
+@q.on_bars("vol_20 vol_100 vol_200", steps(RET, ", ".join(f"{roll('stddev_samp', 'log_ret', n)} AS vol_{n}" for n in (20, 100, 200)), out="vol_20; vol_100; vol_200"))
+def rolling_vol(b):
+    r = Roll()
+    return rolling.returns(b).withColumns({f"vol_{n}": r.std("log_ret", n) for n in (20, 100, 200)})
+
+
+def stability_sql(w: int, span: int, end: int = 0) -> tuple[str, ...]:
+    f = f"{KEY} ROWS BETWEEN {w - 1 - end} PRECEDING AND " + ("CURRENT ROW" if not end else f"{-end} PRECEDING")
+    least = w if not end else w - 1
+    z = lambda c: f"(CASE WHEN count({c}) OVER s >= {w} THEN {c} - avg({c}) OVER s END) / CASE WHEN count({c}) OVER s >= {w} AND stddev_samp({c}) OVER s > 1e-10 THEN stddev_samp({c}) OVER s END".replace("OVER s", f"OVER ({KEY} ROWS BETWEEN {span - 1} PRECEDING AND CURRENT ROW)")
+    return (
+        f"{lag('close')} AS b", "CASE WHEN b IS NOT NULL THEN close END AS x",
+        f"covar_pop(x, b) OVER ({f}) AS cv, var_pop(b) OVER ({f}) AS vb, var_pop(x) OVER ({f}) AS vx, count(b) OVER ({f}) >= {least} AS ok",
+        "CASE WHEN ok AND vx > 1e-20 AND vb > 1e-20 THEN cv / sqrt(vx * vb) END AS acf, CASE WHEN ok AND vb > 1e-20 THEN cv / vb END AS beta",
+        "CASE WHEN beta IS NULL THEN NULL WHEN beta > 0 AND beta < 1 THEN -ln(beta) ELSE 0 END AS theta", f"{z('acf')} AS z_acf, {z('theta')} AS z_theta",
+        "coalesce(z_acf > 2 OR z_theta < -2, false) AS warning",
+    )
+
+
+@q.on_bars("acf theta z_acf z_theta warning", steps(*stability_sql(48, 168), out="acf; theta; z_acf; z_theta; =warning", digits=5), digits=5)
+def stability_acf_theta(b):
+    return rolling.stability(b, window=48, span=168)
+
+
+@q.on_bars("acf theta warning", steps(*stability_sql(100, 200, -1), out="acf; theta; =warning", digits=5), digits=5)
+def ews_warnings(b):
+    """The window ends before the row."""
+    return rolling.stability(b, window=100, span=200, current=False)
+
+
+CRASH = f"(close - max(close) OVER ({KEY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) / nullif(max(close) OVER ({KEY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 0) AS drawdown"
+
+
+@q.on_bars("drawdown crash", steps(CRASH, out="drawdown; =coalesce(drawdown <= -0.9, false) AS crash"))
+def crashes(b):
+    return rolling.crashes(b, 0.9)
+
+
+@q.on_bars("crashes hits hit_rate", "WITH t AS (" + steps(*stability_sql(48, 168), CRASH, f"coalesce(max(warning::INT) OVER ({KEY} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), 0) AS seen", out="=drawdown; =seen") + ") SELECT asset, count(*) AS crashes, sum(seen)::BIGINT AS hits, round(sum(seen) / count(*), 6) AS hit_rate FROM t WHERE drawdown <= -0.9 GROUP BY asset", key="asset")
+def ews_lead_hits(b):
+    return rolling.lead_hits(rolling.crashes(rolling.stability(b, window=48, span=168), 0.9))
+
+
+@q.on_bars("start_ts end_ts rows", "WITH t AS (" + steps(*stability_sql(48, 168), f"row_number() OVER ({KEY}) AS n", out="=warning; =n") + ") SELECT asset, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS rows FROM (SELECT *, n - row_number() OVER (PARTITION BY asset ORDER BY ts) AS g FROM t WHERE warning) GROUP BY asset, g", key="asset")
+def warning_intervals(b):
+    return rolling.intervals(rolling.stability(b, window=48, span=168))
+
+
+_lg = [math.log(k) for k in range(1, 9)]
+_mid = sum(_lg) / 8
+_fdi = " + ".join(f"ln(nullif(m{k}, 0)) * {_lg[k - 1] - _mid!r}::DOUBLE" for k in range(1, 9))
+_fdi_m = ", ".join(f"CASE WHEN count(close) OVER ({KEY} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) >= 100 THEN avg(d{k}) OVER ({KEY} ROWS BETWEEN {99 - k} PRECEDING AND CURRENT ROW) END AS m{k}" for k in range(1, 9))
+
+
+@q.on_bars("fdi_100", steps(", ".join(f"abs(close - {lag('close', k)}) AS d{k}" for k in range(1, 9)), _fdi_m, out=f"2 - ({_fdi}) / {sum((v - _mid) ** 2 for v in _lg)!r}::DOUBLE AS fdi_100"))
+def fdi(b):
+    return rolling.fdi(b)
+
+
+@q.on_bars("entropy_100", steps(
+    f"close - {lag('close')} AS diff", f"list(diff) FILTER (diff IS NOT NULL) OVER ({KEY} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS a",
+    "list_min(a) AS lo, list_max(a) AS hi", "list_transform(a, lambda x: least(floor((x - lo) / (hi - lo) * 50), 49)::INT) AS bins",
+    "list_sum(list_transform(range(0, 50), lambda k: (CASE WHEN len(list_filter(bins, lambda x: x = k)) > 0 THEN -len(list_filter(bins, lambda x: x = k)) / 100.0 * ln(len(list_filter(bins, lambda x: x = k)) / 100.0) ELSE 0 END))) AS h",
+    out="CASE WHEN len(a) = 100 THEN CASE WHEN hi > lo THEN h ELSE 0 END END AS entropy_100"))
+def entropy(b):
+    return rolling.entropy(rolling.returns(b))
+
+
+def hurst_sql(n: int, logs: bool) -> str:
+    m = n - 1 if logs else n
+    run = f"list_transform(range(1, {m + 1}), lambda k: list_sum(a[1:k]) - k * mu)"
+    h = f"ln(rg / sd) / ln({m}.0::DOUBLE)"
+    return steps(
+        RET.replace("AS log_ret", "AS x") if logs else "close AS x", f"list(x) FILTER (x IS NOT NULL) OVER ({KEY} ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW) AS a", "list_avg(a) AS mu", f"{run} AS c, sqrt(list_sum(list_transform(a, lambda v: (v - mu) * (v - mu))) / {m}) AS sd",
+        "greatest(list_max(c), 0) - least(list_min(c), 0) AS rg", out=f"CASE WHEN len(a) = {m} THEN CASE WHEN sd > 1e-12 AND rg > 0 THEN {f'greatest(0.0, least(1.0, {h}))' if logs else h} ELSE 0.5 END END AS hurst_{n}",
+    )
+
+
+@q.on_bars("hurst_100", hurst_sql(100, False))
+def hurst_rs(b):
+    return rolling.hurst(b)
+
+
+@q.on_bars("hurst_100", hurst_sql(100, True))
+def hurst_logret(b):
+    return rolling.hurst(b, log_returns=True)
+
+
+@q.on_bars("vol vol_of_vol", steps(RET, f"{roll('stddev_samp', 'log_ret', 24)} AS vol", f"{roll('stddev_samp', 'vol', 24)} AS vv", out="vol; vv AS vol_of_vol"))
+def vol_of_vol(b):
+    return rolling.vol_of_vol(rolling.returns(b))
+
+
+_A = "PARTITION BY asset"
+_z = "greatest(0.0, least(5.0, coalesce(({c} - avg({c}) OVER (PARTITION BY asset)) / nullif(stddev_samp({c}) OVER (PARTITION BY asset), 0), 0)))"
+
+
+@q.on_bars("energy", steps(RET, f"{roll('stddev_samp', 'log_ret', 20)} AS v, abs(log_ret) AS a", f"{_z.format(c='v')} * {_z.format(c='a')} AS e", f"min(e) OVER ({_A}) AS lo, max(e) OVER ({_A}) AS hi", out="coalesce((e - lo) / nullif(hi - lo, 0), 0) AS energy"))
+def energy(b):
+    return rolling.energy(rolling.returns(b))
+
+
+@q.on_bars("corr_50", steps(f"stddev_pop(close) OVER w * stddev_pop(volume) OVER w AS s, covar_pop(close, volume) OVER w AS c, count(close) OVER w AS n".replace("OVER w", f"OVER ({KEY} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"), out="CASE WHEN n >= 50 AND s > 1e-20 THEN c / s END AS corr_50"))
+def rolling_corr(b):
+    return rolling.rolling_corr(b, "close", "volume", 50, "corr_50")
+
+
+@q.on_bars("x", steps("CASE WHEN hour(ts) % 4 = 0 THEN close END AS v", f"coalesce(last_value(v IGNORE NULLS) OVER ({KEY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) AS x", out="x"))
+def fill_limit(b):
+    return rolling.fill(b.withColumn("x", F.when(F.hour("ts") % 4 == 0, F.col("close"))), ["x"], 2, 0.0)
+
+
+@q.on_bars("interaction_vol interaction_hurst", steps(RET, f"{roll('stddev_samp', 'log_ret', 20)} AS v, sign(close - open) AS s", out="coalesce(v, 0) * s AS interaction_vol; coalesce(v, 0) * s * 0.5 AS interaction_hurst"))
+def signal_interactions(b):
+    d = rolling.returns(b).withColumn("v", F.coalesce(Roll().std("log_ret", 20), F.lit(0.0))).withColumn("s", F.signum(F.col("close") - F.col("open")))
+    return d.withColumns({"interaction_vol": F.col("v") * F.col("s"), "interaction_hurst": F.col("v") * F.col("s") * 0.5})
+
+
+# Physics -----------------------------------------------------------------------------------------------------------
+
+_ou = f"WITH {BARS}, d AS (SELECT asset, close AS x, {lag('close')} AS b FROM bars), m AS (SELECT asset, count(*) AS n, avg(x) AS mx, avg(b) AS mb, var_pop(x) AS vx, var_pop(b) AS vb, covar_pop(x, b) AS c FROM d WHERE b IS NOT NULL GROUP BY 1), f AS (SELECT *, c / nullif(vb, 0) AS beta FROM m), g AS (SELECT *, mx - beta * mb AS alpha, beta > 0 AND beta < 1 AS ok, greatest(vx - beta * c, 0) AS res FROM f)"
+
+
+@q.on_bars("n beta alpha theta mu sigma half_life r2", _ou + """
+SELECT asset, n, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(CASE WHEN ok THEN -ln(beta) END, 6) AS theta, round(CASE WHEN ok THEN alpha / (1 - beta) END, 6) AS mu,
+  round(CASE WHEN ok THEN sqrt(res * 2 * -ln(beta) / (1 - beta * beta)) END, 6) AS sigma, round(CASE WHEN ok THEN ln(2.0::DOUBLE) / -ln(beta) END, 6) AS half_life, round(c * c / nullif(vx * vb, 0), 6) AS r2 FROM g
+""", key="asset")
+def ou_fit(b):
+    return physics.ou_fit(b)
+
+
+_dw = f"""WITH {BARS}, z AS (SELECT asset, ts, (close - avg(close) OVER (PARTITION BY asset)) / nullif(stddev_samp(close) OVER (PARTITION BY asset), 0) AS x FROM bars),
+d AS (SELECT *, lead(x) OVER ({KEY}) - x AS d FROM z), m AS (SELECT asset, count(*) AS n, sum(x**2) AS s2, sum(x**4) AS s4, sum(x**6) AS s6, sum(x * d) AS y1, sum(x**3 * d) AS y3 FROM d WHERE d IS NOT NULL GROUP BY 1),
+f AS (SELECT asset, n, (s6 * y1 - s4 * y3) / nullif(s2 * s6 - s4 * s4, 0) AS a, (s4 * y1 - s2 * y3) / nullif(s2 * s6 - s4 * s4, 0) AS b FROM m)"""
+
+
+def _wells(b):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("asset")
+    return physics.double_well_fit(b.withColumn("x", ratio(F.col("close") - F.avg("close").over(w), F.stddev_samp("close").over(w))), "x")
+
+
+@q.on_bars("n a b bistable well tipping", _dw + "SELECT asset, n, round(a, 6) AS a, round(b, 6) AS b, coalesce(a > 0 AND b > 0, false) AS bistable, round(CASE WHEN a > 0 AND b > 0 THEN sqrt(a / b) END, 6) AS well, round(CASE WHEN a > 0 AND b > 0 THEN sqrt(a / (3 * b)) END, 6) AS tipping FROM f", key="asset")
+def double_well_fit(b):
+    return _wells(b)
+
+
+@q.on_bars("x v", _dw + "SELECT asset, k::INT AS k, round(-2 + k * 0.1::DOUBLE, 6) AS x, round(-a * (-2 + k * 0.1::DOUBLE)**2 / 2 + b * (-2 + k * 0.1::DOUBLE)**4 / 4, 6) AS v FROM f, range(0, 41) r(k)", key="asset, k")
+def potential_shape(b):
+    return physics.potential(_wells(b))
+
+
+@q()
+def ou_simulate(spark, sf_dir):
+    from barloom.sources.bars import event_bars
+
+    return physics.simulate(physics.ou_fit(event_bars(spark, sf_dir)), paths=4, steps=50)
+
+
+@q()
+def double_well_simulate(spark, sf_dir):
+    from barloom.sources.bars import event_bars
+
+    return physics.simulate(_wells(event_bars(spark, sf_dir)), "well", paths=4, steps=50)
+
+
+_w = physics.frac_weights(0.5, 1e-3)
+_wl = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _w[::-1]) + "]"
+
+
+@q.on_bars("frac_diff", steps(f"{listed('close', len(_w))} AS a", out=f"CASE WHEN len(a) = {len(_w)} THEN list_inner_product(a, {_wl}) END AS frac_diff"))
+def fracdiff(b):
+    return physics.frac_diff(b, 0.5, cut=1e-3)
+
+
+@q()
+def fracdiff_min_d(spark, sf_dir):
+    from barloom.sources.bars import event_bars
+
+    return physics.find_min_d(event_bars(spark, sf_dir), share=0.5)
+
+
+_M6 = f"macro AS (SELECT asset, time_bucket(INTERVAL 6 HOURS, ts) AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)".replace("GROUP BY 1, 2", "GROUP BY 1, time_bucket(INTERVAL 6 HOURS, ts)")
+
+
+def _mtf_sql() -> str:
+    parts = [*RSI, *ADX, f"ln(close / {lag('close')}) AS log_ret, {roll('avg', 'close', 50)} AS s50, {roll('avg', 'close', 200)} AS s200, {lag('close', 21)} AS p21", f"{roll('stddev_samp', 'log_ret', 20)} AS vol"]
+    ctes, last = [BARS, _M6], "macro"
+    for k, part in enumerate(parts):
+        ctes.append(f"t{k} AS (SELECT *, {part} FROM {last})")
+        last = f"t{k}"
+    ctes.append(ema_sql("close", 12, "ef", last) + ", " + ema_sql("close", 26, "es", "ef_t") + ", m0 AS (SELECT *, ef - es AS macd FROM es_t), " + ema_sql("macd", 9, "sig", "m0"))
+    v = {"macro_rsi": "rsi_14", "macro_trend": "CASE WHEN s50 > s200 THEN 1.0 ELSE -1.0 END", "macro_vol": "vol", "macro_roc": "100 * (x.close - p21) / nullif(p21, 0)", "macro_adx": "adx_14", "macro_macd": "macd", "macro_macd_hist": "macd - sig", "macro_dist": "(x.close - s50) / nullif(s50, 0)"}
+    ctes.append(f"f AS (SELECT asset, ts, {', '.join(f'{e} AS {n}' for n, e in v.items())} FROM sig_t x)")
+    ctes.append(f"j AS (SELECT b.asset, b.ts, f.ts AS fts, {', '.join(v)} FROM bars b ASOF LEFT JOIN f ON b.asset = f.asset AND b.ts >= f.ts), k AS (SELECT *, row_number() OVER (PARTITION BY asset, fts ORDER BY ts) AS kn FROM j)")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT asset, ts, {', '.join(f'round(coalesce(CASE WHEN kn <= 4 THEN {n} END, 0), 6) AS {n}' for n in v)} FROM k"
+
+
+@q.on_bars("macro_rsi macro_trend macro_vol macro_roc macro_adx macro_macd macro_macd_hist macro_dist", _mtf_sql())
+def mtf_macro(b):
+    return joins.mtf(b, resample(b, "6 hours"), limit=4)
+
+
+@q()
+def feature_factory(spark, sf_dir):
+    from barloom.operators.factory import signals
+    from barloom.sources.bars import event_bars
+
+    return signals(event_bars(spark, sf_dir))
+
