@@ -3,8 +3,9 @@
 A text is its lower-cased (A-Z) words, one space between two, and an end. Each byte is eight binary decisions; each
 decision has a tree over contexts of 0 to DEPTH preceding bytes, whose nodes hold Krichevsky-Trofimov estimates, and
 the weighted mixture of all depths gives its probability. Counts of byte runs are summed over the corpus in Spark;
-trees are worked out in tasks that hold all runs with the same two latest context bytes; each run's code length is
-then looked up where the texts lie, in parts of a bounded size.
+trees are worked out in tasks that hold all runs with the same two latest context bytes. Code lengths of the most
+frequent runs, in a table of a bounded size, are looked up where the texts lie; only what is not in that table is
+joined with the rest of them by shuffles.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import LOWER, NOT_SPACE, SLICE_BYTES, Words, cut, map_in_arrow, slices, texts_of
+from barloom.llm.common import LOWER, NOT_SPACE, SLICE_BYTES, Words, cut, lookup, map_in_arrow, slices, texts_of
 
 #: Context bytes. A run of DEPTH + 1 bytes is packed in 64 bits.
 DEPTH = 5
-#: Entries of a lookup table that is broadcast (12 bytes each).
-PART_ROWS = 4 << 20
+#: Most entries of a lookup table that is broadcast (16 bytes each).
+HEAD_ROWS = 1 << 20
+#: Byte runs whose trees one task should work out.
+TREE_ROWS = 1 << 18
 #: Distinct values that a task gathers before it passes their counts on.
-HELD_ROWS = 4 << 20
+HELD_ROWS = 1 << 20
 
 
 def runs(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +201,11 @@ def log10_run(packed: np.ndarray, trees: list[Level]) -> np.ndarray:
 
 
 TOP = T.StructType([T.StructField("key", T.LongType()), T.StructField("zeros", T.DoubleType()), T.StructField("ones", T.DoubleType()), T.StructField("below", T.DoubleType())])
-COST = T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.DoubleType())])
+COST = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("value", T.DoubleType())])
 
 
 def code_lengths(run_counts: DataFrame, parts: int) -> DataFrame:
-    """key, value: each byte run's log10 probability of its last byte; run_counts: key, n."""
+    """key, n, value: each byte run's log10 probability of its last byte; run_counts: key, n."""
     shared = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
     dealt = run_counts.select("key", "n").repartition(parts, shared)
 
@@ -232,7 +235,7 @@ def code_lengths(run_counts: DataFrame, parts: int) -> DataFrame:
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, n = load(batches)
         value = log10_run(packed, [*head.value, *levels(packed, n, 2)])
-        yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(value)], COST.names)
+        yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(n), pa.array(value)], COST.names)
 
     return map_in_arrow(dealt, costs, COST)
 
@@ -290,48 +293,63 @@ def _sum_by(x: np.ndarray, count: np.ndarray) -> np.ndarray:
     return total[end] - total[end - count]
 
 
-def add_parts(docs: DataFrame, entries: DataFrame, kind: int, names: list[str]) -> DataFrame:
-    """docs with sums over each text's words or byte runs of the entries (key, value) that they have.
+def split(entries: DataFrame, most: int = HEAD_ROWS) -> tuple[Lookup, DataFrame]:
+    """A table of the most frequent entries (key, n, value), `most` at the most, and the rest of them.
 
-    names: the columns to which the number of keys found (WORD only) and the values are added. The entries are broadcast in parts of
-    about PART_ROWS; the texts stay where they are and pass each part in turn.
+    Whole steps of the frequency (16 per doubling) are in the table or not, so it is the same in each run.
     """
-    spark = docs.sparkSession
-    parts = max(1, -(-entries.count() // PART_ROWS))
-    for k in range(parts):
-        part = entries.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).toArrow()
-        held = spark.sparkContext.broadcast(Lookup(part["key"].to_numpy(), part["value"].to_numpy().astype(np.float32)))
-        docs = map_in_arrow(docs, _adder(held, kind, names), docs.schema)
-    return docs
+    held = entries.withColumn("_step", F.floor(F.log2(F.col("n") + 1) * 16).cast("int"))
+    left, least = most, 1 << 20
+    for step, count in held.groupBy("_step").count().orderBy(F.desc("_step")).toArrow().to_pandas().itertuples(index=False):  # about 1000 rows at most
+        if count > left:
+            break
+        left, least = left - count, step
+    head = held.where(F.col("_step") >= least).select("key", "value").toArrow()
+    return Lookup(head["key"].to_numpy(), head["value"].to_numpy()), held.where(F.col("_step") < least).drop("_step")
+
+
+REST = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("m", T.LongType())]))
+PASSED = T.StructType([T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rest", REST)])
+
 
+def _look_up(docs: DataFrame, words: Lookup, byte_runs: Lookup) -> DataFrame:
+    """docs without text, with sums over what the tables hold of each text, and the rest: kind, key and how often (m)."""
+    held = docs.sparkSession.sparkContext.broadcast({WORD: words, RUN: byte_runs})
+    names = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in names), *PASSED.fields])
 
-def _adder(held, kind: int, names: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            if kind == RUN:
-                keys, n = runs(batch["text"])
-            else:
-                words = Words(*texts_of(batch["text"]), NOT_SPACE, LOWER)
-                keys, n = words.hashes(), words.count
-            here, value = held.value.find(keys)
-            sums = [_sum_by(here.astype(np.int64), n)] if kind == WORD else []
-            if kind == WORD:  # values are counts; a word outside the part counts in its own part
-                value = np.where(here, np.log10(value.astype(float) + 1), 0)
-            sums.append(_sum_by(value.astype(float), n))
-            more = dict(zip(names, sums, strict=True))
-            columns = [pa.array(c.to_numpy(zero_copy_only=False) + more[name]) if name in more else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return work
+            said = Words(*texts_of(batch["text"]), NOT_SPACE, LOWER)
+            of = {WORD: (said.hashes(), said.count), RUN: runs(batch["text"])}
+            sums, missed = {}, []
+            for kind, (keys, n) in of.items():
+                here, value = held.value[kind].find(keys)
+                sums[kind] = _sum_by(here.astype(np.int64), n), _sum_by(value.astype(float), n)
+                out = np.flatnonzero(~here)
+                row = np.repeat(np.arange(len(batch)), n)[out]
+                order = np.lexsort((keys[out], row))
+                row, key = row[order], keys[out][order]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, int)
+                missed.append((row[first], np.full(len(first), kind, np.int32), key[first], np.diff(np.append(first, len(row)))))
+            row, kind, key, m = (np.concatenate(x) for x in zip(*missed, strict=True))
+            order = np.argsort(row, kind="stable")
+            at = np.searchsorted(row[order], np.arange(len(batch) + 1)).astype(np.int32)
+            rest = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(key[order].view(np.int64)), pa.array(m[order].astype(np.int64))], ["kind", "key", "m"])
+            rest = pa.ListArray.from_arrays(pa.array(at), rest)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sums[WORD][0]), pa.array(sums[WORD][1]), pa.array(sums[RUN][1]), rest], schema.names)
+
+    return map_in_arrow(docs, work, schema)
 
 
 def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score, learning from rows for which `training` holds.
+    """The columns of docs but the text, with n_tokens, n_known, train_tokens, base_score and score, a row per row.
 
-    base_score: sum over words and end of log10((c + 1) / (N + V + 1)), c the token's training count, N all training
-    tokens, V distinct ones. score: log10 of the context trees' probability of the text's bytes and end, so
-    -score / log10(2) / bytes is its code length per byte. Null and empty texts are an end alone. Without any training
-    row every decision has probability 1/2. Rows are scored alone: repeated rows get equal scores.
+    Learns from rows for which `training` holds. base_score: sum over words and end of log10((c + 1) / (N + V + 1)), c
+    the token's training count, N all training tokens, V distinct ones. score: log10 of the context trees' probability
+    of the text's bytes and end, so -score / log10(2) / bytes is its code length per byte. Null and empty texts are an
+    end alone. Without any training row every decision has probability 1/2. Rows are scored alone: repeated rows get
+    equal scores.
     """
     spark = docs.sparkSession
     lot = docs.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
@@ -342,16 +360,22 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     ends = ends or 0
     total, kinds = words + ends, distinct + (ends > 0)
     all_runs = counts.where(F.col("kind") == RUN)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-all_runs.count() // PART_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-all_runs.count() // TREE_ROWS))
     lengths = cut(code_lengths(all_runs, parts), "lengths")
-    vocabulary = counts.where(F.col("kind") == WORD).select("key", F.col("n").cast("double").alias("value"))
-    held = [c for c in docs.columns if c != text]
-    own = docs.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(held)), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    own = add_parts(own, vocabulary, WORD, ["n_known", "base_score"])
-    own = add_parts(own, lengths, RUN, ["score"])
-    tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
-    return own.select(
-        *(F.col(f"own_{k}").alias(c) for k, c in enumerate(held)), F.col("text").alias(text), tokens.alias("n_tokens"),
-        (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.lit(float(np.log10(ends + 1))) - tokens * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"), "score",
+    vocabulary = counts.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("n") + 1.0).alias("value"))
+    (some_words, other_words), (some_runs, other_runs) = split(vocabulary), split(lengths)
+    others = [c for c in docs.columns if c != text]
+    tokens = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
+    own = docs.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(others)), tokens.alias("n_tokens"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    passed = cut(_look_up(own, some_words, some_runs), "passed")
+    keyed = lambda df, kind: df.select(F.struct(F.lit(kind).alias("kind"), "key").alias("k"), "value")
+    rest = passed.select("row", F.explode("rest").alias("r")).select("row", F.struct("r.kind", "r.key").alias("k"), "r.m")
+    found = lookup(rest, "k", "row", keyed(other_words, WORD).unionByName(keyed(other_runs, RUN)))
+    of = lambda kind, x: F.sum(F.when(F.col("k.kind") == kind, x).otherwise(F.lit(0)))
+    more = found.groupBy("row").agg(of(WORD, F.col("m")).alias("_n"), of(WORD, F.col("m") * F.col("value")).alias("_base"), of(RUN, F.col("m") * F.col("value")).alias("_score"))
+    whole = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    return passed.drop("rest").join(more, "row", "left").select(
+        *(F.col(f"own_{k}").alias(c) for k, c in enumerate(others)), "n_tokens",
+        (whole("n_known", "_n") + int(ends > 0)).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (whole("base_score", "_base") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"), whole("score", "_score").alias("score"),
     )
