@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import lookup
-
 END = "\r\n"
+#: Records of one payload that meet it in one part.
+PART_RECORDS = 1000
 
 
 def _line(name: str, value: Column) -> Column:
@@ -19,7 +19,10 @@ def _field(header: Column, name: str, pattern: str = r"[^\r]*") -> Column:
 
 
 class Archive:
-    """Two Parquet tables in a folder: payloads (digest, payload) and headers (digest, header: the exact header block)."""
+    """Two Parquet tables in a folder: payloads (digest, parts, payload), headers (digest, part, header: the exact header block).
+
+    A payload is stored once. Records of one that has very many are dealt over `parts`, so their join is split too.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -35,13 +38,16 @@ class Archive:
         payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
         rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
         # Payloads meet as one per digest and task; equal SHA-256 are checked by a second digest and the length.
+        parts = F.ceil(F.count(F.lit(1)) / PART_RECORDS).cast("int")
         check = F.concat_ws(":", F.sha1("payload"), F.octet_length("payload"))
-        stored = rows.withColumn("check", check).groupBy("digest").agg(F.first("payload").alias("payload"), F.min("check").alias("check"), F.max("check").alias("_other"))
+        stored = rows.withColumn("check", check).groupBy("digest").agg(F.first("payload").alias("payload"), F.min("check").alias("check"), F.max("check").alias("_other"), parts.alias("parts"))
         same = F.when(F.col("check") == F.col("_other"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one SHA-256")).cast("binary"))
-        stored.select("digest", same.alias("payload")).write.parquet(f"{self.path}/payloads")
+        stored.select("digest", "parts", same.alias("payload")).write.option("compression", "zstd").parquet(f"{self.path}/payloads")
         slim = rows.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
-        least = slim.groupBy("digest").agg(F.max("page_id").alias("first_id"))
-        slim = lookup(slim, "digest", "page_id", least)
+        first = slim.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(PART_RECORDS)))
+        least = slim.groupBy("digest").agg(F.max("page_id").alias("first_id"), parts.alias("parts"))
+        met = first.select("digest", "_salt").distinct().join(least, "digest")
+        slim = first.join(met, ["digest", "_salt"]).withColumn("part", F.pmod(F.xxhash64("page_id", F.lit(1)), F.col("parts")).cast("int"))
         revisit = F.coalesce((F.col("n") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
         name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
         target = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
@@ -52,19 +58,20 @@ class Archive:
             _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), _line("Content-Type", F.lit("text/html; charset=utf-8")),
             _line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n")).cast("string")), F.lit(END),
         )
-        slim.select("digest", header.alias("header")).write.parquet(f"{self.path}/headers")
+        slim.select("digest", "part", header.alias("header")).write.parquet(f"{self.path}/headers")
 
     def payloads(self) -> DataFrame:
-        """digest, payload; reading a payload whose digest is not its own fails."""
+        """digest, parts, payload; reading a payload whose digest is not its own fails."""
         held = self.spark.read.parquet(f"{self.path}/payloads")
         right = F.sha2("payload", 256) == F.col("digest")
-        return held.select("digest", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("binary")).alias("payload"))
+        return held.select("digest", "parts", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("binary")).alias("payload"))
 
     def read(self) -> DataFrame:
         """A row per record: page_id, url, record_type, refers_to, sha1 (as declared), header, payload (of revisits: that of what they refer to)."""
         headers = self.spark.read.parquet(f"{self.path}/headers")
         h = F.col("header")
-        joined = lookup(headers, "digest", "header", self.payloads())
+        dealt = self.payloads().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        joined = headers.join(dealt, ["digest", "part"])
         return joined.select(
             _field(h, "WARC-Record-ID", r"<urn:page:[^\r]*>").substr(11, 40).alias("_id"), _field(h, "WARC-Target-URI").alias("url"), _field(h, "WARC-Type").alias("record_type"),
             _field(h, "WARC-Refers-To", r"<urn:page:[^\r]*>").substr(11, 40).alias("_to"), F.regexp_extract(h, r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]*)\r\n", 1).alias("sha1"), "header", "payload",
