@@ -16,7 +16,10 @@ from barloom.shipping import ship
 #: Parts into which each key is split before it is aggregated or joined, so that a hot key is many keys.
 SALTS = 256
 #: UTF-8 bytes of text that the vectorised scanners hold at once (a longer text is held alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of text in an Arrow batch.
+ARROW_ROWS = 500
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +53,21 @@ def discard(df: DataFrame) -> None:
 
 
 def map_in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
-    """df.mapInArrow, on executors that may not have this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow, on executors that may not have this package.
+
+    Rows hold whole texts, so the session's default of 10,000 rows in an Arrow batch is lowered to ARROW_ROWS; a value
+    that the user has set stays.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(ARROW_SETTING) == "10000":
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    return df.mapInArrow(work, schema)
 
 
 def salt(by: Column, salts: int = SALTS) -> Column:
