@@ -106,23 +106,20 @@ def adaptive_grid(df: DataFrame, bases: Sequence[float], sensitivities: Sequence
 def bootstrap(df: DataFrame, replicates: int = 50, threshold: float = 0.55, key: str = "id", p: str = "p", y: str = "y", seed: int = 42, reward: float = 0.02, risk: float = 0.01) -> DataFrame:
     """Mean, 5 % and 95 % of precision, recall and expectancy over Poisson replicates.
 
-    A row's weight in a replicate is a Poisson(1) number from a hash of its key, so no rows are moved: counts of all
-    replicates are columns of one aggregation.
+    A row's weight in a replicate is a Poisson(1) number from a hash of its key, so rows stay where they are: a task
+    sends one row of counts per replicate.
     """
     cdf, total, term = [], 0.0, 2.718281828459045**-1
     for k in range(1, 8):
         total += term
         cdf.append(total)
         term /= k
-    u = lambda r: (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(r)), F.lit(1 << 30)) / float(1 << 30))
-    counts = []
-    for r in range(replicates):
-        weight = sum(((u(r) >= c).cast("int") for c in cdf), F.lit(0))
-        said = F.col(p) >= threshold
-        for n, c in (("tp", said & (F.col(y) == 1)), ("fp", said & (F.col(y) == 0)), ("fn", ~said & (F.col(y) == 1)), ("tn", ~said & (F.col(y) == 0))):
-            counts.append(F.sum(F.when(c, weight).otherwise(0)).alias(f"{n}_{r}"))
-    one = df.agg(*counts)
-    rows = F.explode(F.array(*(F.struct(F.lit(r).alias("replicate"), *(F.col(f"{n}_{r}").alias(n) for n in ("tp", "fp", "fn", "tn"))) for r in range(replicates))))
-    d = _rates(one.select(rows.alias("r")).select("r.*"), reward, risk)
+    said = F.when(F.col(p) >= threshold, F.when(F.col(y) == 1, "tp").when(F.col(y) == 0, "fp")).when(F.col(y) == 1, "fn").when(F.col(y) == 0, "tn")
+    rows = df.select(F.col(key).alias("_id"), said.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    u = F.pmod(F.xxhash64("_id", F.lit(seed), "replicate"), F.lit(1 << 30)) / float(1 << 30)
+    weight = F.aggregate(F.array(*map(F.lit, cdf)), F.lit(0), lambda s, c: s + (F.col("_u") >= c).cast("int"))
+    rows = rows.withColumn("_u", u).withColumn("_w", weight)
+    counts = rows.groupBy("replicate").agg(*(F.sum(F.when(F.col("_s") == n, F.col("_w")).otherwise(0)).alias(n) for n in ("tp", "fp", "fn", "tn")))
+    d = _rates(counts, reward, risk)
     long = d.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("precision", "recall", "expectancy")))).alias("m")).select("m.*")
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.05)).alias("p5"), F.percentile("v", F.lit(0.95)).alias("p95"))
