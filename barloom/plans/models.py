@@ -1,4 +1,237 @@
-from barloom.plans.base import Book
+"""Queries on regimes, experts, gating, selection, clusters, neighbours and streams. Fitted models have no SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from barloom.functions.windows import Roll
+from barloom.operators import ensemble, labels, panel, regimes, rolling, selection
+from barloom.operators.indicators import rsi, sma
+from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, steps
+from barloom.plans.scoring import SCORED, scored
+from barloom.sources.bars import event_bars
 
 q = Book()
 QUERIES, ORACLES = q.queries, q.oracles
+
+STATE = (f"ln(close / {lag('close')}) AS log_ret", f"{roll('stddev_samp', 'log_ret', 6)} AS vol", "CASE WHEN volume >= 5 THEN 0 WHEN close > open THEN 1 ELSE 2 END AS state")
+
+
+def _with_state(b):
+    d = rolling.returns(b)
+    return d.withColumns({"vol": Roll().std("log_ret", 6), "state": F.when(F.col("volume") >= 5, 0).when(F.col("close") > F.col("open"), 1).otherwise(2)})
+
+
+def _scratch(spark) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+# Regimes -----------------------------------------------------------------------------------------------------------
+
+_g = "g AS (SELECT asset, state, count(*) AS n, avg(log_ret) AS r, avg(vol) AS v FROM x GROUP BY 1, 2)"
+
+
+@q.on_bars("n mean_ret mean_vol type", "WITH x AS (" + steps(*STATE, out="=log_ret; =vol; =state") + f"), {_g}, m AS (SELECT *, median(v) OVER (PARTITION BY asset) AS mid FROM g) SELECT asset, state, n, round(r, 6) AS mean_ret, round(v, 6) AS mean_vol, CASE WHEN r > 0 THEN CASE WHEN v > mid THEN 'volatile up' ELSE 'calm up' END ELSE CASE WHEN v > mid THEN 'volatile down' ELSE 'calm down' END END AS type FROM m", key="asset, state")
+def regime_typing(b):
+    return regimes.typing(_with_state(b))
+
+
+@q.on_bars("state regime", "WITH x AS (" + steps(*STATE, out="=log_ret; =vol; =state") + f"), {_g}, t AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY v DESC, state) AS top FROM g), u AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY top = 1, abs(r) DESC, state) AS second FROM t) SELECT x.asset, ts, x.state, CASE WHEN top = 1 THEN 'Stress' WHEN second = 1 THEN 'Trend' ELSE 'Range' END AS regime FROM x JOIN u ON x.asset = u.asset AND x.state = u.state")
+def regime_names(b):
+    return regimes.name_states(_with_state(b))
+
+
+@q.on_bars("share_a share_b distance", "WITH x AS (" + steps(*STATE, out="=log_ret; =state") + """), g AS (SELECT asset, state, count(*) AS n, avg(log_ret) AS m, var_samp(log_ret) AS v FROM x GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY asset) AS share FROM g)
+SELECT a.asset, a.state AS state_a, b.state AS state_b, round(a.share, 6) AS share_a, round(b.share, 6) AS share_b, round((a.m - b.m)**2 / nullif(4 * (a.v + b.v), 0) + 0.5 * ln((a.v + b.v) / nullif(2 * sqrt(a.v * b.v), 0)), 6) AS distance FROM s a JOIN s b ON a.asset = b.asset AND a.state < b.state""", key="asset, state_a, state_b")
+def regime_separation(b):
+    return regimes.separation(_with_state(b))
+
+
+@q()
+def hmm_regimes(spark, sf_dir):
+    """Three-state model of returns and volatility, its states named; the features are clipped to tame the events' prices."""
+    d = _with_state(event_bars(spark, sf_dir)).drop("state")
+    model = regimes.fit(d, ["log_ret", "vol"], rounds=4)
+    return regimes.name_states(regimes.states(d, model, ["log_ret", "vol"]))
+
+
+@q()
+def hmm_single(spark, sf_dir):
+    """Two-state model of returns alone."""
+    d = rolling.returns(event_bars(spark, sf_dir))
+    return regimes.states(d, regimes.fit(d, ["log_ret"], states=2, rounds=3), ["log_ret"])
+
+
+# Experts, oracle, gate, blend --------------------------------------------------------------------------------------
+
+_exp = "e AS (SELECT *, p AS p1, theta AS p2, 0.5::DOUBLE AS p3 FROM scored)"
+_ce = lambda p: f"-CASE WHEN y = 1 THEN ln(greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, {p}))) ELSE ln(1 - greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, {p}))) END"
+
+
+def _experts(spark, sf_dir):
+    return scored(spark, sf_dir).withColumns({"p1": F.col("p"), "p2": F.col("theta"), "p3": F.lit(0.5)})
+
+
+@q(f"WITH {SCORED}, {_exp}, l AS (SELECT *, {_ce('p1')} AS l1, {_ce('p2')} AS l2, {_ce('p3')} AS l3 FROM e) SELECT id, round(least(l1, l2, l3), 6) AS oracle_loss, CASE WHEN least(l1, l2, l3) > 0.8 THEN 2 WHEN l1 <= l2 AND l1 <= l3 THEN 0 WHEN l2 <= l3 THEN 1 ELSE 2 END AS oracle FROM l")
+def oracle_expert(spark, sf_dir):
+    return pick(ensemble.oracle_target(_experts(spark, sf_dir), ["p1", "p2", "p3"]), "oracle_loss oracle", "id")
+
+
+def _gated(spark, sf_dir):
+    return _experts(spark, sf_dir).withColumn("p2", F.when(F.col("id") % 5 != 0, F.col("p2"))).withColumn("gate", F.array(0.2 + F.col("p") / 3, F.lit(0.3), 0.5 - F.col("p") / 3))
+
+
+_bl = "b AS (SELECT *, CASE WHEN id % 5 <> 0 THEN p2 END AS q2, 0.2 + p / 3 AS g1, 0.3::DOUBLE AS g2, 0.5 - p / 3 AS g3 FROM e)"
+
+
+@q(f"WITH {SCORED}, {_exp}, {_bl} SELECT id, round((g1 * p1 + g2 * coalesce(q2, 0) + g3 * p3) / (g1 + CASE WHEN q2 IS NULL THEN 0 ELSE g2 END + g3), 6) AS p_blend FROM b")
+def ensemble_blend(spark, sf_dir):
+    return pick(ensemble.blend(_gated(spark, sf_dir), ["p1", "p2", "p3"]), "p_blend", "id")
+
+
+@q(f"WITH {SCORED}, {_exp}, {_bl} SELECT asset, round(avg(g1), 6) AS weight_p1, round(avg(g2), 6) AS weight_p2, round(avg(g3), 6) AS weight_p3, round(avg(p1), 6) AS mean_p1, round(avg(q2), 6) AS mean_p2, round(avg(p3), 6) AS mean_p3 FROM b GROUP BY asset")
+def ensemble_telemetry(spark, sf_dir):
+    return pick(ensemble.telemetry(_gated(spark, sf_dir), ["p1", "p2", "p3"]), "weight_p1 weight_p2 weight_p3 mean_p1 mean_p2 mean_p3", "asset")
+
+
+@q(f"WITH {SCORED} SELECT id, CASE WHEN id % 3 - 1 <> 0 AND p > 0.55 THEN id % 3 - 1 ELSE 0 END AS meta_side FROM scored")
+def meta_labels(spark, sf_dir):
+    return pick(ensemble.meta_filter(scored(spark, sf_dir).withColumn("side", F.col("id") % 3 - 1)), "meta_side", "id")
+
+
+@q.on_bars("p_ou", steps(f"(close - {roll('avg', 'close', 20)}) / nullif({roll('stddev_samp', 'close', 20)}, 0) AS z, ln(close / {lag('close')}) AS r", f"{roll('stddev_samp', 'r', 20)} AS v", out="greatest(0.01::DOUBLE, least(0.99::DOUBLE, 0.5 + (1 / (1 + exp(greatest(-50, least(50, z)))) - 0.5) / (1 + v))) AS p_ou", where="z IS NOT NULL AND v IS NOT NULL"))
+def ou_expert(b):
+    d = rolling.zscore(rolling.returns(b), name="z").withColumn("v", Roll().std("log_ret", 20)).where("z IS NOT NULL AND v IS NOT NULL")
+    return ensemble.ou_expert(d, "z", "v")
+
+
+@q.on_bars("depth retrain", steps("volume / 10 AS e, least(volume / 20, 1) AS v, (close - open) / open AS perf", out="=round(3 + 5 * greatest(0.0, least(1.0, e / 4)) * (1 - greatest(0.0, least(1.0, v)) / 2))::INT AS depth; =perf <= -0.2 AS retrain"))
+def training_plan(b):
+    return ensemble.training_plan(b.withColumns({"e": F.col("volume") / 10, "v": F.least(F.col("volume") / 20, F.lit(1.0)), "perf": (F.col("close") - F.col("open")) / F.col("open")}), "e", "v", "perf")
+
+
+@q.on_bars("n first last", steps(f"list(close) OVER ({KEY} ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS l", out="=CASE WHEN len(l) = 16 THEN 16 END AS n; CASE WHEN len(l) = 16 THEN l[1] END AS first; CASE WHEN len(l) = 16 THEN l[16] END AS last"))
+def sequence_windows(b):
+    d = ensemble.windows_of(b, ["close", "volume"], 16)
+    s = F.col("sequence")
+    return d.select("asset", "ts", F.when(s.isNotNull(), F.size(s)).alias("n"), s[0][0].alias("first"), s[15][0].alias("last"))
+
+
+FEATURES = ["rsi_14", "dist", "vol", "pct_ret", "log_range"]
+
+
+def _learning(spark, sf_dir):
+    """Features and labels of the bars; the last fifth of the times is for validation."""
+    b = rsi(sma(rolling.returns(event_bars(spark, sf_dir))))
+    b = labels.forward_return(b.withColumns({"dist": F.col("close") / F.col("sma_20") - 1, "vol": Roll().std("log_ret", 20)}), 4, 0.15)
+    d = labels.share_split(b.withColumn("y", F.col("label").cast("double"))).dropna(subset=[*FEATURES, "y"])
+    d = d.withColumn("id", F.xxhash64("asset", "ts"))
+    return ensemble.assemble(d.select("id", "asset", "ts", "train", "y", *FEATURES), FEATURES)
+
+
+def _fitted(name, make):
+    def query(spark, sf_dir):
+        d = _learning(spark, sf_dir).cache()
+        return make(d.where("train"))(d.where("NOT train")).select("asset", "ts", "y", name)
+
+    return query
+
+
+QUERIES["trend_expert"] = _fitted("p_trend", lambda t: ensemble.trend_expert(t, asset="asset", rounds=5, depth=3))
+QUERIES["stress_expert"] = _fitted("p_stress", ensemble.stress_expert)
+QUERIES["forest_model"] = _fitted("p_forest", lambda t: ensemble.forest(t, trees=10, depth=5))
+
+
+@q()
+def range_expert(spark, sf_dir):
+    d = _learning(spark, sf_dir)
+    return ensemble.range_expert(d.where("train"), d.where("NOT train")).select("asset", "ts", "y", "p_range")
+
+
+@q()
+def gated_ensemble(spark, sf_dir):
+    """Trend and stress experts, oracle targets on the training rows, a gate on volatility, and the blend with its telemetry."""
+    d = _learning(spark, sf_dir).cache()
+    train = d.where("train")
+    trend, stress = ensemble.trend_expert(train, rounds=3, depth=3), ensemble.stress_expert(train)
+    ou = lambda x: ensemble.ou_expert(x, "dist", "vol")
+    names = ["p_trend", "p_stress", "p_ou"]
+    both = ou(stress(trend(d)))
+    gate = ensemble.gate(ensemble.oracle_target(both.where("train"), names), ["vol", "log_range"], len(names))
+    return ensemble.blend(gate(both.where("NOT train")), names).select("asset", "ts", "y", *names, "p_blend")
+
+
+@q()
+def random_search(spark, sf_dir):
+    d = _learning(spark, sf_dir).cache()
+    return spark.createDataFrame(ensemble.random_search(d.where("train"), d.where("NOT train"), trials=2), "depth INT, rounds INT, auc DOUBLE, gap DOUBLE")
+
+
+# Selection, latents, clusters ----------------------------------------------------------------------------------------
+
+
+@q()
+def alpha_council(spark, sf_dir):
+    """Feature, cluster, mutual information, and whether the correlation filter, the leaders and the greedy search keep it."""
+    d = _learning(spark, sf_dir).cache()
+    own, mi = selection.clusters(d, FEATURES), {r.feature: r.mi for r in selection.mutual_information(d, FEATURES, "y").collect()}
+    kept, lead = selection.correlated(d, FEATURES, "y"), selection.leaders(d, FEATURES)
+    greedy = selection.greedy(selection.Gram.of(d, FEATURES, "y"), least=2)
+    return spark.createDataFrame([(f, own[f], mi.get(f), f in kept, f in lead, f in greedy) for f in FEATURES], "feature STRING, cluster INT, mi DOUBLE, uncorrelated BOOLEAN, leader BOOLEAN, greedy BOOLEAN")
+
+
+@q()
+def tensor_latents(spark, sf_dir):
+    d = _learning(spark, sf_dir)
+    gram = selection.Gram.of(d.where("train"), FEATURES, "y")
+    model = selection.latents(gram, selection.clusters(d.where("train"), FEATURES, 0.8, linkage="average"))
+    out = model.transform(d)
+    return out.select("asset", "ts", *(c for c in out.columns if c.startswith("tf_")))
+
+
+@q()
+def tensor_report(spark, sf_dir):
+    """Intrinsic dimension of the features and what is taken out of each cluster."""
+    import numpy as np
+
+    d = _learning(spark, sf_dir)
+    gram = selection.Gram.of(d, FEATURES, "y")
+    dim = selection.intrinsic_dimension(np.array(gram.cov)[:-1, :-1], gram.n)
+    out = selection.residualise(gram, selection.clusters(d, FEATURES))
+    return spark.createDataFrame([*((k, float(v)) for k, v in dim.items()), *((f"residual_{c}", float(a)) for c, a in out.items())], "name STRING, value DOUBLE")
+
+
+@q.on_bars("strength stability", f"""WITH {BARS}, o AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT ts FROM bars)),
+f AS (SELECT bars.*, (place - (total - 5 * (total // 6))) // (total // 6) + 1 AS fold FROM bars JOIN o ON bars.ts = o.ts WHERE place >= total - 5 * (total // 6)),
+g AS (SELECT fold, abs(covar_pop(open, close) / nullif(stddev_pop(open) * stddev_pop(close), 0)) AS open, abs(covar_pop(volume, close) / nullif(stddev_pop(volume) * stddev_pop(close), 0)) AS volume FROM f GROUP BY 1),
+l AS (SELECT 'open' AS feature, open AS r FROM g UNION ALL SELECT 'volume' AS feature, volume AS r FROM g)
+SELECT feature, round(avg(r), 6) AS strength, round(1 / (1 + coalesce(stddev_samp(r) / nullif(avg(r), 0), 0)), 6) AS stability FROM l GROUP BY 1""", key="feature")
+def fold_stability(b):
+    return selection.fold_stability(labels.folds(b), ["open", "volume"], "close")
+
+
+@q()
+def asset_clusters(spark, sf_dir):
+    return panel.cluster_assets(rolling.returns(event_bars(spark, sf_dir)).select("asset", "ts", F.col("diff").alias("x")), leader="click")
+
+
+@q("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q.vec_id AS id, e.vec_id AS neighbour, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance FROM q JOIN embeddings e ON q.vec_id <> e.vec_id)
+SELECT id, neighbour, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM d) WHERE rank <= 15""")
+def knn_exact(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return pick(ensemble.exact_neighbours(e.where("id % 100 = 0"), e), "distance rank", "id, neighbour")
+
+
+@q(f"""SELECT event_type AS asset, time_bucket(INTERVAL 5 MINUTES, events.ts) AS ts, first(value ORDER BY events.ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY events.ts, event_id) AS close, count(*)::DOUBLE AS volume
+FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 5 MINUTES, any_value(events.ts)) + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""".replace("GROUP BY 1, 2", "GROUP BY 1, time_bucket(INTERVAL 5 MINUTES, events.ts)"))
+def streaming_bars(spark, sf_dir):
+    """Five-minute bars of the events as a stream; a bar is written once the watermark has passed its end."""
+    from barloom.streaming import live
+
+    sink = _scratch(spark)
+    live.run(live.stream_bars(live.ticks(spark, sf_dir, "events.parquet")), sink, _scratch(spark)).awaitTermination()
+    b = spark.read.parquet(sink)
+    return b.select("asset", F.expr("to_timestamp_ntz(date_format(ts, 'yyyy-MM-dd HH:mm:ss'))").alias("ts"), "open", "high", "low", "close", "volume")
