@@ -349,7 +349,7 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     the token's training count, N all training tokens, V distinct ones. score: log10 of the context trees' probability
     of the text's bytes and end, so -score / log10(2) / bytes is its code length per byte. Null and empty texts are an
     end alone. Without any training row every decision has probability 1/2. Rows are scored alone: repeated rows get
-    equal scores.
+    equal scores. Columns of docs named as one of the new ones are replaced.
     """
     spark = docs.sparkSession
     lot = docs.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
@@ -364,7 +364,8 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     lengths = cut(code_lengths(all_runs, parts), "lengths")
     vocabulary = counts.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("n") + 1.0).alias("value"))
     (some_words, other_words), (some_runs, other_runs) = split(vocabulary), split(lengths)
-    others = [c for c in docs.columns if c != text]
+    new = {"n_tokens", "n_known", "train_tokens", "base_score", "score"}
+    others = [c for c in docs.columns if c not in {text} | new]
     tokens = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
     own = docs.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(others)), tokens.alias("n_tokens"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     passed = cut(_look_up(own, some_words, some_runs), "passed")

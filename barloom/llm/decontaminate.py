@@ -127,13 +127,13 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
     A window is `size` consecutive words of an item, or a whole item of fewer but some. Words are lower-cased (A-Z)
     runs of digits, letters and characters beyond ASCII. Null and empty texts have no words. A benchmark without words
     marks nothing. Each row is judged alone, so repeated rows get equal results; a null item id is named "None".
-    clean_only: drop rows with a span instead, and add no columns.
+    Columns of docs named as one of the new ones are replaced. clean_only: drop rows with a span instead, and add no columns.
     """
     spark = docs.sparkSession
     lot = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"))
     total = lot.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
-    out = docs
+    out = docs if clean_only else docs.drop(*FOUND.names)
     for k in range(blocks):
         part = lot.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         windows = spark.sparkContext.broadcast(Windows([(r["id"], r["text"]) for r in part.collect()], size))

@@ -84,12 +84,14 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: in
     Lines are parted by "\\n"; lines of white space alone start no pair, but can lie in an aligned block. A block goes
     if it has least_words words. Of two documents the later has the larger doc_id; a null doc_id comes last, and equal
     doc_ids are in order of a hash of their texts. Rows that repeat doc_id and text are one document: none loses lines to the other. Null
-    text has no lines, empty text one empty line; neither loses anything. Extra columns stay.
+    text has no lines, empty text one empty line; neither loses anything. Extra columns stay, unless they are named as
+    one of the new ones.
     """
-    held = docs.withColumns({"_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_h": F.xxhash64(F.col(text))})
+    docs = docs.drop("n_lines", "n_removed", "n_partners", "kept")
+    held = docs.withColumns({"_barloom_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_barloom_h": F.xxhash64(F.col(text))})
     lines = F.split(F.col(text), "\n", -1)
     words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
-    seqs = cut(held.where(F.col(text).isNotNull()).select(F.struct(F.col("_d").alias("d"), F.col("_h").alias("h")).alias("id"), F.transform(lines, lambda x: F.xxhash64(x)).alias("seq"), words.alias("words")).dropDuplicates(["id"]), "lines")
+    seqs = cut(held.where(F.col(text).isNotNull()).select(F.struct(F.col("_barloom_d").alias("d"), F.col("_barloom_h").alias("h")).alias("id"), F.transform(lines, lambda x: F.xxhash64(x)).alias("seq"), words.alias("words")).dropDuplicates(["id"]), "lines")
     some = seqs.select("id", F.explode(F.arrays_zip("seq", "words")).alias("x")).where("x.words > 0").select("id", F.col("x.seq").alias("line")).distinct()
     some = cut(some, "held")
     shared = cut(some.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
@@ -110,10 +112,10 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: in
             yield pa.RecordBatch.from_arrays([batch["d"].take(pa.array(some)), batch["h"].take(pa.array(some)), pa.array([lost[k] for k in some], pa.list_(pa.int32()))], LOST.names)
 
     lost = cut(map_in_arrow(both, work, LOST), "lost")
-    lost = lost.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.array_distinct(F.flatten(F.collect_list("lost"))).alias("_lost"), F.count(F.lit(1)).alias("_partners"))
-    joined = held.join(lost, ["_d", "_h"], "left")
-    kept = F.filter(lines, lambda _, k: ~F.coalesce(F.array_contains("_lost", k), F.lit(False)))
+    lost = lost.groupBy(F.col("d").alias("_barloom_d"), F.col("h").alias("_barloom_h")).agg(F.array_distinct(F.flatten(F.collect_list("lost"))).alias("_barloom_lost"), F.count(F.lit(1)).alias("_barloom_partners"))
+    joined = held.join(lost, ["_barloom_d", "_barloom_h"], "left")
+    kept = F.filter(lines, lambda _, k: ~F.coalesce(F.array_contains("_barloom_lost", k), F.lit(False)))
     return joined.select(
-        *docs.columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("_partners", F.lit(0)).cast("long").alias("n_partners"), F.array_join(kept, "\n").alias("kept"),
+        *docs.columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_barloom_lost"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_barloom_partners", F.lit(0)).cast("long").alias("n_partners"), F.array_join(kept, "\n").alias("kept"),
     )

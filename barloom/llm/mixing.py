@@ -42,34 +42,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: float = 3
     times, and the rest of the target is filled with one more repetition of rows in a seeded order, up to the row
     whose middle passes it. Taken words differ from the target by half a row at most. Reruns agree; rows that repeat
     a doc_id follow each other by size. Empty and null texts have size 0 and are taken floor(rate) times, or
-    once more if their place in the order is before the end of the filling.
+    once more if their place in the order is before the end of the filling. Columns of docs named as one of the new ones
+    are replaced; others stay.
 
     The seeded order is by MD5 of seed and doc_id. Its first two and next two hex digits are buckets, so running sums
     over a source, however large, are sums over 256 buckets, 256 parts of each, and the rows of one part.
     """
+    docs = docs.drop("size", "source_size", "target", "taken", "times")
     rows = docs.withColumns({
         "size": word_count(text),
-        "_hash": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary")),
-        "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")),
-    }).withColumns({"_b1": F.substring("_hash", 1, 2), "_b2": F.substring("_hash", 3, 2)})
-    parts = rows.groupBy("_source", "_b1", "_b2").agg(F.sum("size").alias("part_size"))
-    buckets = parts.groupBy("_source", "_b1").agg(F.sum("part_size").alias("bucket_size"))
-    sums = buckets.groupBy("_source").agg(F.sum("bucket_size").alias("size"))
+        "_mix_hash": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary")),
+        "_mix_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")),
+    }).withColumns({"_mix_b1": F.substring("_mix_hash", 1, 2), "_mix_b2": F.substring("_mix_hash", 3, 2)})
+    parts = rows.groupBy("_mix_source", "_mix_b1", "_mix_b2").agg(F.sum("size").alias("part_size"))
+    buckets = parts.groupBy("_mix_source", "_mix_b1").agg(F.sum("part_size").alias("bucket_size"))
+    sums = buckets.groupBy("_mix_source").agg(F.sum("bucket_size").alias("size"))
     kinds = len(weights)
     turn = F.pmod(F.col("_rank") - 1, F.lit(kinds))
-    ranked = sums.withColumn("_rank", F.row_number().over(W.orderBy(F.col("_source") == "", "_source"))).withColumn(
+    ranked = sums.withColumn("_rank", F.row_number().over(W.orderBy(F.col("_mix_source") == "", "_mix_source"))).withColumn(
         "weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))
     )
     filled = water_fill(ranked, F.sum("size").over(W.partitionBy()), epochs).withColumnRenamed("size", "source_size")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    filled = filled.withColumn("_whole", rate.cast("long")).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")).select("_source", "source_size", "target", "_whole", "_rest")
+    filled = filled.withColumn("_mix_whole", rate.cast("long")).withColumn("_mix_rest", F.col("target") - F.col("_mix_whole") * F.col("source_size")).select("_mix_source", "source_size", "target", "_mix_whole", "_mix_rest")
 
     def running(of: str, *key: str, by: list[str]) -> Column:
         return F.coalesce(F.sum(of).over(W.partitionBy(*key).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
-    buckets = buckets.withColumn("_at1", running("bucket_size", "_source", by=["_b1"])).join(filled, "_source")
-    parts = parts.withColumn("_at2", running("part_size", "_source", "_b1", by=["_b2"])).join(buckets, ["_source", "_b1"])
-    parts = parts.withColumn("_at", F.col("_at1") + F.col("_at2")).select("_source", "_b1", "_b2", "_at", "source_size", "target", "_whole", "_rest")
-    place = F.col("_at") + running("size", "_source", "_b1", "_b2", by=["_hash", doc_id, "size"]) + F.col("size") / 2
-    mixed = rows.join(parts, ["_source", "_b1", "_b2"]).withColumn("times", F.col("_whole") + F.when(place <= F.col("_rest"), 1).otherwise(0))
-    return mixed.withColumn("taken", F.col("size") * F.col("times")).drop("_source", "_b1", "_b2", "_at", "_hash", "_whole", "_rest")
+    buckets = buckets.withColumn("_mix_at1", running("bucket_size", "_mix_source", by=["_mix_b1"])).join(filled, "_mix_source")
+    parts = parts.withColumn("_mix_at2", running("part_size", "_mix_source", "_mix_b1", by=["_mix_b2"])).join(buckets, ["_mix_source", "_mix_b1"])
+    parts = parts.withColumn("_mix_at", F.col("_mix_at1") + F.col("_mix_at2")).select("_mix_source", "_mix_b1", "_mix_b2", "_mix_at", "source_size", "target", "_mix_whole", "_mix_rest")
+    place = F.col("_mix_at") + running("size", "_mix_source", "_mix_b1", "_mix_b2", by=["_mix_hash", doc_id, "size"]) + F.col("size") / 2
+    mixed = rows.join(parts, ["_mix_source", "_mix_b1", "_mix_b2"]).withColumn("times", F.col("_mix_whole") + F.when(place <= F.col("_mix_rest"), 1).otherwise(0))
+    return mixed.withColumn("taken", F.col("size") * F.col("times")).drop("_mix_source", "_mix_b1", "_mix_b2", "_mix_at", "_mix_hash", "_mix_whole", "_mix_rest")

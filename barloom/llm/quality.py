@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
         counts[k][total[0].to_numpy()] += total[1 + k].to_numpy()
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     sample = sums.where("feature IS NULL").select("features", "label").toArrow()
-    sample = sample.take(sorted(range(len(sample)), key=[*zip(*(sample[c].to_pylist() for c in ("features", "label")), strict=True)].__getitem__))
+    order = sorted(range(len(sample)), key=[*zip(*(sample[c].to_pylist() for c in ("features", "label")), strict=True)].__getitem__)
+    sample = sample.take(pa.array(order, pa.int64()))
     y = sample["label"].to_numpy()
     if len(set(y.tolist())) < 2:
         return Model(ratio, np.zeros_like(ratio), 0.0, 0.0, 0.0 if not len(y) else 60.0 if y[0] else -60.0)
@@ -157,7 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the model's score (0 to 1) of each whole text; null and empty texts score as texts without n-grams."""
+    """docs with the model's score (0 to 1) of each whole text; null and empty texts score as texts without n-grams.
+
+    A column of docs with the name of the score is replaced; others stay.
+    """
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 

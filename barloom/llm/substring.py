@@ -225,23 +225,25 @@ def remove(docs: DataFrame, window: int = 35, text: str = "text", doc_id: str =
 
     Words are runs of anything but ASCII white space, unchanged. Windows are judged on the input, not on what is left,
     so each copy of a repeated passage goes. Null, empty and short texts have no window and lose nothing. Rows that
-    repeat doc_id and text count as different places, so their windows are repeated. Extra columns stay.
+    repeat doc_id and text count as different places, so their windows are repeated. Extra columns stay, unless they are
+    named as one of the new ones.
     digest_only: kept holds the SHA-256 of the words that stay, in lower-case hex, in place of them.
     """
     if not PREFIX < window <= 64:
         raise ValueError(f"a window has {PREFIX + 1} to 64 words")
-    held = docs.withColumn("_row", row_key(doc_id, text))
-    marks = repeats(held.select(F.col("_row").alias("row"), F.col(text).alias("text")), window).withColumnRenamed("row", "_row")
+    docs = docs.drop("n_words", "n_removed", "kept")
+    held = docs.withColumn("_barloom_row", row_key(doc_id, text))
+    marks = repeats(held.select(F.col("_barloom_row").alias("row"), F.col(text).alias("text")), window).toDF("_barloom_row", "_barloom_marks")
     # A left join keeps all rows; texts meet the marks of their own row only.
-    joined = held.join(marks, "_row", "left").drop("_row")
-    names = [c for c in joined.columns if c != "marks"]
+    joined = held.join(marks, "_barloom_row", "left").drop("_barloom_row")
+    names = [c for c in joined.columns if c != "_barloom_marks"]
     schema = T.StructType([*docs.schema.fields, *REMOVED.fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             data, at = texts_of(batch[text])
             words = Words(data, at)
-            lists = batch["marks"]
+            lists = batch["_barloom_marks"]
             runs, n = lists.flatten(), np.diff(lists.offsets.to_numpy()) * ~lists.is_null().to_numpy(zero_copy_only=False)
             place, mask, end = runs.field("at").to_numpy(), runs.field("mask").to_numpy(), np.cumsum(n)
             held, lost, kept = data.tobytes(), [], []

@@ -1,0 +1,5 @@
+import re
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
