@@ -23,8 +23,10 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
         self.spark, self.name, self.buckets = spark, name, buckets
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def create(self) -> None:
+        """An empty index, unless there is one."""
+        if not self.spark.catalog.tableExists(self.name):
+            self.append(self.spark.range(0).selectExpr("CAST(id AS STRING) AS digest", "id AS keep_id"))
 
     def append(self, rows: DataFrame) -> None:
         # One sorted file per bucket and append.
@@ -47,15 +49,14 @@ class DigestIndex:
         grouped = with_group(rows, "digest", "doc_id", {
             "keep_id": (F.min("doc_id"), F.min("keep_id")), "group_size": (F.count(F.lit(1)), F.sum("group_size")),
         })
-        if self.exists():
-            before = self.read().select("digest", F.col("keep_id").alias("_before"), F.lit(True).alias("_known"))
-            mine = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-            met = cut(mine.hint("merge").join(before, "digest", "left_semi").join(before, "digest"), "known")
-            self.append(mine.hint("merge").join(before, "digest", "left_anti"))
-            grouped = grouped.join(met.drop("keep_id"), "digest", "left")
-        else:
-            self.append(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
-            grouped = grouped.withColumns({"_before": F.lit(None).cast("long"), "_known": F.lit(None).cast("boolean")})
+        self.create()
+        before = self.read().select("digest", F.col("keep_id").alias("_before"), F.lit(True).alias("_known"))
+        mine = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        met = cut(mine.hint("merge").join(before, "digest").select("digest", "_before", "_known"), "known")
+        new = mine.hint("merge").join(before, "digest", "left_anti")
+        # Known digests are looked up before the new ones are appended.
+        self.append(new)
+        grouped = grouped.join(met, "digest", "left")
         known = F.coalesce("_known", F.lit(False))
         return grouped.select(
             "doc_id",
