@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import Roll, clip, ratio
+from barloom.shipping import ship
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -73,6 +74,7 @@ def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int = 15) -> DataFr
     import pandas as pd
 
     spark = rows.sparkSession
+    ship(spark)
     q = queries.select("id", "vector").toPandas()  # the stated set, bounded by the caller
     held = spark.sparkContext.broadcast((q.id.to_numpy(), np.stack([np.asarray(v, float) for v in q.vector]) if len(q) else np.zeros((0, 1))))
 

@@ -40,3 +40,14 @@ def signals(df: DataFrame, windows: Sequence[int] = WINDOWS, stats: Sequence[int
     features = [c for c, t in d.dtypes if t == "double" and c not in ("open", "high", "low", "close", "volume")]
     d = d.withColumns({f"{c}_lag_{k}": r.lag(c, k) for c in features for k in lag} | {"_n": r.number()})
     return d.where(F.col("_n") > warmup).drop("_n").dropna()
+
+
+def dashboard(df: DataFrame, by: Sequence[str] = ("asset",)) -> DataFrame:
+    """The features of the model dashboard: oscillators, channel width, volume flow, lags of returns, parts of the date."""
+    r = Roll(by)
+    d = I.obv(I.donchian(I.stoch(I.ao(rolling.returns(df, by=by), by=by), by=by), by=by), by)
+    d = d.withColumns({"sma_50": r.mean("close", 50), "_obv_50": r.mean("obv", 50), "_v20": r.mean("volume", 20)})
+    return d.withColumns({
+        "dc_width": ratio(F.col("dc_high") - F.col("dc_low"), "close"), "obv_ratio": ratio("obv", "_obv_50"), "volume_ratio": ratio("volume", "_v20"), "sma_50_slope": ratio(F.col("sma_50") - r.lag("sma_50", 5), r.lag("sma_50", 5)),
+        **{f"ret_lag_{k}": r.lag("pct_ret", k) for k in (1, 2, 3)}, "hour": F.hour("ts"), "weekday": F.weekday("ts"), "hl_ratio": ratio("high", "low"), "close_position": ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low")),
+    }).drop("_obv_50", "_v20")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import Roll, ratio
+from barloom.shipping import ship
 
 By = Sequence[str]
 ASSET = ("asset",)
@@ -56,6 +57,7 @@ def simulate(fits: DataFrame, kind: str = "ou", paths: int = 8, steps: int = 100
 
     kind "ou": theta, mu, sigma of the fits, starting at mu. kind "well": a, b and the given sigma, starting at 0, kept within +-10.
     """
+    ship(fits.sparkSession)
     columns = ["theta", "mu", "sigma"] if kind == "ou" else ["a", "b"]
     rows = fits.select(*by, *columns, F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path"))
     rows = rows.withColumn("_seed", F.pmod(F.xxhash64(*by, "path", F.lit(seed)), F.lit(2**31)))
@@ -129,6 +131,7 @@ def find_min_d(df: DataFrame, x: str = "close", grid: Sequence[float] = tuple(k
     Calibrated on the first `share` of a history, at most `sample` rows (a bound of the method: a group never holds
     more); null for keys with fewer than `least` rows there.
     """
+    ship(df.sparkSession)
     r = Roll(by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     first = df.withColumn("_k", r.number()).where(F.col("_k") <= sample).join(sizes, list(by))

@@ -244,3 +244,16 @@ def profile_compare(b):
 
     return compare(profile(b, ["close", "volume"]), "click", "view")
 
+
+
+@q.on_bars("close", f"WITH {BARS} SELECT asset, ts, round(close, 6) AS close FROM bars QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ts DESC) <= 100")
+def latest_bars(b):
+    return B.latest(b, 100)
+
+
+@q.on_bars("open high low close volume", f"WITH {BARS} SELECT asset, ts, open, high, low, close, CASE WHEN volume <> 2 THEN volume END AS volume FROM bars")
+def klines_parse(b):
+    """Bars as an exchange sends them (texts, epoch milliseconds, some of them bad), read again."""
+    text = {c: F.col(c).cast("string") for c in ("open", "high", "low", "close")}
+    raw = b.withColumn("timestamp", F.expr("CAST(timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', ts) AS STRING)")).withColumns(text)
+    return B.from_klines(raw.withColumn("volume", F.when(F.col("volume") == 2, "n/a").otherwise(F.col("volume").cast("string"))))

@@ -368,6 +368,21 @@ def mtf_macro(b):
     return joins.mtf(b, resample(b, "6 hours"), limit=4)
 
 
+_dash = steps(
+    f"(close - {lag('close')}) / nullif({lag('close')}, 0) AS ret, (high + low) / 2 AS m, {roll('max', 'high', 14)} AS h14, {roll('min', 'low', 14)} AS l14, coalesce(sign(close - {lag('close')}) * volume, 0) AS sv, {roll('avg', 'close', 50)} AS s50, {roll('avg', 'volume', 20)} AS v20, {roll('min', 'low', 20)} AS dl, {roll('max', 'high', 20)} AS dh",
+    f"sum(sv) OVER ({KEY}) AS obv, 100 * (close - l14) / (h14 - l14 + {E}) AS raw", f"{roll('avg', 'obv', 50)} AS o50, {roll('avg', 'raw', 3)} AS k, {lag('s50', 5)} AS s5, {roll('avg', 'm', 5)} - {roll('avg', 'm', 34)} AS ao",
+    out="ao; k AS stoch_k; (dh - dl) / nullif(close, 0) AS dc_width; obv / nullif(o50, 0) AS obv_ratio; volume / nullif(v20, 0) AS volume_ratio; (s50 - s5) / nullif(s5, 0) AS sma_50_slope; "
+    + "; ".join(f"{lag('ret', k)} AS ret_lag_{k}" for k in (1, 2, 3)) + "; =hour(ts)::INT AS hour; =(isodow(ts) - 1)::INT AS weekday; high / nullif(low, 0) AS hl_ratio; (close - low) / nullif(high - low, 0) AS close_position",
+)
+
+
+@q.on_bars("ao stoch_k dc_width obv_ratio volume_ratio sma_50_slope ret_lag_1 ret_lag_2 ret_lag_3 hour weekday hl_ratio close_position", _dash)
+def dashboard_features(b):
+    from barloom.operators.factory import dashboard
+
+    return dashboard(b)
+
+
 @q()
 def feature_factory(spark, sf_dir):
     from barloom.operators.factory import signals

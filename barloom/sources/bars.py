@@ -104,3 +104,8 @@ def synthetic(spark: SparkSession, assets: int = 3, rows: int = 1000, seed: int
     w = W.partitionBy("asset").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     r = r.withColumn("close", 100 * F.exp(F.sum("_r").over(w))).withColumn("open", F.col("close") * F.exp(-F.col("_r")))
     return r.select("asset", "ts", "open", (F.greatest("open", "close") * 1.001).alias("high"), (F.least("open", "close") * 0.999).alias("low"), "close", "volume")
+
+
+def latest(df: DataFrame, n: int, by: Sequence[str] = ("asset",), ts: str = "ts") -> DataFrame:
+    """The last n rows of each key; Spark keeps n of a key in each task before rows are shuffled."""
+    return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(F.col(ts).desc()))).where(F.col("_n") <= n).drop("_n")

@@ -234,3 +234,20 @@ def test_equity_is_the_product(spark):
     t = spark.createDataFrame([("A", k, 1, 100.0, 100.0 + k) for k in range(5)], "asset STRING, entry_ts INT, side INT, entry_price DOUBLE, exit_price DOUBLE")
     d = trading.trade_returns(t).orderBy("entry_ts").toPandas()
     assert np.allclose(d.equity, 10_000 * np.cumprod(1 + 0.1 * d.net))
+
+
+def fetch_page(asset, start, end, limit):
+    """A page of hourly candles, one of them beyond its end and one twice."""
+    rows = [(t, 1.0, 2.0, 0.5, 1.5, 10) for t in range(start, end + 1, 3_600_000)]
+    return [rows[0], *rows]
+
+
+def test_kline_source(spark):
+    from barloom.sources import klines
+
+    klines.register(spark)
+    spark.sparkContext.addPyFile(__file__)
+    day = 24 * 3_600_000
+    raw = spark.read.format("klines").options(assets="A, B", start=0, end=10 * day, step=3_600_000, limit=100, fetch="test_operators:fetch_page").load()
+    got = B.from_klines(raw)
+    assert raw.rdd.getNumPartitions() == 6 and got.count() == 480 and got.select("asset", "ts").distinct().count() == 480
