@@ -195,9 +195,11 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     wanted = runs.join(kinds, "key").select("key", "content", "one.row", "one.place")
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "content", "place")).alias("runs"))
     held = cut(_fetch(wanted.join(long, "row").select("text", "runs"), window).join(kinds, "key"), "runwords")
-    small, large = held.where(F.col("kinds") <= TREE_ROWS).drop("kinds"), held.where(F.col("kinds") > TREE_ROWS).drop("kinds")
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // TASK_ROWS))
+    small = held.where(F.col("kinds") <= TREE_ROWS).drop("kinds")
+    # Runs of a frequent prefix lie together here; no task should work out most of the windows.
+    large = held.where(F.col("kinds") > TREE_ROWS).drop("kinds").repartition(parts, "content")
     nodes = with_group(_windows(large, window).distinct(), "node", "content", {"n": (F.count(F.lit(1)), F.sum("n"))})
     low, high = F.shiftright("one.place", 8).bitwiseAND(F.lit(255)).cast("int"), F.col("one.place").bitwiseAND(F.lit(255)).cast("int")
     whole = runs.where("n > 1").withColumns({"low": low, "high": high}).select("key", "content", F.expr("shiftleft(1L, high + 1) - shiftleft(1L, low)").alias("mask"))
