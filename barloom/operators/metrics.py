@@ -43,18 +43,28 @@ def by_score(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return df.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
 
 
+def _cumulative(s: DataFrame, columns: Sequence[str], descending: bool = False) -> DataFrame:
+    """by_score() rows with `cum_` sums of the columns up to each score. Scores (0 to 1) are summed per 1/4096 first, so no task orders all of them."""
+    way = (lambda c: F.col(c).desc()) if descending else F.col
+    held = s.withColumn("_b", F.floor(F.col("p") * 4096))
+    before = W.orderBy(way("_b")).rowsBetween(W.unboundedPreceding, -1)  # 4097 rows at most
+    sums = held.groupBy("_b").agg(*(F.sum(c).alias(c) for c in columns)).select("_b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in columns))
+    within = W.partitionBy("_b").orderBy(way("p")).rowsBetween(W.unboundedPreceding, 0)
+    held = held.join(sums, "_b").withColumns({f"cum_{c}": F.sum(c).over(within) + F.col(f"_before_{c}") for c in columns})
+    return held.drop("_b", *(f"_before_{c}" for c in columns))
+
+
 def roc_auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """Share of (positive, negative) pairs in order, ties half, from cumulative sums over distinct scores."""
-    s = by_score(df, p, y).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("_w", F.col("pos") * (below + F.col("neg") / 2.0))
+    s = _cumulative(by_score(df, p, y).withColumn("neg", F.col("n") - F.col("pos")), ["neg"])
+    s = s.withColumn("_w", F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
     return s.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum("_w").alias("_w")).select("positives", "negatives", ratio("_w", F.col("positives") * F.col("negatives")).alias("auc"))
 
 
 def pr_curve(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    w = W.orderBy(F.col("p").desc()).rowsBetween(W.unboundedPreceding, 0)
-    s = by_score(df, p, y).withColumns({"tp": F.sum("pos").over(w), "said": F.sum("n").over(w), "all": F.sum("pos").over(W.orderBy(F.col("p").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    return s.select(F.col("p").alias("threshold"), ratio("tp", "said").alias("precision"), ratio("tp", "all").alias("recall"))
+    rows = by_score(df, p, y)
+    s = _cumulative(rows, ["pos", "n"], descending=True).join(F.broadcast(rows.agg(F.sum("pos").alias("all"))))  # one row
+    return s.select(F.col("p").alias("threshold"), ratio("cum_pos", "cum_n").alias("precision"), ratio("cum_pos", "all").alias("recall"))
 
 
 def sweep(df: DataFrame, lo: int = 20, hi: int = 70, p: str = "p", y: str = "y", reward: float = 0.02, risk: float = 0.01) -> DataFrame:
