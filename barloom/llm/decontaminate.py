@@ -7,7 +7,6 @@ benchmark is sent to the tasks in blocks of a bounded size; documents are never
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -144,7 +143,6 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
 def _pass(docs: DataFrame, windows, text: str, clean_only: bool, later: bool) -> DataFrame:
     """One block of the benchmark against all rows; later: rows already hold what earlier blocks found."""
     schema = docs.schema if clean_only or later else T.StructType([*docs.schema.fields, *FOUND.fields])
-    types = FOUND
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -176,17 +174,13 @@ def _pass(docs: DataFrame, windows, text: str, clean_only: bool, later: bool) ->
                     items[row].update(batch["items"][row].as_py())
                 if own is not None:
                     spans[row] = _spans(own)
-            own = [pa.array(words.count, pa.int64()), pa.array(spans, to_arrow_type(types[1].dataType)), pa.array([sorted(items.get(r, ())) for r in range(len(batch))], pa.list_(pa.string()))]
+            own = [pa.array(words.count, pa.int64()), pa.array(spans, to_arrow_type(FOUND[1].dataType)), pa.array([sorted(items.get(r, ())) for r in range(len(batch))], pa.list_(pa.string()))]
             held = batch.columns[: len(batch.columns) - 3 * later]
             yield pa.RecordBatch.from_arrays([*held, *own], schema.names)
 
     return map_in_arrow(docs, work, schema)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without any word inside an occurrence of a benchmark window."""
     return find(docs, benchmark, clean_only=True, **options)
