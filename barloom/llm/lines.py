@@ -1,8 +1,11 @@
 """Line dedup by pairwise alignment: pairs by shared line hashes, patience diff, common blocks go from the later one.
 
-Pairs: a line in up to RARE documents pairs each holder with all earlier ones; a line in more pairs each holder with
-the earliest alone, so a line in a third of all documents gives a number of pairs that grows with its holders. Only
-line hashes are joined and aligned; texts meet the lines they lose once, at the end.
+The result is that of aligning each document with every earlier one, without all those pairs. A line in up to RARE
+documents pairs each holder with all earlier ones; a line in more pairs each holder with the earliest. What that leaves
+is worked out on outlines: a document's frequent and blank lines, each run of others as one gap. Documents that share
+no rare line align as their outlines do, so outlines with a run of least_words words in common are aligned once, however
+many documents have them, where a document still has such a run. Only line hashes are joined and aligned; texts meet the
+lines they lose once, at the end.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,11 +79,102 @@ def blocks(pairs: list[tuple[int, int]], words: list[int], least: int) -> list[i
     return out
 
 
+def runs(words: list[int], usable: list[bool], least: int) -> set[tuple[int, int]]:
+    """Shortest runs (first and last place) of usable lines with at least so many words, from and up to each line."""
+    out = set()
+    for step in (1, -1):
+        for k in range(len(words)):
+            end, total = k, 0
+            while 0 <= end < len(words) and usable[end]:
+                total += words[end]
+                if total >= least:
+                    out.add((min(k, end), max(k, end)))
+                    break
+                end += step
+    return out
+
+
+def outline(seq: list[int], words: list[int], often: set[int]) -> tuple[list[int | None], list[int]]:
+    """The frequent and blank lines, with None for each run of other lines, and the place of each (the first of a run)."""
+    out, at = [], []
+    for k, (x, n) in enumerate(zip(seq, words, strict=True)):
+        own = x if n == 0 or x in often else None
+        if own is not None or not out or out[-1] is not None:
+            out.append(own)
+            at.append(k)
+    return out, at
+
+
 LOST = T.StructType([T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("lost", T.ArrayType(T.IntegerType()))])
+OUTLINE = T.StructType([
+    T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("lines", T.ArrayType(T.LongType())),
+    T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("at", T.ArrayType(T.IntegerType())),
+    T.StructField("run", T.ArrayType(T.LongType())), T.StructField("lo", T.ArrayType(T.IntegerType())), T.StructField("hi", T.ArrayType(T.IntegerType())),
+])
+TAKEN = T.StructType([T.StructField("sig", T.LongType()), T.StructField("other_sig", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+
+
+def outlines(docs: DataFrame, least_words: int) -> DataFrame:
+    """OUTLINE of docs (id, seq, words, often) that have a run of frequent lines; runs are by hash and places in the document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, h, seq, words, often in zip(*(batch[c].to_pylist() for c in ("d", "h", "seq", "words", "often")), strict=True):
+                often = set(often)
+                found = sorted(runs(words, [n == 0 or x in often for x, n in zip(seq, words, strict=True)], least_words))
+                if not found:
+                    continue
+                held, at = outline(seq, words, often)
+                key = lambda part: xxhash.xxh64_intdigest(repr(part)) - (1 << 63)
+                rows.append((d, h, key(held), held, [0 if x is None else words[k] for x, k in zip(held, at, strict=True)], at, [key(seq[a : b + 1]) for a, b in found], [a for a, _ in found], [b for _, b in found]))
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], OUTLINE.names)
+
+    return map_in_arrow(docs.select("id.d", "id.h", "seq", "words", "often"), work, OUTLINE)
+
+
+def left_over(held: DataFrame, lost: DataFrame, few: DataFrame, least_words: int) -> DataFrame:
+    """LOST of what documents (held: OUTLINE) lose to earlier ones beyond lost (d, h, taken): by outlines, each pair of them once.
+
+    few: pairs (id, to) of documents that share a rare line. Outlines do not tell how these align, and they were aligned.
+    """
+    held = held.withColumn("id", F.struct("d", "h"))
+    some = cut(held.groupBy("sig").agg(F.min("id").alias("first"), F.first("lines").alias("lines"), F.first("words").alias("words"), F.first("run").alias("run")), "outlines")
+    gone = F.coalesce("taken", F.array().cast("array<int>"))
+    stays = lambda r: F.size(F.array_except(F.sequence(r["lo"], r["hi"]), gone)) > 0
+    todo = held.join(lost, ["d", "h"], "left").select("id", "sig", "at", gone.alias("gone"), F.filter(F.arrays_zip("run", "lo", "hi"), stays)["run"].alias("open"))
+    todo = cut(todo.where(F.size("open") > 0), "open")
+    wanted = todo.select("id", "sig", F.explode("open").alias("run")).groupBy("sig", "run").agg(F.max("id").alias("last"))
+    offered = some.select(F.col("sig").alias("other_sig"), "first", F.explode(F.array_distinct("run")).alias("run"))
+    both = wanted.join(offered, "run").where("first < last").select("sig", "other_sig").distinct()
+    both = both.join(some.select("sig", "lines", "words"), "sig").join(some.select(F.col("sig").alias("other_sig"), F.col("lines").alias("other")), "other_sig")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, a, n = (batch[c].to_pylist() for c in ("lines", "other", "words"))
+            # A gap is like no line of the other document.
+            taken = [blocks(patience(["gap" if v is None else v for v in x], y), w, least_words) for x, y, w in zip(a, b, n, strict=True)]
+            some = np.flatnonzero([bool(x) for x in taken])
+            yield pa.RecordBatch.from_arrays([batch["sig"].take(pa.array(some)), batch["other_sig"].take(pa.array(some)), pa.array([taken[k] for k in some], pa.list_(pa.int32()))], TAKEN.names)
+
+    taken = map_in_arrow(both.select("sig", "other_sig", "lines", "words", "other"), work, TAKEN)
+    taken = cut(taken.join(some.select(F.col("sig").alias("other_sig"), "first"), "other_sig"), "taken")
+    # What a document can lose, each set of places once, with the earliest document that takes it.
+    least = taken.groupBy("sig", "places").agg(F.min("first").alias("to"))
+    lines = F.transform("places", lambda k: F.col("at")[k])
+    could = todo.join(least, "sig").where("to < id").withColumn("lost", lines).where(F.size(F.array_except("lost", "gone")) > 0)
+    could = cut(could.select("id", "sig", "places", "lost", "to"), "could")
+    free = could.join(few, ["id", "to"], "left_anti").select("id", "lost")
+    # Where that one shares a rare line, any other document of these outlines.
+    tied = could.join(few, ["id", "to"], "left_semi").drop("to").join(taken.select("sig", "places", "other_sig"), ["sig", "places"])
+    tied = tied.join(held.select(F.col("sig").alias("other_sig"), F.col("id").alias("to")), "other_sig").where("to < id")
+    tied = tied.join(few, ["id", "to"], "left_anti").select("id", "lost").distinct()
+    return free.unionByName(tied).select("id.d", "id.h", "lost")
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: int = RARE, least_words: int = 5) -> DataFrame:
-    """docs with n_lines, n_removed, n_partners (earlier documents that took lines from it) and kept (the lines left).
+    """docs with n_lines, n_removed, n_partners (earlier documents, of those aligned with it, that took lines from it) and kept (the lines left).
 
     Lines are parted by "\\n"; lines of white space alone start no pair, but can lie in an aligned block. A block goes
     if it has least_words words. Of two documents the later has the larger doc_id; a null doc_id comes last, and equal
@@ -99,6 +194,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: in
     far = held_by.where((F.col("n") > rare) & (F.col("first") < F.col("id"))).select("id", F.col("first").alias("to"))
     few = held_by.where(F.col("n") <= rare).groupBy("line").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     few = few.select(F.posexplode("ids").alias("k", "id"), "ids").select("id", F.explode(F.slice("ids", F.lit(1), F.col("k"))).alias("to"))
+    few = cut(few.distinct(), "few")
     pairs = far.unionByName(few).distinct()
     # A document may be the earliest holder for very many.
     early = lookup(pairs, "to", "id", seqs.select(F.col("id").alias("to"), F.col("seq").alias("other")))
@@ -112,6 +208,9 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: in
             yield pa.RecordBatch.from_arrays([batch["d"].take(pa.array(some)), batch["h"].take(pa.array(some)), pa.array([lost[k] for k in some], pa.list_(pa.int32()))], LOST.names)
 
     lost = cut(map_in_arrow(both, work, LOST), "lost")
+    often = held_by.where(F.col("n") > rare).groupBy("id").agg(F.collect_list("line").alias("often"))
+    taken = lost.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("lost"))).alias("taken"))
+    lost = lost.unionByName(left_over(cut(outlines(seqs.join(often, "id"), least_words), "outline"), taken, few, least_words))
     lost = lost.groupBy(F.col("d").alias("_barloom_d"), F.col("h").alias("_barloom_h")).agg(F.array_distinct(F.flatten(F.collect_list("lost"))).alias("_barloom_lost"), F.count(F.lit(1)).alias("_barloom_partners"))
     joined = held.join(lost, ["_barloom_d", "_barloom_h"], "left")
     kept = F.filter(lines, lambda _, k: ~F.coalesce(F.array_contains("_barloom_lost", k), F.lit(False)))

@@ -85,6 +85,29 @@ def test_line_dedup_of_frequent_lines(spark):
     assert got[0].n_removed == 0 and got[1].n_removed == 1 and all(got[k].n_removed == 2 for k in range(2, 60))
 
 
+def brute_lines(rows):
+    """Lines left of each document (d, text, in order) after a patience diff with every earlier one."""
+    held = [(d, t.split("\n")) for d, t in rows]
+    sizes, out = [[len(words(x)) for x in ls] for _, ls in held], {}
+    for k, (d, b) in enumerate(held):
+        gone = {y for _, a in held[:k] if set(a) & set(b) for y in lines.blocks(lines.patience(a, b), sizes[k], 5)}
+        out[d] = (len(gone), "\n".join(x for j, x in enumerate(b) if j not in gone))
+    return out
+
+
+def test_line_dedup_is_that_of_all_pairs(spark):
+    """Frequent lines that stand twice in their earliest holder, short lines with different earliest holders, near copies."""
+    hot, short = "one line that very many documents have", ["two words", "three more words", "four"]
+    rows = [(0, f"{hot}\na\n{hot}\nb"), (1, f"x\n{short[0]}\ny"), (2, f"x2\n{short[1]}\ny2")]
+    rows += [(k, f"own text {k}\n{hot}\nmiddle {k}\n" + "\n".join(short[:2]) + f"\nend {k}") for k in range(3, 20)]
+    rng = np.random.default_rng(5)
+    pool = [hot, *short, "", "", "another frequent line of many words", "a third one with five words", *(f"rare line of five words {k}" for k in range(40))]
+    rows += [(k, "\n".join(pool[min(int(rng.exponential(7)), len(pool) - 1)] for _ in range(rng.integers(1, 9)))) for k in range(20, 220)]
+    got = {r.doc_id: (r.n_removed, r.kept) for r in lines.remove(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    assert got == brute_lines(rows)
+    assert got[4][1] == "own text 4\nmiddle 4\nend 4"
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
