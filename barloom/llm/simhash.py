@@ -12,14 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import cut, discard, lookup, map_in_arrow, slices, texts_of
+from barloom.llm.common import cut, discard, lookup, map_in_arrow, slices, texts_of, with_group
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 #: Fingerprints in a block up to which all pairs in it are compared; larger blocks go by way of neighbours.
 PAIRS = 64
-#: Stands for a null doc_id, which comes after all others.
-LAST = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, width: int, seed: int) -> int:
@@ -40,17 +38,17 @@ def fingerprint(text: bytes, width: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; null text counts as empty."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+    """doc_id, hash (of the text) and fp (the fingerprint as a signed long) of each row; null text counts as empty."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("fp", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, at = texts_of(batch["text"])
             held, at = data.tobytes(), at.tolist()
             fps = [fingerprint(held[a:b], width, seed) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["hash"], pa.array(fps, pa.int64())], schema.names)
 
-    return map_in_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), work, schema)
+    return map_in_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")), work, schema)
 
 
 def block_keys(fp: Column, distance: int) -> Column:
@@ -113,22 +111,34 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _grouped(docs: DataFrame, text: str, doc_id: str, width: int, seed: int, distance: int) -> DataFrame:
+    """doc_id, hash, fp, group (the least fingerprint reachable by links) and component_id of each row."""
+    rows = cut(fingerprints(docs, text, doc_id, width, seed).withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    joined = components(links(nodes.select("fp", F.col("fp").alias("rep")), distance))
+    owned = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    owned = with_group(owned, "group", "fp", {"component_id": (F.min("least"), F.min("component_id"))}).drop("least")
+    return lookup(rows, "fp", "_row", owned).drop("_row")
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links of fingerprints) of each row.
 
     Null and empty texts have fingerprint 0 and link like any other. Equal fingerprints are one node from the start,
-    however many rows have them; rows that repeat a doc_id are one node too. A null doc_id comes after all others.
+    however many rows have them; nothing else ties rows, so those that repeat a doc_id, or have none, stay apart. The
+    component_id is null if no row of the component has a doc_id.
     """
-    rows = cut(fingerprints(docs, text, doc_id, width, seed).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), "fingerprints")
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    joined = components(links(nodes, distance))
-    owned = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    none = F.lit(LAST)
-    return lookup(rows, "fp", "doc_id", owned).select(F.nullif("doc_id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id"))
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay: of each group that with the smallest doc_id."""
-    groups = near_groups(docs, doc_id=doc_id, **options)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_barloom_keep")).distinct()
-    return docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep["_barloom_keep"]), "left_semi")
+    return _grouped(docs, text, doc_id, width, seed, distance).select("doc_id", "fp", "component_id")
+
+
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:
+    """The rows of docs that stay: of each component one with the smallest doc_id (a null one comes last)."""
+    groups = _grouped(docs, text, doc_id, width, seed, distance)
+    counted = groups.groupBy("group", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    least = counted.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n")).alias("k"))
+    keep = cut(least.select(F.col("k.doc_id").alias("_barloom_id"), F.col("k.hash").alias("_barloom_hash"), F.col("k.n").alias("_barloom_n")), "keep")
+    held = docs.withColumn("_barloom_h", F.xxhash64(F.col(text)))
+    chosen = lambda k: held.join(k, held[doc_id].cast("long").eqNullSafe(k["_barloom_id"]) & (held["_barloom_h"] == k["_barloom_hash"]), "left_semi")
+    # Of rows with one doc_id and text, any one stays.
+    once, more = chosen(keep.where("_barloom_n = 1")), chosen(keep.where("_barloom_n > 1")).dropDuplicates([doc_id, "_barloom_h"])
+    return once.unionByName(more).drop("_barloom_h")

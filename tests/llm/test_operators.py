@@ -323,6 +323,17 @@ def test_simhash(spark, docs, clashing, empty):
     assert simhash.near_groups(clashing).count() == docs.count() and simhash.near_groups(empty).count() == 0
 
 
+def test_simhash_of_null_and_repeated_ids(spark, docs):
+    """Rows without an id, or with one id, are tied by their texts alone, and the pipeline's stage keeps one row of each component."""
+    texts = ["all about rivers and lakes in the north", "how to bake bread with rye and seeds", "chess openings that masters play today", "rows of numbers in a ledger of accounts"]
+    rows = [(None, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, "another text of the same identity number")]
+    some = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    for df, held in ((some, rows), (docs, [(r.doc_id, r.text) for r in docs.collect()])):
+        got = [(r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.near_groups(df).collect()]
+        assert Counter(got) == brute_simhash(held)
+    assert Counter((r.doc_id, r.text) for r in simhash.dedup(some).collect()) == Counter([(1, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, rows[-1][1])])
+
+
 @pytest.mark.parametrize("most", [64, 2])
 def test_links_in_large_blocks(spark, most, monkeypatch):
     """Chains of close fingerprints, by pairs and by way of neighbours."""
