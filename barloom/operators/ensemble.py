@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,48 +48,56 @@ def forest(train: DataFrame, y: str = "y", trees: int = 20, depth: int = 6, seed
     return lambda d: _p(model.transform(d), "p_forest")
 
 
-def range_expert(train: DataFrame, rows: DataFrame, y: str = "y", key: str = "id", k: int = 15, radius: float = 1.0, tables: int = 3, seed: int = 42) -> DataFrame:
-    """rows with p_range: distance-weighted share of y = 1 among the k nearest training rows that share a hash bucket.
+def range_expert(train: DataFrame, rows: DataFrame, y: str = "y", key: str = "id", k: int = 15) -> DataFrame:
+    """rows with p_range: distance-weighted share of y = 1 among the k nearest training rows, on features standardised over train.
 
-    Buckets of random projections, so rows meet only rows near them; a row without a neighbour in the radius gets the
-    training mean. train and rows: key, features.
+    Exact, block by block (exact_neighbours). train and rows: key, features; a row is no neighbour of itself.
     """
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="_h", bucketLength=radius, numHashTables=tables, seed=seed).fit(train)
-    near = lsh.approxSimilarityJoin(rows.select(key, "features"), train.select(F.col(key).alias("_t"), "features", F.col(y).alias("_y")), radius, "_d")
-    near = near.select(F.col(f"datasetA.{key}").alias(key), F.col("datasetB._y").alias("_y"), "_d", F.col("datasetB._t").alias("_t")).where(F.col(key) != F.col("_t"))
-    # The k least by distance, held in a list that never has more than those of one bucket join.
-    best = near.withColumn("_k", F.row_number().over(Roll((key,), ("_d", "_t")).w)).where(F.col("_k") <= k)
+    scale = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(train)
+    scaled = lambda d: scale.transform(d.select(F.col(key).alias("id"), "features")).select("id", vector_to_array("_s").alias("vector"))
+    near = exact_neighbours(scaled(rows), scaled(train), k).select(F.col("id").alias(key), F.col("neighbour").alias("_t"), F.col("distance").alias("_d"))
+    near = near.join(train.select(F.col(key).alias("_t"), F.col(y).alias("_y")), "_t")
     w = 1 / (F.col("_d") + 1e-9)
-    p = best.groupBy(key).agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("p_range"))
-    mean = train.agg(F.avg(y).alias("_mean"))
-    return rows.join(p, key, "left").join(F.broadcast(mean)).withColumn("p_range", F.coalesce("p_range", "_mean")).drop("_mean")
+    p = near.groupBy(key).agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("p_range"))
+    return rows.join(p, key, "left")
 
 
-def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int = 15) -> DataFrame:
-    """id, neighbour, distance, rank: the k nearest of all rows for each of a few queries.
+def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int = 15, block: int = 4096) -> DataFrame:
+    """id, neighbour, distance, rank: the k nearest of all rows for each query.
 
-    Queries go to the rows in blocks (a stated set against all rows); each task keeps its k best per query.
+    Both sides are dealt by a hash of the id into blocks of about `block` rows. A task holds one block of each and
+    keeps the k best per query; Spark merges those. Neither side is collected.
     """
     import numpy as np
     import pandas as pd
 
-    spark = rows.sparkSession
-    ship(spark)
-    q = queries.select("id", "vector").toPandas()  # the stated set, bounded by the caller
-    held = spark.sparkContext.broadcast((q.id.to_numpy(), np.stack([np.asarray(v, float) for v in q.vector]) if len(q) else np.zeros((0, 1))))
-
-    def work(frames):
-        ids, vs = held.value
-        best = pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        for f in frames:
-            x = np.stack([np.asarray(v, float) for v in f.vector])
-            d = np.sqrt(np.maximum(((vs[:, None] - x[None]) ** 2).sum(axis=2), 0)) if len(ids) * x.size < 5e7 else np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for v in vs])
-            m = pd.DataFrame({"id": np.repeat(ids, len(x)), "neighbour": np.tile(f.id.to_numpy(), len(ids)), "distance": d.ravel()})
-            m = m[m.id != m.neighbour]
-            best = pd.concat([best, m]).sort_values(["id", "distance", "neighbour"]).groupby("id").head(k)
-        yield best.astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
-
-    found = rows.select("id", "vector").mapInPandas(work, "id LONG, neighbour LONG, distance DOUBLE")
+    ship(rows.sparkSession)
+    deal = lambda n: max(1, -(-n // block))
+    nq, nr = deal(queries.count()), deal(rows.count())
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("id", "vector", part(nq).alias("_q")).withColumn("_r", every(nr))
+    r = rows.select("id", "vector", part(nr).alias("_r")).withColumn("_q", every(nq))
+
+    def work(left, right):
+        out = [pd.DataFrame({"id": [], "neighbour": [], "distance": []})]
+        if len(left) and len(right):
+            vs, x, own, ids = np.stack(left.vector).astype(float), np.stack(right.vector).astype(float), left.id.to_numpy(), right.id.to_numpy()
+            step = max(1, 2_000_000 // len(x))
+            for lo in range(0, len(vs), step):
+                d = np.zeros((len(vs[lo : lo + step]), len(x)))
+                for j in range(x.shape[1]):
+                    d += (vs[lo : lo + step, j, None] - x[None, :, j]) ** 2
+                d = np.sqrt(d)
+                d[own[lo : lo + step, None] == ids[None]] = np.inf
+                # Ties with the k-th stay until they are ordered by neighbour.
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.inf
+                at, to = np.nonzero((d <= kth) & (d < np.inf))
+                m = pd.DataFrame({"id": own[lo + at], "neighbour": ids[to], "distance": d[at, to]})
+                out.append(m.sort_values(["id", "distance", "neighbour"]).groupby("id").head(k))
+        return pd.concat(out[1:] or out).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
+
+    found = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInPandas(work, "id LONG, neighbour LONG, distance DOUBLE")
     return found.withColumn("rank", F.row_number().over(Roll(("id",), ("distance", "neighbour")).w)).where(F.col("rank") <= k)
 
 

@@ -251,3 +251,29 @@ def test_kline_source(spark):
     raw = spark.read.format("klines").options(assets="A, B", start=0, end=10 * day, step=3_600_000, limit=100, fetch="test_operators:fetch_page").load()
     got = B.from_klines(raw)
     assert raw.rdd.getNumPartitions() == 6 and got.count() == 480 and got.select("asset", "ts").distinct().count() == 480
+
+
+def test_range_expert_is_exact(spark):
+    """The 15 nearest training rows on standardised features, with one wide feature, by brute force; blocks and ties."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from barloom.operators import ensemble
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(260, 3)) * [40, 1, 0.01]
+    x[200:210] = x[190:200]
+    y = (rng.random(260) < 0.4).astype(float)
+    d = ensemble.assemble(spark.createDataFrame([(k, float(y[k]), *map(float, x[k])) for k in range(260)], "id LONG, y DOUBLE, a DOUBLE, b DOUBLE, c DOUBLE"), ["a", "b", "c"])
+    got = {r.id: r.p_range for r in ensemble.range_expert(d.where("id < 200"), d.where("id >= 200")).collect()}
+    z = (x - x[:200].mean(axis=0)) / x[:200].std(axis=0, ddof=1)
+    assert len(got) == 60
+    for k in got:
+        e = np.sqrt(((z[:200] - z[k]) ** 2).sum(axis=1))
+        best = np.argsort(e)[:15]
+        w = 1 / (e[best] + 1e-9)
+        assert abs(got[k] - (w * y[best]).sum() / w.sum()) < 1e-5
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 3)]) for k in range(90)], "id LONG, vector ARRAY<DOUBLE>")
+    near = {(r.id, r["rank"]): r.neighbour for r in ensemble.exact_neighbours(v.where(F.col("id") < 20), v, 5, block=16).collect()}
+    want = {(i, n + 1): j for i in range(20) for n, (_, j) in enumerate(sorted((math.hypot(i % 7 - j % 7, i % 3 - j % 3), j) for j in range(90) if j != i)[:5])}
+    assert near == want
