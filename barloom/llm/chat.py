@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Neighbouring turn numbers that are rendered in one row.
 PART_TURNS = 64
-#: Turns of one part from which it is split further (many turns with one number).
+#: Turns of one part at most, where it is asked that parts be bounded (many turns with one number).
 CROWDED = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -18,28 +21,47 @@ def _plain(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
-def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: tuple[str, ...] = ("system",)) -> DataFrame:
+def _pieces(said: DataFrame, most: int) -> DataFrame:
+    """said with _piece: the turn's place in its block, in the order of turns, divided by `most`.
+
+    Places are worked out in blocks of more turns alone: counts per turn, role and two hex digits of the MD5, summed
+    up in order, and the place among those turns.
+    """
+    key = ["conv_id", "_block"]
+    same = lambda a, b, names: reduce(and_, (a[c].eqNullSafe(b[f"_of_{c}"]) for c in names))
+    named = lambda d, names: d.select(*(F.col(c).alias(f"_of_{c}") for c in names), *(c for c in d.columns if c not in names))
+    crowd = named(said.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*key), key)
+    fine = [*key, "turn", "role", "_hex"]
+    full = said.join(crowd, same(said, crowd, key), "left_semi").withColumn("_hex", F.substring("_order", 1, 2))
+    counts = full.groupBy(*fine).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy(*key).orderBy("turn", "role", "_hex").rowsBetween(W.unboundedPreceding, -1))
+    counts = named(counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("n"), fine)
+    placed = full.join(counts, same(full, counts, fine)).withColumn("_at", F.row_number().over(W.partitionBy(*fine).orderBy("_order")) - 1)
+    placed = placed.select(*said.columns, F.floor((F.col("_before") + F.col("_at")) / most).alias("_piece"))
+    rest = said.join(crowd, same(said, crowd, key), "left_anti")
+    return rest.withColumn("_piece", F.lit(0).cast("long")).unionByName(placed)
+
+
+def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: tuple[str, ...] = ("system",), most: int | None = CROWDED) -> DataFrame:
     """A row per conversation, participant and part: conv_id, perspective, part, n_turns, text, mask.
 
     Participants are all roles of a conversation but those in `system`, which are rendered as such for everyone. Turns
     are in order of turn number, role, MD5 of the text. The perspective's own turns are "assistant", all others
     "user name=<role>"; mask lists (start, length), in characters of the part's text, of what the assistant says, with
-    its closing token and line end. A dialogue of up to PART_TURNS turn numbers is part 0; a longer one goes on in
-    further parts, whose texts joined in order are the dialogue.
+    its closing token and line end. Parts are blocks of turn numbers (0 to PART_TURNS - 1, and so on), numbered in
+    order; their texts joined in order are the dialogue. A block of more than `most` turns comes in parts of `most`
+    neighbouring turns, the last with the rest; with None each block is one part, as in OP1_SQL.
 
-    Null ids are a conversation like any other; null turn numbers come first; a null role is named "" ; null and empty
+    Null ids are a conversation like any other; null turn numbers come last; a null role is named "" ; null and empty
     texts are turns without content; rows that repeat conversation, number, role and text are one turn; "<|" in roles
     and texts is written "< |". A conversation of system turns alone has no participant and no row. Other columns do
     not matter.
     """
     said = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), _plain(F.col(role)).alias("role"), _plain(F.col(text)).alias("text")).distinct()
     said = said.withColumn("_order", F.md5(F.col("text").cast("binary"))).withColumn("_block", F.floor(F.col("turn") / PART_TURNS))
-    sizes = said.groupBy("conv_id", "_block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
-    crowd = sizes.select(F.col("conv_id").alias("_c"), F.col("_block").alias("_b"), F.lit(True).alias("_crowded"))
-    said = said.join(crowd, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_block").eqNullSafe(F.col("_b")), "left")
-    fine = F.when(F.col("_crowded"), F.struct("turn", "role", F.substring("_order", 1, 2).alias("hex")))
-    parts = said.groupBy("conv_id", "_block", fine.alias("_fine")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "_order", "text"))).alias("turns"))
-    parts = parts.withColumn("part", F.row_number().over(W.partitionBy("conv_id").orderBy("_block", "_fine")) - 1)
+    said = said.withColumn("_piece", F.lit(0).cast("long")) if most is None else _pieces(said, most)
+    parts = said.groupBy("conv_id", "_block", "_piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "_order", "text"))).alias("turns"))
+    parts = parts.withColumn("part", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("_block").asc_nulls_last(), "_piece")) - 1)
     people = said.where(~F.col("role").isin(*map(str, system))).select(F.col("conv_id").alias("_c"), F.col("role").alias("perspective")).distinct()
     seen = parts.join(people, F.col("conv_id").eqNullSafe(F.col("_c")))
 

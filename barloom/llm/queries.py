@@ -122,7 +122,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["length"])), ",")
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["length"])
-    return rotate(table(spark, sf_dir, "conversations")).select(
+    return rotate(table(spark, sf_dir, "conversations"), most=None).select(
         "conv_id", "perspective", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.length("text").cast("long").alias("n_chars"),
         masked.alias("n_masked"), spans.alias("mask"), F.sha2("text", 256).alias("text_sha256"),
     )

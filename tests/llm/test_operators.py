@@ -53,6 +53,23 @@ def test_long_chats_come_in_parts(spark):
         assert [r.part for r in parts] == list(range(len(parts))) and sum(r.n_turns for r in parts) == want and max(r.n_turns for r in parts) <= chat.CROWDED
 
 
+@pytest.mark.parametrize("n", [256, 257, 300])
+def test_crowded_chats_equal_sql(spark, tmp_path, n):
+    """Repeated and null turn numbers, at either side of CROWDED, beside a dialogue that starts at turn 1."""
+    one = [(1, None if k % 2 else 5, "ab"[k % 3 == 0], f"t{k}") for k in range(2 * n)]
+    turns = spark.createDataFrame([*one, *((2, k, "ab"[k % 2], f"u{k}") for k in range(1, 71))], "conv_id LONG, turn INT, role STRING, text STRING")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert_same(QUERIES["op1_chat"](spark, str(tmp_path)), ORACLES["op1_chat"], str(tmp_path))
+
+
+@pytest.mark.parametrize("n", [256, 257, 600])
+def test_bounded_parts_are_neighbouring_turns(spark, n):
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    got = sorted((r for r in chat.rotate(turns).collect() if r.perspective == "a"), key=lambda r: r.part)
+    assert [r.n_turns for r in got] == [min(256, n - k) for k in range(0, n, 256)]
+    assert "".join(r.text for r in got) == next(r.text for r in chat.rotate(turns, most=None).collect() if r.perspective == "a")
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
