@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Each task builds suffix arrays of the words of its rows, a shard of some MB at a time, and binary-searches every suffix
-of every benchmark item in it. Matches of a whole window (10 words, or an item of fewer) mark document words. The
+of every benchmark item in it, cut at the window. Longest matches and their places in items are not worked out. Matches of a whole window (10 words, or an item of fewer) mark document words. The
 benchmark is sent to the tasks in blocks of a bounded size; documents are never shuffled.
 """
 
@@ -120,8 +120,8 @@ FOUND = T.StructType([
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, clean_only: bool = False) -> DataFrame:
-    """docs with n_words, spans (runs of document words inside an occurrence of a window: start, length; the longest
-    is the longest verbatim match) and items (ids of the items with occurring windows, sorted as strings).
+    """docs with n_words, spans (runs of document words inside an occurrence of a window: start, length; items
+    copied side by side, or overlapping windows, make one run that may be verbatim in none) and items (ids of the items with occurring windows, sorted as strings).
 
     A window is `size` consecutive words of an item, or a whole item of fewer but some. Words are lower-cased (A-Z)
     runs of digits, letters and characters beyond ASCII. Null and empty texts have no words. A benchmark without words
