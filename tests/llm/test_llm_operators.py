@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest_llm import words
+from words_of import words
 from pyspark.sql import functions as F
 from util import assert_same
 

@@ -6,7 +6,7 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import functions as F
-from test_operators import SMALL, brute_simhash, words
+from test_llm_operators import SMALL, brute_simhash, words
 
 import corpus_pipeline
 from barloom.llm import quality
