@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,23 +45,24 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what cut() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete what cut() wrote for these, once nothing reads it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """df.mapInArrow, on executors that may not have this package.
 
-    Rows hold whole texts, so the session's default of 10,000 rows in an Arrow batch is lowered to ARROW_ROWS; a value
-    that the user has set stays.
+    Rows hold whole texts, so the session's default of 10,000 rows in an Arrow batch is lowered to ARROW_ROWS, unless the
+    user has set it.
     """
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get(ARROW_SETTING) == "10000":
+    if ARROW_SETTING not in spark.conf.getAll:
         spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +76,12 @@ def salt(by: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
 
 
+def digests(data: list[bytes]) -> np.ndarray:
+    """XXH3 of 128 bits of each, as two signed 64-bit columns."""
+    held = b"".join([xxhash.xxh3_128_digest(x) for x in data])
+    return np.frombuffer(held, ">i8").astype(np.int64).reshape(-1, 2)
+
+
 def with_group(df: DataFrame, key: str, spread: str, aggs: dict[str, tuple[Column, Column]]) -> DataFrame:
     """df with aggregates of its key's group on each row; no task holds all rows of a hot key.
 
@@ -108,20 +116,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 SAME = np.arange(256, dtype=np.uint8)
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = {}
-
-
-def _powers_to(n: int, base: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        x = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        x[0] = 1
-        _powers[base] = np.multiply.accumulate(x)
-    return _powers[base][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads their bits."""
     h = h ^ (h >> np.uint64(33))
@@ -140,12 +134,12 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text."""
+    """The same rows in batches of about `most` bytes of text and ARROW_ROWS rows at most."""
     for batch in batches:
         _, at = texts_of(batch[text])
         lo = 0
         while lo < len(batch):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+            hi = min(lo + ARROW_ROWS, max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
@@ -155,7 +149,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, at: np.ndarray, within: np.ndarray = NOT_SPACE, fold: np.ndarray = SAME):
         self.data, self.at, self.fold = data, at, fold
-        inside = within[data]
+        self.inside = inside = within[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[at] = True
         before = np.empty(len(data), bool)
@@ -170,13 +164,23 @@ class Words:
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(at) - 1), self.count)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all words with a space after each, and where each word's begin."""
+        size = self.end - self.start
+        start = np.cumsum(size + 1) - (size + 1)
+        out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        held = self.fold[self.data[self.inside]]
+        out[np.arange(len(held)) + np.repeat(np.arange(len(size)), size)] = held
+        return out, start
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[self.fold][self.data] * _powers_to(n, _BASE), out=total[1:])
-        h = (total[self.end] - total[self.start]) * _powers_to(n + 1, _INVERSE)[self.start]
-        return mix(h ^ (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash (XXH3) of each word; each distinct word of the slice is hashed once."""
+        edges = np.append(0, np.cumsum(self.end - self.start))
+        held = self.fold[self.data[self.inside]]
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(held)])
+        kinds = column.dictionary_encode()
+        of = np.array([xxhash.xxh3_64_intdigest(w) for w in kinds.dictionary.to_pylist()], np.uint64)
+        return of[kinds.indices.to_numpy()]
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
@@ -185,5 +189,5 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out = out * np.uint64(_BASE) + h[k : k + len(out)]
+        out = mix(out) + h[k : k + len(out)]
     return mix(out)

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from words_of import words
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from util import assert_same
 
 from barloom.llm import chat, ctw, decontaminate, exact_dedup, lines, mixing, quality, simhash, substring, warc
-from barloom.llm.common import scratch
+from barloom.llm.common import scratch, texts_of
 from barloom.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -285,7 +286,7 @@ def brute_substrings(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("tree_rows", [512, 1])
+@pytest.mark.parametrize("tree_rows", [512, 6, 1])
 def test_substring_dedup(spark, docs, clashing, empty, tree_rows, monkeypatch):
     monkeypatch.setattr(substring, "TREE_ROWS", tree_rows)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -298,6 +299,29 @@ def test_substring_dedup(spark, docs, clashing, empty, tree_rows, monkeypatch):
     assert got == brute_substrings(texts, 11)
 
 
+def thue_morse(n):
+    """Two different words of 2^n letters that polynomial hashes with an odd base modulo 2^64 cannot tell apart from n = 10 on."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_simple_hashes_confuse(spark):
+    a, b = thue_morse(12)
+    shared = " ".join(f"w{k}" for k in range(40))
+    rows = [(0, f"{a} {shared}"), (1, f"{b} {shared}"), (2, f"{a} x y"), (3, f"{b} x z")]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove(df).collect())
+    assert got == brute_substrings(rows, 35) and {r[2] for r in got} == {40, 0}
+    bench = spark.createDataFrame([("i", f"{a} w0")], "item_id STRING, text STRING")
+    assert {r.doc_id: len(r.spans) for r in decontaminate.find(df, bench).collect()} == {0: 1, 1: 0, 2: 0, 3: 0}
+    known = {r.doc_id: r.n_known for r in ctw.score(df, F.col("doc_id") == 2).collect()}
+    assert known == {0: 2, 1: 1, 2: 4, 3: 2}
+    h = quality.Words(*texts_of(pa.array([f"{a} {b}"]))).hashes()
+    assert h[0] != h[1]
+
+
 def test_substring_query(spark):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op8_substring_dedup"](spark, SMALL).collect())
     assert got == Counter((i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in brute_substrings(small_documents(spark), 35))
