@@ -97,11 +97,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = now.select(F.col("a").alias("v"), F.col("b").alias("a")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        # A hub may have very many neighbours.
+        large = lookup(now.select(F.col("a").alias("v"), F.col("b").alias("a")), "a", "v", least).select(F.col("v").alias("a"), F.col("m").alias("b"))
         # In a star around b, a > b goes to b's least neighbour; small star: all not above a node go to the least.
         large = large.where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = lookup(large, "a", "b", least).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = cut(small.select("e.a", "e.b").where("a > b").distinct(), "edges")
         seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
