@@ -2,10 +2,13 @@
 
 A text is its lower-cased (A-Z) words, one space between two, and an end. Each byte is eight binary decisions; each
 decision has a tree over contexts of 0 to DEPTH preceding bytes, whose nodes hold Krichevsky-Trofimov estimates, and
-the weighted mixture of all depths gives its probability. Counts of byte runs are summed over the corpus in Spark;
-trees are worked out in tasks that hold all runs with the same two latest context bytes. Code lengths of the most
-frequent runs, in a table of a bounded size, are looked up where the texts lie; only what is not in that table is
-joined with the rest of them by shuffles.
+the weighted mixture of all depths gives its probability. Counts of byte runs are summed over the corpus in Spark.
+Trees are worked out in pieces: tasks with all runs of the same NEAR latest context bytes hold the deepest two levels,
+tasks with all nodes of the same two bytes the next two, and the driver the first two (65,280 nodes at most). A node's
+weight is a sum over the nodes below, so each piece passes sums up, and what a decision has gathered from the root is
+passed down, by joins in which a node meets 256 others at most: no byte pair, however frequent, is one task. Code
+lengths of the most frequent runs, in a table of a bounded size, are looked up where the texts lie; only what is not in
+that table is joined with the rest of them by shuffles.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import LOWER, NOT_SPACE, SLICE_BYTES, Words, cut, lookup, map_in_arrow, slices, texts_of
+from barloom.llm.common import LOWER, NOT_SPACE, SLICE_BYTES, Words, cut, discard, lookup, map_in_arrow, slices, texts_of
 
 #: Context bytes. A run of DEPTH + 1 bytes is packed in 64 bits.
 DEPTH = 5
+#: Latest context bytes by which runs are dealt to tasks: at most 65,536 runs share them.
+NEAR = 4
 #: Most entries of a lookup table that is broadcast (16 bytes each).
 HEAD_ROWS = 1 << 20
 #: Byte runs whose trees one task should work out.
@@ -182,62 +187,122 @@ def levels(packed: np.ndarray, counts: np.ndarray, to: int) -> list[Level]:
     return out[::-1]
 
 
-def log10_run(packed: np.ndarray, trees: list[Level]) -> np.ndarray:
+def descend(keys: np.ndarray, level: Level, p: np.ndarray, total: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What decisions have gathered once a level's nodes `keys` are passed: probability of a one, own shares so far, what is left.
+
+    Each node gives its own estimate its weight and leaves the rest to the next depth; the deepest node that training
+    reached takes all that is left, so the probabilities of all bytes sum to one.
+    """
+    at = level.at(keys)
+    seen = (level.zeros + level.ones)[at] > 0
+    estimate, own = level.estimate[at], level.own[at]
+    return np.where(seen, total + left * estimate, p), total + np.where(seen, left * own * estimate, 0), left * np.where(seen, 1 - own, 1)
+
+
+def log10_run(packed: np.ndarray, trees: list[Level], depth: int = 0, above: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
     """log10 of the mixture's probability of each run's last byte after its context.
 
-    From the root, each node gives its own estimate its weight and leaves the rest to the next depth; the deepest node
-    that training reached takes all that is left, so the probabilities of all bytes sum to one.
+    trees: levels from `depth` on; above: for each run and decision what the levels above have gathered.
     """
     prefix, bit = _nodes(packed)
-    p, sum_, left = np.full(bit.shape, 0.5), np.zeros(bit.shape), np.ones(bit.shape)
-    for depth, level in enumerate(trees):
-        at = level.at(_keys(packed, prefix, depth))
-        seen = (level.zeros + level.ones)[at] > 0
-        estimate, own = level.estimate[at], level.own[at]
-        p = np.where(seen, sum_ + left * estimate, p)
-        sum_ = sum_ + np.where(seen, left * own * estimate, 0)
-        left = left * np.where(seen, 1 - own, 1)
-    return np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
+    state = above or (np.full(bit.shape, 0.5), np.zeros(bit.shape), np.ones(bit.shape))
+    for k, level in enumerate(trees, depth):
+        state = descend(_keys(packed, prefix, k), level, *state)
+    return np.log10(np.where(bit == 1, state[0], 1 - state[0])).sum(axis=1)
+
+
+LONG, DOUBLE = T.LongType(), T.DoubleType()
+NODE = T.StructType([T.StructField("key", LONG), *(T.StructField(c, DOUBLE) for c in ("zeros", "ones", "below"))])
+STATE = T.StructType([T.StructField("key", LONG), *(T.StructField(c, DOUBLE) for c in ("p", "total", "left"))])
+COST = T.StructType([T.StructField("key", LONG), T.StructField("n", LONG), T.StructField("value", DOUBLE)])
+
 
+def _sum_to(keys: np.ndarray, depth: int, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of the nodes of that depth above nodes of the next, in order, and sums of the columns."""
+    context = (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+    up, inverse = np.unique((context << np.uint64(8)) | (keys & np.uint64(0xFF)), return_inverse=True)
+    return up, *(np.bincount(inverse, x, len(up)) for x in columns)
 
-TOP = T.StructType([T.StructField("key", T.LongType()), T.StructField("zeros", T.DoubleType()), T.StructField("ones", T.DoubleType()), T.StructField("below", T.DoubleType())])
-COST = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("value", T.DoubleType())])
+
+def _batch(keys: np.ndarray, columns: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, columns)], names)
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    some = [b for b in batches if len(b)]
+    t = pa.Table.from_batches(some) if some else None
+    return t and {c: t[c].to_numpy() for c in t.schema.names}
 
 
 def code_lengths(run_counts: DataFrame, parts: int) -> DataFrame:
     """key, n, value: each byte run's log10 probability of its last byte; run_counts: key, n."""
-    shared = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = run_counts.select("key", "n").repartition(parts, shared)
-
-    def load(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        held = [(b["key"].to_numpy(), b["n"].to_numpy()) for b in batches]
-        if not held:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate([k for k, _ in held]).view(np.uint64), np.concatenate([n for _, n in held])
+    context = lambda c, n: F.shiftright(c, 8).bitwiseAND(F.lit((1 << 8 * n) - 1))
+    parent = F.shiftleft(context("key", NEAR - 1), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(0xFF)))
+    dealt = run_counts.select(context("key", NEAR).alias("near"), "key", "n").repartition(parts, "near")
+
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (t := _columns(batches)) is None:
+            return
+        level = levels(t["key"].view(np.uint64), t["n"], NEAR)[0]
+        yield _batch(level.keys, (level.zeros, level.ones, level.log_weighted), NODE.names)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> tuple[Level, Level] | None:
+        """The levels of depth 2 and 3 of all contexts with some two latest bytes."""
+        if (t := _columns(batches)) is None:
+            return None
+        keys = t["key"].view(np.uint64)
+        order = np.argsort(keys)
+        three = Level(keys[order], *(t[c][order] for c in NODE.names[1:]))
+        return Level(*_sum_to(three.keys, 2, three.zeros, three.ones, three.log_weighted)), three
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, n = load(batches)
-        level = levels(packed, n, 2)[0]
-        keys, inverse = np.unique(level.keys & np.uint64(0xFFFF), return_inverse=True)
-        # The key of depth 1: the latest context byte and the bits so far.
-        byte = (level.keys >> np.uint64(8)) & np.uint64(0xFF)
-        keys, inverse = np.unique((byte << np.uint64(8)) | (level.keys & np.uint64(0xFF)), return_inverse=True)
-        sums = [np.bincount(inverse, x, len(keys)) for x in (level.zeros, level.ones, level.log_weighted)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], TOP.names)
-
+        if (held := pair(batches)) is None:
+            return
+        two = held[0]
+        keys, *sums = _sum_to(two.keys, 1, two.zeros, two.ones, two.log_weighted)
+        yield _batch(keys, tuple(sums), NODE.names)
+
+    nodes = cut(map_in_arrow(dealt.drop("near"), deep, NODE), "nodes")
+    third = nodes.groupBy(parent.alias("key")).agg(*(F.sum(c).alias(c) for c in NODE.names[1:]))
+    third = cut(third, "nodes")
     # At most 256 contexts with 255 nodes each.
-    first = map_in_arrow(dealt, tops, TOP).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).orderBy("key").toArrow()
-    one = Level(first["key"].to_numpy().view(np.uint64), *(first[c].to_numpy() for c in ("zeros", "ones", "below")))
-    keys, inverse = np.unique(one.keys & np.uint64(0xFF), return_inverse=True)
-    root = Level(keys, *(np.bincount(inverse, x, len(keys)) for x in (one.zeros, one.ones, one.log_weighted)))
+    paired = third.repartition(parts, context("key", 2))
+    first = map_in_arrow(paired, tops, NODE).groupBy("key").agg(*(F.sum(c).alias(c) for c in NODE.names[1:])).orderBy("key").toArrow()
+    one = Level(first["key"].to_numpy().view(np.uint64), *(first[c].to_numpy() for c in NODE.names[1:]))
+    root = Level(*_sum_to(one.keys, 0, one.zeros, one.ones, one.log_weighted))
     head = run_counts.sparkSession.sparkContext.broadcast([root, one])
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (held := pair(batches)) is None:
+            return
+        keys = held[1].keys
+        state = np.full(len(keys), 0.5), np.zeros(len(keys)), np.ones(len(keys))
+        for depth, level in enumerate([*head.value, *held]):
+            within = (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+            state = descend((within << np.uint64(8)) | (keys & np.uint64(0xFF)), level, *state)
+        yield _batch(keys, state, STATE.names)
+
+    # What is gathered down to depth 3, for each node of depth 4 below.
+    above = map_in_arrow(paired, gathered, STATE).withColumnRenamed("key", "parent")
+    above = nodes.select("key", parent.alias("parent")).join(above, "parent").select(context("key", NEAR).alias("near"), "key", *STATE.names[1:])
+    both = run_counts.select(context("key", NEAR).alias("near"), "key", "n").unionByName(above, allowMissingColumns=True)
+
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, n = load(batches)
-        value = log10_run(packed, [*head.value, *levels(packed, n, 2)])
+        if (t := _columns(batches)) is None:
+            return
+        is_run = ~np.isnan(t["n"].astype(float))
+        packed, n = t["key"].view(np.uint64)[is_run], t["n"][is_run].astype(np.int64)
+        held = t["key"].view(np.uint64)[~is_run]
+        order = np.argsort(held)
+        at = np.searchsorted(held[order], _keys(packed, _nodes(packed)[0], NEAR))
+        value = log10_run(packed, levels(packed, n, NEAR), NEAR, tuple(t[c][~is_run][order][at] for c in STATE.names[1:]))
         yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(n), pa.array(value)], COST.names)
 
-    return map_in_arrow(dealt, costs, COST)
+    dealt = both.repartition(parts, "near").drop("near")
+    lengths = cut(map_in_arrow(dealt, costs, COST), "lengths")
+    discard(nodes, third)
+    head.unpersist()
+    return lengths
 
 
 # Scoring --------------------------------------------------------------------------------------------------------
@@ -361,7 +426,7 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     total, kinds = words + ends, distinct + (ends > 0)
     all_runs = counts.where(F.col("kind") == RUN)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-all_runs.count() // TREE_ROWS))
-    lengths = cut(code_lengths(all_runs, parts), "lengths")
+    lengths = code_lengths(all_runs, parts)
     vocabulary = counts.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("n") + 1.0).alias("value"))
     (some_words, other_words), (some_runs, other_runs) = split(vocabulary), split(lengths)
     new = {"n_tokens", "n_known", "train_tokens", "base_score", "score"}

@@ -418,6 +418,52 @@ def test_language_model(docs, clashing, empty, head, monkeypatch):
     assert math.isclose(none.score, -8 * len("one two three\n") * math.log10(2), rel_tol=1e-9) and none.train_tokens == 0
 
 
+def brute_ctw(texts, learned):
+    """log10 probability of each text: every decision walks its contexts from the root, nodes weighed as in context-tree weighting."""
+    d, stream = ctw.DEPTH, lambda t: b"\n" * ctw.DEPTH + b" ".join("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split(None)) + b"\n"
+    decisions = lambda t: [(stream(t)[k - d : k], f"{stream(t)[k]:08b}"[:j], int(f"{stream(t)[k]:08b}"[j])) for k in range(d, len(stream(t))) for j in range(8)]
+    counts = defaultdict(lambda: [0, 0])
+    for t in learned:
+        for ctx, prefix, bit in decisions(t):
+            for k in range(d + 1):
+                counts[ctx[d - k :], prefix][bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    children = defaultdict(list)
+    for ctx, prefix in counts:
+        if ctx:
+            children[ctx[1:], prefix].append((ctx, prefix))
+    weighted, own = {}, {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        mine = kt(*counts[node])
+        weighted[node] = mine if len(node[0]) == d else np.logaddexp(mine, sum(weighted[c] for c in children[node])) - math.log(2)
+        own[node] = 1.0 if len(node[0]) == d else math.exp(mine - math.log(2) - weighted[node])
+    out = []
+    for t in texts:
+        score = 0.0
+        for ctx, prefix, bit in decisions(t):
+            p, total, left = 0.5, 0.0, 1.0
+            for k in range(d + 1):
+                node = ctx[d - k :], prefix
+                if node not in counts:
+                    break
+                a, b = counts[node]
+                e = (b + 0.5) / (a + b + 1)
+                p, total, left = total + left * e, total + left * own[node] * e, left * (1 - own[node])
+            score += math.log10(p if bit else 1 - p)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("head", [ctw.HEAD_ROWS, 20])
+def test_scores_are_those_of_the_trees(spark, head, monkeypatch):
+    """Whole texts, training and held out, through every piece of the trees and both ways of looking up."""
+    monkeypatch.setattr(ctw.split, "__defaults__", (head,))
+    texts = ["the cat sat on the mat", "The cat  ate\tthe rat", "a dog sat on the log", None, "", "Ünï thé cat", "the the the the the the", "zebra quilts", "the mat sat on the cat", "other ends and other means"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    got = {r.doc_id: r.score for r in ctw.score(df, F.col("doc_id") < 7).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], brute_ctw(texts, texts[:7]), rtol=1e-9)
+
+
 def test_context_trees_are_a_distribution():
     """Probabilities of all bytes after any context sum to one, and match a direct context-tree mixture."""
     rng = np.random.default_rng(2)
