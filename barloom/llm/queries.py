@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +9,12 @@ from barloom.llm.common import table
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.llm.exact_dedup import DigestIndex
+    from barloom.llm.exact_dedup import scratch_index
 
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(table(spark, sf_dir, "documents"))
+    index = scratch_index(spark)
+    out = index.add(table(spark, sf_dir, "documents"), "documents")
+    index.drop()
+    return out
 
 
 OP3_SQL = r"""
