@@ -1,182 +1,256 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Each task builds suffix arrays of the words of its rows, a shard of some MB at a time, and binary-searches every suffix
-of every benchmark item in it, cut at the window. Longest matches and their places in items are not worked out. Matches of a whole window (10 words, or an item of fewer) mark document words. The
-benchmark is sent to the tasks in blocks of a bounded size; documents are never shuffled.
+Each task builds the suffix array of the words of its rows, a shard of some MB at a time, and binary-searches every
+suffix of the benchmark that has a whole window (10 words, or an item of fewer) in it: the range of suffixes that begin
+with the window are its occurrences. Where one begins, the document's suffix is searched in the suffix array of the
+benchmark, which gives the longest verbatim match there, its item and place. The benchmark is sent to the tasks in
+blocks of a bounded size, one after another; documents are never shuffled for one block.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import ALNUM, LOWER, Words, map_in_arrow, mix, slices, texts_of
+from barloom.llm.common import ALNUM, LOWER, Words, cut, discard, map_in_arrow, slices, texts_of
 
-#: UTF-8 bytes of benchmark text in a block, which is broadcast.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text in a block, which is broadcast (about 12 bytes for each, and 60 while it is made).
+BLOCK_BYTES = 4 << 20
 
 
-class Windows:
-    """Suffixes of benchmark items, cut at `size` words, and which items hold each distinct one that is a window."""
+def suffix_array(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places in order of their suffixes, by word hashes; an end comes before any word. Equal suffixes are in order of place.
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
-        data, at = texts_of(pa.array([text for _, text in items], pa.string()))
-        words = Words(data, at, ALNUM, LOWER)
-        h, ids = words.hashes(), [str(i) for i, _ in items]
-        self.size, found = size, {}
-        for row, (first, n) in enumerate(zip(words.first[:-1].tolist(), words.count.tolist(), strict=True)):
-            w = h[first : first + n].tolist()
-            for k in range(max(1, n - size + 1) if n else 0):
-                found.setdefault(tuple(w[k : k + size]), set()).add(ids[row])
-        self.items = [sorted(s) for s in found.values()]
-        self.length = np.array([len(w) for w in found], int)
-        self.words = np.zeros((len(found), size), np.uint64)
-        for i, w in enumerate(found):
-            self.words[i, : len(w)] = w
+    h: word hashes; last: for each place, the words from it to its text's end. Ranks by 1, 2, 4 ... words, until they
+    no longer change.
+    """
+    n = len(h)
+    kinds, rank = np.unique(h, return_inverse=True)
+    rank, seen, k = rank.ravel().astype(np.int64) + 1, len(kinds), 1
+    order = np.argsort(rank, kind="stable")
+    while k < last.max(initial=0) and seen < n:
+        second = np.zeros(n, np.int64)
+        far = np.flatnonzero(last > k)
+        second[far] = rank[far + k]
+        key = rank * (n + 1) + second
+        order = np.argsort(key, kind="stable")
+        step = np.append(True, key[order][1:] != key[order][:-1])
+        rank[order] = np.cumsum(step)
+        if (now := int(step.sum())) == seen:
+            break
+        seen, k = now, 2 * k
+    return order
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a >> np.uint64(32) << np.uint64(32)) | (b >> np.uint64(32))
+class Suffixes:
+    """A text of words (hashes, words to the end of each) with its suffix array; ranges of it are narrowed word by word."""
 
+    def __init__(self, h: np.ndarray, last: np.ndarray):
+        self.h, self.last, self.order = h, last, suffix_array(h, last)
+        self.heads = h[self.order]
 
-def matches(h: np.ndarray, last: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """All (place, window) where a window's words begin at a place of the shard.
+    def first(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of suffixes that begin with each word."""
+        return np.searchsorted(self.heads, word, "left"), np.searchsorted(self.heads, word, "right")
+
+    def narrow(self, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Within each range, whose suffixes agree in `depth` words, those that go on with the word: binary search."""
+
+        def bound(before: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+            a, b = lo.copy(), hi.copy()
+            while len(live := np.flatnonzero(a < b)):
+                mid = (a[live] + b[live]) // 2
+                at = self.order[mid]
+                ends = self.last[at] <= depth
+                less = ends | before(self.h[np.where(ends, 0, at + depth)], word[live])
+                a[live[less]], b[live[~less]] = mid[less] + 1, mid[~less]
+            return a
+
+        return bound(np.less), bound(np.less_equal)
+
+
+class Items:
+    """A block of benchmark items: suffix array, distinct windows (a place and length each) and the items of each."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
+        items = sorted(items, key=lambda x: (x[0] is None, str(x[0]), x[1] or ""))
+        words = Words(*texts_of(pa.array([text for _, text in items], pa.string())), ALNUM, LOWER)
+        self.size, self.ids, self.row, self.begin = size, [None if i is None else str(i) for i, _ in items], words.row, words.first[:-1]
+        self.suffixes = Suffixes(words.hashes(), words.first[1:][words.row] - np.arange(len(words.row)))
+        last = self.suffixes.last
+        whole = words.first[:-1][(words.count > 0) & (words.count < size)]
+        at = np.concatenate([self.suffixes.order[last[self.suffixes.order] >= size], whole])
+        length = np.minimum(last[at], size)
+        held = np.zeros((len(at), size + 1), np.uint64)
+        held[:, size] = length
+        for k in range(size):
+            far = length > k
+            held[far, k] = self.suffixes.h[at[far] + k]
+        _, one, window = np.unique(held, axis=0, return_index=True, return_inverse=True)
+        self.at, self.length = at[one], length[one]
+        # Windows in order, the items of each without repeats.
+        pair = np.unique(np.stack([window.ravel(), words.row[at]]), axis=1) if len(at) else np.zeros((2, 0), int)
+        self.of, self.edges = pair[1], np.searchsorted(pair[0], np.arange(len(one) + 1))
+
+    def occurrences(self, shard: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """All (place in the shard, window)."""
+        live = np.arange(len(self.at))
+        lo, hi = shard.first(self.suffixes.h[self.at])
+        places, found, depth = [np.zeros(0, int)], [np.zeros(0, int)], 1
+        while True:
+            some = hi > lo
+            live, lo, hi = live[some], lo[some], hi[some]
+            done = self.length[live] == depth
+            n = (hi - lo)[done]
+            places.append(shard.order[np.repeat(lo[done] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, int))
+            found.append(np.repeat(live[done], n))
+            live, lo, hi = live[~done], lo[~done], hi[~done]
+            if not len(live):
+                return np.concatenate(places), np.concatenate(found)
+            lo, hi = shard.narrow(lo, hi, depth, self.suffixes.h[self.at[live] + depth])
+            depth += 1
+
+    def longest(self, shard: Suffixes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the shard the length of the longest match with any item, and where in the block it begins."""
+        length, at = np.zeros(len(places), int), np.zeros(len(places), int)
+        live, depth = np.arange(len(places)), 0
+        lo, hi = self.suffixes.first(shard.h[places])
+        while True:
+            some = hi > lo
+            live, lo, hi = live[some], lo[some], hi[some]
+            depth += 1
+            length[live], at[live] = depth, self.suffixes.order[lo]
+            on = shard.last[places[live]] > depth
+            live, lo, hi = live[on], lo[on], hi[on]
+            if not len(live):
+                return length, at
+            lo, hi = self.suffixes.narrow(lo, hi, depth, shard.h[places[live] + depth])
 
-    h: word hashes of the shard; last: for each place, the words from it to its document's end. The suffix array is in
-    order of the first two words; the range of a window's suffix is found by binary search, and only ranges that some
-    window falls in are put in order by each further word, down to the window's length.
-    """
-    if not len(h) or not len(windows.length):
-        return np.zeros(0, int), np.zeros(0, int)
-    second = np.where(last > 1, np.append(h[1:], np.uint64(0)), np.uint64(0))
-    keys = _pair(h, second)
-    order = np.argsort(keys)
-    keys = keys[order]
-    places, found = [], []
-
-    def take(at: np.ndarray, window: np.ndarray) -> None:
-        places.append(at)
-        found.append(window)
-
-    for w in np.flatnonzero(windows.length == 1):  # a range of the first word alone
-        first = windows.words[w, 0]
-        lo = np.searchsorted(keys, first >> np.uint64(32) << np.uint64(32), "left")
-        hi = np.searchsorted(keys, first | np.uint64(0xFFFFFFFF), "right")
-        at = order[lo:hi]
-        at = at[h[at] == first]
-        take(at, np.full(len(at), w))
-
-    live = np.flatnonzero(windows.length > 1)
-    query = _pair(windows.words[live, 0], windows.words[live, 1])
-    names, group = np.unique(query, return_inverse=True)
-    # Windows of a group begin with the same words, as do the suffixes of its range.
-    lo, hi = np.searchsorted(keys, names, "left"), np.searchsorted(keys, names, "right")
-    runs = hi - lo
-    at = order[np.repeat(lo - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())]
-    own = np.repeat(np.arange(len(names)), runs)
-    one = np.zeros(len(names), int)
-    one[group] = live
-    right = (last[at] > 1) & (h[at] == windows.words[one[own], 0]) & (second[at] == windows.words[one[own], 1])
-    at, own = at[right], own[right]
-    for depth in range(2, windows.size + 1):
-        done = windows.length[live] == depth
-        if done.any():
-            of = np.full(len(names), -1)
-            of[group[done]] = live[done]
-            hit = of[own] >= 0
-            take(at[hit], of[own[hit]])
-            live, group = live[~done], group[~done]
-        if not len(live) or not len(at) or depth == windows.size:
-            break
-        far = last[at] > depth
-        at, own = at[far], own[far]
-        fine = mix(h[at + depth] + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        names, group = np.unique(mix(windows.words[live, depth] + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
-        sort = np.argsort(fine)
-        fine, at = fine[sort], at[sort]
-        lo, hi = np.searchsorted(fine, names, "left"), np.searchsorted(fine, names, "right")
-        runs = hi - lo
-        at = at[np.repeat(lo - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())]
-        own = np.repeat(np.arange(len(names)), runs)
-    return np.concatenate([np.zeros(0, int), *places]), np.concatenate([np.zeros(0, int), *found])
 
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
+MATCH = T.StructType([*SPAN.fields, T.StructField("item", T.StringType()), T.StructField("item_start", T.IntegerType())])
+N_WORDS = T.StructField("n_words", T.LongType())
+HITS = [T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(MATCH))]
 
-def _spans(hit: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
+def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
+    """values, in order of row, as a list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
 
-FOUND = T.StructType([
-    T.StructField("n_words", T.LongType()),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))),
-    T.StructField("items", T.ArrayType(T.StringType())),
-])
+
+def _hits(words: Words, items: Items) -> list[pa.Array]:
+    """HITS of each row."""
+    rows, h = len(words.count), words.hashes()
+    shard = Suffixes(h, words.first[1:][words.row] - np.arange(len(h)))
+    places, found = items.occurrences(shard)
+    cover = np.zeros(len(h) + 1, np.int64)
+    np.add.at(cover, places, 1)
+    np.add.at(cover, places + items.length[found], -1)
+    # Rows are apart, also where one ends and the next begins with hits.
+    hit = np.cumsum(cover)[:-1] > 0
+    start = np.flatnonzero(hit & (np.append(False, ~hit[:-1]) | np.append(True, words.row[1:] != words.row[:-1])[: len(h)]))
+    end = np.flatnonzero(hit & (np.append(~hit[1:], True) | np.append(words.row[1:] != words.row[:-1], True)[: len(h)])) + 1
+    place = lambda at: pa.array((at - words.first[words.row[at]]).astype(np.int32))
+    spans = pa.StructArray.from_arrays([place(start), pa.array((end - start).astype(np.int32))], SPAN.names)
+
+    row, window = np.unique(np.stack([words.row[places], found]), axis=1) if len(places) else (np.zeros(0, int),) * 2
+    n = np.diff(items.edges)[window]
+    item = items.of[np.repeat(items.edges[window] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if len(window) else np.zeros(0, int)
+    owner = np.repeat(row, n)
+    # Items are in order of their ids.
+    pair = np.unique(np.stack([owner, item]), axis=1) if len(item) else np.zeros((2, 0), int)
+    names = [items.ids[i] for i in pair[1].tolist()]
+    first = [k == 0 or names[k] != names[k - 1] or pair[0][k] != pair[0][k - 1] for k in range(len(names))]
+    names, owner = [x for x, f in zip(names, first, strict=True) if f], pair[0][np.array(first, bool)]
+
+    at = np.unique(places)
+    length, of = items.longest(shard, at)
+    # A match within an earlier one of its row is not its own.
+    reach = np.maximum.accumulate(at + length) if len(at) else at
+    own = np.flatnonzero(np.append(True, (at + length)[1:] > reach[:-1])[: len(at)] | np.append(True, words.row[at[1:]] != words.row[at[:-1]])[: len(at)])
+    at, length, of = at[own], length[own], of[own]
+    matches = pa.StructArray.from_arrays([
+        place(at), pa.array(length.astype(np.int32)), pa.array([items.ids[i] for i in items.row[of].tolist()], pa.string()), pa.array((of - items.begin[items.row[of]]).astype(np.int32)),
+    ], MATCH.names)
+    return [_lists(words.row[start], rows, spans), _lists(owner, rows, pa.array(names, pa.string())), _lists(words.row[at], rows, matches)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, clean_only: bool = False) -> DataFrame:
-    """docs with n_words, spans (runs of document words inside an occurrence of a window: start, length; items
-    copied side by side, or overlapping windows, make one run that may be verbatim in none) and items (ids of the items with occurring windows, sorted as strings).
+    """docs with n_words, spans, items and matches.
+
+    spans: runs of document words inside an occurrence of a window (start, length). items: ids of the items with
+    occurring windows, sorted as strings, a null id last. matches: the longest verbatim match from each place where a
+    window occurs, but those within an earlier one: start, length, item, item_start; of several items with the same
+    longest match one is named.
 
     A window is `size` consecutive words of an item, or a whole item of fewer but some. Words are lower-cased (A-Z)
     runs of digits, letters and characters beyond ASCII. Null and empty texts have no words. A benchmark without words
-    marks nothing. Each row is judged alone, so repeated rows get equal results; a null item id is named "None".
-    Columns of docs named as one of the new ones are replaced. clean_only: drop rows with a span instead, and add no columns.
+    marks nothing. Each row is judged alone, so repeated rows get equal results. Columns of docs named as one of the
+    new ones are replaced. clean_only: drop rows with a span instead, and add no columns.
     """
-    spark = docs.sparkSession
-    lot = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"))
+    lot = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).distinct()
     total = lot.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
-    out = docs if clean_only else docs.drop(*FOUND.names)
+    docs = docs if clean_only else docs.drop(N_WORDS.name, *(f.name for f in HITS))
+    if blocks == 1:
+        return _judged(docs, _sent(lot, size), text, clean_only)
+    # One block after another; what each finds is small and meets the rows by two hashes of the text at the end.
+    key = ["_barloom_t1", "_barloom_t2"]
+    held = docs.withColumns({key[0]: F.xxhash64(F.col(text)), key[1]: F.xxhash64(F.lit(1), F.col(text))})
+    slim, found = held.select(*key, F.col(text).alias("text")), []
     for k in range(blocks):
-        part = lot.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        windows = spark.sparkContext.broadcast(Windows([(r["id"], r["text"]) for r in part.collect()], size))
-        out = _pass(out, windows, text, clean_only, k > 0)
-    return out
+        items = _sent(lot.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k), size)
+        found.append(cut(_judged(slim, items, "text", False).where(F.size("spans") > 0).drop("text", N_WORDS.name), "hits"))
+        items.unpersist()
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    if clean_only:
+        return held.join(hits, key, "left_anti").drop(*key)
+    hits = cut(hits.groupBy(*key).agg(*(F.flatten(F.collect_list(f.name)).alias(f.name) for f in HITS)), "hits")
+    discard(*found)
+    none = lambda f: F.coalesce(f.name, F.array().cast(f.dataType))
+    names = {"spans": _union(none(HITS[0])), "items": F.array_sort(F.array_distinct(none(HITS[1]))), "matches": _widest(none(HITS[2]))}
+    n_words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return held.join(hits, key, "left").select(*docs.columns, n_words.alias(N_WORDS.name), *(c.alias(n) for n, c in names.items()))
 
 
-def _pass(docs: DataFrame, windows, text: str, clean_only: bool, later: bool) -> DataFrame:
-    """One block of the benchmark against all rows; later: rows already hold what earlier blocks found."""
-    schema = docs.schema if clean_only or later else T.StructType([*docs.schema.fields, *FOUND.fields])
+def _union(spans: Column) -> Column:
+    """Spans of which none overlap or touch."""
+    end = lambda s: s["start"] + s["length"]
+    grown = lambda out, s: F.struct(F.element_at(out, -1)["start"].alias("start"), (F.greatest(end(F.element_at(out, -1)), end(s)) - F.element_at(out, -1)["start"]).alias("length"))
+    step = lambda out, s: F.when((F.size(out) > 0) & (s["start"] <= end(F.try_element_at(out, F.lit(-1)))), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown(out, s)))).otherwise(F.concat(out, F.array(s)))
+    return F.aggregate(F.sort_array(spans), F.array().cast(HITS[0].dataType), step)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
 
+def _widest(matches: Column) -> Column:
+    """Matches that are not within an earlier one, the longest first of those from one place."""
+    keyed = F.transform(matches, lambda m: F.struct(m["start"].alias("a"), (-m["length"]).alias("b"), m["item"].alias("c"), m["item_start"].alias("d")))
+    step = lambda s, m: F.when(m["a"] - m["b"] > s["reach"], F.struct((m["a"] - m["b"]).alias("reach"), F.concat(s["out"], F.array(F.struct(m["a"].alias("start"), (-m["b"]).alias("length"), m["c"].alias("item"), m["d"].alias("item_start")))).alias("out"))).otherwise(s)
+    return F.aggregate(F.sort_array(keyed), F.struct(F.lit(-1).alias("reach"), F.array().cast(HITS[2].dataType).alias("out")), step, lambda s: s["out"])
+
+
+def _sent(lot: DataFrame, size: int):
+    return lot.sparkSession.sparkContext.broadcast(Items([(r["id"], r["text"]) for r in lot.collect()], size))
+
+
+def _judged(docs: DataFrame, items, text: str, clean_only: bool) -> DataFrame:
+    """One block of the benchmark against all rows."""
+    schema = docs.schema if clean_only else T.StructType([*docs.schema.fields, N_WORDS, *HITS])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            data, at = texts_of(batch[text])
-            words = Words(data, at, ALNUM, LOWER)
-            h = words.hashes()
-            places, found = matches(h, words.first[1:][words.row] - np.arange(len(h)), windows.value)
-            cover = np.zeros(len(h) + 1, np.int64)
-            np.add.at(cover, places, 1)
-            np.add.at(cover, places + windows.value.length[found], -1)
-            hit = np.cumsum(cover)[:-1] > 0
-            marked = np.unique(words.row[places])
+            words = Words(*texts_of(batch[text]), ALNUM, LOWER)
+            hits = _hits(words, items.value)
             if clean_only:
-                keep = np.ones(len(batch), bool)
-                keep[marked] = False
-                yield batch.filter(pa.array(keep))
-                continue
-            spans, items = [[] for _ in range(len(batch))], defaultdict(set)
-            for row, w in np.unique(np.stack([words.row[places], found]), axis=1).T.tolist():
-                items[row].update(windows.value.items[w])
-            for row in range(len(batch)):
-                own = hit[words.first[row] : words.first[row + 1]] if row in items else None
-                if later and len(before := batch["spans"][row]):
-                    own = np.zeros(words.count[row], bool) if own is None else own.copy()
-                    for s in before.as_py():
-                        own[s["start"] : s["start"] + s["length"]] = True
-                    items[row].update(batch["items"][row].as_py())
-                if own is not None:
-                    spans[row] = _spans(own)
-            own = [pa.array(words.count, pa.int64()), pa.array(spans, to_arrow_type(FOUND[1].dataType)), pa.array([sorted(items.get(r, ())) for r in range(len(batch))], pa.list_(pa.string()))]
-            held = batch.columns[: len(batch.columns) - 3 * later]
-            yield pa.RecordBatch.from_arrays([*held, *own], schema.names)
+                yield batch.filter(pa.array(np.diff(hits[0].offsets.to_numpy()) == 0))
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.count, pa.int64()), *hits], schema.names)
 
     return map_in_arrow(docs, work, schema)
 

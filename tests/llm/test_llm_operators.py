@@ -131,7 +131,7 @@ def test_line_dedup_is_that_of_all_pairs(spark):
 
 def test_exact_dedup(spark, docs, clashing, empty):
     index = exact_dedup.DigestIndex(spark, "index_of_tests", buckets=4)
-    got = index.add(docs).collect()
+    got = index.add(docs, "first").collect()
     assert len(got) == docs.count()
     by = defaultdict(list)
     for r in got:
@@ -139,11 +139,36 @@ def test_exact_dedup(spark, docs, clashing, empty):
     for g in by.values():
         least = min((r.doc_id for r in g if r.doc_id is not None), default=None)
         assert all(r.keep_id == least and r.group_size == len(g) and r.kept == (r.doc_id == least) for r in g)
-    again = index.add(spark.createDataFrame([(100, "one  two\nthree"), (101, "new"), (102, "new")], "doc_id LONG, text STRING")).collect()
+    again = index.add(spark.createDataFrame([(100, "one  two\nthree"), (101, "new"), (102, "new")], "doc_id LONG, text STRING"), "second").collect()
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in again} == {100: (4, 2, False), 101: (101, 2, True), 102: (101, 2, False)}
     assert index.read().count() == len(by) + 1
-    assert exact_dedup.DigestIndex(spark, "index_of_nothing").add(empty).count() == 0
+    assert exact_dedup.DigestIndex(spark, "index_of_nothing").add(empty, "x").count() == 0
     assert exact_dedup.dedup(clashing).count() == len(by)
+    assert exact_dedup.dedup(clashing).columns == clashing.columns and exact_dedup.dedup(empty).count() == 0
+    assert index.add(clashing, "third").where("kept").count() == 0
+
+
+def test_digest_index_is_safe_to_run_again(spark, tmp_path):
+    """A batch added twice gives the same result twice; a later session finds the folder; compaction leaves one file per bucket."""
+    at = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, "index_to_repeat", 4, at)
+    one, two = (spark.createDataFrame(r, "doc_id LONG, text STRING") for r in ([(1, "a"), (2, "a "), (3, "b'")], [(4, "a"), (5, "c"), (None, "c"), (6, "")]))
+    said = lambda df, batch: sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in index.add(df, batch).collect())
+    first = said(one, "it's one")
+    assert first == said(one, "it's one") == [("1", 1, 1, True), ("2", 2, 1, True), ("3", 3, 1, True)]
+    second = said(two, "two")
+    assert second == said(two, "two") == [("4", 1, 2, False), ("5", 5, 2, True), ("6", 6, 1, True), ("None", 5, 2, False)]
+    index.drop()
+    index.create()
+    assert index.read().count() == 5 and said(two, "two") == second
+    index.compact("all")
+    assert index.read().count() == 5 and {r.batch for r in spark.table(index.name).select("batch").collect()} == {"all"}
+    plan = index.read()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan, plan
+    assert said(one, "three") == [("1", 1, 2, False), ("2", 2, 2, False), ("3", 3, 2, False)]
+    with pytest.raises(ValueError):
+        index.compact("all")
+    index.drop()
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------------
@@ -168,12 +193,48 @@ def test_quality(spark, docs, clashing, empty):
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
+def brute_matches(w, items, starts):
+    """Longest common runs of words from each start, but those within an earlier one."""
+    out, reach = [], -1
+    for k in sorted(starts or ()):
+        n = 0
+        for x in items:
+            for j in range(len(x)):
+                m = 0
+                while k + m < len(w) and j + m < len(x) and w[k + m] == x[j + m]:
+                    m += 1
+                n = max(n, m)
+        if k + n > reach:
+            out.append((k, n))
+            reach = k + n
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_longest_matches(spark, block_bytes):
+    """Matches over 10 words, of items that overlap and that several documents copy, found in one block or many."""
+    item = [f"q{k}" for k in range(50)]
+    other = [*item[20:35], *(f"z{k}" for k in range(20))]
+    bench = spark.createDataFrame([("a", " ".join(item)), ("b", " ".join(other)), ("c", " ".join(item)), ("d", "short one"), (None, "null id")], "item_id STRING, text STRING")
+    texts = [["x", *item[5:40], "y"], [*item, *item], [*other[3:18], "mid", *item[:9], "short", "one"], [*item[20:35], "z0", "z1", "null", "id"], ["nothing"], [*item[:9]]]
+    docs = spark.createDataFrame([(k, " ".join(t).upper()) for k, t in enumerate(texts)], "doc_id LONG, text STRING")
+    got = {r.doc_id: r for r in decontaminate.find(docs, bench, block_bytes=block_bytes).collect()}
+    low = [[x.lower() for x in t] for t in texts]
+    held = [item, other, ["short", "one"], ["null", "id"]]
+    grams = {tuple(w[k : k + 10]) for w in held for k in range(max(1, len(w) - 9))}
+    for k, w in enumerate(low):
+        starts = {p for g in grams for p in range(len(w) - len(g) + 1) if tuple(w[p : p + len(g)]) == g}
+        assert [(m.start, m.length) for m in got[k].matches] == brute_matches(w, held, starts), k
+    assert [(m.start, m.length, m.item_start) for m in got[0].matches] == [(1, 35, 5)] and got[0]["items"] == ["a", "b", "c"]
+    assert got[3]["items"] == ["a", "b", "c", None] and [m.item for m in got[3].matches] == ["b", None]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 80])
 def test_decontamination(docs, clashing, empty, benchmark, block_bytes):
     def tokens(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
-    items = [(str(r.item_id), tokens(r.text)) for r in benchmark.collect()]
+    items = [(r.item_id, tokens(r.text)) for r in benchmark.collect()]
     windows = defaultdict(set)
     for i, w in items:
         for k in range(max(1, len(w) - 9) if w else 0):
@@ -187,7 +248,11 @@ def test_decontamination(docs, clashing, empty, benchmark, block_bytes):
                 if tuple(w[k : k + len(s)]) == s:
                     hit |= set(range(k, k + len(s)))
                     found |= windows[s]
-        assert (r.n_words, sum(s.length for s in r.spans), r["items"]) == (len(w), len(hit), sorted(found)), r.doc_id
+        assert (r.n_words, sum(s.length for s in r.spans), r["items"]) == (len(w), len(hit), sorted(found, key=lambda i: (i is None, i or ""))), r.doc_id
+        assert {k for s in r.spans for k in range(s.start, s.start + s.length)} == hit
+        assert [(m.start, m.length) for m in r.matches] == brute_matches(w, [x for _, x in items], hit and {k for s in windows for k in range(len(w) - len(s) + 1) if tuple(w[k : k + len(s)]) == s})
+        for m in r.matches:
+            assert any(i == m.item and x[m.item_start : m.item_start + m.length] == w[m.start : m.start + m.length] for i, x in items)
     assert decontaminate.find(empty, benchmark).count() == 0
     assert decontaminate.find(docs, benchmark.where("false")).where("size(spans) > 0").count() == 0
     assert decontaminate.decontaminate(docs, benchmark, block_bytes=block_bytes).count() == sum(not r.spans for r in got)
