@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.llm.common import lookup
+
 #: Neighbouring turn numbers that are rendered in one row.
 PART_TURNS = 64
 #: Turns of one part at most, where it is asked that parts be bounded (many turns with one number).
@@ -49,21 +51,26 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     are in order of turn number, role, MD5 of the text. The perspective's own turns are "assistant", all others
     "user name=<role>"; mask lists (start, length), in characters of the part's text, of what the assistant says, with
     its closing token and line end. Parts are blocks of turn numbers (0 to PART_TURNS - 1, and so on), numbered in
-    order; their texts joined in order are the dialogue. A block of more than `most` turns comes in parts of `most`
-    neighbouring turns, the last with the rest; with None each block is one part, as in OP1_SQL.
+    order; their texts joined in order are the dialogue. A block comes in parts of `most` neighbouring turns, the last
+    with the rest; with None each block is one part. No task holds more than a part, however long the conversation.
 
     Null ids are a conversation like any other; null turn numbers come last; a null role is named "" ; null and empty
     texts are turns without content; rows that repeat conversation, number, role and text are one turn; "<|" in roles
-    and texts is written "< |". A conversation of system turns alone has no participant and no row. Other columns do
+    and texts is written "< |", and a line end in a role is a space. A conversation of system turns alone has no participant and no row. Other columns do
     not matter.
     """
-    said = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), _plain(F.col(role)).alias("role"), _plain(F.col(text)).alias("text")).distinct()
+    named = F.translate(_plain(F.col(role)), "\r\n", "  ")
+    said = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), named.alias("role"), _plain(F.col(text)).alias("text")).distinct()
     said = said.withColumn("_order", F.md5(F.col("text").cast("binary"))).withColumn("_block", F.floor(F.col("turn") / PART_TURNS))
     said = said.withColumn("_piece", F.lit(0).cast("long")) if most is None else _pieces(said, most)
-    parts = said.groupBy("conv_id", "_block", "_piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "_order", "text"))).alias("turns"))
-    parts = parts.withColumn("part", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("_block").asc_nulls_last(), "_piece")) - 1)
-    people = said.where(~F.col("role").isin(*map(str, system))).select(F.col("conv_id").alias("_c"), F.col("role").alias("perspective")).distinct()
-    seen = parts.join(people, F.col("conv_id").eqNullSafe(F.col("_c")))
+    # Keys as structs, in which nulls are equal.
+    said = said.withColumns({"_conv": F.struct("conv_id"), "_part": F.struct("conv_id", "_block", "_piece")})
+    number = F.row_number().over(W.partitionBy("_conv").orderBy(F.col("_block").asc_nulls_last(), "_piece")) - 1
+    numbers = said.select("_conv", "_part", "_block", "_piece").distinct().select("_part", number.alias("part"))
+    turn_list = F.sort_array(F.collect_list(F.struct("turn", "role", "_order", "text"))).alias("turns")
+    parts = said.groupBy("_part", "_conv").agg(turn_list).join(numbers, "_part")
+    people = said.where(~F.col("role").isin(*map(str, system))).groupBy("_conv").agg(F.collect_set("role").alias("people"))
+    seen = lookup(parts, "_conv", "_part", people).withColumn("perspective", F.explode("people")).withColumn("conv_id", F.col("_conv.conv_id"))
 
     mine = lambda t: t["role"] == F.col("perspective")
     head = lambda t: F.concat(F.lit(OPEN), F.when(t["role"].isin(*map(str, system)), t["role"]).when(mine(t), "assistant").otherwise(F.concat(F.lit("user name="), t["role"])), F.lit("\n"))
