@@ -41,9 +41,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: float = 3
     more than epochs times its own. A source's rate is target / source_size: each of its rows is taken floor(rate)
     times, and the rest of the target is filled with one more repetition of rows in a seeded order, up to the row
     whose middle passes it. Taken words differ from the target by half a row at most. Reruns agree; rows that repeat
-    a doc_id follow each other by size. Empty and null texts have size 0 and are taken floor(rate) times, or
-    once more if their place in the order is before the end of the filling. Columns of docs named as one of the new ones
-    are replaced; others stay.
+    a doc_id follow each other by size. Empty and null texts have size 0 and are taken floor(rate) times; a capped
+    source's rows are taken exactly epochs times. Columns of docs named as one of the new ones are replaced; others stay.
 
     The seeded order is by MD5 of seed and doc_id. Its first two and next two hex digits are buckets, so running sums
     over a source, however large, are sums over 256 buckets, 256 parts of each, and the rows of one part.
@@ -73,5 +72,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: float = 3
     parts = parts.withColumn("_mix_at2", running("part_size", "_mix_source", "_mix_b1", by=["_mix_b2"])).join(buckets, ["_mix_source", "_mix_b1"])
     parts = parts.withColumn("_mix_at", F.col("_mix_at1") + F.col("_mix_at2")).select("_mix_source", "_mix_b1", "_mix_b2", "_mix_at", "source_size", "target", "_mix_whole", "_mix_rest")
     place = F.col("_mix_at") + running("size", "_mix_source", "_mix_b1", "_mix_b2", by=["_mix_hash", doc_id, "size"]) + F.col("size") / 2
-    mixed = rows.join(parts, ["_mix_source", "_mix_b1", "_mix_b2"]).withColumn("times", F.col("_mix_whole") + F.when(place <= F.col("_mix_rest"), 1).otherwise(0))
+    mixed = rows.join(parts, ["_mix_source", "_mix_b1", "_mix_b2"]).withColumn("times", F.col("_mix_whole") + F.when((F.col("size") > 0) & (F.col("_mix_rest") > 0) & (place <= F.col("_mix_rest")), 1).otherwise(0))
     return mixed.withColumn("taken", F.col("size") * F.col("times")).drop("_mix_source", "_mix_b1", "_mix_b2", "_mix_at", "_mix_hash", "_mix_whole", "_mix_rest")
