@@ -114,11 +114,18 @@ OUTLINE = T.StructType([
 TAKEN = T.StructType([T.StructField("sig", T.LongType()), T.StructField("other_sig", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 16) -> Iterator[pa.RecordBatch]:
+    """The same rows, so few at once that their lists of lines, made into Python objects, stay small."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
 def outlines(docs: DataFrame, least_words: int) -> DataFrame:
     """OUTLINE of docs (id, seq, words, often) that have a run of frequent lines; runs are by hash and places in the document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for d, h, seq, words, often in zip(*(batch[c].to_pylist() for c in ("d", "h", "seq", "words", "often")), strict=True):
                 often = set(often)
@@ -151,7 +158,7 @@ def left_over(held: DataFrame, lost: DataFrame, few: DataFrame, least_words: int
     both = both.join(some.select("sig", "lines", "words"), "sig").join(some.select(F.col("sig").alias("other_sig"), F.col("lines").alias("other")), "other_sig")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             b, a, n = (batch[c].to_pylist() for c in ("lines", "other", "words"))
             # A gap is like no line of the other document.
             taken = [blocks(patience(["gap" if v is None else v for v in x], y), w, least_words) for x, y, w in zip(a, b, n, strict=True)]
@@ -201,7 +208,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: in
     both = early.select("id", "other").join(seqs, "id").select("id.d", "id.h", "seq", "words", "other")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             b, a, n = (batch[c].to_pylist() for c in ("seq", "other", "words"))
             lost = [blocks(patience(x, y), w, least_words) for x, y, w in zip(a, b, n, strict=True)]
             some = np.flatnonzero([bool(x) for x in lost])
