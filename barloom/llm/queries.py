@@ -122,7 +122,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["length"])), ",")
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["length"])
-    return rotate(table(spark, sf_dir, "conversations"), most=None).select(
+    return rotate(table(spark, sf_dir, "conversations")).select(
         "conv_id", "perspective", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.length("text").cast("long").alias("n_chars"),
         masked.alias("n_masked"), spans.alias("mask"), F.sha2("text", 256).alias("text_sha256"),
     )
@@ -130,11 +130,13 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH s AS (
-  SELECT DISTINCT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+  SELECT DISTINCT conv_id, turn, replace(replace(replace(coalesce(role, ''), '<|', '< |'), chr(10), ' '), chr(13), ' ') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, role AS perspective FROM s WHERE role <> 'system'
+), b AS (
+  SELECT *, floor(turn / 64.0) AS block, (row_number() OVER (PARTITION BY conv_id, floor(turn / 64.0) ORDER BY turn, role, md5(text)) - 1) // 256 AS piece FROM s
 ), k AS (
-  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY floor(turn / 64.0)) - 1 AS part FROM s
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY block, piece) - 1 AS part FROM b
 ), r AS (
   SELECT k.*, perspective, role = perspective AS mine,
          '<|im_start|>' || CASE WHEN role = 'system' THEN role WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
@@ -163,15 +165,25 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     archive = Archive(spark, scratch(spark, "warc"))
     archive.write(table(spark, sf_dir, "pages"))
-    return archive.read().select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+    return archive.read().select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to",
+        F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"),
+    )
 
 
 OP6_SQL = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
-q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
-SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
-FROM q
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS b, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+r AS (SELECT *, CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, chr(13) || chr(10) AS e FROM q),
+w AS (
+  SELECT *, 'WARC/1.1' || e || 'WARC-Type: ' || CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || e
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || e
+    || CASE WHEN refers_to IS NULL THEN '' ELSE 'WARC-Refers-To: <urn:page:' || refers_to || '>' || e || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || e END
+    || 'WARC-Payload-Digest: sha1:' || h || e || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || CASE WHEN refers_to IS NULL THEN n ELSE 0 END || e || e
+    || CASE WHEN refers_to IS NULL THEN b ELSE '' END || e || e AS record FROM r
+)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, strlen(record) AS record_bytes, sha256(record) AS record_sha256
+FROM w
 """
 
 

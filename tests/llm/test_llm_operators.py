@@ -56,9 +56,10 @@ def test_long_chats_come_in_parts(spark):
 
 @pytest.mark.parametrize("n", [256, 257, 300])
 def test_crowded_chats_equal_sql(spark, tmp_path, n):
-    """Repeated and null turn numbers, at either side of CROWDED, beside a dialogue that starts at turn 1."""
-    one = [(1, None if k % 2 else 5, "ab"[k % 3 == 0], f"t{k}") for k in range(2 * n)]
+    """Repeated and null turn numbers and ids, at either side of CROWDED, beside a dialogue that starts at turn 1; very long texts."""
+    one = [(1, None if k % 2 else 5, ("a", "b\nc\r<|")[k % 3 == 0], f"t{k}") for k in range(2 * n)] + [(None, 3, "a", "none"), (None, None, "b", "x" * 300_000)]
     turns = spark.createDataFrame([*one, *((2, k, "ab"[k % 2], f"u{k}") for k in range(1, 71))], "conv_id LONG, turn INT, role STRING, text STRING")
+    turns = turns.withColumns({c: F.lit("own") for c in ("part", "perspective", "_conv", "_block", "people")})
     turns.write.parquet(str(tmp_path / "conversations.parquet"))
     assert_same(QUERIES["op1_chat"](spark, str(tmp_path)), ORACLES["op1_chat"], str(tmp_path))
 
@@ -76,7 +77,7 @@ def test_bounded_parts_are_neighbouring_turns(spark, n):
 
 def test_patience():
     assert lines.patience([1, 2, 3, 4, 5], [9, 2, 3, 8, 5]) == [(1, 1), (2, 2), (4, 4)]
-    assert lines.patience([1, 1, 2, 1], [1, 2, 1, 1]) == [(0, 0), (3, 3)] or lines.patience([1, 1, 2, 1], [1, 2, 1, 1])
+    assert lines.patience([1, 1, 2, 1], [1, 2, 1, 1]) == [(0, 0), (2, 1), (3, 3)]
     rng = np.random.default_rng(1)
     for _ in range(200):
         a, b = rng.integers(0, 12, rng.integers(0, 15)).tolist(), rng.integers(0, 12, rng.integers(0, 15)).tolist()
@@ -277,6 +278,7 @@ def test_archive(spark):
     for r in archive.records().collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         assert rest == rest[: int(re.search(rb"Content-Length: (\d+)", head)[1])] + b"\r\n\r\n"
+    assert all(bytes(r.record) == bytes(r.header) + (b"" if r.record_type == "revisit" else bytes(r.payload)) + b"\r\n\r\n" for r in got)
     archive.export(path := scratch(spark, "export"))
     assert spark.read.text(path, wholetext=True).selectExpr("sum(size(split(value, 'WARC/1.1\\r\\n')) - 1) AS n").first().n == len(rows)
     hot = spark.range(3500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit(big).alias("html"))
@@ -288,6 +290,37 @@ def test_archive(spark):
     assert archive.read().count() == 0
 
 
+def test_archive_of_foreign_records(spark):
+    """Exact headers and bytes that are not UTF-8 come back as they were; very long, empty, null and equal records."""
+    head = lambda n, more=b"": b"WARC/1.0\r\nWARC-Type: resource\r\nX-Odd:  \xff\xfe two  spaces\r\n" + more + b"Content-Length: " + str(n).encode() + b"\r\n\r\n"
+    bodies = [b"\x00\xff\xfe", b"a" * 3_000_000, b"", b"same", b"same", "é".encode()]
+    rows = [(bytearray(head(len(b), b"A: %d\r\n" % k)), bytearray(b), "mine") for k, b in enumerate(bodies)] + [(bytearray(head(4)), bytearray(b"same"), "mine")] * 2 + [(bytearray(b"WARC/1.0\r\n\r\n"), None, "mine"), (None, None, "mine")]
+    records = spark.createDataFrame(rows, "header BINARY, payload BINARY, digest STRING")
+    archive = warc.Archive(spark, scratch(spark, "t"))
+    archive.put(records)
+    want = Counter(bytes(h or b"") + bytes(b or b"") + b"\r\n\r\n" for h, b, _ in rows)
+    assert Counter(bytes(r.record) for r in archive.records().collect()) == want and archive.payloads().count() == len({bytes(b or b"") for _, b, _ in rows})
+    with pytest.raises(Exception, match="(?i)utf"):
+        archive.export(scratch(spark, "export"))
+    archive = warc.Archive(spark, scratch(spark, "t"))
+    archive.put(spark.createDataFrame([(bytearray(head(5)), bytearray(b"four"))], "header BINARY, payload BINARY"))
+    with pytest.raises(Exception, match="not as declared"):
+        archive.records().collect()
+
+
+def test_damaged_payloads_are_seen(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 2_000_000), (2, "v", "y")], "page_id LONG, url STRING, html STRING")
+    archive = warc.Archive(spark, scratch(spark, "t"))
+    archive.write(pages)
+    assert archive.read().agg(F.sum(F.octet_length("payload"))).first()[0] == 2_000_001
+    held = archive.payloads().withColumn("payload", F.when(F.octet_length("payload") == 1, F.lit(b"z")).otherwise(F.col("payload")))
+    other = warc.Archive(spark, scratch(spark, "t"))
+    held.write.parquet(f"{other.path}/payloads")
+    spark.read.parquet(f"{archive.path}/headers").write.parquet(f"{other.path}/headers")
+    with pytest.raises(Exception, match="damaged payload"):
+        other.records().collect()
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -302,6 +335,7 @@ def test_mixing(spark, docs, clashing, empty):
     key = lambda r: (str(r.doc_id), str(r.text)[:50], r.taken)
     assert sorted(map(key, got)) == sorted(map(key, mixing.mix(docs.repartition(5)).collect()))
     assert mixing.mix(empty).count() == 0
+    assert all(r.times <= 3 for r in got)
     d = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     worst = d.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m")).collect()
     assert all(abs(r.t - r.g) <= r.m for r in worst)
