@@ -191,6 +191,57 @@ def test_quality(spark, docs, clashing, empty):
     assert quality.train(empty, labels, F.lit(True)).slope == 0
 
 
+def brute_indicators(text):
+    """Buckets of the words, neighbouring words and runs of three bytes of a text."""
+    data, top = (text or "").encode(), (1 << 64) - 1
+    h = [xxhash.xxh3_64_intdigest(w.encode()) for w in words(text)]
+
+    def spread(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * factor) & top
+        return x ^ x >> 33
+
+    out = {x & 0xFFFF for x in h} | {0x10000 + (spread((a * 3 + b) & top) & 0xFFFF) for a, b in zip(h, h[1:])}
+    return out | {0x20000 + ((int.from_bytes(data[k : k + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 16) for k in range(len(data) - 2)}
+
+
+def test_quality_is_brute_force(spark):
+    """Ratios of all labelled training rows, and scores of all rows from the weights, by loops over the texts."""
+    rows, labels = small_documents(spark), {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    away = lambda i: binascii.crc32(str(i).encode()) % 5 == 0
+    usable = ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), usable)
+    counts = np.ones((2, 3 << 16))
+    features = {i: sorted(brute_indicators(t)) for i, t in rows}
+    for i, _ in rows:
+        if i in labels and not away(i):
+            counts[labels[i], features[i]] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(ratio, model.ratio)
+    got = {r.doc_id: r for r in QUERIES["op4_quality"](spark, SMALL).collect()}
+    for i, _ in rows:
+        x = ratio[features[i]]
+        margin = (x @ model.weight[features[i]]) / max(np.sqrt(x @ x), 1e-12) + model.bias
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-(model.slope * margin + model.shift))), rel_tol=1e-6)
+        assert got[i].held_out == away(i) and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_dual_descent_reaches_the_least_loss():
+    """The loss is convex, so weights that no small step betters are the best ones."""
+    rng = np.random.default_rng(4)
+    for c in (0.1, 1.0, 5.0):
+        x = rng.normal(size=(40, 6)) * (rng.random((40, 6)) < 0.6)
+        y = np.where(x @ rng.normal(size=6) + 0.3 * rng.normal(size=40) > 0.2, 1.0, -1.0)
+        rows = [np.flatnonzero(r).astype(np.int32) for r in x]
+        w, bias = quality.descend(rows, [r[i] for r, i in zip(x, rows, strict=True)], y, 6, c, 3000, 1)
+        loss = lambda w, b: (w @ w + b * b) / 2 + c * np.maximum(0, 1 - y * (x @ w + b)).sum()  # noqa: E731, B023
+        best = loss(w, bias)
+        for scale in (1e-1, 1e-2, 1e-3):
+            steps = rng.normal(size=(300, 7)) * scale
+            assert min(loss(w + s[:6], bias + s[6]) for s in steps) > best - 2e-3 * best
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
