@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import LOWER, NOT_SPACE, SLICE_BYTES, Words, cut, discard, lookup, map_in_arrow, slices, texts_of
+from barloom.llm.common import LOWER, NOT_SPACE, Words, cut, discard, lookup, map_in_arrow, slices, texts_of
 
 #: Context bytes. A run of DEPTH + 1 bytes is packed in 64 bits.
 DEPTH = 5
@@ -30,9 +30,11 @@ NEAR = 4
 #: Most entries of a lookup table that is broadcast (16 bytes each).
 HEAD_ROWS = 1 << 20
 #: Byte runs whose trees one task should work out.
-TREE_ROWS = 1 << 18
+TREE_ROWS = 1 << 17
 #: Distinct values that a task gathers before it passes their counts on.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 19
+#: UTF-8 bytes of text whose runs a task holds at once.
+PART_BYTES = 1 << 20
 
 
 def runs(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def count(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, ends = {RUN: Sums(), WORD: Sums()}, 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PART_BYTES):
             mine = batch["training"].to_numpy(zero_copy_only=False).astype(bool)
             for training in (True, False):
                 texts = batch["text"].filter(pa.array(mine == training))
@@ -384,7 +386,7 @@ def _look_up(docs: DataFrame, words: Lookup, byte_runs: Lookup) -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in names), *PASSED.fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", PART_BYTES):
             said = Words(*texts_of(batch["text"]), NOT_SPACE, LOWER)
             of = {WORD: (said.hashes(), said.count), RUN: runs(batch["text"])}
             sums, missed = {}, []
