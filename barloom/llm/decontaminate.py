@@ -1,8 +1,8 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Each task builds the suffix array of the words of its rows, a shard of some MB at a time, and binary-searches every
-suffix of the benchmark that has a whole window (10 words, or an item of fewer) in it: the range of suffixes that begin
-with the window are its occurrences. Where one begins, the document's suffix is searched in the suffix array of the
+Each task builds the suffix array of the words of its rows, a shard of some MB at a time, in order of as many words as a
+window has or more, and binary-searches every suffix of the benchmark that has a whole window (10 words, or an item of
+fewer) in it: the range of suffixes that begin with the window are its occurrences. Where one begins, the document's suffix is searched in the suffix array of the
 benchmark, which gives the longest verbatim match there, its item and place. The benchmark is sent to the tasks in
 blocks of a bounded size, one after another; documents are never shuffled for one block.
 """
@@ -23,35 +23,50 @@ from barloom.llm.common import ALNUM, LOWER, Words, cut, discard, map_in_arrow,
 BLOCK_BYTES = 4 << 20
 
 
-def suffix_array(h: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Places in order of their suffixes, by word hashes; an end comes before any word. Equal suffixes are in order of place.
+def suffix_array(h: np.ndarray, last: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Places in order of their suffixes, by word hashes; an end comes before any word.
 
-    h: word hashes; last: for each place, the words from it to its text's end. Ranks by 1, 2, 4 ... words, until they
-    no longer change.
+    h: word hashes; last: for each place, the words from it to its text's end. Ranks by 1, 2, 4 ... words: those with
+    a rank of their own are done, and the others are put in order by the rank of what follows. Whole suffixes are
+    compared, equal ones in order of place; or their first `depth` words at least.
     """
-    n = len(h)
-    kinds, rank = np.unique(h, return_inverse=True)
-    rank, seen, k = rank.ravel().astype(np.int64) + 1, len(kinds), 1
-    order = np.argsort(rank, kind="stable")
-    while k < last.max(initial=0) and seen < n:
-        second = np.zeros(n, np.int64)
-        far = np.flatnonzero(last > k)
-        second[far] = rank[far + k]
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        step = np.append(True, key[order][1:] != key[order][:-1])
-        rank[order] = np.cumsum(step)
-        if (now := int(step.sum())) == seen:
+    n, kind = len(h), "stable" if depth is None else None
+    order = np.argsort(h, kind=kind)
+    place = np.arange(n)
+
+    def ranks(step: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(step, at, 0))
+
+    rank = np.empty(n, np.int64)
+    rank[order] = ranks(np.append(True, h[order][1:] != h[order][:-1])[:n], place)
+    k, longest = 1, last.max(initial=0)
+    while k < (longest if depth is None else min(longest, depth)):
+        held = rank[order]
+        new = np.append(True, held[1:] != held[:-1])
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
             break
-        seen, k = now, 2 * k
+        at = order[tied]
+        second = np.zeros(len(at), np.int64)
+        far = np.flatnonzero(last[at] > k)
+        second[far] = rank[at[far] + k] + 1
+        key = rank[at] * (n + 1) + second
+        sort = np.argsort(key, kind=kind)
+        key = key[sort]
+        order[tied] = at[sort]
+        split = np.append(True, key[1:] != key[:-1])
+        if split.sum() == new[tied].sum():
+            break
+        rank[at[sort]] = ranks(split, tied)
+        k *= 2
     return order
 
 
 class Suffixes:
     """A text of words (hashes, words to the end of each) with its suffix array; ranges of it are narrowed word by word."""
 
-    def __init__(self, h: np.ndarray, last: np.ndarray):
-        self.h, self.last, self.order = h, last, suffix_array(h, last)
+    def __init__(self, h: np.ndarray, last: np.ndarray, depth: int | None = None):
+        self.h, self.last, self.order = h, last, suffix_array(h, last, depth)
         self.heads = h[self.order]
 
     def first(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +161,7 @@ def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
 def _hits(words: Words, items: Items) -> list[pa.Array]:
     """HITS of each row."""
     rows, h = len(words.count), words.hashes()
-    shard = Suffixes(h, words.first[1:][words.row] - np.arange(len(h)))
+    shard = Suffixes(h, words.first[1:][words.row] - np.arange(len(h)), items.size)
     places, found = items.occurrences(shard)
     cover = np.zeros(len(h) + 1, np.int64)
     np.add.at(cover, places, 1)

@@ -245,6 +245,20 @@ def test_dual_descent_reaches_the_least_loss():
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
+def test_suffix_arrays():
+    """Texts of few words against plain sorting, whole suffixes and their first five words."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(0, 60))
+        h, cuts = rng.integers(1, 4, n).astype(np.uint64), rng.integers(0, n + 1, 3)
+        end = [min((c for c in cuts.tolist() if c > k), default=n) for k in range(n)]
+        suffix = lambda k: tuple(h[k : end[k]].tolist())  # noqa: E731, B023
+        last = np.array(end, int) - np.arange(n)
+        assert decontaminate.suffix_array(h, last).tolist() == sorted(range(n), key=lambda k: (suffix(k), k))
+        some = decontaminate.suffix_array(h, last, 5).tolist()
+        assert sorted(some) == list(range(n)) and all(suffix(a)[:5] <= suffix(b)[:5] for a, b in zip(some, some[1:]))
+
+
 def brute_matches(w, items, starts):
     """Longest common runs of words from each start, but those within an earlier one."""
     out, reach = [], -1
