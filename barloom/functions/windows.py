@@ -1,17 +1,20 @@
 """Rolling windows with a full-window guard, two-level running sums, recursive averages and time-chunking.
 
-Assets are few and histories long, so nothing unbounded is put in one task where a bounded form exists: running sums
-and recursive averages work block by block, and rolling features can be cut in chunks with a halo.
+Assets are few and histories long, so no task holds a whole history: running values work in two levels, and what looks
+back or ahead by a bounded number of rows works in chunks with a halo (`bounded` operators do so by themselves).
 """
 
 from __future__ import annotations
 
+import functools
+import inspect
 import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Guards divisions in the indicators.
 EPS = 1e-10
@@ -79,25 +82,68 @@ def by_time(ts: str, every: str) -> Column:
     return F.window(F.col(ts), every)["start"]
 
 
-def running_sum(df: DataFrame, x: Column, name: str, by: Sequence[str] = ("asset",), ts: str = "ts", every: str = "1 day") -> DataFrame:
-    """df with the sum of x up to each row of its key: a sum within the row's time bucket, plus those of earlier buckets."""
-    held = df.withColumn("_x", x).withColumn("_bucket", by_time(ts, every))
-    sums = held.groupBy(*by, "_bucket").agg(F.sum("_x").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_bucket").alias("_kb"), before.alias("_before"))
+def bucket_of(df: DataFrame, ts: str, every: str) -> Column:
+    """The bucket of a row's time, or of its number where ts is one (by 1,024); rows without have the first one."""
+    kind = df.schema[ts].dataType
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.coalesce(F.col(ts), F.lit(0)) / 1024)
+    return F.window(F.coalesce(F.col(ts).cast("timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz")), every)["start"]
+
+
+def running(df: DataFrame, values: dict[str, tuple[Column, str]], by: Sequence[str] = ("asset",), ts: str = "ts", every: str = "1 day", then: Sequence[str] = (), down: bool = False) -> DataFrame:
+    """df with running values of each key: name -> (column, "sum", "max" or "last", which is the latest non-null).
+
+    Worked out in two levels: within the row's time bucket, and what the earlier buckets come to. A task holds one
+    bucket of a key; windows over a whole key see one row per bucket. Rows are in order of ts and the columns `then`,
+    or the reverse (down). Rows without a time come first.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    inner = lambda name: f"_x_{name}"
+    held = df.withColumns({inner(n): x for n, (x, _) in values.items()} | {"_bucket": bucket_of(df, ts, every)})
+    at = F.struct(ts, *then)
+    turn = (lambda c: F.col(c).desc()) if down else F.col
+    pick = F.min_by if down else F.max_by
+    whole = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: pick(c, F.when(F.col(c).isNotNull(), at))}
+    sums = held.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("_bucket").alias("_kb")).agg(*(whole[kind](inner(n)).alias(inner(n)) for n, (_, kind) in values.items()))
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    before = W.partitionBy(*keys).orderBy(turn("_kb")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_kb", *(over[kind](inner(n)).over(before).alias(f"_b_{n}") for n, (_, kind) in values.items()))
     same = F.col("_bucket") == F.col("_kb")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    within = F.sum("_x").over(W.partitionBy(*by, "_bucket").orderBy(ts).rowsBetween(W.unboundedPreceding, 0))
-    return held.join(sums, same).withColumn(name, within + F.col("_before")).drop("_x", "_bucket", "_before", "_kb", "_sum", *(f"_k{i}" for i in range(len(by))))
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    within = W.partitionBy(*by, "_bucket").orderBy(*map(turn, (ts, *then))).rowsBetween(W.unboundedPreceding, 0)
+    both = {
+        "sum": lambda n: over["sum"](inner(n)).over(within) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)), "max": lambda n: F.greatest(over["max"](inner(n)).over(within), F.col(f"_b_{n}")),
+        "last": lambda n: F.coalesce(over["last"](inner(n)).over(within), F.col(f"_b_{n}")),
+    }
+    out = held.join(sums, same).withColumns({n: both[kind](n) for n, (_, kind) in values.items()})
+    return out.drop("_bucket", "_kb", *keys, *map(inner, values), *(f"_b_{n}" for n in values))
+
+
+def running_sum(df: DataFrame, x: Column, name: str, by: Sequence[str] = ("asset",), ts: str = "ts", every: str = "1 day") -> DataFrame:
+    """df with the sum of x up to each row of its key."""
+    return running(df, {name: (x, "sum")}, by, ts, every)
+
+
+def faded(span: int) -> int:
+    """Rows after which a value's weight in an exponential average is below 1e-18."""
+    q = 1 - 2 / (span + 1)
+    return math.ceil(41.5 / -math.log(q)) if q > 0 else 1
 
 
 def ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str] = ("asset",), ts: str = "ts", block: int = 64) -> DataFrame:
     """df with exponential averages: name -> (column, span); alpha = 2 / (span + 1), seeded with the first value.
 
-    The recurrence is linear, so it is worked out in blocks of rows: sums within a block, then the ends of the blocks
-    before, back to where their weight is below 1e-18. No row depends on more than that, and nothing leaves the JVM.
+    In chunks, with as many rows before each as it takes for the weight of the first to fall below 1e-18.
     """
+    if CHUNK in by:
+        return _ema(df, spans, by, ts, block)
+    return chunked(df, lambda d, keys: _ema(d, spans, keys, ts, block), max(faded(n) for _, n in spans.values()), by, ts)
+
+
+def _ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str], ts: str, block: int) -> DataFrame:
+    """The recurrence is linear, so it is worked out in blocks of rows: sums within a block, then the ends of the blocks
+    before, back to where their weight is below 1e-18. Nothing leaves the JVM."""
     roll = Roll(by, (ts,))
     held = df.withColumn("_n", roll.number() - 1).withColumns({"_block": F.floor(F.col("_n") / block), "_k": F.col("_n") % block})
     in_block = W.partitionBy(*by, "_block").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
@@ -118,19 +164,62 @@ def ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str] = ("
     return out.select(*df.columns, *spans)
 
 
-def chunked(df: DataFrame, apply: Callable[[DataFrame, Sequence[str]], DataFrame], lookback: int, by: Sequence[str] = ("asset",), ts: str = "ts", rows: int = 100_000, every: str = "1 day") -> DataFrame:
-    """apply(df, keys) with keys that also part each history in chunks, each with `lookback` rows before it.
+#: The part of a history that a row of a chunk is worked out in.
+CHUNK = "_chunk"
+#: Rows of a history in a chunk, about.
+CHUNK_ROWS = 100_000
 
-    For features that look back at most so many rows: a long history is many tasks then. Row numbers are counts of
-    earlier time buckets plus the place within the bucket.
+
+def chunked(df: DataFrame, apply: Callable[[DataFrame, Sequence[str]], DataFrame], back: int, by: Sequence[str] = ("asset",), ts: str = "ts", rows: int | None = None, every: str = "1 day", ahead: int = 0) -> DataFrame:
+    """apply(df, keys) with keys that also part each history in chunks, each with `back` rows before it and `ahead` after it.
+
+    For features that look at most so far: a long history is many tasks then. Rows are counted by time bucket; buckets
+    go to chunks by the rows before them, and as a whole to the other chunks that may look at one of their rows. The
+    data are shuffled once, by key and chunk.
     """
-    rows = max(rows, lookback)
-    held = running_sum(df, F.lit(1), "_number", by, ts, every).withColumn("_at", F.col("_number") - 1)
-    home = F.floor(F.col("_at") / rows)
-    into = F.when(F.pmod(F.col("_at"), F.lit(rows)) >= rows - lookback, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = held.withColumn("_home", home).withColumn("_chunk", F.explode(into))
-    done = apply(spread, [*by, "_chunk"])
-    return done.where(F.col("_chunk") == F.col("_home")).drop("_number", "_at", "_home", "_chunk")
+    rows = max(CHUNK_ROWS if rows is None else rows, back, ahead, 1)
+    keys = [f"_k{i}" for i in range(len(by))]
+    held = df.withColumn("_bucket", bucket_of(df, ts, every))
+    counts = held.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("_bucket").alias("_kb")).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*keys).orderBy("_kb")
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.withColumn("_home", F.floor(F.col("_start") / rows))
+    least = F.col("_home")
+    if ahead:  # chunks that end less than `ahead` rows before this bucket
+        counts = counts.withColumn("_prev", F.coalesce(F.lag("_home").over(w), F.lit(0)))
+        least = F.least(F.min("_prev").over(W.partitionBy(*keys).orderBy("_start").rangeBetween(-(ahead - 1), 0)), "_home")
+    last = F.floor((F.col("_start") + F.col("_n") + back - 1) / rows)
+    counts = counts.select(*keys, "_kb", "_home", F.sequence(least, F.greatest(last, "_home")).alias("_into"))
+    same = F.col("_bucket") == F.col("_kb")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    spread = held.join(counts, same).withColumn(CHUNK, F.explode("_into")).drop("_bucket", "_kb", "_into", *keys)
+    return apply(spread, [*by, CHUNK]).where(F.col(CHUNK) == F.col("_home")).drop("_home", CHUNK)
+
+
+def bounded(back: Callable[[dict], int] | None = None, ahead: Callable[[dict], int] | None = None):
+    """An operator that works in chunks by default: back and ahead give, of its arguments, the rows that it looks at.
+
+    Called with keys that hold a chunk already, it works within those: operators on each other can share one chunked().
+    """
+
+    def wrap(f):
+        kinds = inspect.signature(f)
+
+        @functools.wraps(f)
+        def run(df: DataFrame, *args, **named) -> DataFrame:
+            given = kinds.bind(df, *args, **named)
+            given.apply_defaults()
+            rest = {k: v for k, v in given.arguments.items() if k not in (next(iter(kinds.parameters)), "by")}
+            by = given.arguments["by"]
+            if CHUNK in by:
+                return f(df, **rest, by=by)
+            of = lambda g: g(rest) if g else 0
+            return chunked(df, lambda d, keys: f(d, **rest, by=keys), of(back), by, ahead=of(ahead))
+
+        return run
+
+    return wrap
 
 
 def with_lookback(df: DataFrame, apply: Callable[[DataFrame], DataFrame], start, end, before: str, ts: str = "ts") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, clip, ratio
+from barloom.functions.windows import Roll, bounded, clip, ratio
 from barloom.shipping import ship
 
 
@@ -171,6 +171,7 @@ def random_search(train: DataFrame, val: DataFrame, y: str = "y", trials: int =
     return sorted(out, key=lambda r: (-r["auc"], r["gap"], r["depth"], r["rounds"]))
 
 
+@bounded(lambda a: a["n"])
 def windows_of(df: DataFrame, columns: Sequence[str], n: int, by: Sequence[str] = ("asset",)) -> DataFrame:
     """sequence: for each row an array of the last n rows' columns (null until there are n), for sequence models."""
     seq = F.collect_list(F.array(*columns)).over(Roll(by).frame(n))

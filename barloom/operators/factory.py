@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, ratio
+from barloom.functions.windows import Roll, chunked, faded, ratio, running_sum
 from barloom.operators import indicators as I
 from barloom.operators import rolling
 
@@ -18,8 +18,14 @@ STATS = (20, 24, 50, 100)
 def signals(df: DataFrame, windows: Sequence[int] = WINDOWS, stats: Sequence[int] = STATS, lag: Sequence[int] = (1, 2, 3, 5, 8, 13), warmup: int = 200, by: Sequence[str] = ("asset",)) -> DataFrame:
     """bars with the whole feature set and each feature's lags; the first `warmup` rows and rows with nulls are left out.
 
-    Frames of all windows on one base column are one Window node, and all lags are one more.
+    Frames of all windows on one base column are one Window node, and all lags are one more, in shared chunks.
     """
+    numbered = running_sum(df, F.lit(1), "_n", by)
+    back = max(*windows, *stats, 48 + 168, faded(26) + faded(9)) + max(lag) + 2
+    return chunked(numbered, lambda d, keys: _signals(d, windows, stats, lag, warmup, keys), back, by).drop("_n")
+
+
+def _signals(df: DataFrame, windows: Sequence[int], stats: Sequence[int], lag: Sequence[int], warmup: int, by: Sequence[str]) -> DataFrame:
     r = Roll(by)
     d = rolling.candle(rolling.returns(df, by=by))
     d = d.withColumns({"_g": F.coalesce(F.greatest("diff", F.lit(0.0)), F.lit(0.0)), "_l": F.coalesce(F.greatest(-F.col("diff"), F.lit(0.0)), F.lit(0.0)), "_mid": (F.col("high") + F.col("low")) / 2})
@@ -38,14 +44,18 @@ def signals(df: DataFrame, windows: Sequence[int] = WINDOWS, stats: Sequence[int
     d = d.withColumns(cols).drop("_g", "_l", "_mid", "_tr")
     d = I.macd(rolling.fdi(rolling.stability(d, window=48, span=168, by=by), by=by), by=by)
     features = [c for c, t in d.dtypes if t == "double" and c not in ("open", "high", "low", "close", "volume")]
-    d = d.withColumns({f"{c}_lag_{k}": r.lag(c, k) for c in features for k in lag} | {"_n": r.number()})
-    return d.where(F.col("_n") > warmup).drop("_n").dropna()
+    d = d.withColumns({f"{c}_lag_{k}": r.lag(c, k) for c in features for k in lag})
+    return d.where(F.col("_n") > warmup).dropna(subset=[c for c in d.columns if not c.startswith("_")])
 
 
 def dashboard(df: DataFrame, by: Sequence[str] = ("asset",)) -> DataFrame:
     """The features of the model dashboard: oscillators, channel width, volume flow, lags of returns, parts of the date."""
+    return chunked(I.obv(df, by), lambda d, keys: _dashboard(d, keys), 60, by)
+
+
+def _dashboard(df: DataFrame, by: Sequence[str]) -> DataFrame:
     r = Roll(by)
-    d = I.obv(I.donchian(I.stoch(I.ao(rolling.returns(df, by=by), by=by), by=by), by=by), by)
+    d = I.donchian(I.stoch(I.ao(rolling.returns(df, by=by), by=by), by=by), by=by)
     d = d.withColumns({"sma_50": r.mean("close", 50), "_obv_50": r.mean("obv", 50), "_v20": r.mean("volume", 20)})
     return d.withColumns({
         "dc_width": ratio(F.col("dc_high") - F.col("dc_low"), "close"), "obv_ratio": ratio("obv", "_obv_50"), "volume_ratio": ratio("volume", "_v20"), "sma_50_slope": ratio(F.col("sma_50") - r.lag("sma_50", 5), r.lag("sma_50", 5)),

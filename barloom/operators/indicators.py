@@ -1,4 +1,7 @@
-"""Technical indicators over bars. Averages are simple ones throughout; a rolling value is null until its window is full."""
+"""Technical indicators over bars. Averages are simple ones throughout; a rolling value is null until its window is full.
+
+Each works in chunks of a history, of which the lambda above it says how many rows it looks back.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import EPS, Roll, ema, ratio, running_sum
+from barloom.functions.windows import EPS, Roll, bounded, ema, faded, ratio, running_sum
 
 By = Sequence[str]
 ASSET = ("asset",)
 
 
+@bounded(lambda a: a["n"] + 1)
 def rsi(df: DataFrame, n: int = 14, price: str = "close", name: str | None = None, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     d = df.withColumn("_d", F.col(price) - r.lag(price)).withColumns({"_g": F.coalesce(F.greatest("_d", F.lit(0.0)), F.lit(0.0)), "_l": F.coalesce(F.greatest(-F.col("_d"), F.lit(0.0)), F.lit(0.0))})
@@ -20,15 +24,18 @@ def rsi(df: DataFrame, n: int = 14, price: str = "close", name: str | None = Non
     return d.withColumn(name or f"rsi_{n}", 100 - 100 / (1 + rs)).drop("_d", "_g", "_l")
 
 
+@bounded(lambda a: max(a["windows"]))
 def sma(df: DataFrame, windows: Sequence[int] = (20,), price: str = "close", by: By = ASSET) -> DataFrame:
     return df.withColumns({f"sma_{n}": Roll(by).mean(price, n) for n in windows})
 
 
+@bounded(lambda a: faded(max(a["fast"], a["slow"])) + faded(a["signal"]))
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, price: str = "close", by: By = ASSET) -> DataFrame:
     d = ema(df, {"_fast": (price, fast), "_slow": (price, slow)}, by).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     return ema(d, {"macd_signal": ("macd", signal)}, by).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
+@bounded(lambda a: a["n"])
 def bbands(df: DataFrame, n: int = 20, k: float = 2.0, price: str = "close", by: By = ASSET) -> DataFrame:
     r = Roll(by)
     d = df.withColumns({"bb_mid": r.mean(price, n), "_s": r.std(price, n)})
@@ -37,17 +44,20 @@ def bbands(df: DataFrame, n: int = 20, k: float = 2.0, price: str = "close", by:
     return d.withColumns({"bb_width": ratio(span, "bb_mid"), "bb_pct": (F.col(price) - F.col("bb_lower")) / (span + EPS)}).drop("_s")
 
 
+@bounded(lambda a: 1)
 def true_range(df: DataFrame, by: By = ASSET, name: str = "tr") -> DataFrame:
     before = Roll(by).lag("close")
     return df.withColumn(name, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
+@bounded(lambda a: a["n"] + 1)
 def atr(df: DataFrame, n: int = 14, by: By = ASSET) -> DataFrame:
     """atr_n, and natr_n as a percentage of the close."""
     d = true_range(df, by, "_tr").withColumn(f"atr_{n}", Roll(by).mean("_tr", n))
     return d.withColumn(f"natr_{n}", 100 * ratio(f"atr_{n}", "close")).drop("_tr")
 
 
+@bounded(lambda a: a["n"])
 def roc(df: DataFrame, n: int = 10, price: str = "close", by: By = ASSET) -> DataFrame:
     before = Roll(by).lag(price, n)
     return df.withColumn(f"roc_{n}", 100 * ratio(F.col(price) - before, before))
@@ -57,6 +67,7 @@ def typical() -> "F.Column":
     return (F.col("high") + F.col("low") + F.col("close")) / 3
 
 
+@bounded(lambda a: a["n"])
 def cci(df: DataFrame, n: int = 20, k: float = 0.015, by: By = ASSET) -> DataFrame:
     """The mean deviation is about each window's own mean, so the window is an array of n values."""
     r = Roll(by)
@@ -65,12 +76,14 @@ def cci(df: DataFrame, n: int = 20, k: float = 0.015, by: By = ASSET) -> DataFra
     return d.withColumn(f"cci_{n}", (F.col("_tp") - F.col("_m")) / (k * mad + EPS)).drop("_tp", "_m", "_a")
 
 
+@bounded(lambda a: a["n"])
 def willr(df: DataFrame, n: int = 14, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     hh, ll = r.max("high", n), r.min("low", n)
     return df.withColumn(f"willr_{n}", -100 * (hh - F.col("close")) / (hh - ll + EPS))
 
 
+@bounded(lambda a: 2 * a["n"] + 1)
 def adx(df: DataFrame, n: int = 14, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     d = true_range(df, by, "_tr").withColumns({"_up": F.col("high") - r.lag("high"), "_dn": r.lag("low") - F.col("low")})
@@ -84,12 +97,17 @@ def adx(df: DataFrame, n: int = 14, by: By = ASSET) -> DataFrame:
     return d.withColumn(f"adx_{n}", r.mean("_dx", n)).drop("_tr", "_up", "_dn", "_p", "_m", "_atr", "_pa", "_ma", "_dx")
 
 
+@bounded(lambda a: 1)
+def _signed_volume(df: DataFrame, by: By = ASSET) -> DataFrame:
+    return df.withColumn("_d", F.coalesce(F.signum(F.col("close") - Roll(by).lag("close")) * F.col("volume"), F.lit(0.0)))
+
+
 def obv(df: DataFrame, by: By = ASSET, every: str = "1 day") -> DataFrame:
     """A running sum of signed volume, worked out in time buckets."""
-    d = df.withColumn("_d", F.coalesce(F.signum(F.col("close") - Roll(by).lag("close")) * F.col("volume"), F.lit(0.0)))
-    return running_sum(d, F.col("_d"), "obv", by, every=every).drop("_d")
+    return running_sum(_signed_volume(df, by=by), F.col("_d"), "obv", by, every=every).drop("_d")
 
 
+@bounded(lambda a: a["n"])
 def cmf(df: DataFrame, n: int = 20, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     mfm = (2 * F.col("close") - F.col("low") - F.col("high")) / (F.col("high") - F.col("low") + EPS)
@@ -97,6 +115,7 @@ def cmf(df: DataFrame, n: int = 20, by: By = ASSET) -> DataFrame:
     return d.withColumn(f"cmf_{n}", r.sum("_v", n) / (r.sum("volume", n) + EPS)).drop("_v")
 
 
+@bounded(lambda a: a["n"] + 1)
 def mfi(df: DataFrame, n: int = 14, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     d = df.withColumn("_tp", typical()).withColumn("_b", r.lag("_tp"))
@@ -106,6 +125,7 @@ def mfi(df: DataFrame, n: int = 14, by: By = ASSET) -> DataFrame:
     return d.drop("_tp", "_b", "_up", "_dn")
 
 
+@bounded(lambda a: a["n"])
 def slope(df: DataFrame, n: int = 14, price: str = "close", by: By = ASSET) -> DataFrame:
     """Least-squares slope over 0..n-1: a sum of the last n values weighed by their place about the middle."""
     r = Roll(by)
@@ -115,11 +135,13 @@ def slope(df: DataFrame, n: int = 14, price: str = "close", by: By = ASSET) -> D
     return d.withColumn(f"slope_{n}", F.when(F.count(price).over(w) >= n, s)).drop("_n")
 
 
+@bounded(lambda a: max(a["fast"], a["slow"]))
 def ao(df: DataFrame, fast: int = 5, slow: int = 34, by: By = ASSET) -> DataFrame:
     d = df.withColumn("_m", (F.col("high") + F.col("low")) / 2)
     return d.withColumn("ao", Roll(by).mean("_m", fast) - Roll(by).mean("_m", slow)).drop("_m")
 
 
+@bounded(lambda a: a["n"] + a["k"] + a["d"])
 def stoch(df: DataFrame, n: int = 14, k: int = 3, d: int = 3, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     hh, ll = r.max("high", n), r.min("low", n)
@@ -127,12 +149,14 @@ def stoch(df: DataFrame, n: int = 14, k: int = 3, d: int = 3, by: By = ASSET) ->
     return out.withColumn("stoch_d", r.mean("stoch_k", d)).drop("_raw")
 
 
+@bounded(lambda a: max(a["low"], a["high"]))
 def donchian(df: DataFrame, low: int = 20, high: int = 20, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     d = df.withColumns({"dc_low": r.min("low", low), "dc_high": r.max("high", high)})
     return d.withColumn("dc_mid", (F.col("dc_low") + F.col("dc_high")) / 2)
 
 
+@bounded(lambda a: faded(a["n"]))
 def dist_ema(df: DataFrame, n: int = 20, price: str = "close", by: By = ASSET) -> DataFrame:
     d = ema(df, {f"ema_{n}": (price, n)}, by)
     return d.withColumn(f"dist_ema_{n}", ratio(F.col(price) - F.col(f"ema_{n}"), f"ema_{n}"))

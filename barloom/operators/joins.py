@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, by_time, ratio
+from barloom.functions.windows import Roll, by_time, chunked, faded, ratio, running
 
 By = Sequence[str]
 ASSET = ("asset",)
 
 
-def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: By = ASSET, ts: str = "ts", available: str | None = None, tolerance: str | None = None, max_rows: int | None = None, forward: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: By = ASSET, ts: str = "ts", available: str | None = None, tolerance: str | None = None, max_rows: int | None = None, forward: bool = False, bucket: str = "7 days") -> DataFrame:
     """left with the columns of the latest right row at or before it (forward: the first at or after it).
 
-    One sort of both sides together instead of a range join. available: an interval after its ts from which a right
+    Both sides are put in one order instead of a range join, time bucket by time bucket: the last match of the buckets
+    before is carried into each, so no task holds a whole key. available: an interval after its ts from which a right
     row can be seen (a bar labelled by its start is known at its end). tolerance: the furthest a match may lie away.
     max_rows: the most left rows for which one match counts. Of right rows with equal times the last counts.
     """
@@ -25,14 +26,13 @@ def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: By = ASS
     a = left.withColumns({"_side": F.lit(0 if forward else 1), "_at": F.col(ts), "_row": F.struct(*left.columns), "_hit": F.lit(None).cast(right.select(F.struct(F.col(ts), *columns)).schema[0].dataType)})
     b = right.select(*by, F.lit(1 if forward else 0).alias("_side"), seen.alias("_at"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct(F.col(ts), *columns).alias("_hit"))
     both = a.select(*by, "_side", "_at", "_row", "_hit").unionByName(b)
-    order = W.partitionBy(*by).orderBy(*((F.col(c).desc() if forward else F.col(c)) for c in ("_at", "_side")))
-    if forward:
-        order = W.partitionBy(*by).orderBy(F.col("_at").desc(), F.col("_side").desc())
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumns({"_m": F.last("_hit", True).over(so_far), "_t": F.last(F.when(F.col("_hit").isNotNull(), F.col("_at")), True).over(so_far), "_g": F.count("_hit").over(so_far)})
+    counted = {"_left": (F.when(F.col("_row").isNotNull(), 1).otherwise(0), "sum")}
+    walk = lambda d, values: running(d, values, by, "_at", bucket, ("_side",), forward)
+    both = walk(both, counted) if max_rows is not None else both.withColumn("_left", F.lit(0))
+    out = walk(both, {"_l": (F.when(F.col("_hit").isNotNull(), F.struct("_hit", F.col("_at").alias("t"), F.col("_left").alias("n"))), "last")})
+    out = out.withColumns({"_m": F.col("_l._hit"), "_t": F.col("_l.t")})
     if max_rows is not None:
-        since = F.sum(F.when(F.col("_row").isNotNull(), 1).otherwise(0)).over(W.partitionBy(*by, "_g").orderBy(*((F.col(c).desc() if forward else F.col(c)) for c in ("_at", "_side"))).rowsBetween(W.unboundedPreceding, 0))
-        out = out.withColumn("_m", F.when(since <= max_rows, F.col("_m")))
+        out = out.withColumn("_m", F.when(F.col("_left") - F.col("_l.n") <= max_rows, F.col("_m")))
     if tolerance:
         near = F.col("_t") <= F.col("_at") + F.expr(f"INTERVAL {tolerance}") if forward else F.col("_t") >= F.col("_at") - F.expr(f"INTERVAL {tolerance}")
         out = out.withColumn("_m", F.when(near, F.col("_m")))
@@ -41,7 +41,9 @@ def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: By = ASS
 
 def outer_fill(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], by: By = ASSET) -> DataFrame:
     """Full outer join, then nulls of the columns take the latest value before."""
-    return a.join(b, list(keys), "full").withColumns({c: Roll(by).last(c) for c in columns})
+    from barloom.operators.rolling import fill
+
+    return a.join(b, list(keys), "full").transform(lambda d: fill(d, columns, by=by))
 
 
 def wide(df: DataFrame, x: str, assets: Sequence[str], ts: str = "ts", key: str = "asset", complete: bool = False) -> DataFrame:
@@ -92,9 +94,13 @@ def mtf(micro: DataFrame, macro: DataFrame, limit: int = 12, by: By = ASSET, ava
     from barloom.operators.indicators import adx, macd, roc, rsi, sma
     from barloom.operators.rolling import returns
 
-    d = adx(roc(rsi(macd(sma(returns(macro, by=by), (50, 200), by=by), by=by), by=by), 21, by=by), by=by)
+    def features(m: DataFrame, by: By) -> DataFrame:
+        d = adx(roc(rsi(macd(sma(returns(m, by=by), (50, 200), by=by), by=by), by=by), 21, by=by), by=by)
+        return d.withColumn("_vol", Roll(by).std("log_ret", 20))
+
+    d = chunked(macro, features, max(200, faded(26) + faded(9)), by)
     d = d.select(
-        *by, "ts", F.col("rsi_14").alias("macro_rsi"), F.when(F.col("sma_50") > F.col("sma_200"), 1.0).otherwise(-1.0).alias("macro_trend"), Roll(by).std("log_ret", 20).alias("macro_vol"),
+        *by, "ts", F.col("rsi_14").alias("macro_rsi"), F.when(F.col("sma_50") > F.col("sma_200"), 1.0).otherwise(-1.0).alias("macro_trend"), F.col("_vol").alias("macro_vol"),
         F.col("roc_21").alias("macro_roc"), F.col("adx_14").alias("macro_adx"), F.col("macd").alias("macro_macd"), F.col("macd_hist").alias("macro_macd_hist"), ratio(F.col("close") - F.col("sma_50"), "sma_50").alias("macro_dist"),
     )
     names = [c for c in d.columns if c.startswith("macro_")]

@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, ratio
+from barloom.functions.windows import Roll, bounded, ratio
 
 By = Sequence[str]
 ASSET = ("asset",)
 
 
+@bounded(ahead=lambda a: a["n"])
 def forward_return(df: DataFrame, n: int = 36, threshold: float = 0.005, price: str = "close", by: By = ASSET) -> DataFrame:
     """fwd_ret after n bars and label (1 above the threshold); both null past the end of the history."""
     d = df.withColumn("fwd_ret", ratio(Roll(by).lead(price, n), price) - 1)
     return d.withColumn("label", F.when(F.col("fwd_ret").isNotNull(), (F.col("fwd_ret") > threshold).cast("int")))
 
 
+@bounded(ahead=lambda a: a["n"])
 def first_hits(df: DataFrame, up: Column, down: Column, n: int, by: By = ASSET) -> DataFrame:
     """tp_at and sl_at: bars until the high reaches `up` and the low reaches `down` (null: not within n bars); ahead: bars there are."""
     w = Roll(by).w.rowsBetween(1, n)
@@ -34,22 +36,25 @@ def _won(n: int) -> Column:
     return F.when(F.col("ahead") >= n, (F.col("tp_at").isNotNull() & (F.col("sl_at").isNull() | (F.col("tp_at") < F.col("sl_at")))).cast("int"))
 
 
+@bounded(ahead=lambda a: a["n"])
 def triple_barrier(df: DataFrame, tp: float = 0.02, sl: float = 0.01, n: int = 36, by: By = ASSET) -> DataFrame:
-    d = first_hits(df, F.col("close") * (1 + tp), F.col("close") * (1 - sl), n, by)
+    d = first_hits(df, F.col("close") * (1 + tp), F.col("close") * (1 - sl), n, by=by)
     return d.withColumn("label", _won(n)).drop("ahead")
 
 
+@bounded(ahead=lambda a: a["n"])
 def atr_barrier(df: DataFrame, atr: str = "atr_14", tp: float = 2.5, sl: float = 1.0, n: int = 36, least: float = 0.001, by: By = ASSET) -> DataFrame:
     """Barriers in units of atr; 0 where atr is below `least` of the price."""
-    d = first_hits(df, F.col("close") + tp * F.col(atr), F.col("close") - sl * F.col(atr), n, by)
+    d = first_hits(df, F.col("close") + tp * F.col(atr), F.col("close") - sl * F.col(atr), n, by=by)
     quiet = F.col(atr) < least * F.col("close")
     return d.withColumn("label", F.when(F.col(atr).isNull(), None).when(quiet & (F.col("ahead") >= n), 0).otherwise(_won(n))).drop("ahead", "tp_at", "sl_at")
 
 
+@bounded(ahead=lambda a: a["n"])
 def excursions(df: DataFrame, tp: float = 0.02, sl: float = 0.01, n: int = 36, by: By = ASSET) -> DataFrame:
     """mfe and mae: the best and worst move up to and with the bar of the exit (a barrier, or the nth bar)."""
     w = Roll(by).w.rowsBetween(1, n)
-    d = first_hits(df, F.col("close") * (1 + tp), F.col("close") * (1 - sl), n, by)
+    d = first_hits(df, F.col("close") * (1 + tp), F.col("close") * (1 - sl), n, by=by)
     d = d.withColumns({"_hs": F.collect_list("high").over(w), "_ls": F.collect_list("low").over(w)}).withColumn("exit_at", F.least("tp_at", "sl_at", "ahead"))
     some = F.col("ahead") > 0
     upto = lambda c: F.slice(c, F.lit(1), F.greatest("exit_at", F.lit(1)))
@@ -58,9 +63,10 @@ def excursions(df: DataFrame, tp: float = 0.02, sl: float = 0.01, n: int = 36, b
 
 def return_weights(df: DataFrame, lo: float = 0.5, hi: float = 2.0, by: By = ASSET) -> DataFrame:
     """weight: the next bar's absolute return, scaled by the key's largest to lo..hi; lo at the end."""
-    d = df.withColumn("_a", F.abs(ratio(Roll(by).lead("close"), "close") - 1))
-    top = F.max("_a").over(W.partitionBy(*by))
-    return d.withColumn("weight", lo + (hi - lo) * F.coalesce(ratio("_a", top), F.lit(0.0))).drop("_a")
+    from barloom.operators.rolling import with_key
+
+    d = with_key(forward_return(df, 1, by=by).withColumn("_a", F.abs("fwd_ret")), by, _top=F.max("_a"))
+    return d.withColumn("weight", lo + (hi - lo) * F.coalesce(ratio("_a", "_top"), F.lit(0.0))).select(*df.columns, "weight")
 
 
 def physics_weights(df: DataFrame, warning: str = "warning", energy: str = "energy", on_warning: float = 0.0) -> DataFrame:

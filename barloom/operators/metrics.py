@@ -69,9 +69,10 @@ def pr_curve(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 def sweep(df: DataFrame, lo: int = 20, hi: int = 70, p: str = "p", y: str = "y", reward: float = 0.02, risk: float = 0.01) -> DataFrame:
     """Metrics at each threshold lo..hi percent: one pass that counts rows per step, then sums over the few steps."""
-    steps = F.sequence(F.lit(lo), F.lit(hi))
-    # The highest threshold that the score reaches, by comparison, so that rounding cannot move a row.
-    reached = F.aggregate(steps, F.lit(lo - 1), lambda s, k: F.when(F.col(p) >= k / 100.0, k).otherwise(s))
+    # The highest threshold that the score reaches; by comparison, so that rounding cannot move a row.
+    near = F.floor(F.col(p) * 100)
+    at = F.when(F.col(p) >= (near + 1) / 100.0, near + 1).when(F.col(p) >= near / 100.0, near).otherwise(near - 1)
+    reached = F.greatest(F.least(F.coalesce(at, F.lit(lo - 1)), F.lit(hi)), F.lit(lo - 1)).cast("int")
     hist = df.groupBy(reached.alias("k")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     grid = df.sparkSession.range(lo - 1, hi + 1).select(F.col("id").cast("int").alias("k"))
     up, down = W.orderBy("k").rowsBetween(0, W.unboundedFollowing), W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)
@@ -116,20 +117,27 @@ def adaptive_grid(df: DataFrame, bases: Sequence[float], sensitivities: Sequence
 def bootstrap(df: DataFrame, replicates: int = 50, threshold: float = 0.55, key: str = "id", p: str = "p", y: str = "y", seed: int = 42, reward: float = 0.02, risk: float = 0.01) -> DataFrame:
     """Mean, 5 % and 95 % of precision, recall and expectancy over Poisson replicates.
 
-    A row's weight in a replicate is a Poisson(1) number from a hash of its key, so rows stay where they are: a task
-    sends one row of counts per replicate.
+    A row's weight in a replicate is a Poisson(1) number from eight hex digits of an MD5 of its key, four replicates to a
+    digest, so rows stay where they are: a task sends a row of sums per outcome.
     """
-    cdf, total, term = [], 0.0, 2.718281828459045**-1
+    marks, total, term = [], 0.0, 2.718281828459045**-1
     for k in range(1, 8):
         total += term
-        cdf.append(total)
+        marks.append(f"{int(total * (1 << 32)):08x}")
         term /= k
     said = F.when(F.col(p) >= threshold, F.when(F.col(y) == 1, "tp").when(F.col(y) == 0, "fp")).when(F.col(y) == 1, "fn").when(F.col(y) == 0, "tn")
-    rows = df.select(F.col(key).alias("_id"), said.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = F.pmod(F.xxhash64("_id", F.lit(seed), "replicate"), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.aggregate(F.array(*map(F.lit, cdf)), F.lit(0), lambda s, c: s + (F.col("_u") >= c).cast("int"))
-    rows = rows.withColumn("_u", u).withColumn("_w", weight)
-    counts = rows.groupBy("replicate").agg(*(F.sum(F.when(F.col("_s") == n, F.col("_w")).otherwise(0)).alias(n) for n in ("tp", "fp", "fn", "tn")))
+    digests = [F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:{k}")).cast("binary")).alias(f"_h{k}") for k in range(-(-replicates // 4))]
+    rows = df.select(said.alias("_s"), *digests).where("_s IS NOT NULL")
+
+    def weight(r: int) -> Column:
+        digits, out = F.substring(f"_h{r // 4}", 8 * (r % 4) + 1, 8), None
+        for k, mark in enumerate(marks):
+            out = F.when(digits < mark, k) if out is None else out.when(digits < mark, k)
+        return out.otherwise(len(marks))
+
+    sums = rows.groupBy("_s").agg(*(F.sum(weight(r)).alias(f"w{r}") for r in range(replicates)))
+    sums = sums.select("_s", F.posexplode(F.array(*(f"w{r}" for r in range(replicates)))).alias("replicate", "_w"))
+    counts = sums.groupBy("replicate").agg(*(F.coalesce(F.sum(F.when(F.col("_s") == n, F.col("_w"))), F.lit(0)).alias(n) for n in ("tp", "fp", "fn", "tn")))
     d = _rates(counts, reward, risk)
     long = d.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("precision", "recall", "expectancy")))).alias("m")).select("m.*")
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.05)).alias("p5"), F.percentile("v", F.lit(0.95)).alias("p95"))

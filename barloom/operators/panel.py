@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from barloom.functions.windows import ratio
 
 
+#: Assets or features whose matrix of pairs the driver holds at most (32 MB).
+MOST_NAMES = 2000
+
+
 def pair_correlations(df: DataFrame, key: str = "asset", ts: str = "ts", x: str = "x") -> DataFrame:
     """a < b, n common times and their Pearson correlation. Assets of one time meet in a list, so only times are shuffled."""
     at = df.where(F.col(x).isNotNull()).groupBy(ts).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).alias("v")))).alias("l"))
@@ -77,8 +82,14 @@ def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int | None = None,
     return [names.setdefault(top(i), len(names)) for i in range(n)]
 
 
-def matrix(pairs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Names and the matrix of a long table a, b, corr: one number per pair of assets or features, not per row of data."""
+def matrix(pairs: DataFrame, most: int = MOST_NAMES) -> tuple[list[str], np.ndarray]:
+    """Names and the matrix of a long table a, b, corr: one number per pair of assets or features, not per row of data.
+
+    Fails for more than `most` names, since the matrix lies on the driver.
+    """
+    count = pairs.select(F.explode(F.array("a", "b"))).distinct().count()
+    if count > most:
+        raise ValueError(f"{count} names are more than the {most} whose matrix the driver holds")
     p = pairs.select("a", "b", "corr").toPandas()
     names = sorted(set(p.a) | set(p.b))
     at = {x: i for i, x in enumerate(names)}
@@ -88,14 +99,34 @@ def matrix(pairs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, m
 
 
-def cluster_assets(df: DataFrame, k: int = 3, leader: str | None = None) -> DataFrame:
+def pca_factor(df: DataFrame, key: str = "asset", ts: str = "ts", x: str = "x") -> DataFrame:
+    """ts, factor: the first principal component of the assets' standardised x, its weights' largest positive; share: of the variance.
+
+    Weights come from the matrix of pairwise correlations (one number per pair, MOST_NAMES assets at most); the factor is
+    a weighted mean over the assets that a time has, so gaps do not make it null.
+    """
+    d = standardise(df.where(F.col(x).isNotNull()), [x], (key,))
+    names, corr = matrix(pair_correlations(df, key, ts, x))
+    values, vectors = np.linalg.eigh(corr)
+    first = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
+    weights = df.sparkSession.createDataFrame(list(zip(names, first.tolist(), strict=True)), f"{key} STRING, _w DOUBLE")
+    out = d.join(F.broadcast(weights), key).groupBy(ts).agg(ratio(F.sum(F.col(f"{x}_z") * F.col("_w")), F.sum(F.abs("_w"))).alias("factor"))  # weights: MOST_NAMES rows at most
+    return out.withColumn("share", F.lit(float(values[-1] / len(names))))
+
+
+def cluster_assets(df: DataFrame, k: int = 3, leader: str | None = None, least: int = 2) -> DataFrame:
     """asset, cluster by Ward's linkage of 1 - |correlation|; a leader is cluster 0 alone, the others have k - 1.
 
-    df: asset, ts, x.
+    df: asset, ts, x. An asset with no common times with any other, or fewer than `least` with all, is not in a pair: it
+    goes to the largest cluster of the others. Fewer assets than clusters are a cluster each.
     """
-    names, corr = matrix(pair_correlations(df))
+    pairs = pair_correlations(df).where(F.col("n") >= least)
+    names, corr = matrix(pairs)
     rest = [i for i, a in enumerate(names) if a != leader]
     k = min(k - (leader in names), len(rest))
     own = cut_tree(merge_tree(1 - np.abs(corr[np.ix_(rest, rest)])), len(rest), k=max(1, k))
     found = {names[i]: c + (leader in names) for i, c in zip(rest, own, strict=True)} | ({leader: 0} if leader in names else {})
-    return df.sparkSession.createDataFrame(sorted(found.items()), "asset STRING, cluster INT")
+    sizes = Counter(c for a, c in found.items() if a != leader)
+    default = min(sizes, key=lambda c: (-sizes[c], c), default=0)
+    held = df.sparkSession.createDataFrame(sorted(found.items()), "asset STRING, cluster INT")
+    return df.select("asset").distinct().join(F.broadcast(held), "asset", "left").withColumn("cluster", F.coalesce("cluster", F.lit(default)))  # MOST_NAMES rows at most

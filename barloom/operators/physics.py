@@ -9,19 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, ratio
+from barloom.functions.windows import Roll, bounded, ratio
 from barloom.shipping import ship
 
 By = Sequence[str]
 ASSET = ("asset",)
 
 
+@bounded(lambda a: 1)
+def _before(df: DataFrame, x: str, by: By = ASSET) -> DataFrame:
+    return df.withColumn("_b", Roll(by).lag(x))
+
+
+@bounded(ahead=lambda a: 1)
+def _after(df: DataFrame, x: str, by: By = ASSET) -> DataFrame:
+    return df.withColumn("_d", Roll(by).lead(x) - F.col(x))
+
+
 def ou_fit(df: DataFrame, x: str = "close", dt: float = 1.0, by: By = ASSET) -> DataFrame:
     """Per key, from the regression of x on its predecessor: theta, mu, sigma, half-life and R2. One pass of moments.
 
     theta and half-life are null unless the slope is in (0, 1).
     """
-    d = df.withColumn("_b", Roll(by).lag(x)).where(F.col("_b").isNotNull() & F.col(x).isNotNull())
+    d = _before(df, x, by=by).where(F.col("_b").isNotNull() & F.col(x).isNotNull())
     m = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("_mx"), F.avg("_b").alias("_mb"), F.var_pop(x).alias("_vx"), F.var_pop("_b").alias("_vb"), F.covar_pop(x, "_b").alias("_c"))
     m = m.withColumn("beta", ratio("_c", "_vb")).withColumn("alpha", F.col("_mx") - F.col("beta") * F.col("_mb"))
     m = m.withColumn("_res", F.greatest(F.col("_vx") - F.col("beta") * F.col("_c"), F.lit(0.0)))
@@ -36,7 +46,7 @@ def ou_fit(df: DataFrame, x: str = "close", dt: float = 1.0, by: By = ASSET) ->
 
 def double_well_fit(df: DataFrame, x: str, by: By = ASSET) -> DataFrame:
     """Per key a and b of the drift a x - b x^3, by least squares of the next difference on (x, -x^3), without intercept."""
-    d = df.withColumn("_d", Roll(by).lead(x) - F.col(x)).where("_d IS NOT NULL")
+    d = _after(df, x, by=by).where("_d IS NOT NULL")
     s = lambda e: F.sum(F.expr(e))
     m = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), s(f"pow({x},2)").alias("_2"), s(f"pow({x},4)").alias("_4"), s(f"pow({x},6)").alias("_6"), s(f"{x}*_d").alias("_y1"), s(f"pow({x},3)*_d").alias("_y3"))
     det = F.col("_2") * F.col("_6") - F.col("_4") * F.col("_4")
@@ -87,6 +97,7 @@ def frac_weights(d: float, cut: float = 1e-5, most: int = 2048) -> list[float]:
     return w
 
 
+@bounded(lambda a: len(frac_weights(a["d"], a["cut"], a["most"])) if a["d"] else 0)
 def frac_diff(df: DataFrame, d: float = 0.5, x: str = "close", cut: float = 1e-5, most: int = 2048, by: By = ASSET, name: str = "frac_diff") -> DataFrame:
     """Fractional difference as a finite filter over the last values; null until the filter is full; d = 0 copies.
 
@@ -102,6 +113,29 @@ def frac_diff(df: DataFrame, d: float = 0.5, x: str = "close", cut: float = 1e-5
     return held.withColumn(name, F.when(F.size("_a") == n, dot)).drop("_a")
 
 
+@bounded(lambda a: max((len(w) for w in a["weights"].values()), default=1))
+def _filtered(df: DataFrame, columns: Sequence[str], weights: dict[float, list[float]], by: By = ASSET) -> DataFrame:
+    r = Roll(by)
+    of = F.create_map(*(x for d, w in weights.items() for x in (F.lit(d), F.array(*map(F.lit, w[::-1])))))
+    most = max(map(len, weights.values()))
+    d = df.withColumn("_w", F.try_element_at(of, F.col("_d"))).withColumns({f"_a_{c}": F.collect_list(c).over(r.frame(most)) for c in columns})
+    last = lambda c: F.slice(f"_a_{c}", F.size(f"_a_{c}") - F.size("_w") + 1, F.size("_w"))
+    dot = lambda c: F.aggregate(F.zip_with(last(c), F.col("_w"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    full = lambda c: F.col("_w").isNotNull() & (F.size(f"_a_{c}") >= F.size("_w"))
+    return d.withColumns({f"{c}_fd": F.when(full(c), dot(c)) for c in columns}).drop("_w", *(f"_a_{c}" for c in columns))
+
+
+def frac_diff_panel(df: DataFrame, orders: DataFrame, columns: Sequence[str], grid: Sequence[float] = tuple(k / 20 for k in range(14)), cut: float = 1e-3, most: int = 2048, by: By = ASSET) -> DataFrame:
+    """Several columns' fractional differences, <column>_fd, with a d of each key's own.
+
+    orders: by and d, as find_min_d() gives it; d of the grid (0 copies). Null until a key's filter is full, for keys
+    without d, and for a d that is not in the grid. Columns without gaps are taken for granted, as in frac_diff().
+    """
+    weights = {float(d): frac_weights(d, cut, most) if d else [1.0] for d in grid}
+    held = df.join(orders.select(*by, F.col("d").cast("double").alias("_d")), list(by), "left")
+    return _filtered(held, columns, weights, by=by).select(*df.columns, *(f"{c}_fd" for c in columns))
+
+
 #: Response surface (MacKinnon 2010) of the Dickey-Fuller statistic with a constant: value at 5 %, and its terms in 1/n.
 ADF_5 = (-2.86154, -2.8903, -4.234, -40.04)
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import EPS, Roll, clip, ratio
+from barloom.functions.windows import EPS, Roll, bounded, clip, ratio, running
 
 By = Sequence[str]
 ASSET = ("asset",)
@@ -19,6 +18,7 @@ def log_ratio(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.ln(a / b))
 
 
+@bounded(lambda a: 1)
 def returns(df: DataFrame, price: str = "close", by: By = ASSET) -> DataFrame:
     before = Roll(by).lag(price)
     return df.withColumns({"log_ret": log_ratio(F.col(price), before), "pct_ret": ratio(F.col(price) - before, before), "diff": F.col(price) - before, "log_range": log_ratio(F.col("high"), F.col("low"))})
@@ -32,12 +32,14 @@ def candle(df: DataFrame, eps: float = 1e-9) -> DataFrame:
     })
 
 
+@bounded(lambda a: max(a["steps"]))
 def lags(df: DataFrame, columns: Sequence[str], steps: Sequence[int] = (1, 2, 3, 5, 8, 13), by: By = ASSET) -> DataFrame:
     """Every column at every lag; all of them are one Window node."""
     r = Roll(by)
     return df.withColumns({f"{c}_lag_{k}": r.lag(c, k) for c in columns for k in steps})
 
 
+@bounded(lambda a: a["n"])
 def moments(df: DataFrame, x: str = "log_ret", n: int = 20, by: By = ASSET, name: str | None = None) -> DataFrame:
     """Rolling standard deviation, skewness and excess kurtosis, corrected for bias."""
     r, p = Roll(by), name or x
@@ -52,6 +54,7 @@ def moments(df: DataFrame, x: str = "log_ret", n: int = 20, by: By = ASSET, name
     }).drop("_sd", "_vp", "_c", "_m")
 
 
+@bounded(lambda a: a["n"])
 def zscore(df: DataFrame, x: str = "close", n: int = 20, eps: float = 0.0, by: By = ASSET, name: str | None = None) -> DataFrame:
     r = Roll(by)
     return df.withColumn(name or f"z_{n}", ratio(F.col(x) - r.mean(x, n), r.std(x, n) + eps))
@@ -65,6 +68,7 @@ def _autoregression(x: str, before: str, frame, n: int, min_n: int) -> tuple[Col
     return F.when(full & (vx > EPS**2) & (vb > EPS**2), cov / F.sqrt(vx * vb)), F.when(full & (vb > EPS**2), cov / vb)
 
 
+@bounded(lambda a: a["window"] + a["span"] + 2)
 def stability(df: DataFrame, x: str = "close", window: int = 168, span: int = 504, limit: float = 2.0, by: By = ASSET, current: bool = True) -> DataFrame:
     """Autocorrelation and speed of mean reversion (-ln of the AR(1) slope in (0, 1), else 0), their z-scores over
     `span` (from `window` values on) and a warning when memory grows or reversion slows by `limit` deviations.
@@ -81,26 +85,33 @@ def stability(df: DataFrame, x: str = "close", window: int = 168, span: int = 50
     return d.withColumn("warning", F.coalesce((F.col("z_acf") > limit) | (F.col("z_theta") < -limit), F.lit(False))).drop("_b", "_beta")
 
 
+@bounded(lambda a: a["n"])
 def crashes(df: DataFrame, drop: float = 0.05, n: int = 24, price: str = "close", by: By = ASSET) -> DataFrame:
     """drawdown from the highest price of the last n rows (fewer at the start), and whether it reaches `drop`."""
     top = Roll(by).max(price, n, least=1)
     return df.withColumn("drawdown", ratio(F.col(price) - top, top)).withColumn("crash", F.coalesce(F.col("drawdown") <= -drop, F.lit(False)))
 
 
+@bounded(lambda a: a["before"])
+def _seen_before(df: DataFrame, flag: str, before: int, by: By = ASSET) -> DataFrame:
+    """df with _s: 1 if one of the `before` rows before has the flag."""
+    seen = F.max(F.col(flag).cast("int")).over(Roll(by).w.rowsBetween(-before, -1))
+    return df.withColumn("_s", F.coalesce(seen, F.lit(0)))
+
+
 def lead_hits(df: DataFrame, warning: str = "warning", crash: str = "crash", before: int = 48, by: By = ASSET) -> DataFrame:
     """Per key: crashes, and those with a warning in the `before` rows before them."""
-    seen = F.max(F.col(warning).cast("int")).over(Roll(by).w.rowsBetween(-before, -1))
-    d = df.withColumn("_s", F.coalesce(seen, F.lit(0))).where(F.col(crash))
+    d = _seen_before(df, warning, before, by=by).where(F.col(crash))
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("crashes"), F.sum("_s").alias("hits")).withColumn("hit_rate", F.col("hits") / F.col("crashes"))
 
 
 def intervals(df: DataFrame, flag: str = "warning", by: By = ASSET, ts: str = "ts") -> DataFrame:
-    """Runs of rows with the flag: start, end, rows (gaps and islands)."""
-    r = Roll(by, (ts,))
-    d = df.withColumn("_n", r.number()).where(F.col(flag)).withColumn("_g", F.col("_n") - r.number())
+    """Runs of rows with the flag: start, end, rows. A run is what has the same number of rows without the flag before it."""
+    d = running(df, {"_g": (F.when(F.coalesce(F.col(flag), F.lit(False)), 0).otherwise(1), "sum")}, by, ts).where(F.col(flag))
     return d.groupBy(*by, "_g").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("rows")).drop("_g")
 
 
+@bounded(lambda a: a["n"] + a["scales"])
 def fdi(df: DataFrame, n: int = 100, x: str = "close", scales: int = 8, by: By = ASSET) -> DataFrame:
     """Fractal dimension: 2 less the slope of ln(mean |x[t+l] - x[t]|) on ln l; each mean is a trimmed frame."""
     import math
@@ -127,6 +138,7 @@ def _rescaled(values: Column, n: int) -> tuple[Column, Column]:
     return walked["range"], walked["std"]
 
 
+@bounded(lambda a: a["n"] + 1)
 def hurst(df: DataFrame, n: int = 100, x: str = "close", by: By = ASSET, log_returns: bool = False, name: str | None = None) -> DataFrame:
     """Rescaled-range exponent of the last n values, ln(R/S) / ln n; 0.5 where nothing varies.
 
@@ -142,6 +154,7 @@ def hurst(df: DataFrame, n: int = 100, x: str = "close", by: By = ASSET, log_ret
     return d.withColumn(name or f"hurst_{n}", F.when(F.size("_a") == m, value)).drop("_x", "_a", "_r", "_s")
 
 
+@bounded(lambda a: a["n"])
 def entropy(df: DataFrame, n: int = 100, x: str = "diff", bins: int = 50, by: By = ASSET) -> DataFrame:
     """Shannon entropy (nats) of a histogram of the last n values with equal bins from least to most, the last one closed."""
     r = Roll(by)
@@ -160,21 +173,38 @@ def entropy(df: DataFrame, n: int = 100, x: str = "diff", bins: int = 50, by: By
     return d.withColumn(f"entropy_{n}", F.when(F.size("_a") == n, F.coalesce(walked, F.lit(0.0)))).drop("_lo", "_hi", "_a", "_b")
 
 
+@bounded(lambda a: a["n"])
+def deviation(df: DataFrame, x: str, n: int, name: str, by: By = ASSET) -> DataFrame:
+    """df with the standard deviation of the last n values."""
+    return df.withColumn(name, Roll(by).std(x, n))
+
+
+def with_key(df: DataFrame, by: By, **aggs: Column) -> DataFrame:
+    """df with aggregates of its key, which are worked out apart and joined back."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    whole = df.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True))).agg(*(a.alias(n) for n, a in aggs.items()))
+    same = F.lit(True)
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return df.join(whole, same).drop(*keys)
+
+
 def energy(df: DataFrame, x: str = "log_ret", n: int = 20, by: By = ASSET) -> DataFrame:
     """Product of the clipped z-scores of volatility and of absolute return, scaled to 0..1 per key."""
-    w = W.partitionBy(*by)
-    d = df.withColumns({"_v": Roll(by).std(x, n), "_a": F.abs(x)})
-    z = lambda c: clip(F.coalesce(ratio(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w)), F.lit(0.0)), 0.0, 5.0)
-    d = d.withColumn("_e", z("_v") * z("_a"))
-    lo, hi = F.min("_e").over(w), F.max("_e").over(w)
-    return d.withColumn("energy", F.coalesce(ratio(F.col("_e") - lo, hi - lo), F.lit(0.0))).drop("_v", "_a", "_e")
+    d = deviation(df, x, n, "_v", by=by).withColumn("_a", F.abs(x))
+    d = with_key(d, by, _vm=F.avg("_v"), _vs=F.stddev_samp("_v"), _am=F.avg("_a"), _as=F.stddev_samp("_a"))
+    z = lambda c: clip(F.coalesce(ratio(F.col(c) - F.col(f"{c}m"), F.col(f"{c}s")), F.lit(0.0)), 0.0, 5.0)
+    d = with_key(d.withColumn("_e", z("_v") * z("_a")), by, _lo=F.min("_e"), _hi=F.max("_e"))
+    return d.withColumn("energy", F.coalesce(ratio(F.col("_e") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_v", "_a", "_vm", "_vs", "_am", "_as", "_e", "_lo", "_hi")
 
 
+@bounded(lambda a: 2 * a["n"])
 def vol_of_vol(df: DataFrame, x: str = "log_ret", n: int = 24, by: By = ASSET) -> DataFrame:
     d = df.withColumn("vol", Roll(by).std(x, n))
     return d.withColumn("vol_of_vol", Roll(by).std("vol", n))
 
 
+@bounded(lambda a: a["n"])
 def rolling_corr(df: DataFrame, a: str, b: str, n: int, name: str, by: By = ASSET) -> DataFrame:
     w = Roll(by).frame(n)
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -183,13 +213,25 @@ def rolling_corr(df: DataFrame, a: str, b: str, n: int, name: str, by: By = ASSE
     return d.withColumn(name, F.when(F.count("_a").over(w) >= n, ratio(F.covar_pop("_a", "_b").over(w), F.when(spread > EPS**2, spread)))).drop("_a", "_b")
 
 
-def fill(df: DataFrame, columns: Sequence[str], limit: int | None = None, default: float | None = None, by: By = ASSET) -> DataFrame:
-    """Nulls take the latest value of at most `limit` rows before, then the default."""
+@bounded(lambda a: a["limit"])
+def _fill_near(df: DataFrame, columns: Sequence[str], limit: int, by: By = ASSET) -> DataFrame:
     r = Roll(by)
-    value = lambda c: r.last(c, limit)
-    return df.withColumns({c: value(c) if default is None else F.coalesce(value(c), F.lit(default)) for c in columns})
+    return df.withColumns({c: r.last(c, limit) for c in columns})
+
+
+def fill(df: DataFrame, columns: Sequence[str], limit: int | None = None, default: float | str | None = None, by: By = ASSET) -> DataFrame:
+    """Nulls take the latest value of at most `limit` rows before, then the default: a number, or "median" for that of their key."""
+    if limit is None:
+        d = running(df, {f"_f_{c}": (F.col(c), "last") for c in columns}, by).withColumns({c: F.col(f"_f_{c}") for c in columns}).drop(*(f"_f_{c}" for c in columns))
+    else:
+        d = _fill_near(df, columns, limit, by=by)
+    if default == "median":
+        d = with_key(d, by, **{f"_m_{c}": F.percentile(c, F.lit(0.5)) for c in columns})
+        return d.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*(f"_m_{c}" for c in columns))
+    return d if default is None else d.withColumns({c: F.coalesce(c, F.lit(default)) for c in columns})
 
 
+@bounded(lambda a: a["n"])
 def mode_smooth(df: DataFrame, x: str, n: int = 3, by: By = ASSET, name: str = "smooth") -> DataFrame:
     """The most frequent of the last n values; of equally frequent ones the smallest."""
     return df.withColumn(name, F.mode(F.col(x), True).over(Roll(by).frame(n)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, by_time, ratio
+from barloom.functions.windows import Roll, bounded, by_time, ratio, running
 
 By = Sequence[str]
 ASSET = ("asset",)
@@ -46,6 +46,7 @@ def trade_policy(df: DataFrame, table: dict[str, tuple[float, float, float]], re
     return d.withColumn("leverage", F.when(F.col(regime) == "Stress", 1.0).otherwise(lev)).drop("_f")
 
 
+@bounded(lambda a: max(a["fast"], a["slow"]))
 def sma_cross(df: DataFrame, fast: int = 50, slow: int = 200, by: By = ASSET) -> DataFrame:
     r = Roll(by)
     d = df.withColumns({"_f": r.mean("close", fast), "_s": r.mean("close", slow)})
@@ -59,14 +60,18 @@ def confluence(df: DataFrame, *states: str, bull: str = "Bull", bear: str = "Bea
     return df.withColumn("signal", F.when(all_(both(bull)), 1).when(all_(both(bear)), -1).otherwise(0))
 
 
-def vector_backtest(df: DataFrame, signal: str = "signal", fee: float = 0.0006, by: By = ASSET) -> DataFrame:
-    """net, equity and drawdown of the signal one bar later, with a fee per unit of change."""
+@bounded(lambda a: 2)
+def _net(df: DataFrame, signal: str, fee: float, by: By = ASSET) -> DataFrame:
+    """df with net: what the signal of the bar before earns, less a fee per unit of change."""
     r = Roll(by)
     d = df.withColumns({"_pos": F.coalesce(r.lag(signal), F.lit(0)), "_ret": F.coalesce(F.ln(F.col("close") / r.lag("close")), F.lit(0.0))})
-    d = d.withColumn("net", F.col("_pos") * F.col("_ret") - fee * F.abs(F.col("_pos") - F.coalesce(r.lag("_pos"), F.lit(0))))
-    w = r.w.rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("equity", F.exp(F.sum("net").over(w)))
-    return d.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1).drop("_pos", "_ret")
+    return d.withColumn("net", F.col("_pos") * F.col("_ret") - fee * F.abs(F.col("_pos") - F.coalesce(r.lag("_pos"), F.lit(0)))).drop("_pos", "_ret")
+
+
+def vector_backtest(df: DataFrame, signal: str = "signal", fee: float = 0.0006, by: By = ASSET) -> DataFrame:
+    """net, equity and drawdown of the signal one bar later, with a fee per unit of change."""
+    d = running(_net(df, signal, fee, by=by), {"_sum": (F.col("net"), "sum")}, by).withColumn("equity", F.exp("_sum"))
+    return running(d, {"_top": (F.col("equity"), "max")}, by).withColumn("drawdown", F.col("equity") / F.col("_top") - 1).drop("_sum", "_top")
 
 
 def performance(df: DataFrame, periods: float = 24 * 365, by: By = ASSET) -> DataFrame:
@@ -96,10 +101,10 @@ def trade_returns(trades: DataFrame, fee: float = 0.0006, slippage: float = 0.00
     paid = F.col("entry_price") * (1 + F.col("side") * slippage)
     got = F.col("exit_price") * (1 - F.col("side") * slippage)
     d = trades.withColumn("net", F.col("side") * (got / paid - 1) - 2 * fee)
-    w = W.partitionBy(*by).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
     # A product as a sum of logarithms: each step's factor is positive as long as no trade loses all of its size.
-    d = d.withColumn("equity", start * F.exp(F.sum(F.log1p(size * leverage * F.col("net"))).over(w)))
-    return d.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(start), F.max("equity").over(w)) - 1)
+    d = running(d, {"_sum": (F.log1p(size * leverage * F.col("net")), "sum")}, by, ts, "7 days").withColumn("equity", start * F.exp("_sum"))
+    d = running(d, {"_top": (F.col("equity"), "max")}, by, ts, "7 days")
+    return d.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(start), "_top") - 1).drop("_sum", "_top")
 
 
 def trade_statistics(trades: DataFrame, start: float = 10_000.0, by: By = ASSET, ts: str = "entry_ts") -> DataFrame:
@@ -128,21 +133,24 @@ def strategies(a: DataFrame, b: DataFrame, by: By = ASSET) -> DataFrame:
 def hysteresis(df: DataFrame, x: str = "rsi_14", buy: float = 30, sell: float = 50, by: By = ASSET) -> DataFrame:
     """position 1 from x < buy until x > sell: the latest of these events holds. (Cash for an order is taken as given.)"""
     event = F.when(F.col(x) < buy, 1).when(F.col(x) > sell, 0)
-    return df.withColumn("_e", event).withColumn("position", F.coalesce(Roll(by).last("_e"), F.lit(0))).drop("_e")
+    return running(df, {"_e": (event, "last")}, by).withColumn("position", F.coalesce("_e", F.lit(0))).drop("_e")
 
 
 def barrier_simulation(labelled: DataFrame, tp: float, sl: float, size: float = 0.1, leverage: Column | float = 1.0, start: float = 10_000.0, by: By = ASSET) -> DataFrame:
     """Balance over labelled entries (1: tp gained, 0: sl lost), each compounding in order of entry."""
     lev = F.lit(float(leverage)) if isinstance(leverage, (int, float)) else leverage
     d = labelled.where("label IS NOT NULL").withColumn("pnl", size * lev * F.when(F.col("label") == 1, tp).otherwise(-sl))
-    w = Roll(by).w.rowsBetween(W.unboundedPreceding, 0)
-    return d.withColumn("balance", start * F.exp(F.sum(F.log1p("pnl")).over(w)))
+    return running(d, {"_sum": (F.log1p("pnl"), "sum")}, by).withColumn("balance", start * F.exp("_sum")).drop("_sum")
+
+
+@bounded(ahead=lambda a: 2)
+def _next_bars(bars: DataFrame, by: By = ASSET) -> DataFrame:
+    r = Roll(by)
+    return bars.withColumns({"_ts": r.lead("ts"), "_o": r.lead("open"), "_c": r.lead("close"), "_ts2": r.lead("ts", 2), "_o2": r.lead("open", 2)})
 
 
 def confirmation(signals: DataFrame, bars: DataFrame, by: By = ASSET) -> DataFrame:
     """Entry at the first bar after a signal if it closes in the signal's direction (A), else at the next one (B)."""
-    r = Roll(by)
-    b = bars.withColumns({"_ts": r.lead("ts"), "_o": r.lead("open"), "_c": r.lead("close"), "_ts2": r.lead("ts", 2), "_o2": r.lead("open", 2)})
-    d = signals.join(b.select(*by, "ts", "_ts", "_o", "_c", "_ts2", "_o2"), [*by, "ts"]).where("side <> 0")
+    d = signals.join(_next_bars(bars, by=by).select(*by, "ts", "_ts", "_o", "_c", "_ts2", "_o2"), [*by, "ts"]).where("side <> 0")
     yes = F.signum(F.col("_c") - F.col("_o")) == F.col("side")
     return d.select(*by, "ts", "side", F.when(yes, "A").otherwise("B").alias("scenario"), F.when(yes, F.col("_ts")).otherwise(F.col("_ts2")).alias("entry_ts"), F.when(yes, F.col("_c")).otherwise(F.col("_o2")).alias("entry_price")).where("entry_ts IS NOT NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.windows import chunked, with_lookback
 from barloom.operators import joins
 from barloom.operators.indicators import sma
-from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, steps
+from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, scratch, steps
 from barloom.sources import bars as B
 from barloom.sources import quality
 
@@ -257,3 +257,30 @@ def klines_parse(b):
     text = {c: F.col(c).cast("string") for c in ("open", "high", "low", "close")}
     raw = b.withColumn("timestamp", F.expr("CAST(timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', ts) AS STRING)")).withColumns(text)
     return B.from_klines(raw.withColumn("volume", F.when(F.col("volume") == 2, "n/a").otherwise(F.col("volume").cast("string"))))
+
+
+_ALL = f"WITH {BARS} SELECT asset, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars"
+
+
+def _through(form: str, read):
+    def query(spark, sf_dir):
+        path = scratch(spark)
+        B.write(B.event_bars(spark, sf_dir).select("asset", "ts", "open", "high", "low", "close", "volume"), path, form)
+        return pick(read(spark, path).select("asset", "ts", "open", "high", "low", "close", "volume"), "open high low close volume")
+
+    query.__name__ = f"{form}_files"
+    query.__doc__ = f"Bars written as {form} files and read again."
+    return q(_ALL)(query)
+
+
+_through("csv", B.read_csv)
+_through("json", lambda spark, path: B.read_json(spark, path, B.SCHEMA))
+_through("parquet", B.read_parquet)
+
+
+@q("SELECT 'A' || (k // 1000) AS asset, TIMESTAMP '2024-01-01' + to_hours((k % 1000)::INT) AS ts, true AS whole FROM range(0, 3000) g(k)")
+def synthetic_bars(spark, sf_dir):
+    """Seeded walks; the SQL knows their keys and that each bar holds together."""
+    b = B.synthetic(spark)
+    whole = (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("low") > 0) & (F.col("volume") >= 0)
+    return b.select("asset", "ts", whole.alias("whole"))

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, ema, ratio
+from barloom.functions.windows import Roll, chunked, ema, ratio
 from barloom.operators import indicators as I
 from barloom.operators import joins, physics, rolling
 from barloom.plans.base import BARS, KEY, Book, lag, listed, roll, steps
@@ -33,7 +33,7 @@ def rsi(b):
 
 @q.on_bars("log_ret sma_20 rsi_14", steps(*RSI, f"ln(close / {lag('close')}) AS log_ret, {roll('avg', 'close', 20)} AS sma_20", out="log_ret; sma_20; rsi_14"))
 def indicators_core(b):
-    return I.rsi(I.sma(rolling.returns(b)))
+    return chunked(b, lambda d, by: I.rsi(I.sma(rolling.returns(d, by=by), by=by), by=by), 20)
 
 
 @q.on_bars(" ".join(f"sma_{n}" for n in (5, 20, 50, 200)), steps(", ".join(f"{roll('avg', 'close', n)} AS sma_{n}" for n in (5, 20, 50, 200)), out="sma_5; sma_20; sma_50; sma_200"))
@@ -166,8 +166,11 @@ def zscore(b):
 
 @q.on_bars("vol_20 vol_100 vol_200", steps(RET, ", ".join(f"{roll('stddev_samp', 'log_ret', n)} AS vol_{n}" for n in (20, 100, 200)), out="vol_20; vol_100; vol_200"))
 def rolling_vol(b):
-    r = Roll()
-    return rolling.returns(b).withColumns({f"vol_{n}": r.std("log_ret", n) for n in (20, 100, 200)})
+    def vols(d, by):
+        r = Roll(by)
+        return rolling.returns(d, by=by).withColumns({f"vol_{n}": r.std("log_ret", n) for n in (20, 100, 200)})
+
+    return chunked(b, vols, 201)
 
 
 def stability_sql(w: int, span: int, end: int = 0) -> tuple[str, ...]:
@@ -278,7 +281,7 @@ def fill_limit(b):
 
 @q.on_bars("interaction_vol interaction_hurst", steps(RET, f"{roll('stddev_samp', 'log_ret', 20)} AS v, sign(close - open) AS s", out="coalesce(v, 0) * s AS interaction_vol; coalesce(v, 0) * s * 0.5 AS interaction_hurst"))
 def signal_interactions(b):
-    d = rolling.returns(b).withColumn("v", F.coalesce(Roll().std("log_ret", 20), F.lit(0.0))).withColumn("s", F.signum(F.col("close") - F.col("open")))
+    d = rolling.deviation(rolling.returns(b), "log_ret", 20, "v").withColumn("v", F.coalesce("v", F.lit(0.0))).withColumn("s", F.signum(F.col("close") - F.col("open")))
     return d.withColumns({"interaction_vol": F.col("v") * F.col("s"), "interaction_hurst": F.col("v") * F.col("s") * 0.5})
 
 
@@ -340,6 +343,18 @@ def fracdiff(b):
     return physics.frac_diff(b, 0.5, cut=1e-3)
 
 
+_w4 = physics.frac_weights(0.4, 1e-3)
+_wl4 = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _w4[::-1]) + "]"
+_fd = lambda c: f"CASE WHEN asset = 'click' THEN {c} WHEN asset = 'view' AND len(a_{c}) >= {len(_w4)} THEN list_inner_product(a_{c}[len(a_{c}) - {len(_w4) - 1}:], {_wl4}) END AS {c}_fd"
+
+
+@q.on_bars("close_fd volume_fd", steps(f"{listed('close', len(_w4))} AS a_close, {listed('volume', len(_w4))} AS a_volume", out=f"{_fd('close')}; {_fd('volume')}"))
+def fracdiff_panel(b):
+    """Two columns, with a d for each asset: 0 for click, 0.4 for view, none for the rest."""
+    orders = b.select("asset").distinct().where("asset IN ('click', 'view')").withColumn("d", F.when(F.col("asset") == "view", 0.4).otherwise(0.0))
+    return physics.frac_diff_panel(b, orders, ["close", "volume"], grid=(0.0, 0.4))
+
+
 @q()
 def fracdiff_min_d(spark, sf_dir):
     from barloom.sources.bars import event_bars
@@ -390,3 +405,17 @@ def feature_factory(spark, sf_dir):
 
     return signals(event_bars(spark, sf_dir))
 
+
+
+@q.on_bars("volume", steps("CASE WHEN volume <> 2 THEN volume END AS v", out="coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), quantile_cont(v, 0.5) OVER (PARTITION BY asset)) AS volume"))
+def fill_median(b):
+    """Gaps of one row take the value before, longer ones the median of their asset after the filling."""
+    gaps = b.withColumn("volume", F.when(F.col("volume") != 2, F.col("volume")))
+    return rolling.fill(gaps, ["volume"], limit=1, default="median")
+
+
+@q.on_bars("a b c", steps(f"{lag('close')} AS a, {lag('close', 5)} AS b, CASE WHEN volume <> 2 THEN volume END AS c", out="a; b; c", where="(a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2"))
+def dropna_thresh(b):
+    """Rows with two values at least of three."""
+    d = rolling.lags(b.withColumn("c", F.when(F.col("volume") != 2, F.col("volume"))), ["close"], (1, 5)).withColumnsRenamed({"close_lag_1": "a", "close_lag_5": "b"})
+    return d.dropna(thresh=2, subset=["a", "b", "c"])

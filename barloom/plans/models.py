@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll
 from barloom.operators import ensemble, labels, panel, regimes, rolling, selection
 from barloom.operators.indicators import rsi, sma
-from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, steps
+from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, scratch, steps
 from barloom.plans.scoring import SCORED, scored
 from barloom.sources.bars import event_bars
 
@@ -20,13 +17,8 @@ STATE = (f"ln(close / {lag('close')}) AS log_ret", f"{roll('stddev_samp', 'log_r
 
 
 def _with_state(b):
-    d = rolling.returns(b)
-    return d.withColumns({"vol": Roll().std("log_ret", 6), "state": F.when(F.col("volume") >= 5, 0).when(F.col("close") > F.col("open"), 1).otherwise(2)})
-
-
-def _scratch(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+    d = rolling.deviation(rolling.returns(b), "log_ret", 6, "vol")
+    return d.withColumns({"state": F.when(F.col("volume") >= 5, 0).when(F.col("close") > F.col("open"), 1).otherwise(2)})
 
 
 # Regimes -----------------------------------------------------------------------------------------------------------
@@ -104,7 +96,7 @@ def meta_labels(spark, sf_dir):
 
 @q.on_bars("p_ou", steps(f"(close - {roll('avg', 'close', 20)}) / nullif({roll('stddev_samp', 'close', 20)}, 0) AS z, ln(close / {lag('close')}) AS r", f"{roll('stddev_samp', 'r', 20)} AS v", out="greatest(0.01::DOUBLE, least(0.99::DOUBLE, 0.5 + (1 / (1 + exp(greatest(-50, least(50, z)))) - 0.5) / (1 + v))) AS p_ou", where="z IS NOT NULL AND v IS NOT NULL"))
 def ou_expert(b):
-    d = rolling.zscore(rolling.returns(b), name="z").withColumn("v", Roll().std("log_ret", 20)).where("z IS NOT NULL AND v IS NOT NULL")
+    d = rolling.deviation(rolling.zscore(rolling.returns(b), name="z"), "log_ret", 20, "v").where("z IS NOT NULL AND v IS NOT NULL")
     return ensemble.ou_expert(d, "z", "v")
 
 
@@ -126,7 +118,7 @@ FEATURES = ["rsi_14", "dist", "vol", "pct_ret", "log_range"]
 def _learning(spark, sf_dir):
     """Features and labels of the bars; the last fifth of the times is for validation."""
     b = rsi(sma(rolling.returns(event_bars(spark, sf_dir))))
-    b = labels.forward_return(b.withColumns({"dist": F.col("close") / F.col("sma_20") - 1, "vol": Roll().std("log_ret", 20)}), 4, 0.15)
+    b = labels.forward_return(rolling.deviation(b.withColumn("dist", F.col("close") / F.col("sma_20") - 1), "log_ret", 20, "vol"), 4, 0.15)
     d = labels.share_split(b.withColumn("y", F.col("label").cast("double"))).dropna(subset=[*FEATURES, "y"])
     d = d.withColumn("id", F.xxhash64("asset", "ts"))
     return ensemble.assemble(d.select("id", "asset", "ts", "train", "y", *FEATURES), FEATURES)
@@ -213,6 +205,12 @@ def fold_stability(b):
     return selection.fold_stability(labels.folds(b), ["open", "volume"], "close")
 
 
+@q()
+def factor_pca(spark, sf_dir):
+    """The first principal component of assets' standardised returns, per time."""
+    return panel.pca_factor(rolling.returns(event_bars(spark, sf_dir)).select("asset", "ts", F.col("diff").alias("x")))
+
+
 @q()
 def asset_clusters(spark, sf_dir):
     return panel.cluster_assets(rolling.returns(event_bars(spark, sf_dir)).select("asset", "ts", F.col("diff").alias("x")), leader="click")
@@ -231,7 +229,7 @@ def streaming_bars(spark, sf_dir):
     """Five-minute bars of the events as a stream; a bar is written once the watermark has passed its end."""
     from barloom.streaming import live
 
-    sink = _scratch(spark)
-    live.run(live.stream_bars(live.ticks(spark, sf_dir, "events.parquet")), sink, _scratch(spark)).awaitTermination()
+    sink = scratch(spark)
+    live.run(live.stream_bars(live.ticks(spark, sf_dir, "events.parquet")), sink, scratch(spark)).awaitTermination()
     b = spark.read.parquet(sink)
     return b.select("asset", F.expr("to_timestamp_ntz(date_format(ts, 'yyyy-MM-dd HH:mm:ss'))").alias("ts"), "open", "high", "low", "close", "volume")

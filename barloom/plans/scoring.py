@@ -161,9 +161,23 @@ def adaptive_grid(spark, sf_dir):
     return pick(metrics.adaptive_grid(scored(spark, sf_dir), (0.5, 0.55, 0.6, 0.65, 0.7), (0.0, 0.05, 0.1, 0.15), 1.0), "tp n_trades precision expectancy score", "base, sensitivity")
 
 
-@q()
+def _poisson() -> str:
+    """CASE arms of a Poisson(1) number by eight hex digits."""
+    arms, total, term = [], 0.0, 2.718281828459045**-1
+    for k in range(7):
+        total += term
+        arms.append(f"WHEN d < '{int(total * (1 << 32)):08x}' THEN {k}")
+        term /= k + 1
+    return f"CASE {' '.join(arms)} ELSE 7 END"
+
+
+@q(f"""WITH {SCORED}, h AS (SELECT p, y, k, substr(md5(id::VARCHAR || ':42:' || (k // 4)), 8 * (k % 4) + 1, 8) AS d FROM scored, range(0, 50) g(k)),
+w AS (SELECT *, {_poisson()} AS w FROM h),
+c AS (SELECT k, sum(w) FILTER (p >= 0.55 AND y = 1) AS tp, sum(w) FILTER (p >= 0.55 AND y = 0) AS fp, sum(w) FILTER (p < 0.55 AND y = 1) AS fn, sum(w) FILTER (p < 0.55 AND y = 0) AS tn FROM w GROUP BY k), {_rate},
+m AS (SELECT 'precision' AS metric, prec AS v FROM r UNION ALL SELECT 'recall' AS metric, rec AS v FROM r UNION ALL SELECT 'expectancy' AS metric, CASE WHEN n_trades > 0 THEN prec * 0.02 - (1 - prec) * 0.01 ELSE 0 END AS v FROM r)
+SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.95), 6) AS p95 FROM m GROUP BY 1""")
 def bootstrap_metrics(spark, sf_dir):
-    return metrics.bootstrap(scored(spark, sf_dir))
+    return pick(metrics.bootstrap(scored(spark, sf_dir)), "mean p5 p95", "metric")
 
 
 @q(f"WITH {SCORED} SELECT asset, count(*) AS n, round(avg(p), 6) AS mean_p, round(stddev_samp(p), 6) AS std_p, arg_max(id, (p, id)) AS best FROM scored GROUP BY asset")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import by_time
+from barloom.functions.windows import by_time, running_sum
 
 SCHEMA = "asset STRING, ts TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE"
 
@@ -57,9 +57,9 @@ def from_klines(rows: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, form: str = "parquet", by: Sequence[str] = ("asset",)) -> None:
-    """Parquet in folders by asset and sorted by time, or CSV or JSON."""
+    """Parquet in folders by asset and sorted by time, a file for each month of an asset at most; or CSV or JSON."""
     if form == "parquet":
-        df.repartition(*by).sortWithinPartitions(*by, "ts").write.partitionBy(*by).mode("overwrite").parquet(path)
+        df.repartition(*by, F.date_trunc("month", F.col("ts"))).sortWithinPartitions(*by, "ts").write.partitionBy(*by).mode("overwrite").parquet(path)
     else:
         df.write.mode("overwrite").option("header", True).format(form).save(path)
 
@@ -101,8 +101,7 @@ def synthetic(spark: SparkSession, assets: int = 3, rows: int = 1000, seed: int
         F.concat(F.lit("A"), F.floor(F.col("id") / rows).cast("string")).alias("asset"),
         F.expr(f"CAST(timestamp_seconds(1704067200 + (id % {rows}) * {every}) AS TIMESTAMP_NTZ)").alias("ts"), (F.randn(seed) * 0.01).alias("_r"), (F.rand(seed + 1) * 100).alias("volume"),
     )
-    w = W.partitionBy("asset").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    r = r.withColumn("close", 100 * F.exp(F.sum("_r").over(w))).withColumn("open", F.col("close") * F.exp(-F.col("_r")))
+    r = running_sum(r, F.col("_r"), "_sum").withColumn("close", 100 * F.exp("_sum")).withColumn("open", F.col("close") * F.exp(-F.col("_r")))
     return r.select("asset", "ts", "open", (F.greatest("open", "close") * 1.001).alias("high"), (F.least("open", "close") * 0.999).alias("low"), "close", "volume")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll
+from barloom.functions.windows import Roll, bounded
 
 
 def time_report(df: DataFrame, by: Sequence[str] = ("asset",), ts: str = "ts", earliest: str = "2010-01-01") -> DataFrame:
@@ -20,10 +20,14 @@ def time_report(df: DataFrame, by: Sequence[str] = ("asset",), ts: str = "ts", e
     )
 
 
+@bounded(lambda a: 1)
+def _stepped(df: DataFrame, by: Sequence[str] = ("asset",)) -> DataFrame:
+    return df.withColumn("_s", F.timestamp_diff("SECOND", Roll(by).lag("ts"), F.col("ts")))
+
+
 def interval_report(df: DataFrame, seconds: int, by: Sequence[str] = ("asset",)) -> DataFrame:
     """Per asset the share of steps of exactly one bar, and a grade: good from 0.95, fair from 0.9."""
-    step = F.timestamp_diff("SECOND", Roll(by).lag("ts"), F.col("ts"))
-    out = df.withColumn("_s", step).groupBy(*by).agg(F.count("_s").alias("steps"), F.avg((F.col("_s") == seconds).cast("double")).alias("share"))
+    out = _stepped(df, by=by).groupBy(*by).agg(F.count("_s").alias("steps"), F.avg((F.col("_s") == seconds).cast("double")).alias("share"))
     return out.withColumn("grade", F.when(F.col("share") >= 0.95, "good").when(F.col("share") >= 0.9, "fair").otherwise("poor"))
 
 
