@@ -14,12 +14,65 @@ from pyspark.sql import functions as F
 from barloom.functions.windows import ratio, running_sum
 from barloom.shipping import ship
 
-#: Rows of a history that one call works on.
-PIECE = 2048
+#: Rows of a history in one piece, and rows in one of the blocks of a piece that are worked on side by side.
+PIECE, BLOCK = 2048, 64
+
+
+def _blocks(steps: np.ndarray, nothing: np.ndarray) -> np.ndarray:
+    """A matrix per row -> blocks x BLOCK x states x states, filled up with matrices that change nothing."""
+    fill = np.broadcast_to(nothing, (-len(steps) % BLOCK, *nothing.shape))
+    return np.concatenate([steps, fill]).reshape(-1, BLOCK, *nothing.shape)
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    p = a @ b
+    return p / np.maximum(p.max(axis=(-2, -1), keepdims=True), 1e-300)
+
+
+def _maxima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
+
+
+def _fold(blocks: np.ndarray, times) -> np.ndarray:
+    """The product of each block's matrices."""
+    p = blocks[:, 0]
+    for s in range(1, blocks.shape[1]):
+        p = times(p, blocks[:, s])
+    return p
+
+
+def _ends(m: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a row of matrices the distribution before it and the backward weights after it."""
+    into, out = np.empty(m.shape[:2]), np.empty(m.shape[:2])
+    for i in range(len(m)):
+        into[i] = enter
+        enter = enter @ m[i]
+        enter = enter / max(enter.sum(), 1e-300)
+    for i in range(len(m) - 1, -1, -1):
+        out[i] = leave
+        leave = m[i] @ leave
+        leave = leave / max(leave.sum(), 1e-300)
+    return into, out
+
+
+def _best_ends(m: np.ndarray, enter: np.ndarray, leave: int | None = None) -> np.ndarray:
+    """For each of a row of matrices of best scores the state in which the best path leaves it (the last one's may be given)."""
+    before = np.empty(m.shape[:2])
+    for i in range(len(m)):
+        before[i] = enter
+        enter = (enter[:, None] + m[i]).max(axis=0)
+    out = np.empty(len(m), int)
+    out[-1] = enter.argmax() if leave is None else leave
+    for i in range(len(m) - 1, 0, -1):
+        out[i - 1] = (before[i] + m[i][:, out[i]]).argmax()
+    return out
 
 
 @dataclass
 class Hmm:
+    """A row is a matrix: from the state before it to its own. A piece is the product of its rows' matrices, so what comes
+    before and after it enters as one vector each, and pieces of a history give what the whole history would."""
+
     start: np.ndarray
     move: np.ndarray
     mean: np.ndarray
@@ -30,89 +83,154 @@ class Hmm:
         d = x[:, None, :] - self.mean[None]
         return -0.5 * (np.log(2 * np.pi * self.var)[None] + d * d / self.var[None]).sum(axis=2)
 
-    def expect(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        """Sums that a step of EM needs of one piece."""
+    def _steps(self, e: np.ndarray, first: bool) -> np.ndarray:
+        a = self.move[None] * np.exp(e)[:, None, :]
+        if first:
+            a[0] = self.start * np.exp(e[0])
+        return a
+
+    def _scores(self, x: np.ndarray, first: bool) -> np.ndarray:
         e = self.emission(x)
-        top = e.max(axis=1, keepdims=True)
-        b, n, k = np.exp(e - top), len(x), len(self.start)
-        f, scale = np.zeros((n, k)), np.zeros(n)
-        for t in range(n):
-            f[t] = (self.start if t == 0 else f[t - 1] @ self.move) * b[t]
-            scale[t] = max(f[t].sum(), 1e-300)
-            f[t] /= scale[t]
-        back, moves = np.ones((n, k)), np.zeros((k, k))
-        for t in range(n - 2, -1, -1):
-            ahead = b[t + 1] * back[t + 1]
-            moves += f[t][:, None] * self.move * ahead[None] / scale[t + 1]
-            back[t] = self.move @ ahead / scale[t + 1]
+        a = np.log(self.move + 1e-300)[None] + e[:, None, :]
+        if first:
+            a[0] = np.log(self.start + 1e-300) + e[0]
+        return a
+
+    def _stay(self) -> np.ndarray:
+        return np.where(np.eye(len(self.start)) > 0, 0.0, -np.inf)
+
+    def whole(self, x: np.ndarray, first: bool) -> np.ndarray:
+        """The product of a piece's matrices, up to a factor."""
+        e = self.emission(x)
+        m = _fold(_blocks(self._steps(e - e.max(axis=1, keepdims=True), first), np.eye(len(self.start))), _sums)
+        return _fold(m[None], _sums)[0]
+
+    def best_whole(self, x: np.ndarray, first: bool) -> np.ndarray:
+        """The best score of a piece from each state before it to each state at its end."""
+        return _fold(_fold(_blocks(self._scores(x, first), self._stay()), _maxima)[None], _maxima)[0]
+
+    def expect(self, x: np.ndarray, first: bool, enter: np.ndarray, leave: np.ndarray) -> dict[str, np.ndarray]:
+        """Sums that a round of EM needs of one piece, the move into its first row included."""
+        e = self.emission(x)
+        top, n, k = e.max(axis=1, keepdims=True), len(x), len(self.start)
+        a = self._steps(e - top, first)
+        b = _blocks(a, np.eye(k))
+        v, w = _ends(_fold(b, _sums), enter, leave)
+        f, back, scale = np.empty(b.shape[:3]), np.empty(b.shape[:3]), np.empty(b.shape[:2])
+        for s in range(BLOCK):
+            v = np.einsum("bi,bij->bj", v, b[:, s])
+            scale[:, s] = np.maximum(v.sum(axis=1), 1e-300)
+            f[:, s] = v = v / scale[:, s, None]
+        for s in range(BLOCK - 1, -1, -1):
+            back[:, s] = w
+            w = np.einsum("bij,bj->bi", b[:, s], w)
+            w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+        f, back = f.reshape(-1, k)[:n], back.reshape(-1, k)[:n]
         g = f * back
         g /= g.sum(axis=1, keepdims=True)
-        return {"start": g[0], "moves": moves, "weight": g.sum(axis=0), "x": g.T @ x, "xx": g.T @ (x * x), "log": np.array([np.log(scale).sum() + top.sum()])}
-
-    def path(self, x: np.ndarray) -> np.ndarray:
-        e, n, k = self.emission(x), len(x), len(self.start)
-        best, back, move = np.log(self.start + 1e-300) + e[0], np.zeros((n, k), int), np.log(self.move + 1e-300)
-        for t in range(1, n):
-            to = best[:, None] + move
-            back[t] = to.argmax(axis=0)
-            best = to.max(axis=0) + e[t]
-        out = np.zeros(n, int)
-        out[-1] = best.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return out
+        pairs = np.concatenate([enter[None], f[:-1]])[:, :, None] * a * back[:, None, :]
+        pairs /= np.maximum(pairs.sum(axis=(1, 2), keepdims=True), 1e-300)
+        start = g[0] if first else np.zeros(k)
+        return {"start": start, "moves": pairs[int(first) :].sum(axis=0), "weight": g.sum(axis=0), "x": g.T @ x, "xx": g.T @ (x * x), "log": np.array([np.log(scale).sum() + top.sum()])}
+
+    def path(self, x: np.ndarray, first: bool = True, enter: int = 0, leave: int | None = None) -> np.ndarray:
+        """States of the best path through a piece, from a state before it to one at its end."""
+        b, k = _blocks(self._scores(x, first), self._stay()), len(self.start)
+        ends = _best_ends(_fold(b, _maxima), np.where(np.arange(k) == enter, 0.0, -np.inf), leave)
+        at, begin = np.arange(len(b)), np.concatenate([[enter], ends[:-1]])
+        best, back, out = b[at, 0, begin], np.zeros(b.shape[:3], int), np.empty(b.shape[:2], int)
+        for s in range(1, BLOCK):
+            to = best[:, :, None] + b[:, s]
+            back[:, s], best = to.argmax(axis=1), to.max(axis=1)
+        out[:, -1] = ends
+        for s in range(BLOCK - 1, 0, -1):
+            out[:, s - 1] = back[at, s, out[:, s]]
+        return out.ravel()[: len(x)]
 
 
 def _pieces(df: DataFrame, columns: Sequence[str], by: Sequence[str], ts: str) -> DataFrame:
     ship(df.sparkSession)
     held = running_sum(df.dropna(subset=list(columns)).select(*by, ts, *columns), F.lit(1), "_n", by, ts)
-    return held.withColumn("_piece", F.floor((F.col("_n") - 1) / PIECE))
+    return held.withColumn("_piece", F.floor((F.col("_n") - 1) / PIECE)).repartition(*by, "_piece")
+
+
+def _with_ends(pieces: DataFrame, model: Hmm, columns: Sequence[str], by: Sequence[str], ts: str, work, schema: str, best: bool = False) -> DataFrame:
+    """work(piece in order, first, enter, leave) of each piece. Of a whole history one task sees a small matrix per piece."""
+    kinds = ", ".join(f"{x} {pieces.schema[x].dataType.simpleString()}" for x in (*by, "_piece"))
+    c, keys, k = list(columns), [*by, "_piece"], len(model.start)
+
+    def matrix(f: pd.DataFrame) -> pd.DataFrame:
+        x, first = f.sort_values(ts)[c].to_numpy(float), f["_piece"].iloc[0] == 0
+        return f[keys].head(1).assign(m=[(model.best_whole if best else model.whole)(x, first).ravel()])
+
+    def ends(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("_piece")
+        m = np.stack(f.m).reshape(-1, k, k)
+        if best:
+            out = _best_ends(m, np.where(np.arange(k) == 0, 0.0, -np.inf))[:, None].astype(float)
+            return f[keys].assign(enter=[*np.concatenate([[[0.0]], out[:-1]])], leave=[*out])
+        into, out = _ends(m, np.full(k, 1 / k), np.full(k, 1 / k))
+        return f[keys].assign(enter=[*into], leave=[*out])
+
+    def each(f: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
+        return work(f.sort_values(ts), f["_piece"].iloc[0] == 0, np.asarray(end.enter.iloc[0], float), np.asarray(end.leave.iloc[0], float))
+
+    m = pieces.groupBy(*keys).applyInPandas(matrix, f"{kinds}, m ARRAY<DOUBLE>")
+    found = m.groupBy(*by).applyInPandas(ends, f"{kinds}, enter ARRAY<DOUBLE>, leave ARRAY<DOUBLE>")
+    return pieces.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(each, schema)
 
 
-def fit(df: DataFrame, columns: Sequence[str], states: int = 3, rounds: int = 8, by: Sequence[str] = ("asset",), ts: str = "ts") -> Hmm:
+def fit(df: DataFrame, columns: Sequence[str], states: int = 3, rounds: int = 100, by: Sequence[str] = ("asset",), ts: str = "ts", tol: float = 1e-5) -> Hmm:
     """One model of all keys. Each round is a job over pieces of histories that returns a few sums per piece, added up in Spark.
 
-    Begins with states at quantiles of the first column.
+    Begins with states at quantiles of the first column; ends when the likelihood's logarithm gains less than tol of
+    itself, after `rounds` at the latest.
     """
-    pieces = _pieces(df, columns, by, ts).repartition(*by, "_piece").cache()
+    pieces = _pieces(df, columns, by, ts).cache()
     share = [(i + 0.5) / states for i in range(states)]
     c = list(columns)
     stats = pieces.agg(*(F.percentile_approx(c[0], F.lit(p)).alias(f"q{i}") for i, p in enumerate(share)), *(F.avg(x).alias(f"m_{x}") for x in c), *(F.var_samp(x).alias(f"v_{x}") for x in c)).first()
+    if stats["q0"] is None:
+        raise ValueError("no rows without nulls to fit on")
     mean = np.array([[stats[f"q{i}"], *(stats[f"m_{x}"] for x in c[1:])] for i in range(states)])
-    var = np.array([[max(stats[f"v_{x}"], 1e-8) for x in c]] * states)
+    var = np.array([[max(stats[f"v_{x}"] or 0.0, 1e-8) for x in c]] * states)
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9)
-    model = Hmm(np.full(states, 1 / states), move, mean, var)
+    model, before = Hmm(np.full(states, 1 / states), move, mean, var), -np.inf
     names = ("start", "moves", "weight", "x", "xx", "log")
 
     def step(model: Hmm):
-        def work(f: pd.DataFrame) -> pd.DataFrame:
-            e = model.expect(f.sort_values(ts)[c].to_numpy(float))
+        def work(f: pd.DataFrame, first: bool, enter: np.ndarray, leave: np.ndarray) -> pd.DataFrame:
+            e = model.expect(f[c].to_numpy(float), first, enter, leave)
             return pd.DataFrame({"name": [n for n in names for _ in e[n].ravel()], "i": [i for n in names for i in range(e[n].size)], "v": np.concatenate([e[n].ravel() for n in names])})
 
         return work
 
     for _ in range(rounds):
-        rows = pieces.groupBy(*by, "_piece").applyInPandas(step(model), "name STRING, i INT, v DOUBLE").groupBy("name", "i").agg(F.sum("v").alias("v")).toPandas()
+        rows = _with_ends(pieces, model, c, by, ts, step(model), "name STRING, i INT, v DOUBLE").groupBy("name", "i").agg(F.sum("v").alias("v")).toPandas()
         s = {n: rows[rows.name == n].sort_values("i").v.to_numpy() for n in names}
         w = np.maximum(s["weight"], 1e-9)[:, None]
         mean = s["x"].reshape(states, -1) / w
         moves = s["moves"].reshape(states, states) + 1e-6
         model = Hmm(s["start"] / s["start"].sum(), moves / moves.sum(axis=1, keepdims=True), mean, np.maximum(s["xx"].reshape(states, -1) / w - mean**2, 1e-8))
+        log = float(s["log"][0])
+        if log - before < tol * abs(log):
+            break
+        before = log
     pieces.unpersist()
     return model
 
 
 def states(df: DataFrame, model: Hmm, columns: Sequence[str], by: Sequence[str] = ("asset",), ts: str = "ts") -> DataFrame:
-    """by, ts, columns, state of each row without nulls in the columns (Viterbi path of its piece)."""
+    """by, ts, columns, state of each row without nulls in the columns: the Viterbi path of its whole history."""
     pieces = _pieces(df, columns, by, ts)
     schema = ", ".join(f"{x} {pieces.schema[x].dataType.simpleString()}" for x in (*by, ts, *columns)) + ", state INT"
 
-    def work(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(ts)
-        return f[[*by, ts, *columns]].assign(state=model.path(f[list(columns)].to_numpy(float)).astype(np.int32))
+    def work(f: pd.DataFrame, first: bool, enter: np.ndarray, leave: np.ndarray) -> pd.DataFrame:
+        path = model.path(f[list(columns)].to_numpy(float), first, int(enter[0]), int(leave[0]))
+        return f[[*by, ts, *columns]].assign(state=path.astype(np.int32))
 
-    return pieces.groupBy(*by, "_piece").applyInPandas(work, schema)
+    return _with_ends(pieces, model, columns, by, ts, work, schema, best=True)
 
 
 def name_states(df: DataFrame, ret: str = "log_ret", vol: str = "vol", by: Sequence[str] = ("asset",)) -> DataFrame:

@@ -46,7 +46,7 @@ def regime_separation(b):
 def hmm_regimes(spark, sf_dir):
     """Three-state model of returns and volatility, its states named; the features are clipped to tame the events' prices."""
     d = _with_state(event_bars(spark, sf_dir)).drop("state")
-    model = regimes.fit(d, ["log_ret", "vol"], rounds=4)
+    model = regimes.fit(d, ["log_ret", "vol"])
     return regimes.name_states(regimes.states(d, model, ["log_ret", "vol"]))
 
 
@@ -54,7 +54,7 @@ def hmm_regimes(spark, sf_dir):
 def hmm_single(spark, sf_dir):
     """Two-state model of returns alone."""
     d = rolling.returns(event_bars(spark, sf_dir))
-    return regimes.states(d, regimes.fit(d, ["log_ret"], states=2, rounds=3), ["log_ret"])
+    return regimes.states(d, regimes.fit(d, ["log_ret"], states=2), ["log_ret"])
 
 
 # Experts, oracle, gate, blend --------------------------------------------------------------------------------------

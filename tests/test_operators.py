@@ -194,6 +194,51 @@ def test_hmm_finds_two_regimes(spark):
     assert max((got == truth).mean(), (got != truth).mean()) > 0.98 and sorted(np.round(model.mean.ravel())) == [0, 3]
 
 
+def plain_hmm(model, x):
+    """Posterior weights, log-likelihood and best path of a whole history, row by row."""
+    e, n, k = model.emission(x), len(x), len(model.start)
+    f, back, log = np.zeros((n, k)), np.ones((n, k)), 0.0
+    best, ptr = np.log(model.start) + e[0], np.zeros((n, k), int)
+    for t in range(n):
+        f[t] = (model.start if t == 0 else f[t - 1] @ model.move) * np.exp(e[t])
+        log += np.log(f[t].sum())
+        f[t] /= f[t].sum()
+        if t:
+            to = best[:, None] + np.log(model.move)
+            ptr[t], best = to.argmax(axis=0), to.max(axis=0) + e[t]
+    for t in range(n - 2, -1, -1):
+        back[t] = model.move @ (np.exp(e[t + 1]) * back[t + 1])
+        back[t] /= back[t].sum()
+    path = [int(best.argmax())]
+    for t in range(n - 1, 0, -1):
+        path.append(int(ptr[t, path[-1]]))
+    g = f * back
+    return g / g.sum(axis=1, keepdims=True), log, path[::-1]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 130, 2048])
+def test_hmm_has_no_borders(spark, piece, monkeypatch):
+    """Pieces of any length give the path, weights and likelihood of the whole history, for each of two assets."""
+    rng = np.random.default_rng(5)
+    x = {a: np.cumsum(rng.standard_normal(n) * 0.4)[:, None] for a, n in (("A", 300), ("B", 1))}
+    model = regimes.Hmm(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.1, 0.3, 0.6]]), np.array([[-1.0], [0.0], [1.5]]), np.array([[0.5], [0.3], [0.8]]))
+    df = spark.createDataFrame([(a, k, float(v)) for a, s in x.items() for k, v in enumerate(s.ravel())], "asset STRING, ts INT, x DOUBLE")
+    monkeypatch.setattr(regimes, "PIECE", piece)
+    got = regimes.states(df, model, ["x"]).orderBy("asset", "ts").toPandas()
+
+    def work(f, first, enter, leave):
+        e = model.expect(f[["x"]].to_numpy(float), first, enter, leave)
+        return pd.DataFrame({"asset": [f.asset.iloc[0]], "w": [e["weight"]], "start": [e["start"]], "moves": [e["moves"].ravel()], "log": e["log"]})
+
+    sums = regimes._with_ends(regimes._pieces(df, ["x"], ["asset"], "ts"), model, ["x"], ["asset"], "ts", work, "asset STRING, w ARRAY<DOUBLE>, start ARRAY<DOUBLE>, moves ARRAY<DOUBLE>, log DOUBLE").toPandas()
+    for a, s in x.items():
+        g, log, path = plain_hmm(model, s)
+        own = sums[sums.asset == a]
+        assert got[got.asset == a].state.tolist() == path
+        assert np.allclose(np.stack(own.w).sum(axis=0), g.sum(axis=0)) and np.allclose(np.stack(own.start).sum(axis=0), g[0])
+        assert math.isclose(own.log.sum(), log) and math.isclose(np.stack(own.moves).sum(), len(s) - 1, abs_tol=1e-9)
+
+
 def test_gate_weights_sum_to_one(spark):
     df = spark.createDataFrame([([0.0, 0.5, 0.5], 0.2, None, 0.8)], "gate ARRAY<DOUBLE>, a DOUBLE, b DOUBLE, c DOUBLE")
     r = ensemble.blend(df.withColumn("gate", ensemble.floor_weights(F.col("gate"))), ["a", "b", "c"]).first()
