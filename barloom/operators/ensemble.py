@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,27 +27,49 @@ def balanced(df: DataFrame, y: str = "y", name: str = "weight") -> DataFrame:
     return df.join(F.broadcast(s.join(F.broadcast(t)).select(y, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias(name))), y)  # a row per class
 
 
-def _p(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+@dataclass
+class Expert:
+    """A fitted pipeline whose probability of class 1 becomes the column `name`: called on rows, saved and loaded."""
 
+    model: PipelineModel
+    name: str
 
-def trend_expert(train: DataFrame, y: str = "y", asset: str | None = None, rounds: int = 10, depth: int = 4, seed: int = 42):
-    """Boosted trees; the asset enters as an index fitted on the training rows. Returns rows -> rows with p_trend."""
-    index = StringIndexer(inputCol=asset, outputCol="_asset", handleInvalid="keep").fit(train) if asset else None
-    wide = lambda d: VectorAssembler(inputCols=["features", "_asset"], outputCol="_fa").transform(index.transform(d)) if index else d.withColumn("_fa", F.col("features"))
-    model = GBTClassifier(labelCol=y, featuresCol="_fa", maxIter=rounds, maxDepth=depth, seed=seed).fit(wide(train))
-    return lambda d: _p(model.transform(wide(d)), "p_trend").drop("_fa", "_asset")
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias(self.name))
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
 
-def stress_expert(train: DataFrame, y: str = "y", c: float = 0.1):
+    @staticmethod
+    def load(path: str, name: str) -> "Expert":
+        return Expert(PipelineModel.load(path), name)
+
+
+def _boosted(features: str, y: str, rounds: int, depth: int, seed: int) -> GBTClassifier:
+    """Boosting that ends when a round gains less than a thousandth on the rows marked _stop."""
+    return GBTClassifier(labelCol=y, featuresCol=features, maxIter=rounds, maxDepth=depth, seed=seed, validationIndicatorCol="_stop", validationTol=0.001)
+
+
+def _tenth(*columns) -> Column:
+    """Marks a tenth of the rows, by a hash of their values."""
+    return F.pmod(F.xxhash64(*columns), F.lit(10)) == 0
+
+
+def trend_expert(train: DataFrame, y: str = "y", asset: str | None = None, rounds: int = 500, depth: int = 4, seed: int = 42) -> Expert:
+    """Boosted trees, p_trend; the asset enters as an index fitted on the training rows."""
+    index = [StringIndexer(inputCol=asset, outputCol="_asset", handleInvalid="keep")] if asset else []
+    wide = VectorAssembler(inputCols=["features", *["_asset"] * len(index)], outputCol="_fa")
+    marked = train.withColumn("_stop", _tenth(vector_to_array("features")))
+    return Expert(Pipeline(stages=[*index, wide, _boosted("_fa", y, rounds, depth, seed)]).fit(marked), "p_trend")
+
+
+def stress_expert(train: DataFrame, y: str = "y", c: float = 0.1) -> Expert:
     n = max(1, train.count())
-    model = LogisticRegression(labelCol=y, weightCol="_w", regParam=1 / (c * n), maxIter=50).fit(balanced(train, y, "_w"))
-    return lambda d: _p(model.transform(d), "p_stress")
+    return Expert(Pipeline(stages=[LogisticRegression(labelCol=y, weightCol="_w", regParam=1 / (c * n), maxIter=50)]).fit(balanced(train, y, "_w")), "p_stress")
 
 
-def forest(train: DataFrame, y: str = "y", trees: int = 20, depth: int = 6, seed: int = 42):
-    model = RandomForestClassifier(labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-    return lambda d: _p(model.transform(d), "p_forest")
+def forest(train: DataFrame, y: str = "y", trees: int = 20, depth: int = 6, seed: int = 42) -> Expert:
+    return Expert(Pipeline(stages=[RandomForestClassifier(labelCol=y, numTrees=trees, maxDepth=depth, seed=seed)]).fit(train), "p_forest")
 
 
 def range_expert(train: DataFrame, rows: DataFrame, y: str = "y", key: str = "id", k: int = 15) -> DataFrame:
@@ -145,6 +169,19 @@ def telemetry(df: DataFrame, experts: Sequence[str], gate: str = "gate", by: Seq
     return df.groupBy(*by).agg(*(F.avg(F.col(gate)[i]).alias(f"weight_{e}") for i, e in enumerate(experts)), *(F.avg(e).alias(f"mean_{e}") for e in experts))
 
 
+def meta_model(train: DataFrame, columns: Sequence[str], y: str = "y", side: str = "side", cross: Sequence[str] = (), rounds: int = 400, depth: int = 5, seed: int = 42) -> Expert:
+    """The second model, p_meta: the chance that a trade of the first one wins, by boosted trees on the rows with a side.
+
+    Features are the columns (null is 0), the side and its products with the columns in `cross`. A null y is no win.
+    """
+    plain = [f"nanvl(coalesce(double(`{c}`), 0D), 0D) AS `_m_{c}`" for c in columns]
+    own = [f"double(coalesce(`{side}`, 0)) AS _m_side", *(f"nanvl(coalesce(double(`{c}`) * `{side}`, 0D), 0D) AS `_x_{c}`" for c in cross)]
+    add = SQLTransformer(statement=f"SELECT *, {', '.join([*plain, *own])} FROM __THIS__")
+    wide = VectorAssembler(inputCols=[*(f"_m_{c}" for c in columns), "_m_side", *(f"_x_{c}" for c in cross)], outputCol="_mf")
+    trades = train.where(F.col(side) != 0).withColumns({"_win": F.coalesce((F.col(y) == 1).cast("double"), F.lit(0.0)), "_stop": _tenth(*columns)})
+    return Expert(Pipeline(stages=[add, wide, _boosted("_mf", "_win", rounds, depth, seed)]).fit(trades), "p_meta")
+
+
 def meta_filter(df: DataFrame, p: str = "p", side: str = "side", limit: float = 0.55) -> DataFrame:
     """meta_side: the side where it is not 0 and the second model's probability is above the limit, else 0."""
     return df.withColumn("meta_side", F.when((F.col(side) != 0) & (F.col(p) > limit), F.col(side)).otherwise(0))
@@ -156,15 +193,14 @@ def training_plan(df: DataFrame, entropy: str, vol: str, perf: str, shallow: int
     return df.withColumns({"depth": depth, "retrain": F.coalesce(F.col(perf) <= -0.2, F.lit(False))})
 
 
-def random_search(train: DataFrame, val: DataFrame, y: str = "y", trials: int = 4, seed: int = 42) -> list[dict]:
-    """Trials of random depth and rounds of boosted trees, best first by validation AUC, then by the gap to training."""
+def random_search(train: DataFrame, val: DataFrame, y: str = "y", trials: int = 10, seed: int = 42) -> list[dict]:
+    """Trials of random depth and most rounds of boosted trees, best first by validation AUC, then by the gap to training."""
     import random
 
     from barloom.operators.metrics import roc_auc
 
-    rng, out = random.Random(seed), []
-    for _ in range(trials):
-        depth, rounds = rng.randint(2, 5), rng.choice([3, 5, 8])
+    grid, out = [(d, r) for d in range(2, 6) for r in (20, 50, 100)], []
+    for depth, rounds in random.Random(seed).sample(grid, min(trials, len(grid))):
         model = trend_expert(train, y, rounds=rounds, depth=depth, seed=seed)
         auc = [roc_auc(model(d), "p_trend", y).first()["auc"] or 0.5 for d in (val, train)]
         out.append({"depth": depth, "rounds": rounds, "auc": float(auc[0]), "gap": float(abs(auc[1] - auc[0]))})

@@ -243,6 +243,29 @@ def name_states(df: DataFrame, ret: str = "log_ret", vol: str = "vol", by: Seque
     return df.join(F.broadcast(g), [*by, "state"])  # a row per key and state
 
 
+def sides(df: DataFrame, ret: str = "log_ret", by: Sequence[str] = ("asset",)) -> DataFrame:
+    """side: 1 in the state of the largest mean return, -1 in that of the smallest, else 0 (one state alone is 1)."""
+    g = df.groupBy(*by, "state").agg(F.avg(ret).alias("_r"))
+    w = W.partitionBy(*by)
+    g = g.withColumns({"_up": F.row_number().over(w.orderBy(F.col("_r").desc(), "state")), "_down": F.row_number().over(w.orderBy("_r", F.col("state").desc()))})
+    return df.join(F.broadcast(g.select(*by, "state", F.when(F.col("_up") == 1, 1).when(F.col("_down") == 1, -1).otherwise(0).alias("side"))), [*by, "state"])  # a row per key and state
+
+
+def consensus(frames: Sequence[tuple[DataFrame, str]], by: Sequence[str] = ("asset",)) -> DataFrame:
+    """Rows of the first frame (the shortest bars) with the sides of all as side_0, side_1, ..., and signal: the side where all agree, else 0.
+
+    frames: (by, ts, side) and the length of a bar. A longer bar is known at its end, a row of the first frame at its own.
+    """
+    from barloom.operators.joins import asof
+
+    step = F.expr(f"INTERVAL {frames[0][1]}")
+    out = frames[0][0].select(*by, (F.col("ts") + step).alias("ts"), F.col("side").alias("side_0"))
+    for k, (d, length) in enumerate(frames[1:], 1):
+        out = asof(out, d.select(*by, "ts", F.col("side").alias(f"side_{k}")), [f"side_{k}"], by=by, available=length)
+    same = F.array_distinct(F.array(*(f"side_{k}" for k in range(len(frames)))))
+    return out.select(*by, (F.col("ts") - step).alias("ts"), *(f"side_{k}" for k in range(len(frames))), F.coalesce(F.when(F.size(same) == 1, F.col("side_0")), F.lit(0)).alias("signal"))
+
+
 def typing(df: DataFrame, ret: str = "log_ret", vol: str = "vol", by: Sequence[str] = ("asset",)) -> DataFrame:
     """Per state: rows, mean return, volatility and a type by the sign of the one and the other against the median of states."""
     g = df.groupBy(*by, "state").agg(F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean_ret"), F.avg(vol).alias("mean_vol"))

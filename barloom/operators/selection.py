@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,22 @@ def clusters(df: DataFrame, columns: Sequence[str], height: float = 0.5, method:
     return dict(zip(columns, cut_tree(merge_tree(1 - np.abs(m), linkage), len(columns), height=height), strict=True))
 
 
+def small_clusters(df: DataFrame, columns: Sequence[str], most: int = 64) -> dict[str, int]:
+    """Column -> cluster of at most `most` columns: average linkage, clusters that are too large split again. Columns that do not vary are alone."""
+    var = df.agg(*(F.var_samp(c).alias(c) for c in columns)).first()
+    live = [c for c in columns if (var[c] or 0) > 0]
+    m = 1 - np.abs(correlation(df, live)) if live else np.zeros((0, 0))
+
+    def split(at: list[int]) -> list[list[int]]:
+        if len(at) <= most:
+            return [at]
+        own = cut_tree(merge_tree(m[np.ix_(at, at)], "average"), len(at), k=max(2, -(-len(at) // most)))
+        return [g for c in sorted(set(own)) for g in split([i for i, o in zip(at, own, strict=True) if o == c])]
+
+    groups = [[live[i] for i in g] for g in (split([*range(len(live))]) if live else [])] + [[c] for c in columns if c not in live]
+    return {x: k for k, g in enumerate(groups) for x in g}
+
+
 def mutual_information(df: DataFrame, columns: Sequence[str], y: str, bins: int = 10) -> DataFrame:
     """Information in nats about a class y in each column cut at its quantiles: feature, mi. Counts per bin, in one pass."""
     cuts = df.agg(*(F.percentile_approx(c, [k / bins for k in range(1, bins)], 1000).alias(c) for c in columns)).first()
@@ -108,6 +125,24 @@ def greedy(gram: Gram, penalty: float = 0.002, least: int = 20, most: int = 80)
     return [gram.columns[i] for i in taken]
 
 
+def budget(gram: Gram, groups: dict[str, int], n: int = 25, limit: float = 0.85) -> list[str]:
+    """At most n columns: clusters in order of the share of the target's variance they explain, each with places in
+    proportion to it (one at least) for its columns of most variance that are not alike beyond the limit."""
+    cov, at = np.array(gram.cov), {c: i for i, c in enumerate(gram.columns)}
+    s = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    score = {g: max(0.0, gram.r2([at[x] for x in groups if groups[x] == g])) for g in set(groups.values())}
+    total, out = sum(score.values()) + 1e-9, []
+    for g in sorted(score, key=lambda g: (-score[g], g)):
+        if len(out) >= n:
+            break
+        taken: list[int] = []
+        for i in sorted((at[x] for x in groups if groups[x] == g), key=lambda i: (-cov[i, i], i)):
+            if all(abs(cov[i, j]) <= limit * s[i] * s[j] for j in taken):
+                taken.append(i)
+        out += [gram.columns[i] for i in taken[: max(1, int(n * score[g] / total))]]
+    return out[:n]
+
+
 def intrinsic_dimension(cov: np.ndarray, n: int) -> dict[str, float]:
     """Eigenvalues of the correlation matrix above the Marchenko-Pastur edge, and the participation ratio."""
     s = np.sqrt(np.maximum(np.diag(cov), 1e-12))
@@ -125,6 +160,7 @@ class Latents:
     scale: list[list[float]]
     axes: list[list[list[float]]]
     selected: list[str] = field(default_factory=list)
+    rank: dict[str, float] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, mode: str = "full_latents") -> DataFrame:
         """df with columns tf_cluster{c}_pc{k} as plain sums of its columns (mode "selected": only those selected)."""
@@ -136,6 +172,12 @@ class Latents:
             out = {k: v for k, v in out.items() if k in self.selected}
         return df.withColumns(out)
 
+    def select(self, keep: int = 8, stability: dict[str, float] | None = None) -> list[str]:
+        """The `keep` components that are best by rank, times their stability if it is given; these are `selected` from now on."""
+        score = {k: v * (stability or {}).get(k, 1.0) for k, v in self.rank.items()}
+        self.selected = sorted(score, key=lambda k: (-score[k], k))[:keep]
+        return self.selected
+
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self)))
 
@@ -145,9 +187,10 @@ class Latents:
 
 
 def latents(gram: Gram, groups: dict[str, int], per_cluster: int = 2, keep: int = 8, weight: float = 0.5) -> Latents:
-    """Components of each cluster's correlation matrix; selected are the best by variance and correlation with the target."""
+    """Components of each cluster's correlation matrix. Their rank is (1 - weight) x share of variance + weight x
+    |correlation with the target|, each as a share of the largest; select() can weigh it by a stability."""
     cov, at = np.array(gram.cov), {c: i for i, c in enumerate(gram.columns)}
-    out, rank = Latents([], [], [], []), {}
+    out, share, tie = Latents([], [], [], []), {}, {}
     for c in sorted(set(groups.values())):
         cols = [x for x in groups if groups[x] == c and cov[at[x], at[x]] > 1e-12]
         if not cols:
@@ -159,12 +202,15 @@ def latents(gram: Gram, groups: dict[str, int], per_cluster: int = 2, keep: int
         top = top * np.where(top[np.abs(top).argmax(axis=0), range(top.shape[1])] < 0, -1, 1)
         to_y = (top.T @ (cov[i, -1] / s)) / np.sqrt(np.maximum(e[::-1][:per_cluster] * cov[-1, -1], 1e-12))
         for k in range(top.shape[1]):
-            rank[f"tf_cluster{len(out.groups)}_pc{k}"] = (1 - weight) * e[::-1][k] / len(cols) + weight * abs(to_y[k])
+            name = f"tf_cluster{len(out.groups)}_pc{k}"
+            share[name], tie[name] = float(e[::-1][k] / len(cols)), float(abs(to_y[k]))
         out.groups.append(cols)
         out.mean.append([gram.mean[k] for k in i])
         out.scale.append(s.tolist())
         out.axes.append(top.T.tolist())
-    out.selected = sorted(rank, key=lambda k: (-rank[k], k))[:keep]
+    most = [max([*d.values(), 1e-12]) for d in (share, tie)]
+    out.rank = {k: (1 - weight) * share[k] / most[0] + weight * tie[k] / most[1] for k in share}
+    out.select(keep)
     return out
 
 
@@ -204,3 +250,60 @@ def fold_stability(df: DataFrame, columns: Sequence[str], y: str, fold: str = "f
     long = g.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in columns))).alias("x")).select("x.*")
     return long.groupBy("feature").agg(F.avg("r").alias("strength"), (1 / (1 + F.coalesce(F.try_divide(F.stddev_samp("r"), F.avg("r")), F.lit(0.0)))).alias("stability"))
 
+
+
+def _until(fold: str, k: int) -> Column:
+    """Rows that fold k trains on: all before it."""
+    return F.coalesce(F.col(fold), F.lit(0)) < k
+
+
+def correlation_stability(df: DataFrame, columns: Sequence[str], y: str, fold: str = "fold", n: int = 5, least: int = 50) -> DataFrame:
+    """feature, stability: 1 / (1 + variation of its correlation with y over what folds 1..n train on), 0 without a correlation.
+
+    Folds that train on fewer than `least` rows do not count. One pass: n correlations a column.
+    """
+    some = lambda k: F.count_if(_until(fold, k)).alias("n")
+    tie = lambda c, k: F.corr(F.when(_until(fold, k), F.col(c)), F.col(y)).alias("r")
+    g = df.agg(*(F.struct(some(k), tie(c, k)).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in range(1, n + 1)))
+    long = g.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"{i}_{k}.n"), F.col(f"{i}_{k}.r")) for i, c in enumerate(columns) for k in range(1, n + 1)))).alias("x")).select("x.*")
+    r = F.when(F.col("n") >= least, F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))
+    m = long.groupBy("feature").agg(F.avg(r).alias("m"), F.stddev_pop(r).alias("d"))
+    return m.select("feature", F.when(F.abs("m") >= 1e-9, 1 / (1 + F.col("d") / (F.abs("m") + 1e-6))).otherwise(0.0).alias("stability"))
+
+
+def l1_frequency(df: DataFrame, columns: Sequence[str], y: str, fold: str = "fold", n: int = 5, c: float = 0.1, least: float = 1e-3) -> dict[str, float]:
+    """Column -> share of folds 1..n on whose training rows a logistic regression with an L1 penalty (strength 1 / c rows) keeps it."""
+    wide = VectorAssembler(inputCols=list(columns), outputCol="_l", handleInvalid="skip").transform(df.select(*columns, y, fold)).cache()
+    counts = np.zeros(len(columns))
+    for k in range(1, n + 1):
+        train = wide.where(_until(fold, k))
+        rows = train.count()
+        if rows:
+            model = LogisticRegression(labelCol=y, featuresCol="_l", elasticNetParam=1.0, regParam=1 / (c * rows), maxIter=100).fit(train)
+            counts += np.abs(model.coefficients.toArray()) > least
+    wide.unpersist()
+    return dict(zip(columns, (counts / n).tolist(), strict=True))
+
+
+def tune_dimension(df: DataFrame, columns: Sequence[str], y: str, base: int, tp: float = 0.02, sl: float = 0.01, least: int = 1, fold: str = "fold", n: int = 2, ridge: float = 1.0) -> int:
+    """How many of the components, in order, to keep: base or one less or more, whichever trades best on folds 1..n.
+
+    A ridge classifier of the rows before a fold trades where it says 1; its score is the expectancy of those trades
+    times the root of their number (-1 for fewer than 5), averaged over folds. Each fold is two passes.
+    """
+    tried = sorted({d for d in (max(least, base - 1), base, min(len(columns), base + 1)) if 1 <= d <= len(columns)})
+    score = dict.fromkeys(tried, 0.0)
+    for k in range(1, n + 1):
+        gram = Gram.of(df.where(_until(fold, k)), columns, y)
+        if gram.n < 20:
+            return base
+        m, calls = np.array(gram.cov) * (gram.n - 1), []
+        for d in tried:
+            w = np.linalg.solve(m[:d, :d] + ridge * np.eye(d), 2 * m[:d, -1])
+            line = sum((float(b) * (F.col(c) - a) for b, c, a in zip(w, columns, gram.mean, strict=False)), F.lit(2 * gram.mean[-1] - 1))
+            calls += [F.count_if(line > 0).alias(f"n{d}"), F.count_if((line > 0) & (F.col(y) == 1)).alias(f"w{d}")]
+        r = df.where(F.col(fold) == k).agg(*calls).first()
+        for d in tried:
+            trades, wins = r[f"n{d}"], r[f"w{d}"]
+            score[d] += (wins * tp - (trades - wins) * sl) / trades * trades**0.5 if trades >= 5 else -1.0
+    return max(tried, key=lambda d: (score[d], -d))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import chunked
 from barloom.operators import ensemble, labels, panel, regimes, rolling, selection
 from barloom.operators.indicators import rsi, sma
 from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, scratch, steps
@@ -57,6 +58,16 @@ def hmm_single(spark, sf_dir):
     return regimes.states(d, regimes.fit(d, ["log_ret"], states=2), ["log_ret"])
 
 
+@q()
+def hmm_consensus(spark, sf_dir):
+    """Where models of four-hourly, hourly and half-hourly returns all say up, or all down."""
+    frames = []
+    for length in ("30 minutes", "1 hour", "4 hours"):
+        d = rolling.returns(event_bars(spark, sf_dir, length))
+        frames.append((regimes.sides(regimes.states(d, regimes.fit(d, ["log_ret"], rounds=50, tol=1e-4), ["log_ret"])), length))
+    return regimes.consensus(frames)
+
+
 # Experts, oracle, gate, blend --------------------------------------------------------------------------------------
 
 _exp = "e AS (SELECT *, p AS p1, theta AS p2, 0.5::DOUBLE AS p3 FROM scored)"
@@ -116,23 +127,29 @@ FEATURES = ["rsi_14", "dist", "vol", "pct_ret", "log_range"]
 
 
 def _learning(spark, sf_dir):
-    """Features and labels of the bars; the last fifth of the times is for validation."""
-    b = rsi(sma(rolling.returns(event_bars(spark, sf_dir))))
-    b = labels.forward_return(rolling.deviation(b.withColumn("dist", F.col("close") / F.col("sma_20") - 1), "log_ret", 20, "vol"), 4, 0.15)
+    """Features and labels of the bars; the last fifth of the times is for validation. Written once, as fits read them many times."""
+
+    def work(d, keys):
+        d = rsi(sma(rolling.returns(d, by=keys), by=keys), by=keys).withColumn("dist", F.col("close") / F.col("sma_20") - 1)
+        return labels.forward_return(rolling.deviation(d, "log_ret", 20, "vol", by=keys), 4, 0.15, by=keys)
+
+    b = chunked(event_bars(spark, sf_dir), work, 40, ahead=4)
     d = labels.share_split(b.withColumn("y", F.col("label").cast("double"))).dropna(subset=[*FEATURES, "y"])
     d = d.withColumn("id", F.xxhash64("asset", "ts"))
-    return ensemble.assemble(d.select("id", "asset", "ts", "train", "y", *FEATURES), FEATURES)
+    at = scratch(spark)
+    d.select("id", "asset", "ts", "train", "y", *FEATURES).write.parquet(at)
+    return ensemble.assemble(spark.read.parquet(at), FEATURES)
 
 
 def _fitted(name, make):
     def query(spark, sf_dir):
-        d = _learning(spark, sf_dir).cache()
+        d = _learning(spark, sf_dir)
         return make(d.where("train"))(d.where("NOT train")).select("asset", "ts", "y", name)
 
     return query
 
 
-QUERIES["trend_expert"] = _fitted("p_trend", lambda t: ensemble.trend_expert(t, asset="asset", rounds=5, depth=3))
+QUERIES["trend_expert"] = _fitted("p_trend", lambda t: ensemble.trend_expert(t, asset="asset"))
 QUERIES["stress_expert"] = _fitted("p_stress", ensemble.stress_expert)
 QUERIES["forest_model"] = _fitted("p_forest", lambda t: ensemble.forest(t, trees=10, depth=5))
 
@@ -146,9 +163,9 @@ def range_expert(spark, sf_dir):
 @q()
 def gated_ensemble(spark, sf_dir):
     """Trend and stress experts, oracle targets on the training rows, a gate on volatility, and the blend with its telemetry."""
-    d = _learning(spark, sf_dir).cache()
+    d = _learning(spark, sf_dir)
     train = d.where("train")
-    trend, stress = ensemble.trend_expert(train, rounds=3, depth=3), ensemble.stress_expert(train)
+    trend, stress = ensemble.trend_expert(train), ensemble.stress_expert(train)
     ou = lambda x: ensemble.ou_expert(x, "dist", "vol")
     names = ["p_trend", "p_stress", "p_ou"]
     both = ou(stress(trend(d)))
@@ -156,10 +173,18 @@ def gated_ensemble(spark, sf_dir):
     return ensemble.blend(gate(both.where("NOT train")), names).select("asset", "ts", "y", *names, "p_blend")
 
 
+@q()
+def meta_model(spark, sf_dir):
+    """A first model that buys below an RSI of 50, and the second one's chance of a win and what it lets through."""
+    d = _learning(spark, sf_dir).withColumn("side", F.when(F.col("rsi_14") < 50, 1).otherwise(0))
+    model = ensemble.meta_model(d.where("train"), FEATURES, cross=["vol"])
+    return ensemble.meta_filter(model(d.where("NOT train")), "p_meta").select("asset", "ts", "side", "p_meta", "meta_side")
+
+
 @q()
 def random_search(spark, sf_dir):
-    d = _learning(spark, sf_dir).cache()
-    return spark.createDataFrame(ensemble.random_search(d.where("train"), d.where("NOT train"), trials=2), "depth INT, rounds INT, auc DOUBLE, gap DOUBLE")
+    d = _learning(spark, sf_dir)
+    return spark.createDataFrame(ensemble.random_search(d.where("train"), d.where("NOT train")), "depth INT, rounds INT, auc DOUBLE, gap DOUBLE")
 
 
 # Selection, latents, clusters ----------------------------------------------------------------------------------------
@@ -168,7 +193,7 @@ def random_search(spark, sf_dir):
 @q()
 def alpha_council(spark, sf_dir):
     """Feature, cluster, mutual information, and whether the correlation filter, the leaders and the greedy search keep it."""
-    d = _learning(spark, sf_dir).cache()
+    d = _learning(spark, sf_dir)
     own, mi = selection.clusters(d, FEATURES), {r.feature: r.mi for r in selection.mutual_information(d, FEATURES, "y").collect()}
     kept, lead = selection.correlated(d, FEATURES, "y"), selection.leaders(d, FEATURES)
     greedy = selection.greedy(selection.Gram.of(d, FEATURES, "y"), least=2)
@@ -184,6 +209,35 @@ def tensor_latents(spark, sf_dir):
     return out.select("asset", "ts", *(c for c in out.columns if c.startswith("tf_")))
 
 
+@q()
+def feature_budget(spark, sf_dir):
+    """Clusters of at most two features, and the three features that a fixed budget takes."""
+    d = _learning(spark, sf_dir)
+    own = selection.small_clusters(d, FEATURES, 2)
+    taken = selection.budget(selection.Gram.of(d, FEATURES, "y"), own, 3)
+    return spark.createDataFrame([(f, own[f], f in taken) for f in FEATURES], "feature STRING, cluster INT, taken BOOLEAN")
+
+
+@q()
+def latent_ranking(spark, sf_dir):
+    """Each component's rank, how stable its correlation with the label is, how often an L1 model keeps it, and whether it is selected."""
+    d = labels.folds(_learning(spark, sf_dir).drop("train"))
+    model = selection.latents(selection.Gram.of(d, FEATURES, "y"), selection.clusters(d, FEATURES, 0.8, linkage="average"))
+    wide, names = model.transform(d), sorted(model.rank)
+    stable = {r.feature: r.stability for r in selection.correlation_stability(wide, names, "y").collect()}  # a row per component
+    often, chosen = selection.l1_frequency(wide, names, "y"), model.select(3, stable)
+    return spark.createDataFrame([(c, float(model.rank[c]), stable[c], often[c], c in chosen) for c in names], "component STRING, rank DOUBLE, stability DOUBLE, frequency DOUBLE, selected BOOLEAN")
+
+
+@q()
+def latent_tuning(spark, sf_dir):
+    """How many components of all features are kept when two are the base."""
+    d = labels.folds(_learning(spark, sf_dir).drop("train"), 2)
+    model = selection.latents(selection.Gram.of(d, FEATURES, "y"), dict.fromkeys(FEATURES, 0), per_cluster=4)
+    best = selection.tune_dimension(model.transform(d), [f"tf_cluster0_pc{k}" for k in range(4)], "y", 2)
+    return spark.createDataFrame([(2, best)], "base INT, tuned INT")
+
+
 @q()
 def tensor_report(spark, sf_dir):
     """Intrinsic dimension of the features and what is taken out of each cluster."""
@@ -205,6 +259,15 @@ def fold_stability(b):
     return selection.fold_stability(labels.folds(b), ["open", "volume"], "close")
 
 
+@q.on_bars("stability", f"""WITH {BARS}, o AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT ts FROM bars)),
+f AS (SELECT bars.*, CASE WHEN place >= total - 5 * (total // 6) THEN (place - (total - 5 * (total // 6))) // (total // 6) + 1 ELSE 0 END AS fold FROM bars JOIN o ON bars.ts = o.ts),
+c AS (SELECT k, count(*) AS n, coalesce(corr(open, close), 0) AS open, coalesce(corr(volume, close), 0) AS volume FROM f JOIN range(1, 6) r(k) ON f.fold < r.k GROUP BY k),
+l AS (SELECT 'open' AS feature, open AS r FROM c WHERE n >= 50 UNION ALL SELECT 'volume' AS feature, volume AS r FROM c WHERE n >= 50)
+SELECT feature, round(CASE WHEN abs(avg(r)) >= 1e-9 THEN 1 / (1 + stddev_pop(r) / (abs(avg(r)) + 1e-6)) ELSE 0 END, 6) AS stability FROM l GROUP BY 1""", key="feature")
+def correlation_stability(b):
+    return selection.correlation_stability(labels.folds(b), ["open", "volume"], "close")
+
+
 @q()
 def factor_pca(spark, sf_dir):
     """The first principal component of assets' standardised returns, per time."""

@@ -194,6 +194,52 @@ def test_hmm_finds_two_regimes(spark):
     assert max((got == truth).mean(), (got != truth).mean()) > 0.98 and sorted(np.round(model.mean.ravel())) == [0, 3]
 
 
+def test_choice_of_latents(spark):
+    """Columns 0 and 1 carry the target, 2 and 3 are noise."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 4))
+    y = (x[:, 0] + 0.7 * x[:, 1] + 0.3 * rng.standard_normal(600) > 0).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({f"c{k}": x[:, k] for k in range(4)} | {"y": y, "fold": np.arange(600) // 100}))
+    names = [f"c{k}" for k in range(4)]
+    often = selection.l1_frequency(df, names, "y")
+    assert often["c0"] == often["c1"] == 1.0 and max(often["c2"], often["c3"]) <= 0.4
+    got = {r.feature: r.stability for r in selection.correlation_stability(df, names, "y").collect()}
+    for k in range(4):
+        r = [np.corrcoef(x[: 100 * f, k], y[: 100 * f])[0, 1] for f in range(1, 6)]
+        assert math.isclose(got[f"c{k}"], 1 / (1 + np.std(r) / (abs(np.mean(r)) + 1e-6)), rel_tol=1e-6)
+    thirds = df.withColumn("fold", F.floor(F.col("fold") / 2))
+    assert selection.tune_dimension(thirds, names, "y", 1) == 2 and selection.tune_dimension(thirds, names, "y", 4) in (3, 4)
+    gram = selection.Gram.of(df, names, "y")
+    assert selection.budget(gram, {"c0": 0, "c1": 1, "c2": 2, "c3": 2}, 3)[:2] == ["c0", "c1"] and len(selection.budget(gram, {"c0": 0, "c1": 1, "c2": 2, "c3": 2}, 1)) == 1
+    own = selection.small_clusters(df.withColumn("flat", F.lit(1.0)), [*names, "flat"], 2)
+    assert len(own) == 5 and max(list(own.values()).count(c) for c in own.values()) <= 2 and list(own.values()).count(own["flat"]) == 1
+    model = selection.latents(gram, dict.fromkeys(names, 0), per_cluster=4, keep=2)
+    assert len(model.selected) == 2 and max(model.rank.values()) <= 1 and model.select(1, {model.selected[0]: 0.0}) != model.selected[1:]
+
+
+def test_second_model(spark, tmp_path):
+    """Trades win when x agrees with the side: the second model finds out, also after it was saved; rows keep their columns."""
+    rng = np.random.default_rng(9)
+    x, side = rng.standard_normal(500), rng.integers(-1, 2, 500)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "side": side, "y": (x * side > 0).astype(float)})).withColumn("x", F.when(F.col("x") < 2.5, F.col("x")))
+    model = ensemble.meta_model(df, ["x"], cross=["x"], rounds=20)
+    model.save(str(tmp_path / "meta"))
+    got = ensemble.Expert.load(str(tmp_path / "meta"), "p_meta")(df).where("side <> 0 AND x IS NOT NULL").toPandas()
+    assert list(got.columns) == ["x", "side", "y", "p_meta"] and ((got.p_meta > 0.5) == (got.y == 1)).mean() > 0.97
+    assert model(df).count() == 500
+
+
+def test_consensus_of_frames(spark):
+    """A longer bar counts from its end on; before that there is no agreement."""
+    ts = "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, m) AS ts"
+    short = spark.createDataFrame([("A", 30 * k, 1 if k < 5 else -1) for k in range(8)], "asset STRING, m INT, side INT").selectExpr("asset", ts, "side")
+    long = spark.createDataFrame([("A", 0, 1), ("A", 60, 1), ("A", 120, -1)], "asset STRING, m INT, side INT").selectExpr("asset", ts, "side")
+    got = regimes.consensus([(short, "30 minutes"), (long, "1 hour")]).orderBy("ts").toPandas()
+    assert got.signal.tolist() == [0, 1, 1, 1, 1, -1, -1, -1] and got.side_0.tolist() == [1] * 5 + [-1] * 3
+    d = spark.createDataFrame([("A", s, r) for s, r in ((0, 0.1), (1, -0.2), (2, 0.3), (2, 0.1))], "asset STRING, state INT, log_ret DOUBLE")
+    assert {r.state: r.side for r in regimes.sides(d).collect()} == {0: 0, 1: -1, 2: 1}
+
+
 def plain_hmm(model, x):
     """Posterior weights, log-likelihood and best path of a whole history, row by row."""
     e, n, k = model.emission(x), len(x), len(model.start)
