@@ -105,6 +105,10 @@ def outline(seq: list[int], words: list[int], often: set[int]) -> tuple[list[int
     return out, at
 
 
+SHORT = T.StructType([
+    T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("seq", T.ArrayType(T.LongType())),
+    T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("at", T.ArrayType(T.IntegerType())),
+])
 LOST = T.StructType([T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("lost", T.ArrayType(T.IntegerType()))])
 OUTLINE = T.StructType([
     T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("lines", T.ArrayType(T.LongType())),
@@ -121,6 +125,30 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 16) -> Iterator[pa.Recor
             yield batch.slice(lo, rows)
 
 
+def shortened(docs: DataFrame) -> DataFrame:
+    """SHORT of docs (id, seq, words, own): of each run of lines that no other document has, only the first.
+
+    own: the lines that others have too. What is left out is like no line of another document, and one line of its run
+    still parts its neighbours, so documents align as before. `at` gives the places in the whole document.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            seqs, words, ats = [], [], []
+            for seq, n, own in zip(batch["seq"], batch["words"], batch["own"], strict=True):
+                x, n = seq.values.to_numpy(), n.values.to_numpy()
+                held = (n == 0) | np.isin(x, own.values.to_numpy())
+                held[1:] |= held[:-1]  # the first of a run that is left out
+                held[:1] = True
+                at = np.flatnonzero(held)
+                seqs.append(x[at])
+                words.append(n[at])
+                ats.append(at)
+            yield pa.RecordBatch.from_arrays([batch["d"], batch["h"], pa.array(seqs, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(ats, pa.list_(pa.int32()))], SHORT.names)
+
+    return map_in_arrow(docs.select("id.d", "id.h", "seq", "words", "own"), work, SHORT)
+
+
 def outlines(docs: DataFrame, least_words: int) -> DataFrame:
     """OUTLINE of docs (id, seq, words, often) that have a run of frequent lines; runs are by hash and places in the document."""
 
@@ -204,13 +232,15 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: in
     few = cut(few.distinct(), "few")
     pairs = far.unionByName(few).distinct()
     # A document may be the earliest holder for very many.
-    early = lookup(pairs, "to", "id", seqs.select(F.col("id").alias("to"), F.col("seq").alias("other")))
-    both = early.select("id", "other").join(seqs, "id").select("id.d", "id.h", "seq", "words", "other")
+    own = held_by.groupBy("id").agg(F.collect_list("line").alias("own"))
+    short = cut(shortened(seqs.join(own, "id")), "short").withColumn("id", F.struct("d", "h"))
+    early = lookup(pairs, "to", "id", short.select(F.col("id").alias("to"), F.col("seq").alias("other")))
+    both = early.select("id", "other").join(short, "id").select("d", "h", "seq", "words", "at", "other")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            b, a, n = (batch[c].to_pylist() for c in ("seq", "other", "words"))
-            lost = [blocks(patience(x, y), w, least_words) for x, y, w in zip(a, b, n, strict=True)]
+            b, a, n, at = (batch[c].to_pylist() for c in ("seq", "other", "words", "at"))
+            lost = [[place[k] for k in blocks(patience(x, y), w, least_words)] for x, y, w, place in zip(a, b, n, at, strict=True)]
             some = np.flatnonzero([bool(x) for x in lost])
             yield pa.RecordBatch.from_arrays([batch["d"].take(pa.array(some)), batch["h"].take(pa.array(some)), pa.array([lost[k] for k in some], pa.list_(pa.int32()))], LOST.names)
 
