@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import Roll, by_time, chunked, faded, ratio, running
+from barloom.functions.windows import Roll, bucket_of, by_time, chunked, faded, ratio, running
 
 By = Sequence[str]
 ASSET = ("asset",)
@@ -26,10 +26,10 @@ def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: By = ASS
     a = left.withColumns({"_side": F.lit(0 if forward else 1), "_at": F.col(ts), "_row": F.struct(*left.columns), "_hit": F.lit(None).cast(right.select(F.struct(F.col(ts), *columns)).schema[0].dataType)})
     b = right.select(*by, F.lit(1 if forward else 0).alias("_side"), seen.alias("_at"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct(F.col(ts), *columns).alias("_hit"))
     both = a.select(*by, "_side", "_at", "_row", "_hit").unionByName(b)
-    counted = {"_left": (F.when(F.col("_row").isNotNull(), 1).otherwise(0), "sum")}
-    walk = lambda d, values: running(d, values, by, "_at", bucket, ("_side",), forward)
-    both = walk(both, counted) if max_rows is not None else both.withColumn("_left", F.lit(0))
-    out = walk(both, {"_l": (F.when(F.col("_hit").isNotNull(), F.struct("_hit", F.col("_at").alias("t"), F.col("_left").alias("n"))), "last")})
+    if max_rows is None:
+        out = running(both, {"_l": (F.when(F.col("_hit").isNotNull(), F.struct("_hit", F.col("_at").alias("t"))), "last")}, by, "_at", bucket, ("_side",), forward)
+    else:
+        out = _counted(both, by, bucket, forward)
     out = out.withColumns({"_m": F.col("_l._hit"), "_t": F.col("_l.t")})
     if max_rows is not None:
         out = out.withColumn("_m", F.when(F.col("_left") - F.col("_l.n") <= max_rows, F.col("_m")))
@@ -39,6 +39,30 @@ def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: By = ASS
     return out.where("_row IS NOT NULL").select("_row.*", *(F.col(f"_m.{c}").alias(c) for c in columns))
 
 
+def _counted(both: DataFrame, by: By, bucket: str, forward: bool) -> DataFrame:
+    """both with _left, the left rows so far, and _l: the latest _hit, its time t, and n, the left rows up to it.
+
+    In two levels as running(), but in one walk: rows are counted within their bucket, and what the buckets before come
+    to is added to both counts.
+    """
+    turn = (lambda c: F.col(c).desc()) if forward else F.col
+    keys = [f"_k{i}" for i in range(len(by))]
+    within = W.partitionBy(*by, "_b").orderBy(turn("_at"), turn("_side")).rowsBetween(W.unboundedPreceding, 0)
+    held = both.withColumn("_b", bucket_of(both, "_at", bucket))
+    held = held.withColumn("_in", F.sum((F.col("_side") == (0 if forward else 1)).cast("long")).over(within))
+    hit = F.when(F.col("_hit").isNotNull(), F.struct("_hit", F.col("_at").alias("t"), F.col("_in").alias("n")))
+    held = held.withColumn("_own", F.last(hit, ignorenulls=True).over(within))
+    end = (F.min_by if forward else F.max_by)("_own", F.struct("_at", "_side")).alias("_end")
+    ends = held.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("_b").alias("_kb")).agg(F.max("_in").alias("_n"), end)
+    before = W.partitionBy(*keys).orderBy(turn("_kb")).rowsBetween(W.unboundedPreceding, -1)
+    counted = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.col(f"{x}._hit"), F.col(f"{x}.t"), (F.col(f"{x}.n") + F.col("_before")).alias("n")))
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_carried", F.last(counted("_end"), ignorenulls=True).over(before))
+    same = F.col("_b") == F.col("_kb")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return held.join(ends, same).withColumns({"_left": F.col("_in") + F.col("_before"), "_l": F.coalesce(counted("_own"), "_carried")})
+
+
 def outer_fill(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], by: By = ASSET) -> DataFrame:
     """Full outer join, then nulls of the columns take the latest value before."""
     from barloom.operators.rolling import fill

@@ -131,11 +131,42 @@ def strategies(a: DataFrame, b: DataFrame, by: By = ASSET) -> DataFrame:
 
 
 def hysteresis(df: DataFrame, x: str = "rsi_14", buy: float = 30, sell: float = 50, by: By = ASSET) -> DataFrame:
-    """position 1 from x < buy until x > sell: the latest of these events holds. (Cash for an order is taken as given.)"""
+    """position 1 from x < buy until x > sell: the latest of these events holds. orders() adds the cash."""
     event = F.when(F.col(x) < buy, 1).when(F.col(x) > sell, 0)
     return running(df, {"_e": (event, "last")}, by).withColumn("position", F.coalesce("_e", F.lit(0))).drop("_e")
 
 
+@bounded(lambda a: 1)
+def _turns(df: DataFrame, position: str, by: By = ASSET) -> DataFrame:
+    """df with _was: the position of the row before."""
+    return df.withColumn("_was", F.coalesce(Roll(by).lag(position), F.lit(0)))
+
+
+def orders(df: DataFrame, x: str = "rsi_14", buy: float = 30, sell: float = 50, stake: float = 1_000.0, start: float = 10_000.0, size: str | None = None, by: By = ASSET) -> DataFrame:
+    """position, cash, equity, n_trades of an account that buys for `stake` where x < buy and it is flat, and sells all where x > sell.
+
+    size: a column by which the stake of an order is multiplied; with 0 there is no order, and skipped counts the rows
+    where a flat account passed one up. covered: whether the cash before an order paid for it; orders are placed as if
+    it did, so results are those of an account with a guard as long as covered holds.
+    """
+    scale = F.col(size) if size else F.lit(1.0)
+    event = F.when((F.col(x) < buy) & (scale > 0), 1).when(F.col(x) > sell, 0)
+    d = running(df, {"_e": (event, "last")}, by).withColumn("position", F.coalesce("_e", F.lit(0)))
+    d = _turns(d, "position", by=by)
+    opens, closes = (F.col("position") == 1) & (F.col("_was") == 0), (F.col("position") == 0) & (F.col("_was") == 1)
+    paid = F.when(opens, F.struct((stake * scale).alias("paid"), (stake * scale / F.col("close")).alias("units")))
+    d = running(d, {"_o": (paid, "last")}, by)
+    worth = F.col("_o.units") * F.col("close")
+    sums = {
+        "_gain": (F.when(closes, worth - F.col("_o.paid")).otherwise(0.0), "sum"), "n_trades": (opens.cast("long"), "sum"),
+        "skipped": (F.coalesce((F.col(x) < buy) & (scale <= 0) & (F.col("position") == 0) & (F.col("_was") == 0), F.lit(False)).cast("long"), "sum"),
+    }
+    d = running(d, sums, by)
+    held = F.col("position") == 1
+    d = d.withColumn("cash", start + F.col("_gain") - F.when(held, F.col("_o.paid")).otherwise(0.0)).withColumn("equity", F.col("cash") + F.when(held, worth).otherwise(0.0))
+    return d.withColumn("covered", ~opens | (F.col("cash") >= 0)).drop("_e", "_was", "_o", "_gain")
+
+
 def barrier_simulation(labelled: DataFrame, tp: float, sl: float, size: float = 0.1, leverage: Column | float = 1.0, start: float = 10_000.0, by: By = ASSET) -> DataFrame:
     """Balance over labelled entries (1: tp gained, 0: sl lost), each compounding in order of entry."""
     lev = F.lit(float(leverage)) if isinstance(leverage, (int, float)) else leverage

@@ -175,6 +175,32 @@ def rsi_hysteresis(b):
     return trading.hysteresis(rsi(b), buy=40, sell=55)
 
 
+def _account(size: str) -> tuple[str, ...]:
+    """The steps of an account in SQL; size: what the stake of an order is multiplied by."""
+    so_far = f"OVER ({KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return (
+        f"CASE WHEN rsi_14 < 40 AND {size} > 0 THEN 1 WHEN rsi_14 > 55 THEN 0 END AS e", f"coalesce(last_value(e IGNORE NULLS) {so_far}, 0) AS position", f"coalesce({lag('position')}, 0) AS was",
+        f"CASE WHEN position = 1 AND was = 0 THEN 1000.0::DOUBLE * {size} END AS p0, CASE WHEN position = 1 AND was = 0 THEN 1000.0::DOUBLE * {size} / close END AS u0",
+        f"last_value(p0 IGNORE NULLS) {so_far} AS paid, last_value(u0 IGNORE NULLS) {so_far} AS units",
+        f"sum(CASE WHEN position = 0 AND was = 1 THEN units * close - paid ELSE 0.0::DOUBLE END) {so_far} AS gain, sum((position = 1 AND was = 0)::BIGINT) {so_far}::BIGINT AS n_trades, sum(coalesce(rsi_14 < 40 AND {size} <= 0 AND position = 0 AND was = 0, false)::BIGINT) {so_far}::BIGINT AS skipped",
+        "10000.0::DOUBLE + gain - CASE WHEN position = 1 THEN paid ELSE 0.0::DOUBLE END AS cash",
+    )
+
+
+_ACCOUNT_OUT = "=position; cash; cash + CASE WHEN position = 1 THEN units * close ELSE 0.0::DOUBLE END AS equity; =n_trades; =skipped; =NOT (position = 1 AND was = 0) OR cash >= 0 AS covered"
+
+
+@q.on_bars("position cash equity n_trades skipped covered", steps(*RSI, *_account("1.0::DOUBLE"), out=_ACCOUNT_OUT))
+def rsi_account(b):
+    return trading.orders(rsi(b), buy=40, sell=55)
+
+
+@q.on_bars("position cash equity n_trades skipped covered", steps(*RSI, *stability_sql(48, 168), "CASE WHEN warning THEN 0.0::DOUBLE ELSE 1.0 END AS size", *_account("size"), out=_ACCOUNT_OUT))
+def rsi_account_scaled(b):
+    d = trading.risk_multiplier(rolling.stability(rsi(b), window=48, span=168), "strict")
+    return trading.orders(d, buy=40, sell=55, size="size")
+
+
 @q.on_bars("label pnl log_balance", "WITH x AS (" + steps(*hits("close * (1 + 2.0::DOUBLE)", "close * (1 - 0.5::DOUBLE)", 36), f"{won(36)} AS label", "0.01::DOUBLE * CASE WHEN label = 1 THEN 2.0 ELSE -0.5 END AS pnl", out="=label; =pnl", where="label IS NOT NULL") + ") SELECT asset, ts, label, round(pnl, 6) AS pnl, round(ln(10000) + sum(ln(1 + pnl)) OVER (PARTITION BY asset ORDER BY ts), 6) AS log_balance FROM x")
 def barrier_simulation(b):
     return trading.barrier_simulation(labels.triple_barrier(b, 2.0, 0.5), 2.0, 0.5, 0.01).withColumn("log_balance", F.ln("balance"))
