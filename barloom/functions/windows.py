@@ -91,7 +91,7 @@ def bucket_of(df: DataFrame, ts: str, every: str) -> Column:
 
 
 def running(df: DataFrame, values: dict[str, tuple[Column, str]], by: Sequence[str] = ("asset",), ts: str = "ts", every: str = "1 day", then: Sequence[str] = (), down: bool = False) -> DataFrame:
-    """df with running values of each key: name -> (column, "sum", "max" or "last", which is the latest non-null).
+    """df with running values of each key: name -> (column, "sum", "max", "last", which is the latest non-null, or "peak", the highest sum so far).
 
     Worked out in two levels: within the row's time bucket, and what the earlier buckets come to. A task holds one
     bucket of a key; windows over a whole key see one row per bucket. Rows are in order of ts and the columns `then`,
@@ -103,21 +103,27 @@ def running(df: DataFrame, values: dict[str, tuple[Column, str]], by: Sequence[s
     at = F.struct(ts, *then)
     turn = (lambda c: F.col(c).desc()) if down else F.col
     pick = F.min_by if down else F.max_by
-    whole = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: pick(c, F.when(F.col(c).isNotNull(), at))}
-    sums = held.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("_bucket").alias("_kb")).agg(*(whole[kind](inner(n)).alias(inner(n)) for n, (_, kind) in values.items()))
-    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    within = W.partitionBy(*by, "_bucket").orderBy(*map(turn, (ts, *then))).rowsBetween(W.unboundedPreceding, 0)
+    peaks = [n for n, (_, kind) in values.items() if kind == "peak"]
+    if peaks:
+        held = held.withColumns({f"_s_{n}": F.sum(inner(n)).over(within) for n in peaks})
+    whole = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: pick(c, F.when(F.col(c).isNotNull(), at)), "peak": lambda c: F.sum(c)}
+    sums = held.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("_bucket").alias("_kb")).agg(*(whole[kind](inner(n)).alias(inner(n)) for n, (_, kind) in values.items()), *(F.max(f"_s_{n}").alias(f"_s_{n}") for n in peaks))
+    over = {"sum": F.sum, "peak": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     before = W.partitionBy(*keys).orderBy(turn("_kb")).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_kb", *(over[kind](inner(n)).over(before).alias(f"_b_{n}") for n, (_, kind) in values.items()))
+    # A bucket's peak is counted from its start, which is what the buckets before it come to.
+    sums = sums.withColumns({f"_s_{n}": F.col(f"_s_{n}") + F.coalesce(F.sum(inner(n)).over(before), F.lit(0)) for n in peaks})
+    sums = sums.select(*keys, "_kb", *(F.max(f"_s_{n}").over(before).alias(f"_p_{n}") for n in peaks), *(over[kind](inner(n)).over(before).alias(f"_b_{n}") for n, (_, kind) in values.items()))
     same = F.col("_bucket") == F.col("_kb")
     for c, k in zip(by, keys, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(k))
-    within = W.partitionBy(*by, "_bucket").orderBy(*map(turn, (ts, *then))).rowsBetween(W.unboundedPreceding, 0)
     both = {
         "sum": lambda n: over["sum"](inner(n)).over(within) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)), "max": lambda n: F.greatest(over["max"](inner(n)).over(within), F.col(f"_b_{n}")),
         "last": lambda n: F.coalesce(over["last"](inner(n)).over(within), F.col(f"_b_{n}")),
+        "peak": lambda n: F.greatest(F.max(f"_s_{n}").over(within) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)), F.col(f"_p_{n}")),
     }
     out = held.join(sums, same).withColumns({n: both[kind](n) for n, (_, kind) in values.items()})
-    return out.drop("_bucket", "_kb", *keys, *map(inner, values), *(f"_b_{n}" for n in values))
+    return out.drop("_bucket", "_kb", *keys, *map(inner, values), *(f"_b_{n}" for n in values), *(f"_{x}_{n}" for n in peaks for x in "sp"))
 
 
 def running_sum(df: DataFrame, x: Column, name: str, by: Sequence[str] = ("asset",), ts: str = "ts", every: str = "1 day") -> DataFrame:

@@ -70,8 +70,8 @@ def _net(df: DataFrame, signal: str, fee: float, by: By = ASSET) -> DataFrame:
 
 def vector_backtest(df: DataFrame, signal: str = "signal", fee: float = 0.0006, by: By = ASSET) -> DataFrame:
     """net, equity and drawdown of the signal one bar later, with a fee per unit of change."""
-    d = running(_net(df, signal, fee, by=by), {"_sum": (F.col("net"), "sum")}, by).withColumn("equity", F.exp("_sum"))
-    return running(d, {"_top": (F.col("equity"), "max")}, by).withColumn("drawdown", F.col("equity") / F.col("_top") - 1).drop("_sum", "_top")
+    d = running(_net(df, signal, fee, by=by), {"_sum": (F.col("net"), "sum"), "_top": (F.col("net"), "peak")}, by)
+    return d.withColumns({"equity": F.exp("_sum"), "drawdown": F.exp(F.col("_sum") - F.col("_top")) - 1}).drop("_sum", "_top")
 
 
 def performance(df: DataFrame, periods: float = 24 * 365, by: By = ASSET) -> DataFrame:
@@ -102,9 +102,9 @@ def trade_returns(trades: DataFrame, fee: float = 0.0006, slippage: float = 0.00
     got = F.col("exit_price") * (1 - F.col("side") * slippage)
     d = trades.withColumn("net", F.col("side") * (got / paid - 1) - 2 * fee)
     # A product as a sum of logarithms: each step's factor is positive as long as no trade loses all of its size.
-    d = running(d, {"_sum": (F.log1p(size * leverage * F.col("net")), "sum")}, by, ts, "7 days").withColumn("equity", start * F.exp("_sum"))
-    d = running(d, {"_top": (F.col("equity"), "max")}, by, ts, "7 days")
-    return d.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(start), "_top") - 1).drop("_sum", "_top")
+    factor = F.log1p(size * leverage * F.col("net"))
+    d = running(d, {"_sum": (factor, "sum"), "_top": (factor, "peak")}, by, ts, "7 days")
+    return d.withColumns({"equity": start * F.exp("_sum"), "drawdown": F.exp(F.col("_sum") - F.greatest(F.lit(0.0), "_top")) - 1}).drop("_sum", "_top")
 
 
 def trade_statistics(trades: DataFrame, start: float = 10_000.0, by: By = ASSET, ts: str = "entry_ts") -> DataFrame:
