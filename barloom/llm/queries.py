@@ -194,8 +194,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(docs, digest_only=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from barloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat, "op2_line_dedup": op2_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash, "op10_ctw": op10_ctw,
+    "op13_packing": op13_packing,
 }
 ORACLES = {"op1_chat": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
