@@ -96,11 +96,12 @@ def with_group(df: DataFrame, key: str, spread: str, aggs: dict[str, tuple[Colum
     return salted.join(looked, [key, "_salt"]).drop("_salt")
 
 
-def lookup(df: DataFrame, key: str, spread: str, rows: DataFrame) -> DataFrame:
-    """df joined with rows, which hold each key once; a hot key's rows of df are dealt over SALTS parts."""
+def lookup(df: DataFrame, key: str | list[str], spread: str, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined with rows, which hold each key once; a hot key's rows of df are dealt over SALTS parts. how: inner or left."""
+    keys = [key] if isinstance(key, str) else key
     salted = df.withColumn("_salt", salt(F.col(spread)))
-    looked = salted.select(key, "_salt").distinct().join(rows, key)
-    return salted.join(looked, [key, "_salt"]).drop("_salt")
+    looked = salted.select(*keys, "_salt").distinct().join(rows, keys)
+    return salted.join(looked, [*keys, "_salt"], how).drop("_salt")
 
 
 # Vectorised scanning of words -------------------------------------------------------------------------------------

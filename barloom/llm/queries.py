@@ -194,6 +194,47 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(docs, digest_only=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.trie import shared_prefixes
+
+    return shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+#: DuckDB has no CRC-32: its bits, of a string of ASCII.
+CRC32_SQL = r"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(({0})[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+OP12_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64), w) - 1 AS pos, w, length(text) AS n FROM (SELECT *, md5(length(role) || ':' || role || ':' || text) AS w FROM c)
+), h AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32_SQL.format("t")} % 6 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS t FROM s)
+), b AS (
+  SELECT h.conv_id, 0 AS own, pos, w, n FROM h JOIN s ON s.conv_id = h.base AND pos < h.h
+  UNION ALL SELECT conv_id, 1 AS own, pos, w, n FROM h JOIN s USING (conv_id) WHERE pos >= h.h
+), r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d, w, n FROM b
+), v AS (
+  SELECT conv_id, d, md5(string_agg(w, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k, n FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM h
+), e AS (
+  SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM v) WHERE d = last GROUP BY k
+), m AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS n FROM v GROUP BY k, d
+), p AS (
+  SELECT m.*, v.k AS pk FROM m LEFT JOIN v ON v.conv_id = m.conv_id AND v.d = m.d - 1
+), g AS (
+  SELECT pk AS k, count(*) AS n_children FROM p WHERE pk IS NOT NULL GROUP BY pk
+), t AS (
+  SELECT v.k, count(*) FILTER (WHERE g.k IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.n) AS saved_tokens FROM m JOIN v ON v.conv_id = m.conv_id AND v.d <= m.d LEFT JOIN g ON g.k = m.k GROUP BY v.k
+)
+SELECT p.conv_id, p.d::BIGINT AS depth, q.conv_id AS parent_conv_id, p.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM p JOIN t ON t.k = p.k LEFT JOIN m AS q ON q.k = p.pk LEFT JOIN g ON g.k = p.k LEFT JOIN e ON e.k = p.k
+"""
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -207,6 +248,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat, "op2_line_dedup": op2_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash, "op10_ctw": op10_ctw,
-    "op13_packing": op13_packing,
+    "op12_prefix_trie": op12_prefix_trie, "op13_packing": op13_packing,
 }
-ORACLES = {"op1_chat": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op12_prefix_trie": OP12_SQL}
