@@ -194,6 +194,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(docs, digest_only=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.trie import shared_prefixes
 
@@ -204,6 +210,46 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 CRC32_SQL = r"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(({0})[i])::BIGINT)),
   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
 
+OP11_SQL = rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id IS NULL AS gone, coalesce(conv_id, 0) AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), k AS (
+  SELECT *, {CRC32_SQL.format("name")} % 20 AS kind FROM c
+), d AS (
+  SELECT gone, conv, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY gone, conv ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64), w) AS i, left(role, 1) AS ini, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS r
+  FROM (SELECT *, md5(length(role) || ':' || role || ':' || text) AS w FROM d)
+), f AS (
+  SELECT gone, conv, turn, role, text, i, ini, coalesce(lag(ini) OVER (PARTITION BY gone, conv ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS bad,
+         CASE WHEN r = '' THEN 'b' WHEN row_number() OVER (PARTITION BY gone, conv, w ORDER BY i) > 1 THEN 'd' WHEN right(r, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM n
+), s AS (
+  SELECT gone, conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE bad) AS illegal FROM f GROUP BY gone, conv
+), ins(a, b, price, edits, lines) AS (
+  SELECT * FROM (VALUES (0, 0, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 5, 'I', chr(10) || 'user:'),
+    (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''), (2, 3, 5, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 5, 'I', chr(10) || 'user:'))
+), own(a, b, ini, edit, price, says) AS (
+  SELECT * FROM (VALUES (0, 0, '', 'D', 2, ''), (1, 1, '', 'D', 2, ''), (2, 2, '', 'D', 2, ''), (3, 3, '', 'D', 2, ''), (0, 1, 's', 'K', 0, ''), (0, 2, 'u', 'K', 0, ''), (1, 2, 'u', 'K', 0, ''), (2, 3, 'a', 'K', 0, ''), (3, 2, 'u', 'K', 0, ''),
+    (0, 2, '', 'R', 1, 'user'), (1, 2, '', 'R', 1, 'user'), (2, 3, '', 'R', 1, 'assistant'), (3, 2, '', 'R', 1, 'user'))
+), g(gone, conv, i, st, best) AS (
+  SELECT s.gone, s.conv, 0::BIGINT, ins.b, {{'cost': ins.price, 'audit': ins.edits, 'said': ins.lines}} FROM s, ins WHERE ins.a = 0
+  UNION ALL
+  SELECT g.gone, g.conv, g.i + 1, ins.b, min({{
+    'cost': g.best.cost + own.price + CASE WHEN fault = 't' AND edit <> 'D' THEN 5 ELSE 0 END + ins.price, 'audit': g.best.audit || edit || ins.edits,
+    'said': g.best.said || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || says || ':' || f.text END || ins.lines}})
+  FROM g JOIN f ON f.gone = g.gone AND f.conv = g.conv AND f.i = g.i + 1
+  JOIN own ON own.a = g.st AND (edit <> 'K' OR own.ini = f.ini) AND (edit = 'D' OR fault NOT IN ('b', 'd')) JOIN ins ON ins.a = own.b
+  GROUP BY g.gone, g.conv, g.i, ins.b
+), e AS (
+  SELECT g.gone, g.conv, min(best) AS best FROM g JOIN s ON s.gone = g.gone AND s.conv = g.conv AND s.n = g.i WHERE st IN (0, 3) GROUP BY g.gone, g.conv
+)
+SELECT CASE WHEN NOT a.gone THEN a.conv END AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT gone, conv FROM c) AS a LEFT JOIN s ON s.gone = a.gone AND s.conv = a.conv LEFT JOIN e ON e.gone = a.gone AND e.conv = a.conv
+"""
+
+
 OP12_SQL = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
@@ -248,6 +294,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat, "op2_line_dedup": op2_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op4_quality": op4_quality, "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash, "op10_ctw": op10_ctw,
-    "op12_prefix_trie": op12_prefix_trie, "op13_packing": op13_packing,
+    "op11_conversation_repair": op11_conversation_repair, "op12_prefix_trie": op12_prefix_trie, "op13_packing": op13_packing,
 }
-ORACLES = {"op1_chat": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op12_prefix_trie": OP12_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op12_prefix_trie": OP12_SQL}
