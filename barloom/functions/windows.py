@@ -140,7 +140,8 @@ def faded(span: int) -> int:
 def ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str] = ("asset",), ts: str = "ts", block: int = 64) -> DataFrame:
     """df with exponential averages: name -> (column, span); alpha = 2 / (span + 1), seeded with the first value.
 
-    In chunks, with as many rows before each as it takes for the weight of the first to fall below 1e-18.
+    Only values count: the average is null before the first and stays as it is where the column is null or NaN. A span of 1
+    copies. In chunks, with as many rows before each as it takes for the weight of the first to fall below 1e-18.
     """
     if CHUNK in by:
         return _ema(df, spans, by, ts, block)
@@ -148,25 +149,34 @@ def ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str] = ("
 
 
 def _ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str], ts: str, block: int) -> DataFrame:
-    """The recurrence is linear, so it is worked out in blocks of rows: sums within a block, then the ends of the blocks
+    """The recurrence is linear, so it is worked out in blocks of values: sums within a block, then the ends of the blocks
     before, back to where their weight is below 1e-18. Nothing leaves the JVM."""
-    roll = Roll(by, (ts,))
-    held = df.withColumn("_n", roll.number() - 1).withColumns({"_block": F.floor(F.col("_n") / block), "_k": F.col("_n") % block})
-    in_block = W.partitionBy(*by, "_block").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
-    ends = {}
-    for name, (x, span) in spans.items():
-        q = 1 - 2 / (span + 1)
-        weight = F.when(F.col("_n") == 0, 1.0).otherwise(1 - q) * F.pow(F.lit(q), -F.col("_k"))
-        held = held.withColumn(f"_in_{name}", F.sum(F.col(x) * weight).over(in_block) * F.pow(F.lit(q), F.col("_k")))
-        ends[name] = (q, max(1, math.ceil(41.5 / (-block * math.log(q)))) if q else 1)
-    last = held.groupBy(*by, "_block").agg(*(F.max_by(f"_in_{n}", "_k").alias(f"_end_{n}") for n in spans))
-    over = W.partitionBy(*by).orderBy("_block")
-    def fold(name: str, q: float, m: int) -> Column:
-        return F.aggregate(F.collect_list(f"_end_{name}").over(over.rowsBetween(-m, -1)), F.lit(0.0), lambda s, e: s * q**block + e).alias(f"_to_{name}")
-
-    carried = last.select(*by, "_block", *(fold(n, q, m) for n, (q, m) in ends.items()))
-    out = held.join(carried, [*by, "_block"])
-    out = out.withColumns({n: F.col(f"_in_{n}") + F.col(f"_to_{n}") * F.pow(F.lit(q), F.col("_k") + 1) for n, (q, _) in ends.items()})
+    so_far = W.partitionBy(*by).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+    out = df
+    for x in dict.fromkeys(x for x, _ in spans.values()):
+        own = {name: 1 - 2 / (span + 1) for name, (y, span) in spans.items() if y == x}
+        value = F.col(x).cast("double")
+        value = F.when(~F.isnan(value), value)
+        out = out.withColumns({name: F.last(value, ignorenulls=True).over(so_far) for name, q in own.items() if not q})
+        own = {name: q for name, q in own.items() if q}
+        if not own:
+            continue
+        held = out.withColumn("_n", F.count(value).over(so_far) - 1).withColumns({"_block": F.floor(F.col("_n") / block), "_k": F.col("_n") % block})
+        in_block = W.partitionBy(*by, "_block").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+        for name, q in own.items():
+            weight = F.when(F.col("_n") == 0, 1.0).otherwise(1 - q) * F.pow(F.lit(q), -F.col("_k"))
+            held = held.withColumn(f"_in_{name}", F.coalesce(F.sum(value * weight).over(in_block), F.lit(0.0)) * F.pow(F.lit(q), F.col("_k")))
+        last = held.groupBy(*by, "_block").agg(*(F.max_by(f"_in_{n}", "_k").alias(f"_end_{n}") for n in own))
+        over = W.partitionBy(*by).orderBy("_block")
+
+        def fold(name: str, q: float, over=over) -> Column:
+            m = max(1, math.ceil(41.5 / (-block * math.log(q))))
+            return F.aggregate(F.collect_list(f"_end_{name}").over(over.rowsBetween(-m, -1)), F.lit(0.0), lambda s, e: s * q**block + e).alias(f"_to_{name}")
+
+        carried = last.select(*by, "_block", *(fold(n, q) for n, q in own.items()))
+        both = held.join(carried, [*by, "_block"])
+        out = both.withColumns({n: F.when(F.col("_n") >= 0, F.col(f"_in_{n}") + F.col(f"_to_{n}") * F.pow(F.lit(q), F.col("_k") + 1)) for n, q in own.items()})
+        out = out.select(*(c for c in out.columns if c not in {"_n", "_block", "_k", *(f"_{e}_{n}" for n in own for e in ("in", "to"))}))
     return out.select(*df.columns, *spans)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import Roll, bounded, clip, ratio
-from barloom.shipping import ship
+from barloom.operators.neighbours import nearest
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,56 +75,17 @@ def forest(train: DataFrame, y: str = "y", trees: int = 20, depth: int = 6, seed
 def range_expert(train: DataFrame, rows: DataFrame, y: str = "y", key: str = "id", k: int = 15) -> DataFrame:
     """rows with p_range: distance-weighted share of y = 1 among the k nearest training rows, on features standardised over train.
 
-    Exact, block by block (exact_neighbours). train and rows: key, features; a row is no neighbour of itself.
+    Exact (neighbours.nearest). train and rows: key, features; a row is no neighbour of itself.
     """
     scale = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(train)
     scaled = lambda d: scale.transform(d.select(F.col(key).alias("id"), "features")).select("id", vector_to_array("_s").alias("vector"))
-    near = exact_neighbours(scaled(rows), scaled(train), k).select(F.col("id").alias(key), F.col("neighbour").alias("_t"), F.col("distance").alias("_d"))
+    near = nearest(scaled(rows), scaled(train), k).select(F.col("id").alias(key), F.col("neighbour").alias("_t"), F.col("distance").alias("_d"))
     near = near.join(train.select(F.col(key).alias("_t"), F.col(y).alias("_y")), "_t")
     w = 1 / (F.col("_d") + 1e-9)
     p = near.groupBy(key).agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("p_range"))
     return rows.join(p, key, "left")
 
 
-def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int = 15, block: int = 4096) -> DataFrame:
-    """id, neighbour, distance, rank: the k nearest of all rows for each query.
-
-    Both sides are dealt by a hash of the id into blocks of about `block` rows. A task holds one block of each and
-    keeps the k best per query; Spark merges those. Neither side is collected.
-    """
-    import numpy as np
-    import pandas as pd
-
-    ship(rows.sparkSession)
-    deal = lambda n: max(1, -(-n // block))
-    nq, nr = deal(queries.count()), deal(rows.count())
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("id", "vector", part(nq).alias("_q")).withColumn("_r", every(nr))
-    r = rows.select("id", "vector", part(nr).alias("_r")).withColumn("_q", every(nq))
-
-    def work(left, right):
-        out = [pd.DataFrame({"id": [], "neighbour": [], "distance": []})]
-        if len(left) and len(right):
-            vs, x, own, ids = np.stack(left.vector).astype(float), np.stack(right.vector).astype(float), left.id.to_numpy(), right.id.to_numpy()
-            step = max(1, 2_000_000 // len(x))
-            for lo in range(0, len(vs), step):
-                d = np.zeros((len(vs[lo : lo + step]), len(x)))
-                for j in range(x.shape[1]):
-                    d += (vs[lo : lo + step, j, None] - x[None, :, j]) ** 2
-                d = np.sqrt(d)
-                d[own[lo : lo + step, None] == ids[None]] = np.inf
-                # Ties with the k-th stay until they are ordered by neighbour.
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.inf
-                at, to = np.nonzero((d <= kth) & (d < np.inf))
-                m = pd.DataFrame({"id": own[lo + at], "neighbour": ids[to], "distance": d[at, to]})
-                out.append(m.sort_values(["id", "distance", "neighbour"]).groupby("id").head(k))
-        return pd.concat(out[1:] or out).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
-
-    found = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInPandas(work, "id LONG, neighbour LONG, distance DOUBLE")
-    return found.withColumn("rank", F.row_number().over(Roll(("id",), ("distance", "neighbour")).w)).where(F.col("rank") <= k)
-
-
 def ou_expert(df: DataFrame, z: str, vol: str, alpha: float = 1.0, damp: float = 1.0) -> DataFrame:
     """p_ou: 1 / (1 + e^(alpha z)), drawn towards 1/2 by volatility, within 0.01..0.99."""
     raw = 1 / (1 + F.exp(F.lit(alpha) * clip(z, -50, 50)))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.quantiles import exact
 from barloom.functions.windows import EPS, Roll, bounded, clip, ratio, running
 
 By = Sequence[str]
@@ -226,8 +229,10 @@ def fill(df: DataFrame, columns: Sequence[str], limit: int | None = None, defaul
     else:
         d = _fill_near(df, columns, limit, by=by)
     if default == "median":
-        d = with_key(d, by, **{f"_m_{c}": F.percentile(c, F.lit(0.5)) for c in columns})
-        return d.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*(f"_m_{c}" for c in columns))
+        middle = exact(d, columns, [0.5], by).groupBy(*(F.col(k).alias(f"_k_{k}") for k in by)).pivot("metric", [*columns]).agg(F.first(F.col("values")[0]))
+        middle = middle.select(*(f"_k_{k}" for k in by), *(F.col(c).alias(f"_m_{c}") for c in columns))
+        d = d.join(middle, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by)))
+        return d.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*(f"_m_{c}" for c in columns), *(f"_k_{k}" for k in by))
     return d if default is None else d.withColumns({c: F.coalesce(c, F.lit(default)) for c in columns})
 
 
@@ -239,12 +244,12 @@ def mode_smooth(df: DataFrame, x: str, n: int = 3, by: By = ASSET, name: str = "
 
 def profile(df: DataFrame, columns: Sequence[str], by: By = ASSET) -> DataFrame:
     """A row per key and column: count, mean, std, least, quartiles, most."""
-    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))).alias("_m")).select(*by, "_m.metric", "_m.value")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long.groupBy(*by, "metric").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"),
-        q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("value").alias("most"),
-    )
+    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))).alias("_m")).select(*(F.col(k).alias(f"_k_{k}") for k in by), "_m.metric", "_m.value")
+    sums = long.groupBy(*(f"_k_{k}" for k in by), "metric").agg(F.count("value").alias("_n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"))
+    quarters = exact(df, columns, [0.25, 0.5, 0.75], by)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by))
+    both = quarters.join(sums.withColumnRenamed("metric", "_metric"), same & (F.col("metric") == F.col("_metric")))
+    return both.select(*by, "metric", F.col("_n").alias("n"), "mean", "std", "least", *(F.col("values")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))), "most")
 
 
 def compare(profiles: DataFrame, a: str, b: str, key: str = "asset") -> DataFrame:

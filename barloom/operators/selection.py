@@ -263,7 +263,12 @@ def correlation_stability(df: DataFrame, columns: Sequence[str], y: str, fold: s
     Folds that train on fewer than `least` rows do not count. One pass: n correlations a column.
     """
     some = lambda k: F.count_if(_until(fold, k)).alias("n")
-    tie = lambda c, k: F.corr(F.when(_until(fold, k), F.col(c)), F.col(y)).alias("r")
+    def tie(c: str, k: int) -> Column:
+        """The correlation of pairs without nulls; null where a column is constant (Spark's corr fails there)."""
+        pair = _until(fold, k) & F.col(c).isNotNull() & F.col(y).isNotNull()
+        one, two = F.when(pair, F.col(c)), F.when(pair, F.col(y))
+        return F.try_divide(F.covar_pop(one, two), F.stddev_pop(one) * F.stddev_pop(two)).alias("r")
+
     g = df.agg(*(F.struct(some(k), tie(c, k)).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in range(1, n + 1)))
     long = g.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"{i}_{k}.n"), F.col(f"{i}_{k}.r")) for i, c in enumerate(columns) for k in range(1, n + 1)))).alias("x")).select("x.*")
     r = F.when(F.col("n") >= least, F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))

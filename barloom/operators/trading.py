@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.functions.quantiles import exact
 from barloom.functions.windows import Roll, bounded, by_time, ratio, running
 
 By = Sequence[str]
@@ -97,14 +99,23 @@ def sniper_entries(signals: DataFrame, bars: DataFrame, z: str = "z", limit: flo
 
 
 def trade_returns(trades: DataFrame, fee: float = 0.0006, slippage: float = 0.0002, size: float = 0.1, leverage: float = 1.0, start: float = 10_000.0, by: By = ASSET, ts: str = "entry_ts") -> DataFrame:
-    """net (after slippage and fees on both sides), equity after each trade and drawdown; trades: side, entry_price, exit_price."""
+    """net (after slippage and fees on both sides), equity after each trade, drawdown and ruined; trades: side, entry_price, exit_price.
+
+    A trade that loses all that the account has, or more, ruins it: equity is 0 from there on. A trade at a price of 0 has
+    no net and changes nothing.
+    """
     paid = F.col("entry_price") * (1 + F.col("side") * slippage)
     got = F.col("exit_price") * (1 - F.col("side") * slippage)
-    d = trades.withColumn("net", F.col("side") * (got / paid - 1) - 2 * fee)
-    # A product as a sum of logarithms: each step's factor is positive as long as no trade loses all of its size.
-    factor = F.log1p(size * leverage * F.col("net"))
-    d = running(d, {"_sum": (factor, "sum"), "_top": (factor, "peak")}, by, ts, "7 days")
-    return d.withColumns({"equity": start * F.exp("_sum"), "drawdown": F.exp(F.col("_sum") - F.greatest(F.lit(0.0), "_top")) - 1}).drop("_sum", "_top")
+    d = trades.withColumn("net", F.col("side") * (ratio(got, paid) - 1) - 2 * fee)
+    # A product as a sum of logarithms, as long as each step's factor is positive.
+    left = 1 + size * leverage * F.col("net")
+    step = F.coalesce(F.when(left > 0, F.ln(left)), F.lit(0.0))
+    d = running(d, {"_sum": (step, "sum"), "_top": (step, "peak"), "_ruin": (F.coalesce(left <= 0, F.lit(False)).cast("int"), "max")}, by, ts, "7 days")
+    ruined = F.col("_ruin") == 1
+    d = d.withColumns({
+        "equity": F.when(ruined, 0.0).otherwise(start * F.exp("_sum")), "drawdown": F.when(ruined, -1.0).otherwise(F.exp(F.col("_sum") - F.greatest(F.lit(0.0), "_top")) - 1), "ruined": ruined,
+    })
+    return d.drop("_sum", "_top", "_ruin")
 
 
 def trade_statistics(trades: DataFrame, start: float = 10_000.0, by: By = ASSET, ts: str = "entry_ts") -> DataFrame:
@@ -118,8 +129,11 @@ def trade_statistics(trades: DataFrame, start: float = 10_000.0, by: By = ASSET,
 def entry_improvement(a: DataFrame, b: DataFrame, by: By = ASSET) -> DataFrame:
     """How much better a's entries are than b's of the same signal, in basis points: mean, median and share better."""
     d = a.select(*by, "signal_ts", "side", F.col("entry_price").alias("_a")).join(b.select(*by, "signal_ts", F.col("entry_price").alias("_b")), [*by, "signal_ts"])
-    d = d.withColumn("_bps", F.col("side") * (F.col("_b") - F.col("_a")) / F.col("_b") * 10_000)
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_bps").alias("mean_bps"), F.percentile("_bps", F.lit(0.5)).alias("median_bps"), F.avg((F.col("_bps") > 0).cast("double")).alias("better"))
+    d = d.withColumn("_bps", F.col("side") * ratio(F.col("_b") - F.col("_a"), "_b") * 10_000)
+    middle = exact(d, ["_bps"], [0.5], by).select(*(F.col(k).alias(f"_k_{k}") for k in by), F.col("values")[0].alias("median_bps"))
+    sums = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_bps").alias("mean_bps"), F.avg((F.col("_bps") > 0).cast("double")).alias("better"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by))
+    return sums.join(middle, same).select(*by, "n", "mean_bps", "median_bps", "better")
 
 
 def strategies(a: DataFrame, b: DataFrame, by: By = ASSET) -> DataFrame:
@@ -131,42 +145,11 @@ def strategies(a: DataFrame, b: DataFrame, by: By = ASSET) -> DataFrame:
 
 
 def hysteresis(df: DataFrame, x: str = "rsi_14", buy: float = 30, sell: float = 50, by: By = ASSET) -> DataFrame:
-    """position 1 from x < buy until x > sell: the latest of these events holds. orders() adds the cash."""
+    """position 1 from x < buy until x > sell: the latest of these events holds. accounts.guarded() adds the cash."""
     event = F.when(F.col(x) < buy, 1).when(F.col(x) > sell, 0)
     return running(df, {"_e": (event, "last")}, by).withColumn("position", F.coalesce("_e", F.lit(0))).drop("_e")
 
 
-@bounded(lambda a: 1)
-def _turns(df: DataFrame, position: str, by: By = ASSET) -> DataFrame:
-    """df with _was: the position of the row before."""
-    return df.withColumn("_was", F.coalesce(Roll(by).lag(position), F.lit(0)))
-
-
-def orders(df: DataFrame, x: str = "rsi_14", buy: float = 30, sell: float = 50, stake: float = 1_000.0, start: float = 10_000.0, size: str | None = None, by: By = ASSET) -> DataFrame:
-    """position, cash, equity, n_trades of an account that buys for `stake` where x < buy and it is flat, and sells all where x > sell.
-
-    size: a column by which the stake of an order is multiplied; with 0 there is no order, and skipped counts the rows
-    where a flat account passed one up. covered: whether the cash before an order paid for it; orders are placed as if
-    it did, so results are those of an account with a guard as long as covered holds.
-    """
-    scale = F.col(size) if size else F.lit(1.0)
-    event = F.when((F.col(x) < buy) & (scale > 0), 1).when(F.col(x) > sell, 0)
-    d = running(df, {"_e": (event, "last")}, by).withColumn("position", F.coalesce("_e", F.lit(0)))
-    d = _turns(d, "position", by=by)
-    opens, closes = (F.col("position") == 1) & (F.col("_was") == 0), (F.col("position") == 0) & (F.col("_was") == 1)
-    paid = F.when(opens, F.struct((stake * scale).alias("paid"), (stake * scale / F.col("close")).alias("units")))
-    d = running(d, {"_o": (paid, "last")}, by)
-    worth = F.col("_o.units") * F.col("close")
-    sums = {
-        "_gain": (F.when(closes, worth - F.col("_o.paid")).otherwise(0.0), "sum"), "n_trades": (opens.cast("long"), "sum"),
-        "skipped": (F.coalesce((F.col(x) < buy) & (scale <= 0) & (F.col("position") == 0) & (F.col("_was") == 0), F.lit(False)).cast("long"), "sum"),
-    }
-    d = running(d, sums, by)
-    held = F.col("position") == 1
-    d = d.withColumn("cash", start + F.col("_gain") - F.when(held, F.col("_o.paid")).otherwise(0.0)).withColumn("equity", F.col("cash") + F.when(held, worth).otherwise(0.0))
-    return d.withColumn("covered", ~opens | (F.col("cash") >= 0)).drop("_e", "_was", "_o", "_gain")
-
-
 def barrier_simulation(labelled: DataFrame, tp: float, sl: float, size: float = 0.1, leverage: Column | float = 1.0, start: float = 10_000.0, by: By = ASSET) -> DataFrame:
     """Balance over labelled entries (1: tp gained, 0: sl lost), each compounding in order of entry."""
     lev = F.lit(float(leverage)) if isinstance(leverage, (int, float)) else leverage

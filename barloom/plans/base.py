@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.storage import scratch as scratch
 from barloom.sources.bars import event_bars
 
 
@@ -39,12 +39,6 @@ class Book:
         return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; in tests without one, below the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def pick(df: DataFrame, names: str, key: str = "asset, ts", digits: int = 6) -> DataFrame:
     """The key and the named columns, doubles rounded."""
     kinds = dict(df.dtypes)

@@ -21,9 +21,9 @@ TR = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}
 
 
 def ema_sql(x: str, n: int, name: str, source: str) -> str:
-    """CTEs of a list of each history so far, folded."""
+    """CTEs of a list of each history's values so far, folded."""
     a = 2 / (n + 1)
-    return f"{name}_l AS (SELECT *, list({x}) OVER ({KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {name}_x FROM {source}), {name}_t AS (SELECT * EXCLUDE ({name}_x), list_reduce({name}_x, lambda s, v: s * {1 - a!r}::DOUBLE + v * {a!r}::DOUBLE) AS {name} FROM {name}_l)"
+    return f"{name}_l AS (SELECT *, list({x}) FILTER (WHERE {x} IS NOT NULL) OVER ({KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {name}_x FROM {source}), {name}_t AS (SELECT * EXCLUDE ({name}_x), list_reduce({name}_x, lambda s, v: s * {1 - a!r}::DOUBLE + v * {a!r}::DOUBLE) AS {name} FROM {name}_l)"
 
 
 @q.on_bars("rsi_14", steps(*RSI, out="rsi_14"))
@@ -41,9 +41,13 @@ def sma(b):
     return I.sma(b, (5, 20, 50, 200))
 
 
-@q.on_bars("ema_20 ema_100 dist", f"WITH {BARS}, {ema_sql('close', 20, 'e20', 'bars')}, {ema_sql('close', 100, 'e100', 'e20_t')} SELECT asset, ts, round(e20, 6) AS ema_20, round(e100, 6) AS ema_100, round((close - e20) / nullif(e20, 0), 6) AS dist FROM e100_t")
+# Beside the closes: their changes, of which the first is null, a span of 1, and an average of a rolling mean that warms up.
+@q.on_bars("ema_20 ema_100 dist ema_1 ema_change ema_sma", f"""WITH {BARS}, {ema_sql('close', 20, 'e20', 'bars')}, {ema_sql('close', 100, 'e100', 'e20_t')}, d0 AS (SELECT *, close - {lag('close')} AS change, {roll('avg', 'close', 20)} AS sm FROM e100_t),
+{ema_sql('change', 10, 'ec', 'd0')}, {ema_sql('sm', 10, 'es', 'ec_t')} SELECT asset, ts, round(e20, 6) AS ema_20, round(e100, 6) AS ema_100, round((close - e20) / nullif(e20, 0), 6) AS dist, round(close, 6) AS ema_1, round(ec, 6) AS ema_change, round(es, 6) AS ema_sma FROM es_t""")
 def ema_(b):
-    return ema(b, {"ema_20": ("close", 20), "ema_100": ("close", 100)}).withColumn("dist", ratio(F.col("close") - F.col("ema_20"), "ema_20"))
+    d = ema(b, {"ema_20": ("close", 20), "ema_100": ("close", 100), "ema_1": ("close", 1)}).withColumn("dist", ratio(F.col("close") - F.col("ema_20"), "ema_20"))
+    d = I.sma(d, (20,))
+    return chunked(d, lambda c, keys: ema(c.withColumn("change", F.col("close") - Roll(keys).lag("close")), {"ema_change": ("change", 10), "ema_sma": ("sma_20", 10)}, keys), 500)
 
 
 @q.on_bars("dist_ema_20 dist_sma_20", f"WITH {BARS}, {ema_sql('close', 20, 'e20', 'bars')} SELECT asset, ts, round((close - e20) / nullif(e20, 0), 6) AS dist_ema_20, round((close - sm) / nullif(sm, 0), 6) AS dist_sma_20 FROM (SELECT *, {roll('avg', 'close', 20)} AS sm FROM e20_t)")

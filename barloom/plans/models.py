@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import chunked
-from barloom.operators import ensemble, labels, panel, regimes, rolling, selection
+from barloom.operators import ensemble, labels, neighbours, panel, regimes, rolling, selection
 from barloom.operators.indicators import rsi, sma
 from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, scratch, steps
+from barloom.plans.features import RSI, ema_sql
 from barloom.plans.scoring import SCORED, scored
 from barloom.sources.bars import event_bars
 
@@ -283,7 +284,7 @@ def asset_clusters(spark, sf_dir):
 SELECT id, neighbour, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM d) WHERE rank <= 15""")
 def knn_exact(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return pick(ensemble.exact_neighbours(e.where("id % 100 = 0"), e), "distance rank", "id, neighbour")
+    return pick(neighbours.nearest(e.where("id % 100 = 0"), e), "distance rank", "id, neighbour")
 
 
 @q(f"""SELECT event_type AS asset, time_bucket(INTERVAL 5 MINUTES, events.ts) AS ts, first(value ORDER BY events.ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY events.ts, event_id) AS close, count(*)::DOUBLE AS volume
@@ -296,3 +297,33 @@ def streaming_bars(spark, sf_dir):
     live.run(live.stream_bars(live.ticks(spark, sf_dir, "events.parquet")), sink, scratch(spark)).awaitTermination()
     b = spark.read.parquet(sink)
     return b.select("asset", F.expr("to_timestamp_ntz(date_format(ts, 'yyyy-MM-dd HH:mm:ss'))").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+_DONE = "ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"
+_STREAM = steps(*RSI, f"coalesce(sign(close - {lag('close')}) * volume, 0) AS signed", f"sum(signed) OVER ({KEY}) AS obv, CASE WHEN rsi_14 < 40 THEN 1 WHEN rsi_14 > 55 THEN 0 END AS event", f"coalesce(last_value(event IGNORE NULLS) OVER ({KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position", out="=close; =obv; =rsi_14; =position")
+
+
+@q(f"WITH x AS ({_STREAM}), {ema_sql('close', 12, 'ef', 'x')}, {ema_sql('close', 26, 'es', 'ef_t')} SELECT asset, ts, round(ef, 6) AS ema_12, round(es, 6) AS ema_26, round(obv, 6) AS obv, round(rsi_14, 6) AS rsi_14, position FROM es_t WHERE {_DONE}")
+def streaming_indicators(spark, sf_dir):
+    """Averages, OBV, RSI and position of hourly bars of a stream, from state that is kept per asset."""
+    from barloom.streaming import live, state
+
+    sink = scratch(spark)
+    bars = live.stream_bars(live.ticks(spark, sf_dir, "events.parquet"), every="1 hour")
+    live.run(state.indicators(bars, "1 hour", {"ema_12": 12, "ema_26": 26}, buy=40, sell=55), sink, scratch(spark)).awaitTermination()
+    return pick(live.plain_time(spark.read.parquet(sink)), "ema_12 ema_26 obv rsi_14 position")
+
+
+@q()
+def live_decisions(spark, sf_dir):
+    """Long, short or flat of each half-hourly bar of a stream: where filtered states of three frames' models agree."""
+    from barloom.streaming import live, state
+
+    frames = []
+    for length in ("30 minutes", "1 hour", "4 hours"):
+        history = rolling.returns(event_bars(spark, sf_dir, length))
+        stream = live.stream_bars(live.ticks(spark, sf_dir, "events.parquet"), every=length)
+        frames.append((stream, length, regimes.fit(history, ["log_ret"], rounds=5)))
+    sink = scratch(spark)
+    live.run(state.decisions(frames), sink, scratch(spark), score=live.named).awaitTermination()
+    return live.plain_time(spark.read.parquet(sink)).drop("batch")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import labels, rolling, trading
+from barloom.operators import accounts, labels, rolling, trading
 from barloom.operators.indicators import rsi
 from barloom.plans.base import BARS, KEY, Book, lag, lead, roll, steps
 from barloom.plans.features import RSI, stability_sql
@@ -135,26 +135,26 @@ def sniper_entry(b):
 
 
 def _trades(source: str) -> str:
-    return f"tr AS (SELECT *, side * (exit_price * (1 - side * 0.0002::DOUBLE) / (entry_price * (1 + side * 0.0002::DOUBLE)) - 1) - 2 * 0.0006::DOUBLE AS net FROM {source}), eq AS (SELECT *, 10000 * exp(sum(ln(1 + 0.1::DOUBLE * net)) OVER (PARTITION BY asset ORDER BY entry_ts)) AS equity FROM tr WHERE 1 + 0.1::DOUBLE * net > 0), dd AS (SELECT *, equity / greatest(10000, max(equity) OVER (PARTITION BY asset ORDER BY entry_ts)) - 1 AS drawdown FROM eq)"
+    left, upto = "1 + 0.1::DOUBLE * net", "OVER (PARTITION BY asset ORDER BY entry_ts)"
+    return (
+        f"tr AS (SELECT *, side * (exit_price * (1 - side * 0.0002::DOUBLE) / nullif(entry_price * (1 + side * 0.0002::DOUBLE), 0) - 1) - 2 * 0.0006::DOUBLE AS net FROM {source}), "
+        f"ru AS (SELECT *, max(coalesce({left} <= 0, false)::INT) {upto} = 1 AS ruined, sum(coalesce(CASE WHEN {left} > 0 THEN ln({left}) END, 0)) {upto} AS logs FROM tr), "
+        f"eq AS (SELECT *, CASE WHEN ruined THEN 0 ELSE 10000 * exp(logs) END AS equity FROM ru), dd AS (SELECT *, equity / greatest(10000, max(equity) {upto}) - 1 AS drawdown FROM eq)"
+    )
 
 
 _stats = "SELECT asset, count(*) AS n, last(equity ORDER BY entry_ts) / 10000 - 1 AS total_return, avg((net > 0)::INT::DOUBLE) AS win_rate, min(drawdown) AS max_drawdown, coalesce(avg(net) / CASE WHEN stddev_samp(net) > 1e-12 THEN stddev_samp(net) END * sqrt(count(*)), 0) AS sharpe FROM dd GROUP BY asset"
 _NAIVE = "nv AS (SELECT asset, signal_ts, signal_ts AS entry_ts, side, o AS entry_price, exit_price FROM sig WHERE side <> 0)"
 
 
-def _tame(trades):
-    """Prices of events move by multiples; trades that would lose all of their size are left out here."""
-    return trades.where((F.col("exit_price") < 5 * F.col("entry_price")))
-
-
-@q.on_bars("side net log_equity drawdown", f"WITH {BARS}, {_ENTRY}, ta AS (SELECT * FROM en WHERE exit_price < 5 * entry_price), {_trades('ta')} SELECT asset, signal_ts, side, round(net, 6) AS net, round(ln(equity), 6) AS log_equity, round(drawdown, 6) AS drawdown FROM dd", key="asset, signal_ts")
+@q.on_bars("side net log_equity drawdown ruined", f"WITH {BARS}, {_ENTRY}, {_trades('en')} SELECT asset, signal_ts, side, round(net, 6) AS net, round(ln(nullif(equity, 0)), 6) AS log_equity, round(drawdown, 6) AS drawdown, ruined FROM dd", key="asset, signal_ts")
 def sniper_backtest(b):
-    return trading.trade_returns(_tame(_sniper(b))).withColumn("log_equity", F.ln("equity"))
+    return trading.trade_returns(_sniper(b)).withColumn("log_equity", F.ln("equity"))
 
 
-@q.on_bars("n total_return win_rate max_drawdown sharpe", f"WITH {BARS}, {_SIG}, {_NAIVE}, ta AS (SELECT * FROM nv WHERE exit_price < 5 * entry_price), {_trades('ta')}, st AS ({_stats}) SELECT asset, n, round(total_return, 6) AS total_return, round(win_rate, 6) AS win_rate, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe FROM st", key="asset")
+@q.on_bars("n total_return win_rate max_drawdown sharpe", f"WITH {BARS}, {_SIG}, {_NAIVE}, {_trades('nv')}, st AS ({_stats}) SELECT asset, n, round(total_return, 6) AS total_return, round(win_rate, 6) AS win_rate, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe FROM st", key="asset")
 def naive_backtest(b):
-    return trading.trade_statistics(trading.trade_returns(_tame(_naive(b))))
+    return trading.trade_statistics(trading.trade_returns(_naive(b)))
 
 
 @q.on_bars("n mean_bps median_bps better", f"""WITH {BARS}, {_ENTRY}, {_NAIVE}, d AS (SELECT en.asset, en.side * (nv.entry_price - en.entry_price) / nv.entry_price * 10000 AS bps FROM en JOIN nv ON en.asset = nv.asset AND en.signal_ts = nv.signal_ts)
@@ -163,10 +163,10 @@ def entry_improvement(b):
     return trading.entry_improvement(_sniper(b), _naive(b))
 
 
-@q.on_bars("total_return_gain sharpe_gain max_drawdown_gain return_to_drawdown", f"""WITH {BARS}, {_ENTRY}, {_NAIVE}, a AS (WITH ta AS (SELECT * FROM nv WHERE exit_price < 5 * entry_price), {_trades('ta')} {_stats}), b AS (WITH ta AS (SELECT * FROM en WHERE exit_price < 5 * entry_price), {_trades('ta')} {_stats})
+@q.on_bars("total_return_gain sharpe_gain max_drawdown_gain return_to_drawdown", f"""WITH {BARS}, {_ENTRY}, {_NAIVE}, a AS (WITH {_trades('nv')} {_stats}), b AS (WITH {_trades('en')} {_stats})
 SELECT asset, round(b.total_return - a.total_return, 6) AS total_return_gain, round(b.sharpe - a.sharpe, 6) AS sharpe_gain, round(b.max_drawdown - a.max_drawdown, 6) AS max_drawdown_gain, round(b.total_return / nullif(abs(b.max_drawdown), 0), 6) AS return_to_drawdown FROM a JOIN b USING (asset)""", key="asset")
 def strategy_comparison(b):
-    st = lambda t: trading.trade_statistics(trading.trade_returns(_tame(t)))
+    st = lambda t: trading.trade_statistics(trading.trade_returns(t))
     return trading.strategies(st(_naive(b)), st(_sniper(b)))
 
 
@@ -175,30 +175,42 @@ def rsi_hysteresis(b):
     return trading.hysteresis(rsi(b), buy=40, sell=55)
 
 
-def _account(size: str) -> tuple[str, ...]:
-    """The steps of an account in SQL; size: what the stake of an order is multiplied by."""
-    so_far = f"OVER ({KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return (
-        f"CASE WHEN rsi_14 < 40 AND {size} > 0 THEN 1 WHEN rsi_14 > 55 THEN 0 END AS e", f"coalesce(last_value(e IGNORE NULLS) {so_far}, 0) AS position", f"coalesce({lag('position')}, 0) AS was",
-        f"CASE WHEN position = 1 AND was = 0 THEN 1000.0::DOUBLE * {size} END AS p0, CASE WHEN position = 1 AND was = 0 THEN 1000.0::DOUBLE * {size} / close END AS u0",
-        f"last_value(p0 IGNORE NULLS) {so_far} AS paid, last_value(u0 IGNORE NULLS) {so_far} AS units",
-        f"sum(CASE WHEN position = 0 AND was = 1 THEN units * close - paid ELSE 0.0::DOUBLE END) {so_far} AS gain, sum((position = 1 AND was = 0)::BIGINT) {so_far}::BIGINT AS n_trades, sum(coalesce(rsi_14 < 40 AND {size} <= 0 AND position = 0 AND was = 0, false)::BIGINT) {so_far}::BIGINT AS skipped",
-        "10000.0::DOUBLE + gain - CASE WHEN position = 1 THEN paid ELSE 0.0::DOUBLE END AS cash",
-    )
+def _account(size: str, *parts: str, start: float = 10_000.0, stake: float = 1_000.0) -> str:
+    """An account bar by bar; size: what the stake of an order is multiplied by."""
+    bars = steps(*RSI, *parts, f"coalesce({size}, 0) AS scale", out="=close; =rsi_14; =scale")
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, {stake}::DOUBLE * scale AS amount, row_number() OVER (PARTITION BY asset ORDER BY ts) AS n FROM ({bars})), acc AS (
+  SELECT DISTINCT asset, NULL::TIMESTAMP AS ts, 0::BIGINT AS n, 0.0::DOUBLE AS close, {start}::DOUBLE AS cash, 0.0::DOUBLE AS units, 0::BIGINT AS n_trades, 0::BIGINT AS skipped, 0::BIGINT AS refused FROM e
+  UNION ALL
+  SELECT asset, ts, n, close, CASE WHEN wants AND pays THEN cash - amount WHEN sells THEN cash + units * close ELSE cash END, CASE WHEN wants AND pays THEN amount / close WHEN sells THEN 0.0::DOUBLE ELSE units END,
+    n_trades + (wants AND pays)::BIGINT, skipped + passes::BIGINT, refused + (wants AND NOT pays)::BIGINT
+  FROM (SELECT e.asset, e.ts, e.n, e.close, cash, units, amount, n_trades, skipped, refused, coalesce(units = 0 AND rsi_14 < 40 AND amount > 0, false) AS wants, cash >= amount AND e.close > 0 AS pays,
+          coalesce(units = 0 AND rsi_14 < 40 AND amount <= 0, false) AS passes, coalesce(units > 0 AND rsi_14 > 55, false) AS sells FROM acc JOIN e ON e.asset = acc.asset AND e.n = acc.n + 1)
+)
+SELECT asset, ts, (units > 0)::INT AS position, round(cash, 6) AS cash, round(cash + units * close, 6) AS equity, n_trades, skipped, refused FROM acc WHERE n > 0"""
 
 
-_ACCOUNT_OUT = "=position; cash; cash + CASE WHEN position = 1 THEN units * close ELSE 0.0::DOUBLE END AS equity; =n_trades; =skipped; =NOT (position = 1 AND was = 0) OR cash >= 0 AS covered"
+_ACCOUNT = "position cash equity n_trades skipped refused"
 
 
-@q.on_bars("position cash equity n_trades skipped covered", steps(*RSI, *_account("1.0::DOUBLE"), out=_ACCOUNT_OUT))
+@q.on_bars(_ACCOUNT, _account("1.0::DOUBLE"))
 def rsi_account(b):
-    return trading.orders(rsi(b), buy=40, sell=55)
+    return accounts.guarded(rsi(b), buy=40, sell=55)
 
 
-@q.on_bars("position cash equity n_trades skipped covered", steps(*RSI, *stability_sql(48, 168), "CASE WHEN warning THEN 0.0::DOUBLE ELSE 1.0 END AS size", *_account("size"), out=_ACCOUNT_OUT))
+@q.on_bars(_ACCOUNT, _account("size", *stability_sql(48, 168), "CASE WHEN warning THEN 0.0::DOUBLE ELSE 1.0 END AS size"))
 def rsi_account_scaled(b):
     d = trading.risk_multiplier(rolling.stability(rsi(b), window=48, span=168), "strict")
-    return trading.orders(d, buy=40, sell=55, size="size")
+    return accounts.guarded(d, buy=40, sell=55, size="size")
+
+
+#: Sizes that differ from bar to bar, in an account that can't pay for most of them.
+_SIZES = "(volume::BIGINT % 4) / 2.0::DOUBLE AS size"
+
+
+@q.on_bars(_ACCOUNT, _account("size", _SIZES, start=1_200.0))
+def rsi_account_tight(b):
+    """The guard binds: orders of 0, 500, 1,000 and 1,500 with 1,200 to begin with."""
+    return accounts.guarded(rsi(b).withColumn("size", F.col("volume").cast("long") % 4 / 2), buy=40, sell=55, start=1_200.0, size="size", every="5 days")
 
 
 @q.on_bars("label pnl log_balance", "WITH x AS (" + steps(*hits("close * (1 + 2.0::DOUBLE)", "close * (1 - 0.5::DOUBLE)", 36), f"{won(36)} AS label", "0.01::DOUBLE * CASE WHEN label = 1 THEN 2.0 ELSE -0.5 END AS pnl", out="=label; =pnl", where="label IS NOT NULL") + ") SELECT asset, ts, label, round(pnl, 6) AS pnl, round(ln(10000) + sum(ln(1 + pnl)) OVER (PARTITION BY asset ORDER BY ts), 6) AS log_balance FROM x")

@@ -1,4 +1,4 @@
-"""Candles of a paged service as a Spark source: spark.read.format("klines").
+"""Candles of a paged service as a Spark source: spark.read.format("klines"), or readStream (sources/kline_stream.py).
 
 Options: assets (comma-separated), start and end (epoch milliseconds), step (milliseconds of a bar), limit (bars of a
 page), fetch ("module:function", importable on executors). The function gets asset, start, end and limit, and returns
@@ -9,7 +9,7 @@ alone if their executor is lost; rows outside a page are dropped, so pages do no
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -32,8 +32,11 @@ class KlineReader(DataSourceReader):
         self.limit, self.fetch = int(options.get("limit", 1000)), options["fetch"]
 
     def partitions(self) -> list[Page]:
+        return self.between(self.start, self.end)
+
+    def between(self, start: int, end: int) -> list[Page]:
         size = self.step * self.limit
-        return [Page(a, lo, min(lo + size, self.end)) for a in self.assets for lo in range(self.start, self.end, size)]
+        return [Page(a, lo, min(lo + size, end)) for a in self.assets for lo in range(start, end, size)]
 
     def read(self, page: Page) -> Iterator[tuple]:
         module, _, name = self.fetch.partition(":")
@@ -46,6 +49,8 @@ class KlineReader(DataSourceReader):
 
 
 class KlineSource(DataSource):
+    clock: Callable[[], int] | None = None
+
     @classmethod
     def name(cls) -> str:
         return "klines"
@@ -56,7 +61,13 @@ class KlineSource(DataSource):
     def reader(self, schema) -> KlineReader:
         return KlineReader(self.options)
 
+    def streamReader(self, schema):
+        from barloom.sources.kline_stream import KlineStreamReader
+
+        return KlineStreamReader(self.options, self.clock)
+
 
-def register(spark: SparkSession) -> None:
+def register(spark: SparkSession, clock: Callable[[], int] | None = None) -> None:
+    """clock: the service's, in epoch milliseconds; streams go by it. It is sent along as it is, like a UDF."""
     ship(spark)
-    spark.dataSource.register(KlineSource)
+    spark.dataSource.register(type("KlineSource", (KlineSource,), {"clock": staticmethod(clock)}) if clock else KlineSource)

@@ -40,4 +40,14 @@ def decision(df: DataFrame, *states: str) -> DataFrame:
     """The triple-timeframe decision: long if all are Bull, short if all are Bear, else flat."""
     from barloom.operators.trading import confluence
 
-    return confluence(df, *states).withColumn("decision", F.when(F.col("signal") == 1, "long").when(F.col("signal") == -1, "short").otherwise("flat"))
+    return named(confluence(df, *states))
+
+
+def named(df: DataFrame) -> DataFrame:
+    """decision in words of a signal of 1, -1 or 0."""
+    return df.withColumn("decision", F.when(F.col("signal") == 1, "long").when(F.col("signal") == -1, "short").otherwise("flat"))
+
+
+def plain_time(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """A stream's moments as the wall times (of the session's zone) that bars of tables have."""
+    return df.withColumn(ts, F.expr(f"to_timestamp_ntz(date_format({ts}, 'yyyy-MM-dd HH:mm:ss'))"))

@@ -8,8 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import quantiles, windows
 from barloom.functions.windows import Roll, chunked, ema, running_sum
-from barloom.operators import ensemble, factory, joins, labels, metrics, panel, physics, regimes, rolling, selection, trading
+from barloom.operators import accounts, ensemble, factory, joins, labels, metrics, neighbours, panel, physics, regimes, rolling, selection, trading
 from barloom.operators import indicators as I
 from barloom.sources import bars as B
 from barloom.sources import quality
@@ -365,6 +366,114 @@ def test_range_expert_is_exact(spark):
         w = 1 / (e[best] + 1e-9)
         assert abs(got[k] - (w * y[best]).sum() / w.sum()) < 1e-5
     v = spark.createDataFrame([(k, [float(k % 7), float(k % 3)]) for k in range(90)], "id LONG, vector ARRAY<DOUBLE>")
-    near = {(r.id, r["rank"]): r.neighbour for r in ensemble.exact_neighbours(v.where(F.col("id") < 20), v, 5, block=16).collect()}
+    near = {(r.id, r["rank"]): r.neighbour for r in neighbours.nearest(v.where(F.col("id") < 20), v, 5, block=16).collect()}
     want = {(i, n + 1): j for i in range(20) for n, (_, j) in enumerate(sorted((math.hypot(i % 7 - j % 7, i % 3 - j % 3), j) for j in range(90) if j != i)[:5])}
     assert near == want
+
+
+def test_ema_counts_values_only(spark):
+    """A span of 1, leading and inner nulls, NaN, a column without values; against the recurrence."""
+    rows = [("a", k, v, None) for k, v in enumerate([None, None, 10.0, 11.0, None, float("nan"), 13.0, *[float(k % 7) for k in range(300)]])] + [("b", k, 5.0, None) for k in range(3)]
+    df = spark.createDataFrame(rows, "asset STRING, ts INT, x DOUBLE, none DOUBLE")
+    spans = {"one": ("x", 1), "three": ("x", 3), "fifty": ("x", 50), "never": ("none", 9), "never_1": ("none", 1)}
+    for chunk in (100_000, 50):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(windows, "CHUNK_ROWS", chunk)
+            got = {(r.asset, r.ts): r for r in windows.ema(df, spans).collect()}
+        assert len(got) == len(rows) and got["a", 0].one is None and got["a", 1].three is None
+        for name, n in (("one", 1), ("three", 3), ("fifty", 50)):
+            at = {}
+            for a, k, v, _ in rows:
+                if v is not None and v == v:
+                    at[a] = v if a not in at else at[a] + 2 / (n + 1) * (v - at[a])
+                assert (got[a, k][name] is None) == (a not in at) and (a not in at or math.isclose(got[a, k][name], at[a], rel_tol=1e-9))
+        assert all(r.never is None and r.never_1 is None for r in got.values())
+
+
+def test_correlation_stability_of_constant_columns(spark):
+    df = spark.range(600).select(F.lit(3.0).alias("same"), (F.col("id") % 13).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("double").alias("gaps"), (F.col("id") % 13 % 2).alias("y"), F.floor(F.col("id") / 100).cast("int").alias("fold"))
+    got = {r.feature: r.stability for r in selection.correlation_stability(df, ["same", "x", "gaps"], "y").collect()}
+    rows = df.toPandas()
+    want = {}
+    for c in ("x", "gaps"):
+        r = np.array([rows[rows.fold < k][[c, "y"]].corr().iloc[0, 1] for k in range(1, 6)])
+        want[c] = 1 / (1 + r.std() / (abs(r.mean()) + 1e-6))
+    assert got["same"] == 0 and math.isclose(got["x"], want["x"], rel_tol=1e-6) and math.isclose(got["gaps"], want["gaps"], rel_tol=1e-6)
+
+
+def test_ruined_accounts_stay_ruined(spark):
+    """A loss of the whole account, trades after it, a gain of many times, an entry at a price of 0."""
+    rows = [("a", 0, 1, 100.0, 110.0), ("a", 1, 1, 10.0, 90.0), ("a", 2, -1, 10.0, 200.0), ("a", 3, 1, 10.0, 20.0), ("b", 0, 1, 0.0, 5.0), ("b", 1, 1, 10.0, 11.0)]
+    df = spark.createDataFrame(rows, "asset STRING, entry_ts INT, side INT, entry_price DOUBLE, exit_price DOUBLE")
+    got = {(r.asset, r.entry_ts): r for r in trading.trade_returns(df, fee=0.0, slippage=0.0).collect()}
+    assert [round(got["a", k].equity, 6) for k in range(4)] == [10_100.0, 18_180.0, 0.0, 0.0] and [got["a", k].ruined for k in range(4)] == [False, False, True, True]
+    assert got["a", 3].drawdown == -1 and got["b", 0].net is None and got["b", 0].equity == 10_000 and math.isclose(got["b", 1].equity, 10_100)
+    stats = {r.asset: r for r in trading.trade_statistics(trading.trade_returns(df, fee=0.0, slippage=0.0)).collect()}
+    assert stats["a"].total_return == -1 and stats["a"].n == 4
+
+
+@pytest.mark.parametrize(("every", "start"), [("30 days", 10_000.0), ("1 hours", 1_500.0), ("20 hours", 1_100.0), ("7 hours", 300.0), ("50 hours", 2_000.0)])
+def test_guarded_accounts(spark, every, start):
+    """Against an account row by row: sizes of 0 and null, gaps in x, prices of 0, ties of cash and cost, chunks of all sizes."""
+    rng = np.random.default_rng(len(every) + int(start))
+    rows = []
+    for a in ("a", "b", None):
+        x = np.clip(50 + np.cumsum(rng.normal(0, 9, 300)) % 60 - 30, 0, 100)
+        for k in range(300):
+            rows.append((a, k, None if k < 14 or rng.random() < 0.02 else float(x[k]), 0.0 if rng.random() < 0.01 else float(rng.choice([5.0, 8.0, 10.0, 12.0])), None if rng.random() < 0.05 else float(rng.choice([0.0, 0.5, 1.0, 1.5])), "own"))
+    df = spark.createDataFrame(rows, "asset STRING, k INT, rsi_14 DOUBLE, close DOUBLE, size DOUBLE, cash STRING").withColumn("ts", F.expr("timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, k)")).repartition(3)
+    got = {(r.asset, r.k): r for r in accounts.guarded(df, stake=1_000.0, start=start, size="size", every=every).collect()}
+    assert len(got) == len(rows)
+    states = {a: [start, 0.0, 0, 0, 0] for a in ("a", "b", None)}
+    for a, k, x, close, size, _ in rows:
+        s, pay = states[a], 1_000.0 * (size or 0.0)
+        if x is not None and x < 30 and not s[1]:
+            if pay <= 0:
+                s[3] += 1
+            elif s[0] < pay or close <= 0:
+                s[4] += 1
+            else:
+                s[0], s[1], s[2] = s[0] - pay, pay / close, s[2] + 1
+        elif x is not None and x > 50 and s[1]:
+            s[0], s[1] = s[0] + s[1] * close, 0.0
+        r = got[a, k]
+        assert (r.position, r.n_trades, r.skipped, r.refused) == (int(s[1] != 0), *s[2:]) and math.isclose(r.cash, s[0], abs_tol=1e-6) and math.isclose(r.equity, s[0] + s[1] * close, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize(("dims", "k", "block"), [(1, 3, 7), (3, 5, 16), (3, 15, 4096), (8, 1, 20)])
+def test_pruned_neighbours_are_exact(spark, dims, k, block):
+    """Clusters, hundreds of equal rows, ties, queries that aren't rows; few rows are compared where they lie in clusters."""
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(c, 0.3, (60, dims)) for c in (0, 10, 20, 30, 40)] + [np.full((300, dims), 5.0), rng.integers(0, 3, (40, dims)).astype(float)])
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "id LONG, vector ARRAY<DOUBLE>").repartition(4)
+    more = spark.createDataFrame([(10_000, [5.0] * dims), (10_001, [1e6] * dims)], df.schema)
+    q = df.where("id % 7 = 0").unionByName(more)
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in neighbours.nearest(q, df, k, block).collect()}
+    vs = {r.id: np.array(r.vector) for r in q.collect()}
+    for i, v in vs.items():
+        d = np.zeros(len(x))
+        for j in range(dims):
+            d += (v[j] - x[:, j]) ** 2
+        d = np.sqrt(d)
+        best = sorted((d[n], n) for n in range(len(x)) if n != i)[:k]
+        assert [got[i, r + 1] for r in range(k)] == [(n, e) for e, n in best]
+    assert len(got) == k * len(vs)
+    if block < 4096 and dims > 1:
+        near = df.where("id < 300 AND id % 7 = 0")
+        assert neighbours.compared(near, df, k, block).agg(F.sum("compared")).first()[0] < 0.5 * near.count() * len(x)
+    assert neighbours.nearest(q, df.where("false"), k, block).count() == 0 and neighbours.nearest(q.where("false"), df, k, block).count() == 0
+
+
+@pytest.mark.parametrize("sharp", [10_000, 20])
+def test_quantiles_of_any_size(spark, sharp, monkeypatch):
+    """Against sorting: single values, ties, NaN, nulls, keys without values, 5,000 values against brackets of a twentieth."""
+    monkeypatch.setattr(quantiles, "SHARP", sharp)
+    rng = np.random.default_rng(3)
+    own = {"a": rng.normal(size=5000), "b": np.array([3.0]), "c": rng.integers(0, 4, 999).astype(float), None: np.array([1.0, 2.0]), "d": np.arange(7.0)}
+    rows = [(k, float(v), None) for k, vs in own.items() for v in vs] + [("a", float("nan"), None), ("a", None, None), ("e", None, 1.0)]
+    df = spark.createDataFrame(rows, "asset STRING, x DOUBLE, y DOUBLE").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.501, 0.75, 1.0]
+    got = {(r.asset, r.metric): r for r in quantiles.exact(df, ["x", "y"], shares).collect()}
+    assert len(got) == 12 and got["e", "x"].n == 0 and got["e", "x"]["values"] == [None] * 7 and got["e", "y"]["values"] == [1.0] * 7
+    for k, vs in own.items():
+        assert got[k, "x"].n == len(vs) and np.allclose(got[k, "x"]["values"], np.quantile(vs, shares), rtol=1e-12)
