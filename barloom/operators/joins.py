@@ -76,6 +76,14 @@ def wide(df: DataFrame, x: str, assets: Sequence[str], ts: str = "ts", key: str
     return out.dropna(how="any", subset=list(assets)) if complete else out
 
 
+def outer_panel(df: DataFrame, x: str, assets: Sequence[str], least: int | None = None, limit: int = 3, ts: str = "ts") -> DataFrame:
+    """A column of x per asset for times that `least` of them have (half of them, two at least); gaps of up to `limit` such times are filled from before, other times go."""
+    from barloom.operators.rolling import fill
+
+    d = wide(df, x, assets, ts).dropna(thresh=max(2, len(assets) // 2) if least is None else least, subset=list(assets))
+    return fill(d, list(assets), limit, by=()).dropna(subset=list(assets))
+
+
 def common_period(df: DataFrame, by: By = ASSET, ts: str = "ts") -> DataFrame:
     """Rows from the latest start of any key to the earliest end."""
     ends = df.groupBy(*by).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).agg(F.max("_a").alias("_from"), F.min("_b").alias("_to"))

@@ -130,3 +130,14 @@ def cluster_assets(df: DataFrame, k: int = 3, leader: str | None = None, least:
     default = min(sizes, key=lambda c: (-sizes[c], c), default=0)
     held = df.sparkSession.createDataFrame(sorted(found.items()), "asset STRING, cluster INT")
     return df.select("asset").distinct().join(F.broadcast(held), "asset", "left").withColumn("cluster", F.coalesce("cluster", F.lit(default)))  # MOST_NAMES rows at most
+
+
+def dominant(df: DataFrame, groups: DataFrame, x: str = "volume", key: str = "asset", group: str = "cluster") -> DataFrame:
+    """Per group of assets (key, group): the asset of the largest sum of x, that sum, and its share of the group's.
+
+    Of equal ones the first by name.
+    """
+    sums = df.groupBy(key).agg(F.sum(x).alias("total")).join(groups.select(key, group), key)
+    best = sums.groupBy(group).agg(F.max(F.struct("total")).alias("_t"), F.sum("total").alias("_all"))
+    top = sums.join(best, group).where(F.col("total") == F.col("_t.total"))
+    return top.groupBy(group).agg(F.min(key).alias("dominant"), F.max("total").alias("total"), F.max(F.try_divide("total", "_all")).alias("share"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.sums import summed
 from barloom.operators.panel import cut_tree, merge_tree
 
 
@@ -91,17 +91,18 @@ class Gram:
 
     @staticmethod
     def of(df: DataFrame, columns: Sequence[str], y: str) -> "Gram":
-        """One pass: sums of products of all pairs, a row of numbers however many rows of data."""
+        """Two passes, for means and for products about them: a task sends one matrix, however many rows it has."""
         c = [*columns, y]
         v = df.select(*(F.col(x).cast("double").alias(x) for x in c)).dropna()
-        mean = v.agg(*(F.avg(x).alias(x) for x in c), F.count(F.lit(1)).alias("_n")).first()
-        aggs = [F.sum((F.col(a) - mean[a]) * (F.col(b) - mean[b])).alias(f"{i}_{j}") for i, a in enumerate(c) for j, b in enumerate(c[: i + 1])]
-        s = v.agg(*aggs).first()
-        n, m = mean["_n"], np.zeros((len(c), len(c)))
-        for i in range(len(c)):
-            for j in range(i + 1):
-                m[i, j] = m[j, i] = (s[f"{i}_{j}"] or 0.0) / max(n - 1, 1)
-        return Gram(list(c), n, [mean[x] for x in c], m.tolist())
+        sums = summed(v, c, lambda x: np.append([len(x[y])], [x[k].sum() for k in c]), len(c) + 1)
+        n, mean = int(sums[0]), sums[1:] / max(sums[0], 1)
+
+        def products(x: dict[str, np.ndarray]) -> np.ndarray:
+            d = np.stack([x[k] for k in c], axis=1) - mean
+            return d.T @ d
+
+        m = summed(v, c, products, len(c) ** 2).reshape(len(c), len(c)) / max(n - 1, 1)
+        return Gram(c, n, mean.tolist(), ((m + m.T) / 2).tolist())
 
     def r2(self, use: Sequence[int], ridge: float = 1e-6) -> float:
         """Share of the target's variance that a ridge regression on these columns explains."""
@@ -161,11 +162,21 @@ class Latents:
     axes: list[list[list[float]]]
     selected: list[str] = field(default_factory=list)
     rank: dict[str, float] = field(default_factory=dict)
+    talk: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, mode: str = "full_latents") -> DataFrame:
-        """df with columns tf_cluster{c}_pc{k} as plain sums of its columns (mode "selected": only those selected)."""
+        """df with columns tf_cluster{c}_pc{k} as plain sums of its columns (mode "selected": only those selected).
+
+        Where clusters have been residualised, the sums are of residuals, which come along as tt_{column}.
+        """
         out: dict[str, Column] = {}
+        if self.talk:
+            df = Talk(**self.talk).transform(df)
+            own = {x: f"tt_{x}" for x in self.talk["columns"]}
+        else:
+            own = {}
         for c, (g, m, s, axes) in enumerate(zip(self.groups, self.mean, self.scale, self.axes, strict=True)):
+            g = [own.get(x, x) for x in g]
             for k, axis in enumerate(axes):
                 out[f"tf_cluster{c}_pc{k}"] = sum(((F.coalesce(F.col(x), F.lit(a)) - a) / b * w for x, a, b, w in zip(g, m, s, axis, strict=True)), F.lit(0.0))
         if mode == "selected":
@@ -178,17 +189,177 @@ class Latents:
         self.selected = sorted(score, key=lambda k: (-score[k], k))[:keep]
         return self.selected
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(asdict(self)))
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row of JSON in a table, on whatever storage the path is."""
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "model STRING").coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
-    def load(path: str) -> "Latents":
-        return Latents(**json.loads(Path(path).read_text()))
+    def load(spark: SparkSession, path: str) -> "Latents":
+        return Latents(**json.loads(spark.read.parquet(path).first()[0]))
+
+
+@dataclass
+class Talk:
+    """What clusters say of each other, taken out: residuals as sums of the columns' distances from their means."""
+
+    columns: list[str]
+    mean: list[float]
+    weights: list[list[float]]
+    steps: list[list] = field(default_factory=list)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with tt_{column}: the residual of each column; nulls count as the mean."""
+        away = [F.coalesce(F.col(x), F.lit(m)) - m for x, m in zip(self.columns, self.mean, strict=True)]
+        return df.withColumns({f"tt_{x}": sum((w * a for w, a in zip(row, away, strict=True) if w), F.lit(m)) for x, m, row in zip(self.columns, self.mean, self.weights, strict=True)})
+
+
+def likeness(cov: np.ndarray, a: Sequence[int], b: Sequence[int]) -> float:
+    """Mean |correlation| between two sets of columns."""
+    s = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    return float(np.abs(cov[np.ix_(a, b)] / np.outer(s[a], s[b])).mean())
+
+
+def tensor_talk(gram: Gram, groups: dict[str, int], alphas: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), pairs: int = 2, weight: float = 0.5, fixed: Sequence[tuple[int, int, float]] | None = None) -> tuple[Talk, Gram]:
+    """Clusters residualised one after another, and the moments of the residuals.
+
+    Each cluster speaks to the `pairs` others most like it. What a regression on the one explains of the other is taken out
+    times alpha, whichever leaves the least likeness plus weight times what is lost of the likeness with the target; 0 takes
+    out nothing. Pairs come in order of falling likeness. fixed: (source, target, alpha) in place of that choice. A step
+    is a linear map of the columns, so regressions, likeness and the next step's moments all follow from one matrix of
+    moments; data are read once, for that.
+    """
+    cov, names = np.array(gram.cov), sorted(set(groups.values()))
+    at = {c: [i for i, x in enumerate(gram.columns[:-1]) if groups.get(x) == c] for c in names}
+    p, steps = len(cov), []
+    whole = np.eye(p)
+
+    def mapped(source: int, target: int, alpha: float) -> np.ndarray:
+        i, j = at[source], at[target]
+        t = np.eye(p)
+        t[np.ix_(j, i)] = -alpha * np.linalg.lstsq(cov[np.ix_(i, i)], cov[np.ix_(i, j)], rcond=1e-10)[0].T
+        return t
+
+    if fixed is None:
+        said = {(a, b) for a in names for b in sorted((b for b in names if b != a), key=lambda b: (-likeness(cov, at[a], at[b]), b))[:pairs]}
+        order = [(a, b, None) for a, b in sorted(said, key=lambda ab: (-likeness(cov, at[ab[0]], at[ab[1]]), ab))]
+    else:
+        order = [*fixed]
+    for source, target, alpha in order:
+        if alpha is None:
+            base, tried = likeness(cov, at[target], [p - 1]), []
+            for a in alphas:
+                t = mapped(source, target, a)
+                m = t @ cov @ t.T
+                tried.append((likeness(m, at[source], at[target]) + weight * max(0.0, base - likeness(m, at[target], [p - 1])), a))
+            alpha = min(tried)[1]
+        if alpha:
+            t = mapped(source, target, alpha)
+            cov, whole = t @ cov @ t.T, t @ whole
+            steps.append([source, target, float(alpha)])
+    talk = Talk(gram.columns[:-1], gram.mean[:-1], whole[:-1, :-1].tolist(), steps)
+    return talk, Gram(gram.columns, gram.n, gram.mean, cov.tolist())
+
+
+@dataclass
+class Logit:
+    """A logistic model of some columns: weights (the last is of 1), the logarithm of its likelihood, the rows it was fitted on."""
+
+    columns: list[str]
+    weights: np.ndarray
+    log: float
+    n: int
+
+
+def logit(df: DataFrame, columns: Sequence[str], y: str, start: np.ndarray | None = None, rounds: int = 25, ridge: float = 1e-6) -> Logit:
+    """Fitted by Newton's method: a round is a pass that returns a gradient and a Hessian, until the likelihood stands still.
+
+    A ridge keeps separable data finite; rows with nulls are left out. start: weights to begin with.
+    """
+    c = list(columns)
+    d = len(c) + 1
+    rows = df.select(*(F.col(x).cast("double").alias(x) for x in (*c, y))).dropna()
+    b = np.zeros(d) if start is None else np.array(start, float)
+
+    def sums(b: np.ndarray) -> tuple[float, int, np.ndarray, np.ndarray]:
+        def add(v: dict[str, np.ndarray]) -> np.ndarray:
+            x, t = np.column_stack([*(v[k] for k in c), np.ones(len(v[y]))]), v[y]
+            z = x @ b
+            q = 1 / (1 + np.exp(-z))
+            return np.concatenate([[(t * z - np.logaddexp(0, z)).sum(), len(t)], x.T @ (t - q), (x.T @ (x * (q * (1 - q))[:, None])).ravel()])
+
+        s = summed(rows, [*c, y], add, 2 + d + d * d)
+        return s[0] - ridge / 2 * b @ b, int(s[1]), s[2 : 2 + d] - ridge * b, s[2 + d :].reshape(d, d) + ridge * np.eye(d)
+
+    log, n, gradient, hessian = sums(b)
+    for _ in range(rounds):
+        step = np.linalg.solve(hessian, gradient)
+        while True:  # shorter, if the likelihood would fall
+            more = sums(b + step)
+            if more[0] >= log - 1e-9 * abs(log) or np.abs(step).max() < 1e-9:
+                break
+            step = step / 2
+        b, gain = b + step, more[0] - log
+        log, n, gradient, hessian = more
+        if gain < 1e-9 * abs(log):
+            break
+    return Logit(c, b, log, n)
 
 
-def latents(gram: Gram, groups: dict[str, int], per_cluster: int = 2, keep: int = 8, weight: float = 0.5) -> Latents:
+def score_tests(df: DataFrame, model: Logit, columns: Sequence[str], y: str) -> dict[str, float]:
+    """Column -> the score statistic of adding it to the model: about twice what the likelihood's logarithm would gain.
+
+    All columns in one pass; a task sends sums of each column with the residual, with itself and with the model's columns.
+    Columns are taken about their means, so rows with nulls in them count as average there.
+    """
+    c, m, d = list(columns), len(columns), len(model.columns) + 1
+    own = list(model.columns)
+    rows = df.select(*(F.col(x).cast("double").alias(x) for x in dict.fromkeys((*own, y, *c)))).dropna(subset=[*own, y])
+    b = model.weights
+
+    def add(v: dict[str, np.ndarray]) -> np.ndarray:
+        x, t = np.column_stack([*(v[k] for k in own), np.ones(len(v[y]))]), v[y]
+        q = 1 / (1 + np.exp(-(x @ b)))
+        w = q * (1 - q)
+        z = np.column_stack([v[k] for k in c])
+        z = np.where(np.isnan(z), mean, z) - mean
+        return np.concatenate([z.T @ (t - q), (z * z * w[:, None]).sum(axis=0), (z.T @ (x * w[:, None])).ravel(), (x.T @ (x * w[:, None])).ravel()])
+
+    stats = rows.agg(*(F.avg(F.nanvl(x, F.lit(None))).alias(f"m{k}") for k, x in enumerate(c))).first()
+    mean = np.array([stats[k] or 0.0 for k in range(m)])
+    s = summed(rows, [*dict.fromkeys((*own, y, *c))], add, 2 * m + m * d + d * d)
+    u, zz, zx, xx = s[:m], s[m : 2 * m], s[2 * m : 2 * m + m * d].reshape(m, d), s[2 * m + m * d :].reshape(d, d)
+    left = zz - np.einsum("id,id->i", zx, np.linalg.lstsq(xx, zx.T, rcond=1e-12)[0].T)
+    return dict(zip(c, np.where(left > 1e-9 * np.maximum(zz, 1e-12), u * u / np.maximum(left, 1e-12), 0.0).tolist(), strict=True))
+
+
+def greedy_classifier(df: DataFrame, columns: Sequence[str], y: str, gain: float = 3.84, least: int = 0, most: int = 80) -> list[tuple[str, float]]:
+    """Columns taken one after another for a logistic model of y (0 or 1), with what each adds to twice the likelihood's logarithm.
+
+    Each step tests all columns that are left in one pass, takes the best and fits the model again from where it was. It
+    ends where the best adds less than `gain` (`least` are taken anyway). Rows with nulls in y, or in columns taken, are
+    left out from then on.
+    """
+    rows = df.where(F.col(y).isNotNull())
+    rest, model, out = list(columns), logit(rows, [], y), []
+    while rest and len(out) < most:
+        tests = score_tests(rows, model, rest, y)
+        best = max(rest, key=lambda c: (tests[c], -rest.index(c)))
+        if tests[best] < gain and len(out) >= least:
+            break
+        kept = rows.where(F.col(best).isNotNull())
+        lost = kept.dropna(subset=[*model.columns]).count() < model.n if model.columns else kept.count() < model.n
+        if lost:
+            rows, model = kept, logit(kept, model.columns, y, model.weights)
+        new = logit(rows, [*model.columns, best], y, np.append(np.append(model.weights[:-1], 0.0), model.weights[-1]))
+        out.append((best, float(2 * (new.log - model.log))))
+        rest.remove(best)
+        model = new
+    return out
+
+
+def latents(gram: Gram, groups: dict[str, int], per_cluster: int = 2, keep: int = 8, weight: float = 0.5, talk: Talk | None = None) -> Latents:
     """Components of each cluster's correlation matrix. Their rank is (1 - weight) x share of variance + weight x
-    |correlation with the target|, each as a share of the largest; select() can weigh it by a stability."""
+    |correlation with the target|, each as a share of the largest; select() can weigh it by a stability. talk: gram is of its residuals."""
     cov, at = np.array(gram.cov), {c: i for i, c in enumerate(gram.columns)}
     out, share, tie = Latents([], [], [], []), {}, {}
     for c in sorted(set(groups.values())):
@@ -211,6 +382,7 @@ def latents(gram: Gram, groups: dict[str, int], per_cluster: int = 2, keep: int
     most = [max([*d.values(), 1e-12]) for d in (share, tie)]
     out.rank = {k: (1 - weight) * share[k] / most[0] + weight * tie[k] / most[1] for k in share}
     out.select(keep)
+    out.talk = asdict(talk) if talk else {}
     return out
 
 
@@ -312,3 +484,11 @@ def tune_dimension(df: DataFrame, columns: Sequence[str], y: str, base: int, tp:
             trades, wins = r[f"n{d}"], r[f"w{d}"]
             score[d] += (wins * tp - (trades - wins) * sl) / trades * trades**0.5 if trades >= 5 else -1.0
     return max(tried, key=lambda d: (score[d], -d))
+
+
+def by_category(importance: DataFrame, rules: Sequence[tuple[str, str]], other: str = "Other") -> DataFrame:
+    """category, importance, share, features of a table (feature, importance). rules: (pattern, category), of which the first whose pattern a name has counts."""
+    kind = F.coalesce(*(F.when(F.col("feature").rlike(p), c) for p, c in rules), F.lit(other))
+    sums = importance.groupBy(kind.alias("category")).agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("features"))
+    whole = sums.agg(F.sum("importance").alias("_all"))
+    return sums.join(F.broadcast(whole)).select("category", "importance", F.try_divide("importance", "_all").alias("share"), "features")  # one row

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import chunked
-from barloom.operators import ensemble, labels, neighbours, panel, regimes, rolling, selection
+from barloom.functions.storage import written
+from barloom.functions.windows import chunked, ratio
+from barloom.operators import batches, ensemble, graph, joins, labels, neighbours, panel, profiler, regimes, rolling, selection, temporal
 from barloom.operators.indicators import rsi, sma
 from barloom.plans.base import BARS, KEY, Book, lag, pick, roll, scratch, steps
 from barloom.plans.features import RSI, ema_sql
@@ -327,3 +328,120 @@ def live_decisions(spark, sf_dir):
     sink = scratch(spark)
     live.run(state.decisions(frames), sink, scratch(spark), score=live.named).awaitTermination()
     return live.plain_time(spark.read.parquet(sink)).drop("batch")
+
+
+# Clusters that are residualised, models that choose features, networks ---------------------------------------------------
+
+_TALK = f"""WITH {BARS}, a AS (SELECT *, avg(open) OVER () AS mo, avg(close) OVER () AS mc, avg(volume) OVER () AS mv FROM bars), s1 AS (SELECT covar_samp(close, open) / var_samp(open) AS k FROM bars),
+b AS (SELECT *, close - 0.5::DOUBLE * k * (open - mo) AS tc FROM a, s1), s2 AS (SELECT covar_samp(volume, tc) / var_samp(tc) AS j FROM b)
+SELECT asset, ts, round(open, 6) AS tt_open, round(tc, 6) AS tt_close, round(volume - j * (tc - mc), 6) AS tt_volume FROM b, s2"""
+
+
+@q.on_bars("tt_open tt_close tt_volume", _TALK)
+def tensor_talk(b):
+    """Half of what opens say of closes is taken out of closes, and then all that the rest says of volumes out of volumes."""
+    gram = selection.Gram.of(b, ["open", "close", "volume"], "high")
+    return selection.tensor_talk(gram, {"open": 0, "close": 1, "volume": 2}, fixed=[(0, 1, 0.5), (1, 2, 1.0)])[0].transform(b)
+
+
+@q()
+def talking_latents(spark, sf_dir):
+    """Components of clusters that no longer repeat each other."""
+    d = _learning(spark, sf_dir)
+    own = selection.clusters(d.where("train"), FEATURES, 0.8, linkage="average")
+    talk, gram = selection.tensor_talk(selection.Gram.of(d.where("train"), FEATURES, "y"), own)
+    out = selection.latents(gram, own, talk=talk).transform(d)
+    return out.select("asset", "ts", *(c for c in out.columns if c.startswith(("tf_", "tt_"))))
+
+
+@q()
+def classifier_selection(spark, sf_dir):
+    """Features in the order in which a logistic model of the label takes them, with what each adds to it."""
+    taken = selection.greedy_classifier(_learning(spark, sf_dir).where("train"), FEATURES, "y", least=2)
+    return spark.createDataFrame([(k, f, g) for k, (f, g) in enumerate(taken)], "step INT, feature STRING, gain DOUBLE")
+
+
+_SETS = "('click', 'view', 'purchase')"
+
+
+@q(f"""WITH {BARS}, w AS (SELECT ts, max(close) FILTER (asset = 'click') AS a, max(close) FILTER (asset = 'view') AS b, max(close) FILTER (asset = 'purchase') AS c FROM bars WHERE asset IN {_SETS} GROUP BY ts HAVING count(DISTINCT asset) = 3),
+l AS (SELECT ts, list([a, b, c]) OVER (ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS s FROM w), o AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || strftime(ts, '%Y-%m-%d %H:%M:%S'))) - 1 AS n, count(*) OVER () AS total FROM l WHERE len(s) = 8)
+SELECT ts, n // 32 AS batch, (n % 32)::INT AS place, round(s[1][1], 6) AS first, round(s[8][3], 6) AS last FROM o WHERE n < total - total % 32""")
+def intersection_batches(spark, sf_dir):
+    """Windows of eight times that three assets have in common, as shuffled batches of 32."""
+    d = batches.intersection_windows(event_bars(spark, sf_dir), "close", ["click", "view", "purchase"], 8, every="30 days")
+    d = batches.shuffled_batches(d, ["ts"], 32).select("ts", "batch", "place", F.col("sequence")[0][0].alias("first"), F.col("sequence")[7][2].alias("last"))
+    return pick(d, "batch place first last", "ts")
+
+
+@q()
+def temporal_cnn(spark, sf_dir):
+    """Probabilities of a rise from the last 16 rows of features, by a network trained on the training rows."""
+    d = ensemble.windows_of(_learning(spark, sf_dir).drop("features"), FEATURES, 16)
+    model = temporal.fit(d.where("train"), ["asset", "ts"], rounds=10)
+    return model(d).select("asset", "ts", "train", "y", "p_temporal")
+
+
+@q()
+def graph_expert(spark, sf_dir):
+    """Probabilities of a rise of each asset from the features of all assets of its time, and whom it looks at."""
+    d = _learning(spark, sf_dir).drop("features")
+    model = graph.fit(d.where("train"), ["click", "error", "purchase", "signup", "view"], FEATURES, rounds=10)
+    return model(d)
+
+
+# Profiles, panels with gaps, dominant assets, categories ------------------------------------------------------------------
+
+_MEASURED = "volume / 9 AS hurst, (close - low) / nullif(high - low, 0) / 5 AS theta, volume / 2 AS entropy, open / nullif(high, 0) AS fracdiff_corr, abs(close - open) AS vol_of_vol"
+_PROFILED = f"WITH {BARS}, x AS (SELECT asset, ts, {_MEASURED} FROM bars), l AS (UNPIVOT x ON hurst, theta, entropy, fracdiff_corr, vol_of_vol INTO NAME metric VALUE v), p AS (SELECT asset, metric, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, median(v) AS median FROM l GROUP BY 1, 2)"
+
+
+def _measured(b):
+    return b.select(
+        "asset", "ts", (F.col("volume") / 9).alias("hurst"), (ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low")) / 5).alias("theta"), (F.col("volume") / 2).alias("entropy"),
+        ratio("open", "high").alias("fracdiff_corr"), F.abs(F.col("close") - F.col("open")).alias("vol_of_vol"),
+    )
+
+
+@q.on_bars("mean median verdict", f"""{_PROFILED} SELECT asset, metric, round(mean, 6) AS mean, round(median, 6) AS median, CASE metric WHEN 'hurst' THEN CASE WHEN mean > 0.55 THEN 'TRENDING' WHEN mean < 0.45 THEN 'MEAN-REVERTING' ELSE 'RANDOM WALK' END
+WHEN 'theta' THEN CASE WHEN mean > 0.1 THEN 'ELASTIC' WHEN mean > 0.01 THEN 'MODERATE' ELSE 'WEAK REVERSION' END WHEN 'entropy' THEN CASE WHEN mean > 2.5 THEN 'HIGH NOISE' WHEN mean > 1.5 THEN 'MODERATE NOISE' ELSE 'LOW NOISE' END
+WHEN 'fracdiff_corr' THEN CASE WHEN mean > 0.7 THEN 'STRONG MEMORY' WHEN mean > 0.3 THEN 'MODERATE MEMORY' ELSE 'WEAK MEMORY' END ELSE CASE WHEN mean > 0 AND std / mean > 1 THEN 'EXPLOSIVE' ELSE 'STABLE' END END AS verdict FROM p""", key="asset, metric")
+def profile_verdicts(b):
+    """Verdicts on distributions; what the metrics are is tested elsewhere, here they are plain columns."""
+    return profiler.diagnose(profiler.summary(_measured(b)))
+
+
+@q.on_bars("mean_a mean_b difference percent", f"{_PROFILED} SELECT a.metric, a.asset AS asset_a, b.asset AS asset_b, round(a.mean, 6) AS mean_a, round(b.mean, 6) AS mean_b, round(a.mean - b.mean, 6) AS difference, round(100 * (a.mean - b.mean) / nullif(b.mean, 0), 6) AS percent FROM p a JOIN p b ON a.metric = b.metric AND a.asset < b.asset", key="metric, asset_a, asset_b")
+def profile_pairs(b):
+    return profiler.compare_all(profiler.summary(_measured(b)))
+
+
+@q()
+def physics_profile(spark, sf_dir):
+    """Five rolling metrics of each asset's hourly bars, their distributions and verdicts."""
+    return profiler.diagnose(profiler.summary(written(profiler.metrics(written(event_bars(spark, sf_dir))))))
+
+
+_FIVE = ["click", "error", "purchase", "signup", "view"]
+
+
+@q.on_bars(" ".join(_FIVE), f"""WITH {BARS}, w AS (SELECT ts, {', '.join(f"max(close) FILTER (asset = '{a}') AS {a}" for a in _FIVE)}, count(DISTINCT asset) AS n FROM bars GROUP BY ts),
+f AS (SELECT ts, {', '.join(f'last_value({a} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS {a}' for a in _FIVE)} FROM w WHERE n >= 2)
+SELECT ts, {', '.join(f'round({a}, 6) AS {a}' for a in _FIVE)} FROM f WHERE {' AND '.join(f'{a} IS NOT NULL' for a in _FIVE)}""", key="ts")
+def panel_with_gaps(b):
+    return joins.outer_panel(b, "close", _FIVE)
+
+
+@q.on_bars("dominant total share", f"WITH {BARS}, s AS (SELECT CASE WHEN asset < 'e' THEN 0 ELSE 1 END AS cluster, asset, sum(volume) AS total FROM bars GROUP BY asset) SELECT cluster, first(asset ORDER BY total DESC, asset) AS dominant, round(max(total), 6) AS total, round(max(total) / sum(total), 6) AS share FROM s GROUP BY cluster", key="cluster")
+def dominant_assets(b):
+    groups = b.select("asset", F.when(F.col("asset") < "e", 0).otherwise(1).alias("cluster")).distinct()
+    return panel.dominant(b, groups)
+
+
+@q.on_bars("importance share features", f"WITH {BARS}, i AS (UNPIVOT (SELECT abs(corr(open, close)) AS open, abs(corr(high, close)) AS high, abs(corr(low, close)) AS low, abs(corr(volume, close)) AS volume FROM bars) ON COLUMNS(*) INTO NAME feature VALUE v), c AS (SELECT CASE WHEN feature LIKE '%vol%' THEN 'Volume' WHEN feature IN ('open', 'high') THEN 'Price' ELSE 'Other' END AS category, sum(v) AS importance, count(*) AS features FROM i GROUP BY 1) SELECT category, round(importance, 6) AS importance, round(importance / sum(importance) OVER (), 6) AS share, features FROM c", key="category")
+def category_importance(b):
+    """What correlations with the close come to, by kind of feature."""
+    names = ["open", "high", "low", "volume"]
+    tie = lambda c: F.abs(F.try_divide(F.covar_pop(c, "close"), F.stddev_pop(c) * F.stddev_pop("close")))
+    long = b.agg(*(tie(c).alias(c) for c in names)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in names))).alias("x")).select("x.*")
+    return selection.by_category(long, [("vol", "Volume"), ("^(open|high)$", "Price")])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import quantiles, windows
 from barloom.functions.windows import Roll, chunked, ema, running_sum
-from barloom.operators import accounts, ensemble, factory, joins, labels, metrics, neighbours, panel, physics, regimes, rolling, selection, trading
+from barloom.operators import accounts, ensemble, factory, joins, labels, metrics, neighbours, panel, physics, profiler, regimes, rolling, selection, trading
 from barloom.operators import indicators as I
 from barloom.sources import bars as B
 from barloom.sources import quality
@@ -175,8 +175,8 @@ def test_latents(spark, tmp_path):
     assert len(set(groups.values())) == 4 and all(len({groups[f"c{b}_{k}"] for k in range(3)}) == 1 for b in range(3))
     gram = selection.Gram.of(df, names, "y")
     model = selection.latents(gram, groups)
-    model.save(str(tmp_path / "m.json"))
-    d = selection.Latents.load(str(tmp_path / "m.json")).transform(df).toPandas()
+    model.save(spark, str(tmp_path / "m"))
+    d = selection.Latents.load(spark, str(tmp_path / "m")).transform(df).toPandas()
     assert abs(np.corrcoef(d["tf_cluster0_pc0"], base[0])[0, 1]) > 0.99 and model.selected
     assert set(selection.greedy(gram, least=1)) & {"c0_0", "c0_1", "c0_2"} and len(selection.correlated(df, names, "y")) == 4 and len(selection.leaders(df, names)) == 4
     assert selection.intrinsic_dimension(np.array(gram.cov)[:-1, :-1], gram.n)["marchenko_pastur"] == 3
@@ -477,3 +477,19 @@ def test_quantiles_of_any_size(spark, sharp, monkeypatch):
     assert len(got) == 12 and got["e", "x"].n == 0 and got["e", "x"]["values"] == [None] * 7 and got["e", "y"]["values"] == [1.0] * 7
     for k, vs in own.items():
         assert got[k, "x"].n == len(vs) and np.allclose(got[k, "x"]["values"], np.quantile(vs, shares), rtol=1e-12)
+
+
+def test_profile_metrics_are_the_single_operators(spark, walk):
+    """One pass in chunks gives what the operators give one by one; verdicts cover every metric."""
+    m = profiler.metrics(walk, hurst=30, theta=40, entropy=25, fracdiff=20, vol=8, d=0.4).orderBy("asset", "ts").toPandas()
+    d = rolling.returns(walk)
+    one = rolling.hurst(d, 30, name="hurst").orderBy("asset", "ts").toPandas()
+    two = rolling.stability(d, window=40, span=40, current=False).orderBy("asset", "ts").toPandas()
+    three = rolling.entropy(d, 25, "pct_ret").orderBy("asset", "ts").toPandas()
+    four = rolling.vol_of_vol(d, "pct_ret", 8).orderBy("asset", "ts").toPandas()
+    five = physics.frac_diff(walk, 0.4, cut=1e-3, name="fd").orderBy("asset", "ts").toPandas()
+    tie = pd.concat([g.close.rolling(20).corr(g.fd) for _, g in five.groupby("asset")])
+    for got, want in ((m.hurst, one.hurst), (m.theta, two.theta), (m.entropy, three.entropy_25), (m.vol_of_vol, four.vol_of_vol), (m.fracdiff_corr, tie)):
+        np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-6, atol=1e-9)
+    said = profiler.diagnose(profiler.summary(spark.createDataFrame(m))).collect()
+    assert len(said) == 15 and all(r.verdict for r in said)
