@@ -10,9 +10,10 @@ lines they lose once, at the end.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,16 +82,19 @@ def blocks(pairs: list[tuple[int, int]], words: list[int], least: int) -> list[i
 
 def runs(words: list[int], usable: list[bool], least: int) -> set[tuple[int, int]]:
     """Shortest runs (first and last place) of usable lines with at least so many words, from and up to each line."""
-    out = set()
-    for step in (1, -1):
-        for k in range(len(words)):
-            end, total = k, 0
-            while 0 <= end < len(words) and usable[end]:
-                total += words[end]
-                if total >= least:
-                    out.add((min(k, end), max(k, end)))
-                    break
-                end += step
+    n, sums = len(words), [0, *accumulate(words)]
+    after, before, out = [n] * (n + 1), [-1] * (n + 1), set()  # the next and the last place that isn't usable
+    for k in range(n - 1, -1, -1):
+        after[k] = after[k + 1] if usable[k] else k
+    for k in range(n):
+        before[k] = before[k - 1] if usable[k] else k
+    for k in range(n):
+        end = max(k, bisect_left(sums, sums[k] + least) - 1)
+        if end < after[k]:
+            out.add((k, end))
+        begin = min(k, bisect_right(sums, sums[k + 1] - least) - 1)
+        if begin > before[k]:
+            out.add((begin, k))
     return out
 
 
