@@ -105,11 +105,28 @@ def oracle_target(df: DataFrame, experts: Sequence[str], y: str = "y", limit: fl
     return d.withColumn("oracle", F.when(F.col("oracle_loss") > limit, len(experts) - 1 if fallback is None else fallback).otherwise(best)).drop("_l")
 
 
-def gate(train: DataFrame, columns: Sequence[str], k: int, target: str = "oracle", seed: int = 42):
-    """A small network from physics columns to a weight per expert. Returns rows -> rows with gate (array of k)."""
+@dataclass
+class Gate:
+    """A fitted network from physics columns to a weight per expert: rows -> rows with gate (an array of them); saved and loaded."""
+
+    model: PipelineModel
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).withColumn("gate", floor_weights(vector_to_array("_gp"))).drop("_g", "_gp", "_gr", "_gx")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @staticmethod
+    def load(path: str) -> "Gate":
+        return Gate(PipelineModel.load(path))
+
+
+def gate(train: DataFrame, columns: Sequence[str], k: int, target: str = "oracle", seed: int = 42) -> Gate:
+    """A small network from physics columns to a weight per expert."""
     a = VectorAssembler(inputCols=list(columns), outputCol="_g", handleInvalid="keep")
-    model = MultilayerPerceptronClassifier(labelCol=target, featuresCol="_g", layers=[len(columns), 8, k], maxIter=40, seed=seed, probabilityCol="_gp", rawPredictionCol="_gr", predictionCol="_gx").fit(a.transform(train.dropna(subset=list(columns))))
-    return lambda d: model.transform(a.transform(d)).withColumn("gate", floor_weights(vector_to_array("_gp"))).drop("_g", "_gp", "_gr", "_gx")
+    net = MultilayerPerceptronClassifier(labelCol=target, featuresCol="_g", layers=[len(columns), 8, k], maxIter=40, seed=seed, probabilityCol="_gp", rawPredictionCol="_gr", predictionCol="_gx")
+    return Gate(Pipeline(stages=[a, net]).fit(train.dropna(subset=list(columns))))
 
 
 def floor_weights(w: Column, least: float = 1e-6) -> Column:

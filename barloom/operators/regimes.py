@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from barloom.shipping import ship
 
 #: Rows of a history in one piece, and rows in one of the blocks of a piece that are worked on side by side.
 PIECE, BLOCK = 2048, 64
+MODEL = "start ARRAY<DOUBLE>, move ARRAY<ARRAY<DOUBLE>>, mean ARRAY<ARRAY<DOUBLE>>, var ARRAY<ARRAY<DOUBLE>>"
 
 
 def _blocks(steps: np.ndarray, nothing: np.ndarray) -> np.ndarray:
@@ -78,6 +79,14 @@ class Hmm:
     mean: np.ndarray
     var: np.ndarray
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row of four arrays."""
+        spark.createDataFrame([(self.start.tolist(), self.move.tolist(), self.mean.tolist(), self.var.tolist())], MODEL).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Hmm":
+        return Hmm(*map(np.array, spark.read.schema(MODEL).parquet(path).first()))
+
     def emission(self, x: np.ndarray) -> np.ndarray:
         """log density of each row in each state."""
         d = x[:, None, :] - self.mean[None]

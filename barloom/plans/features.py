@@ -402,13 +402,45 @@ def dashboard_features(b):
     return dashboard(b)
 
 
-@q()
-def feature_factory(spark, sf_dir):
-    from barloom.operators.factory import signals
-    from barloom.sources.bars import event_bars
+def _factory() -> tuple[list[str], str]:
+    """The factory's features, and all of it in SQL: a step for what each step needs, every feature's lags, rows without gaps."""
+    from barloom.operators.factory import STATS, WINDOWS
+
+    frame = f"OVER ({KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    mean = lambda x, span: f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) {frame}, lambda s, v: s * {1 - 2 / (span + 1)!r}::DOUBLE + v * {2 / (span + 1)!r}::DOUBLE)"
+    over = {}
+    for n in WINDOWS:
+        m, hh, ll = roll("avg", "close", n), roll("max", "high", n), roll("min", "low", n)
+        over |= {
+            f"rsi_{n}": f"100 - 100 / (1 + {roll('avg', 'gain', n)} / ({roll('avg', 'loss', n)} + {E}))", f"dist_sma_{n}": f"(close - {m}) / nullif({m}, 0)", f"atr_{n}": roll("avg", "tr", n),
+            f"natr_{n}": f"100 * {roll('avg', 'tr', n)} / nullif(close, 0)", f"roc_{n}": f"100 * (close - {lag('close', n)}) / nullif({lag('close', n)}, 0)", f"willr_{n}": f"-100 * ({hh} - close) / ({hh} - {ll} + {E})",
+            f"bb_width_{n}": f"4 * {roll('stddev_samp', 'close', n)} / nullif({m}, 0)", f"dc_width_{n}": f"({hh} - {ll}) / nullif(close, 0)", f"volume_ratio_{n}": f"volume / nullif({roll('avg', 'volume', n)}, 0)",
+        }
+    for n in STATS:
+        over |= {f"vol_{n}": roll("stddev_samp", "log_ret", n), f"z_{n}": f"(close - {roll('avg', 'close', n)}) / nullif({roll('stddev_samp', 'close', n)}, 0)"}
+    over["ao"] = f"{roll('avg', 'mid', 5)} - {roll('avg', 'mid', 34)}"
+    parts = (
+        f"{lag('close')} AS p, row_number() OVER ({KEY}) AS nth, high - low + 1e-9 AS spread, (high + low) / 2 AS mid", TR,
+        "CASE WHEN close > 0 AND p > 0 THEN ln(close / p) END AS log_ret, (close - p) / nullif(p, 0) AS pct_ret, close - p AS diff, CASE WHEN high > 0 AND low > 0 THEN ln(high / low) END AS log_range, coalesce(greatest(close - p, 0), 0) AS gain, coalesce(greatest(p - close, 0), 0) AS loss",
+        "abs(close - open) / spread AS body_ratio, (high - greatest(open, close)) / spread AS upper_shadow, (least(open, close) - low) / spread AS lower_shadow",
+        ", ".join(f"{e} AS {n}" for n, e in over.items()), *stability_sql(48, 168), ", ".join(f"abs(close - {lag('close', k)}) AS d{k}" for k in range(1, 9)), _fdi_m,
+        f"2 - ({_fdi}) / {sum((v - _mid) ** 2 for v in _lg)!r}::DOUBLE AS fdi_100, {mean('close', 12)} AS quick, {mean('close', 26)} AS slow", "quick - slow AS macd", f"{mean('macd', 9)} AS macd_signal", "macd - macd_signal AS macd_hist",
+    )
+    own = ["log_ret", "pct_ret", "diff", "log_range", "body_ratio", "upper_shadow", "lower_shadow", *over, "acf", "theta", "z_acf", "z_theta", "fdi_100", "macd", "macd_signal", "macd_hist"]
+    lags = [f"{c}_lag_{k}" for c in own for k in (1, 2, 3, 5, 8, 13)]
+    parts = (*parts, ", ".join(f"{lag(c, k)} AS {c}_lag_{k}" for c in own for k in (1, 2, 3, 5, 8, 13)))
+    names = ["open", "high", "low", "close", "volume", *own, *lags]
+    return [*names, "warning"], steps(*parts, out="; ".join(["=warning", *names]), where="nth > 200 AND " + " AND ".join(f"{c} IS NOT NULL" for c in names), digits=3)
 
-    return signals(event_bars(spark, sf_dir))
 
+FACTORY, FACTORY_SQL = _factory()
+
+
+@q.on_bars(" ".join(FACTORY), FACTORY_SQL, digits=3)
+def feature_factory(b):
+    from barloom.operators.factory import signals
+
+    return signals(b)
 
 
 @q.on_bars("volume", steps("CASE WHEN volume <> 2 THEN volume END AS v", out="coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), quantile_cont(v, 0.5) OVER (PARTITION BY asset)) AS volume"))

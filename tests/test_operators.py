@@ -493,3 +493,17 @@ def test_profile_metrics_are_the_single_operators(spark, walk):
         np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-6, atol=1e-9)
     said = profiler.diagnose(profiler.summary(spark.createDataFrame(m))).collect()
     assert len(said) == 15 and all(r.verdict for r in said)
+
+
+def test_gates_and_regimes_are_saved(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(300)
+    df = spark.createDataFrame(pd.DataFrame({"k": range(300), "vol": x, "range": rng.standard_normal(300), "oracle": (x > 0).astype(float)}))
+    gate = ensemble.gate(df, ["vol", "range"], 2)
+    gate.save(str(tmp_path / "gate"))
+    a, b = (g(df).orderBy("k").collect() for g in (gate, ensemble.Gate.load(str(tmp_path / "gate"))))
+    assert a == b and all(math.isclose(sum(r.gate), 1) for r in a) and np.mean([(r.gate[1] > 0.5) == (r.oracle == 1) for r in a]) > 0.95
+    model = regimes.Hmm(np.array([0.4, 0.6]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.1], [-0.1]]), np.array([[1.0], [2.0]]))
+    model.save(spark, str(tmp_path / "hmm"))
+    again = regimes.Hmm.load(spark, str(tmp_path / "hmm"))
+    assert all(np.array_equal(getattr(model, f), getattr(again, f)) for f in ("start", "move", "mean", "var"))
