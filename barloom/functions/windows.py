@@ -161,22 +161,22 @@ def _ema(df: DataFrame, spans: dict[str, tuple[str, int]], by: Sequence[str], ts
         own = {name: q for name, q in own.items() if q}
         if not own:
             continue
-        held = out.withColumn("_n", F.count(value).over(so_far) - 1).withColumns({"_block": F.floor(F.col("_n") / block), "_k": F.col("_n") % block})
-        in_block = W.partitionBy(*by, "_block").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+        held = out.withColumn("_ema_n", F.count(value).over(so_far) - 1).withColumns({"_ema_block": F.floor(F.col("_ema_n") / block), "_ema_k": F.col("_ema_n") % block})
+        in_block = W.partitionBy(*by, "_ema_block").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
         for name, q in own.items():
-            weight = F.when(F.col("_n") == 0, 1.0).otherwise(1 - q) * F.pow(F.lit(q), -F.col("_k"))
-            held = held.withColumn(f"_in_{name}", F.coalesce(F.sum(value * weight).over(in_block), F.lit(0.0)) * F.pow(F.lit(q), F.col("_k")))
-        last = held.groupBy(*by, "_block").agg(*(F.max_by(f"_in_{n}", "_k").alias(f"_end_{n}") for n in own))
-        over = W.partitionBy(*by).orderBy("_block")
+            weight = F.when(F.col("_ema_n") == 0, 1.0).otherwise(1 - q) * F.pow(F.lit(q), -F.col("_ema_k"))
+            held = held.withColumn(f"_in_{name}", F.coalesce(F.sum(value * weight).over(in_block), F.lit(0.0)) * F.pow(F.lit(q), F.col("_ema_k")))
+        last = held.groupBy(*by, "_ema_block").agg(*(F.max_by(f"_in_{n}", "_ema_k").alias(f"_end_{n}") for n in own))
+        over = W.partitionBy(*by).orderBy("_ema_block")
 
         def fold(name: str, q: float, over=over) -> Column:
             m = max(1, math.ceil(41.5 / (-block * math.log(q))))
             return F.aggregate(F.collect_list(f"_end_{name}").over(over.rowsBetween(-m, -1)), F.lit(0.0), lambda s, e: s * q**block + e).alias(f"_to_{name}")
 
-        carried = last.select(*by, "_block", *(fold(n, q) for n, q in own.items()))
-        both = held.join(carried, [*by, "_block"])
-        out = both.withColumns({n: F.when(F.col("_n") >= 0, F.col(f"_in_{n}") + F.col(f"_to_{n}") * F.pow(F.lit(q), F.col("_k") + 1)) for n, q in own.items()})
-        out = out.select(*(c for c in out.columns if c not in {"_n", "_block", "_k", *(f"_{e}_{n}" for n in own for e in ("in", "to"))}))
+        carried = last.select(*by, "_ema_block", *(fold(n, q) for n, q in own.items()))
+        both = held.join(carried, [*by, "_ema_block"])
+        out = both.withColumns({n: F.when(F.col("_ema_n") >= 0, F.col(f"_in_{n}") + F.col(f"_to_{n}") * F.pow(F.lit(q), F.col("_ema_k") + 1)) for n, q in own.items()})
+        out = out.select(*(c for c in out.columns if c not in {"_ema_n", "_ema_block", "_ema_k", *(f"_{e}_{n}" for n in own for e in ("in", "to"))}))
     return out.select(*df.columns, *spans)
 
 

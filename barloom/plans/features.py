@@ -430,13 +430,13 @@ def _factory() -> tuple[list[str], str]:
     lags = [f"{c}_lag_{k}" for c in own for k in (1, 2, 3, 5, 8, 13)]
     parts = (*parts, ", ".join(f"{lag(c, k)} AS {c}_lag_{k}" for c in own for k in (1, 2, 3, 5, 8, 13)))
     names = ["open", "high", "low", "close", "volume", *own, *lags]
-    return [*names, "warning"], steps(*parts, out="; ".join(["=warning", *names]), where="nth > 200 AND " + " AND ".join(f"{c} IS NOT NULL" for c in names), digits=3)
+    return [*names, "warning"], steps(*parts, out="; ".join(["=warning", *names]), where="nth > 200 AND " + " AND ".join(f"{c} IS NOT NULL" for c in names), digits=8)
 
 
 FACTORY, FACTORY_SQL = _factory()
 
 
-@q.on_bars(" ".join(FACTORY), FACTORY_SQL, digits=3)
+@q.on_bars(" ".join(FACTORY), FACTORY_SQL, digits=8)
 def feature_factory(b):
     from barloom.operators.factory import signals
 
