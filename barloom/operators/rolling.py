@@ -21,10 +21,18 @@ def log_ratio(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.ln(a / b))
 
 
+def log_ratio_limits(a: Column, b: Column) -> Column:
+    """ln(a / b) of any two numbers by IEEE 754: inf of a positive over zero, -inf of zero, NaN of a negative or of zero over zero."""
+    q = F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+    return F.when(q < 0, F.lit(float("nan"))).when(q == 0, F.lit(float("-inf"))).otherwise(F.ln(q))
+
+
 @bounded(lambda a: 1)
-def returns(df: DataFrame, price: str = "close", by: By = ASSET) -> DataFrame:
-    before = Roll(by).lag(price)
-    return df.withColumns({"log_ret": log_ratio(F.col(price), before), "pct_ret": ratio(F.col(price) - before, before), "diff": F.col(price) - before, "log_range": log_ratio(F.col("high"), F.col("low"))})
+def returns(df: DataFrame, price: str = "close", by: By = ASSET, limits: bool = False) -> DataFrame:
+    """Changes of a price and the log range of a bar. Logarithms are null unless both prices are positive, or with `limits`
+    what IEEE 754 gives (an hour whose low is 0 has a log range of inf)."""
+    before, log = Roll(by).lag(price), log_ratio_limits if limits else log_ratio
+    return df.withColumns({"log_ret": log(F.col(price), before), "pct_ret": ratio(F.col(price) - before, before), "diff": F.col(price) - before, "log_range": log(F.col("high"), F.col("low"))})
 
 
 def candle(df: DataFrame, eps: float = 1e-9) -> DataFrame:
